@@ -19,7 +19,11 @@ SHOWN_ROWS = 20
 _COMMENT = re.compile(r"--[^\n]*|/\*.*?\*/", re.DOTALL)
 _SIDE_EFFECT_CALL = re.compile(rf"`?\b(?:{'|'.join(SIDE_EFFECTS)})\b`?\s*\(", re.IGNORECASE)
 _COMPUTED_CALL = re.compile(r"\bidentifier\s*\([^)]*\)\s*\(", re.IGNORECASE)
-_COMMAND_NODE = re.compile(r"\bExecute\s+\w+Command\b")
+_WRITE_NODE = re.compile(
+    r"^[\s:+\-!'*()\d]*(?:Execute\s+\w+Command|InsertInto\w+|MergeInto\w+|UpdateTable|DeleteFromTable"
+    r"|AppendData|Overwrite\w+|ReplaceData|WriteDelta)\b",
+    re.MULTILINE,
+)
 
 
 def check_read_only(spark: SparkSession, sql: str) -> None:
@@ -32,14 +36,13 @@ def check_read_only(spark: SparkSession, sql: str) -> None:
     call = _SIDE_EFFECT_CALL.search(bare) or _COMPUTED_CALL.search(bare)
     if call:
         raise ValueError(f"Function call not allowed: {call.group(0).strip()!r}")
-    if first == "with" and _writes(spark, sql):
-        raise ValueError("The statement after WITH writes data")
-
-
-def _writes(spark: SparkSession, sql: str) -> bool:
-    # A command runs as soon as spark.sql sees it, while EXPLAIN only plans it.
-    plan = spark.sql("EXPLAIN " + sql).first()[0]
-    return _COMMAND_NODE.search(plan) is not None or "== Physical Plan ==" not in plan
+    if first == "with":
+        # A command runs as soon as spark.sql sees it, while EXPLAIN only plans it.
+        plan = spark.sql("EXPLAIN EXTENDED " + sql).first()[0]
+        if "== Physical Plan ==" not in plan:
+            raise ValueError(f"The query cannot be planned: {plan}")
+        if _WRITE_NODE.search(plan):
+            raise ValueError("The statement after WITH writes data")
 
 
 def execute_query(

@@ -11,6 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _SETTING = "spark.checkpoint.dir"
 _local_folders: dict[str, str] = {}
@@ -43,6 +44,7 @@ class Scratch:
         df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(target)
         return self._spark.read.schema(df.schema).parquet(target), seen.get["n"]
 
-    def all_versions(self, schema) -> DataFrame:
+    def all_versions(self, schema: T.StructType) -> DataFrame:
         """Every version as one table with the partition column ``version``."""
-        return self._spark.read.schema(schema.add("version", "int")).parquet(self.path)
+        fields = [*schema.fields, T.StructField("version", T.IntegerType())]
+        return self._spark.read.schema(T.StructType(fields)).parquet(self.path)
