@@ -1,0 +1,68 @@
+from tablehealth.operators import drift
+from tablehealth.sources.tables import columns_of
+
+ACTUAL = "table string, ordinal int, column string, data_type string"
+DECLARED = "table string, pos int, column string, data_type string"
+
+
+def run(spark, actual, declared, **options):
+    a, d = spark.createDataFrame(actual, ACTUAL), spark.createDataFrame(declared, DECLARED)
+    rows = drift.ordered(drift.detect(a, d, **options)).collect()
+    return [(r.table, r.column_name, r.drift_type, r.db_type, r.manifest_type) for r in rows]
+
+
+def test_kinds_and_order(spark):
+    got = run(
+        spark,
+        [("t", 1, "id", "int"), ("t", 2, "New", "string"), ("t", 3, "amount", "double"), ("t", 4, "also", "date")],
+        [("t", 0, "amount", "varchar"), ("t", 1, "GONE", "int"), ("t", 2, "id", "bigint")],
+    )
+    assert got == [
+        ("t", "New", "added_in_db", "string", None),
+        ("t", "also", "added_in_db", "date", None),
+        ("t", "gone", "removed_from_db", None, "int"),
+        ("t", "amount", "type_changed", "double", "varchar"),
+    ]
+
+
+def test_clean_cases(spark):
+    actual = [("t", 1, "ID", "bigint"), ("t", 2, "name", "string"), ("t", 3, "n", "INTEGER")]
+    declared = [("t", 0, "id", "INT"), ("t", 1, "name", ""), ("t", 2, "N", None)]
+    assert run(spark, actual, declared) == []
+
+
+def test_spellings_need_the_canonical_map(spark):
+    actual = [("t", 1, "a", "character varying"), ("t", 2, "b", "timestamp_ntz"), ("t", 3, "c", "string")]
+    declared = [("t", 0, "a", "varchar(20)"), ("t", 1, "b", "datetime"), ("t", 2, "c", "int")]
+    assert len(run(spark, actual, declared)) == 3
+    assert [r[1] for r in run(spark, actual, declared, canonical=True)] == ["c"]
+
+
+def test_case_collisions_are_kept(spark):
+    got = run(spark, [("t", 1, "Id", "int"), ("t", 2, "id", "date")], [("t", 0, "id", "string")])
+    assert [(r[1], r[3]) for r in got] == [("id", "int"), ("id", "date")]
+    got = run(spark, [("t", 1, "Id", "int"), ("t", 2, "id", "date")], [])
+    assert [r[1] for r in got] == ["Id", "id"]
+
+
+def test_repeated_rows_do_not_multiply(spark):
+    got = run(spark, [("t", 1, "a", "int")] * 50, [("t", 0, "a", "date")] * 50)
+    assert len(got) == 1
+
+
+def test_fleet_summary_has_clean_tables(spark):
+    a = spark.createDataFrame([("x", 1, "a", "int"), ("y", 1, "a", "int"), ("y", 2, "b", "int")], ACTUAL)
+    d = spark.createDataFrame([("x", 0, "a", "int"), ("y", 0, "a", "date"), ("z", 0, "q", "int")], DECLARED)
+    rows = {r.table: tuple(r)[1:] for r in drift.summarize(drift.compare(a, d)).collect()}
+    assert rows == {"x": (0, True, 0, 0, 0), "y": (2, False, 1, 0, 1), "z": (1, False, 0, 1, 0)}
+
+
+def test_actual_columns_of_tables(spark, fct_orders):
+    rows = columns_of(spark, {"fct_orders": fct_orders}).collect()
+    assert [(r.ordinal, r["column"], r.data_type) for r in rows] == [
+        (1, "order_id", "int"), (2, "customer_id", "int"), (3, "status", "string"), (4, "amount", "decimal(10,2)")
+    ]
+    declared = spark.createDataFrame([("fct_orders", 0, "order_id", "int"), ("fct_orders", 1, "total", "int")], DECLARED)
+    got = drift.detect(columns_of(spark, {"fct_orders": fct_orders}), declared).collect()
+    assert sorted(r.column_name for r in got) == ["amount", "customer_id", "status", "total"]
+    assert {r.message for r in got} >= {"Column 'total' is not in the table", "Column 'status' is not declared"}
