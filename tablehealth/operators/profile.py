@@ -49,9 +49,9 @@ def profile(
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, got {mode!r}")
     fields = _fields(df, table, columns)
-    data = df.toDF(*[_name(i) for i in range(1, len(df.columns) + 1)])
+    data = _by_position(df)
     if mode == "exact":
-        stats = union_all([_exact(data, i, field) for i, field in fields])
+        stats = union_all(_exact(data, fields))
     elif mode == "approx":
         stats = _estimated(data, fields, rsd)
     else:
@@ -80,7 +80,7 @@ def refine(data: DataFrame, fields: list[tuple[int, T.StructField]], rsd: float)
             settled.append(row)
         else:
             open_fields.append((row.ordinal, by_ordinal[row.ordinal]))
-    parts = [_exact(data, i, field) for i, field in open_fields]
+    parts = _exact(data, open_fields)
     if settled:
         parts.append(data.sparkSession.createDataFrame(settled, _STATS))
     return union_all(parts)
@@ -104,11 +104,11 @@ def accepted_values(
     Meant for columns known to hold few values: repeated values are combined before the shuffle.
     """
     fields = _fields(df, table, columns)
-    data = df.toDF(*[_name(i) for i in range(1, len(df.columns) + 1)])
+    data = _by_position(df)
     parts = []
     for ordinal, field in fields:
-        text = _as_text(F.col(_name(ordinal)), field.dataType)
-        values = _listed(data.select(text.alias("k")).distinct(), "k", limit)
+        text = _as_text(_column(data, ordinal), field.dataType)
+        values = data.select(text.alias("k")).distinct().select("k", _listed(F.col("k"), limit))
         parts.append(
             values.agg(
                 F.lit(ordinal).alias("ordinal"),
@@ -138,13 +138,12 @@ def sample_values(
     of starting a task for each.
     """
     fields = _fields(df, table, columns)
-    ordered = df.orderBy(*order_by) if order_by else df
-    data = ordered.toDF(*[_name(i) for i in range(1, len(df.columns) + 1)])
+    data = _by_position(df.orderBy(*order_by) if order_by else df)
     rows = data.select(
-        [_as_text(F.col(_name(i)), f.dataType).alias(_name(i)) for i, f in fields]
+        [_as_text(_column(data, i), f.dataType).alias(f"c{i}") for i, f in fields]
     ).take(n)
     return df.sparkSession.createDataFrame(
-        [(table, i, f.name, [row[_name(i)] for row in rows]) for i, f in fields], SAMPLE_VALUES
+        [(table, i, f.name, [row[f"c{i}"] for row in rows]) for i, f in fields], SAMPLE_VALUES
     )
 
 
@@ -164,9 +163,16 @@ _STATS = T.StructType(
 )
 
 
-def _name(ordinal: int) -> str:
-    # Renaming by position makes odd names and names that differ only in case harmless.
-    return f"c{ordinal}"
+def _by_position(df: DataFrame) -> DataFrame:
+    """``df`` with columns that can be told apart: renamed where names differ only in case."""
+    if len({name.lower() for name in df.columns}) == len(df.columns):
+        return df
+    return df.toDF(*[f"c{i}" for i in range(1, len(df.columns) + 1)])
+
+
+def _column(data: DataFrame, ordinal: int) -> Column:
+    name = data.columns[ordinal - 1].replace("`", "``")
+    return F.col(f"`{name}`")
 
 
 def _fields(
@@ -192,63 +198,75 @@ def _as_text(column: Column, kind: T.DataType) -> Column:
     return column.cast("string")
 
 
-def _exact(data: DataFrame, ordinal: int, field: T.StructField) -> DataFrame:
-    """Statistics of one column from its distinct values and their counts."""
-    column, kind = F.col(_name(ordinal)), field.dataType
-    if kinds.holds_variant(kind):  # not groupable as such
-        column, kind = F.to_json(column), T.StringType()
-    if kinds.is_plain_text(kind) or isinstance(kind, T.BinaryType):
+def _exact(data: DataFrame, fields: list[tuple[int, T.StructField]]) -> list[DataFrame]:
+    """Statistics of each column from its distinct values and their counts."""
+    shapes: dict[tuple, _Shape] = {}
+    parts = []
+    for ordinal, field in fields:
+        column, kind = _column(data, ordinal), field.dataType
+        if kinds.holds_variant(kind):  # not groupable as such
+            column, kind = F.to_json(column), T.StringType()
+        by_digest = kinds.is_plain_text(kind) or isinstance(kind, T.BinaryType)
+        key = (by_digest, isinstance(kind, T.BinaryType), kinds.has_range(kind))
+        if key not in shapes:
+            shapes[key] = _Shape(*key)
+        shape = shapes[key]
+        values = data.groupBy(*shape.keys(column)).agg(shape.n)
+        stats = values.select("*", shape.listed).agg(*shape.figures)
+        parts.append(stats.select(*_identity(ordinal, field), *shape.output))
+    return parts
+
+
+class _Shape:
+    """The expressions that columns of like type share, built once for all of them."""
+
+    def __init__(self, by_digest: bool, is_binary: bool, has_range: bool) -> None:
+        self._by_digest = by_digest
+        k, n = F.col("k"), F.col("n")
+        present = (k.isNotNull() | F.col("digest").isNotNull()) if by_digest else k.isNotNull()
+        self.n = F.count(F.lit(1)).alias("n")
+        self.listed = _listed(F.hex(k) if is_binary else k.cast("string"), LISTED_VALUES)
+        self.figures = [
+            F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"),
+            F.coalesce(F.sum(F.when(present, n)), F.lit(0)).alias("non_null_count"),
+            F.count(F.when(present, 1)).alias("unique_count"),
+            *_range(k, has_range),
+            F.array_sort(F.collect_list("listed")).alias("listed"),
+            (F.count("digest") == 0 if by_digest else F.lit(True)).alias("whole"),
+        ]
+        few = (F.col("unique_count") <= LISTED_VALUES) & F.col("whole")
+        self.output = [
+            F.col("total_rows"),
+            F.col("non_null_count"),
+            F.col("unique_count"),
+            F.lit(True).alias("is_exact"),
+            F.col("min_val"),
+            F.col("max_val"),
+            F.when(few, F.col("listed")).alias("values"),
+        ]
+
+    def keys(self, column: Column) -> list[Column]:
+        if not self._by_digest:
+            return [column.alias("k")]
         is_long = F.length(column) > LONG_TEXT
-        keys = [
+        return [
             F.when(~is_long, column).alias("k"),
             F.when(is_long, F.sha2(column, 256)).alias("digest"),
         ]
-        present = F.col("k").isNotNull() | F.col("digest").isNotNull()
-        whole = F.count("digest") == 0
-    else:
-        keys = [column.alias("k")]
-        present = F.col("k").isNotNull()
-        whole = F.lit(True)
-    values = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    listed = _listed(values, "k", LISTED_VALUES, kind)
-    stats = listed.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"),
-        F.coalesce(F.sum(F.when(present, F.col("n"))), F.lit(0)).alias("non_null_count"),
-        F.count(F.when(present, 1)).alias("unique_count"),
-        *_range(F.col("k"), kind),
-        F.array_sort(F.collect_list("listed")).alias("listed"),
-        whole.alias("whole"),
-    )
-    few = (F.col("unique_count") <= LISTED_VALUES) & F.col("whole")
-    return stats.select(
-        *_identity(ordinal, field),
-        "total_rows",
-        "non_null_count",
-        "unique_count",
-        F.lit(True).alias("is_exact"),
-        "min_val",
-        "max_val",
-        F.when(few, F.col("listed")).alias("values"),
-    )
 
 
-def _listed(
-    values: DataFrame, key: str, limit: int, kind: T.DataType | None = None
-) -> DataFrame:
-    """Mark the first ``limit + 1`` rows of each partition with their text.
+def _listed(text: Column, limit: int) -> Column:
+    """The text in the first ``limit + 1`` rows of each partition, null in the others.
 
     Enough to list all values of a column that has few (one more row for the null), and a bounded
     number for a column that has many.
     """
     row_in_partition = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    text = _as_text(F.col(key), kind) if kind is not None else F.col(key)
-    return values.withColumn("row", row_in_partition).withColumn(
-        "listed", F.when(F.col("row") <= limit, text)
-    )
+    return F.when(row_in_partition <= limit, text).alias("listed")
 
 
-def _range(column: Column, kind: T.DataType) -> list[Column]:
-    if not kinds.has_range(kind):
+def _range(column: Column, has_range: bool) -> list[Column]:
+    if not has_range:
         nothing = F.lit(None).cast("string")
         return [nothing.alias("min_val"), nothing.alias("max_val")]
     return [
@@ -270,17 +288,17 @@ def _estimated(
 ) -> DataFrame:
     """Distinct counts by sketch, the rest exact: a scan with one small row per task to shuffle."""
     simple = [(i, f) for i, f in fields if kinds.is_estimable(f.dataType)]
-    parts = [_exact(data, i, f) for i, f in fields if not kinds.is_estimable(f.dataType)]
+    parts = _exact(data, [(i, f) for i, f in fields if not kinds.is_estimable(f.dataType)])
     for start in range(0, len(simple), ESTIMATES_PER_SCAN):
         batch = simple[start : start + ESTIMATES_PER_SCAN]
         figures = [
             F.struct(
                 *_identity(i, f),
                 F.count(F.lit(1)).alias("total_rows"),
-                F.count(_name(i)).alias("non_null_count"),
-                F.approx_count_distinct(_name(i), rsd).alias("unique_count"),
+                F.count(_column(data, i)).alias("non_null_count"),
+                F.approx_count_distinct(_column(data, i), rsd).alias("unique_count"),
                 F.lit(False).alias("is_exact"),
-                *_range(F.col(_name(i)), f.dataType),
+                *_range(_column(data, i), kinds.has_range(f.dataType)),
                 F.lit(None).cast("array<string>").alias("values"),
             ).alias(f"s{i}")
             for i, f in batch
