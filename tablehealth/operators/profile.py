@@ -46,51 +46,67 @@ def profile(
     and shuffles almost nothing. ``refined`` runs the estimates, then counts exactly those columns
     whose estimate is small or close to the row count; ``is_exact`` tells which is which.
     """
-    if mode not in MODES:
-        raise ValueError(f"mode must be one of {MODES}, got {mode!r}")
-    fields = _fields(df, table, columns)
-    data = _by_position(df)
-    if mode == "exact":
-        stats = union_all(_exact(data, fields))
-    elif mode == "approx":
-        stats = _estimated(data, fields, rsd)
-    else:
-        stats = refine(data, fields, rsd)
-    return _derive(stats, table)
+    return profile_many({table: df}, columns=columns, mode=mode, rsd=rsd)
 
 
-def profile_many(tables: Mapping[str, DataFrame], **options) -> DataFrame:
-    """Profiles of several tables as one job; the tables' scans run side by side."""
-    return union_all([profile(df, table, **options) for table, df in tables.items()])
+def profile_many(
+    tables: Mapping[str, DataFrame],
+    *,
+    columns: Sequence[str] | None = None,
+    mode: str = "exact",
+    rsd: float = 0.05,
+) -> DataFrame:
+    """Profiles of several tables as one job; the tables' scans run side by side.
 
+    Options are those of :func:`profile`; ``columns`` applies to every table.
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}, got {mode!r}")
+    shapes: dict[tuple, _Shape] = {}
+    parts: list[DataFrame] = []
+    for table, df in tables.items():
+        fields = _fields(df, table, columns)
+        data = _by_position(df)
+        if mode == "exact":
+            parts += _exact(data, table, fields, shapes)
+        elif mode == "approx":
+            parts += _estimated(data, table, fields, shapes, rsd)
+        else:
+            parts += refine(data, table, fields, shapes, rsd)
+    return _derive(union_all(parts))
 
-def refine(data: DataFrame, fields: list[tuple[int, T.StructField]], rsd: float) -> DataFrame:
+
+def refine(
+    data: DataFrame,
+    table: str,
+    fields: list[tuple[int, T.StructField]],
+    shapes: dict[tuple, _Shape],
+    rsd: float,
+) -> list[DataFrame]:
     """Estimates first; exact counts where a rule could turn on the difference.
 
     The estimates come to the driver as one small row per column, like a schema does.
     """
-    rows = _estimated(data, fields, rsd).collect()
+    rows = union_all(_estimated(data, table, fields, shapes, rsd)).collect()
     by_ordinal = dict(fields)
     settled, open_fields = [], []
     for row in rows:
-        close = (
-            row.unique_count <= FEW_VALUES or row.unique_count >= NEAR_UNIQUE * row.total_rows
-        )
+        close = row.unique_count <= FEW_VALUES or row.unique_count >= NEAR_UNIQUE * row.total_rows
         if row.is_exact or not close:
             settled.append(row)
         else:
             open_fields.append((row.ordinal, by_ordinal[row.ordinal]))
-    parts = _exact(data, open_fields)
+    parts = _exact(data, table, open_fields, shapes)
     if settled:
         parts.append(data.sparkSession.createDataFrame(settled, _STATS))
-    return union_all(parts)
+    return parts
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
-    """Union as a balanced tree, which keeps plans of many branches shallow."""
+    """Union of like columns as a balanced tree, which keeps plans of many branches shallow."""
     while len(parts) > 1:
         parts = [
-            parts[i].unionByName(parts[i + 1]) if i + 1 < len(parts) else parts[i]
+            parts[i].union(parts[i + 1]) if i + 1 < len(parts) else parts[i]
             for i in range(0, len(parts), 2)
         ]
     return parts[0]
@@ -149,6 +165,7 @@ def sample_values(
 
 _STATS = T.StructType(
     [
+        T.StructField("table", T.StringType()),
         T.StructField("ordinal", T.IntegerType()),
         T.StructField("column", T.StringType()),
         T.StructField("data_type", T.StringType()),
@@ -158,7 +175,8 @@ _STATS = T.StructType(
         T.StructField("is_exact", T.BooleanType()),
         T.StructField("min_val", T.StringType()),
         T.StructField("max_val", T.StringType()),
-        T.StructField("values", T.ArrayType(T.StringType())),
+        T.StructField("listed", T.ArrayType(T.StringType())),
+        T.StructField("whole", T.BooleanType()),
     ]
 )
 
@@ -198,9 +216,13 @@ def _as_text(column: Column, kind: T.DataType) -> Column:
     return column.cast("string")
 
 
-def _exact(data: DataFrame, fields: list[tuple[int, T.StructField]]) -> list[DataFrame]:
+def _exact(
+    data: DataFrame,
+    table: str,
+    fields: list[tuple[int, T.StructField]],
+    shapes: dict[tuple, _Shape],
+) -> list[DataFrame]:
     """Statistics of each column from its distinct values and their counts."""
-    shapes: dict[tuple, _Shape] = {}
     parts = []
     for ordinal, field in fields:
         column, kind = _column(data, ordinal), field.dataType
@@ -212,8 +234,11 @@ def _exact(data: DataFrame, fields: list[tuple[int, T.StructField]]) -> list[Dat
             shapes[key] = _Shape(*key)
         shape = shapes[key]
         values = data.groupBy(*shape.keys(column)).agg(shape.n)
-        stats = values.select("*", shape.listed).agg(*shape.figures)
-        parts.append(stats.select(*_identity(ordinal, field), *shape.output))
+        parts.append(
+            values.select("*", shape.listed).agg(
+                *_identity(table, ordinal, field), *shape.figures
+            )
+        )
     return parts
 
 
@@ -230,20 +255,11 @@ class _Shape:
             F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"),
             F.coalesce(F.sum(F.when(present, n)), F.lit(0)).alias("non_null_count"),
             F.count(F.when(present, 1)).alias("unique_count"),
+            F.lit(True).alias("is_exact"),
             *_range(k, has_range),
             F.array_sort(F.collect_list("listed")).alias("listed"),
             (F.count("digest") == 0 if by_digest else F.lit(True)).alias("whole"),
         ]
-        few = (F.col("unique_count") <= LISTED_VALUES) & F.col("whole")
-        self.output = [
-            F.col("total_rows"),
-            F.col("non_null_count"),
-            F.col("unique_count"),
-            F.lit(True).alias("is_exact"),
-            F.col("min_val"),
-            F.col("max_val"),
-            F.when(few, F.col("listed")).alias("values"),
-        ]
 
     def keys(self, column: Column) -> list[Column]:
         if not self._by_digest:
@@ -275,8 +291,9 @@ def _range(column: Column, has_range: bool) -> list[Column]:
     ]
 
 
-def _identity(ordinal: int, field: T.StructField) -> list[Column]:
+def _identity(table: str, ordinal: int, field: T.StructField) -> list[Column]:
     return [
+        F.lit(table).alias("table"),
         F.lit(ordinal).alias("ordinal"),
         F.lit(field.name).alias("column"),
         F.lit(field.dataType.simpleString()).alias("data_type"),
@@ -284,35 +301,41 @@ def _identity(ordinal: int, field: T.StructField) -> list[Column]:
 
 
 def _estimated(
-    data: DataFrame, fields: list[tuple[int, T.StructField]], rsd: float
-) -> DataFrame:
+    data: DataFrame,
+    table: str,
+    fields: list[tuple[int, T.StructField]],
+    shapes: dict[tuple, _Shape],
+    rsd: float,
+) -> list[DataFrame]:
     """Distinct counts by sketch, the rest exact: a scan with one small row per task to shuffle."""
     simple = [(i, f) for i, f in fields if kinds.is_estimable(f.dataType)]
-    parts = _exact(data, [(i, f) for i, f in fields if not kinds.is_estimable(f.dataType)])
+    others = [(i, f) for i, f in fields if not kinds.is_estimable(f.dataType)]
+    parts = _exact(data, table, others, shapes)
     for start in range(0, len(simple), ESTIMATES_PER_SCAN):
         batch = simple[start : start + ESTIMATES_PER_SCAN]
         figures = [
             F.struct(
-                *_identity(i, f),
+                *_identity(table, i, f),
                 F.count(F.lit(1)).alias("total_rows"),
                 F.count(_column(data, i)).alias("non_null_count"),
                 F.approx_count_distinct(_column(data, i), rsd).alias("unique_count"),
                 F.lit(False).alias("is_exact"),
                 *_range(_column(data, i), kinds.has_range(f.dataType)),
-                F.lit(None).cast("array<string>").alias("values"),
+                F.lit(None).cast("array<string>").alias("listed"),
+                F.lit(False).alias("whole"),
             ).alias(f"s{i}")
             for i, f in batch
         ]
         parts.append(
             data.agg(*figures).select(F.inline(F.array(*[f"s{i}" for i, _ in batch])))
         )
-    return union_all(parts)
+    return parts
 
 
-def _derive(stats: DataFrame, table: str) -> DataFrame:
+def _derive(stats: DataFrame) -> DataFrame:
     total, filled, unique = F.col("total_rows"), F.col("non_null_count"), F.col("unique_count")
     return stats.select(
-        F.lit(table).alias("table"),
+        "table",
         "ordinal",
         "column",
         "data_type",
@@ -327,5 +350,5 @@ def _derive(stats: DataFrame, table: str) -> DataFrame:
         (F.col("is_exact") & (filled == total) & (unique == total) & (total > 0)).alias(
             "is_likely_pk"
         ),
-        "values",
+        F.when(F.col("whole") & (unique <= LISTED_VALUES), F.col("listed")).alias("values"),
     )

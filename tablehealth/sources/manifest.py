@@ -40,8 +40,9 @@ def manifest_errors(manifests: DataFrame) -> DataFrame:
 
 def assets(manifests: DataFrame) -> DataFrame:
     """Models of all projects with their details; ``pos`` is the order in the file."""
-    node = F.posexplode("nodes").alias("pos", "node_id", "node")
-    nodes = manifests.select("project_id", node).where(F.col("node.resource_type") == "model")
+    nodes = _entries(manifests, "nodes", "node_id", "node").where(
+        F.col("node.resource_type") == "model"
+    )
     empty_map = F.col("node.columns").isNull()
     columns = F.when(empty_map, F.array()).otherwise(
         F.transform(
@@ -116,9 +117,7 @@ def dependencies(models: DataFrame) -> DataFrame:
 
 
 def sources(manifests: DataFrame) -> DataFrame:
-    return manifests.select(
-        "project_id", F.posexplode("sources").alias("pos", "source_id", "s")
-    ).select(
+    return _entries(manifests, "sources", "source_id", "s").select(
         "project_id",
         "pos",
         "source_id",
@@ -133,9 +132,7 @@ def sources(manifests: DataFrame) -> DataFrame:
 
 
 def exposures(manifests: DataFrame) -> DataFrame:
-    return manifests.select(
-        "project_id", F.posexplode("exposures").alias("pos", "exposure_id", "x")
-    ).select(
+    return _entries(manifests, "exposures", "exposure_id", "x").select(
         "project_id",
         "pos",
         "exposure_id",
@@ -144,3 +141,13 @@ def exposures(manifests: DataFrame) -> DataFrame:
         F.coalesce("x.description", F.lit("")).alias("description"),
         F.coalesce("x.depends_on.nodes", F.array().cast("array<string>")).alias("depends_on"),
     )
+
+
+def _entries(manifests: DataFrame, field: str, key: str, value: str) -> DataFrame:
+    """The entries of an id-keyed object in file order.
+
+    The outer form is used because for the inner one Spark infers a filter on the exploded map,
+    and that would parse the text of a manifest a second and third time.
+    """
+    exploded = F.posexplode_outer(field).alias("pos", key, value)
+    return manifests.select("project_id", exploded).where(F.col(key).isNotNull())
