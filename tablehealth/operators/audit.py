@@ -152,6 +152,16 @@ def find_model(models: DataFrame, name: str) -> DataFrame:
     return first_by_name(models.where(F.col("name") == name))
 
 
+def model_path(models: DataFrame, name: str) -> DataFrame:
+    """Path of the file that defines the model, per project."""
+    return find_model(models, name).select("project_id", "original_file_path")
+
+
+def node_id(models: DataFrame, name: str) -> DataFrame:
+    """Full node id of the model, per project."""
+    return find_model(models, name).select("project_id", "node_id")
+
+
 def upstream(models: DataFrame, name: str | None = None) -> DataFrame:
     """Direct dependencies in declared order: of one model, or of every model name."""
     chosen = first_by_name(models) if name is None else find_model(models, name)

@@ -123,7 +123,8 @@ def node_depths(models: DataFrame, match: str = "name") -> DataFrame:
     Peels the graph level by level. A round keeps the edges whose source still has an incoming
     edge; a model therefore has as many rounds as the longest chain above it. All projects peel
     together, and the edges shrink from round to round. Rounds are written to the shared folder.
-    When a round removes nothing, what is left lies on a cycle or downstream of one: these models
+    A model that feeds a large part of the graph is one key of the semi join; adaptive execution
+    splits its edges. When a round removes nothing, what is left lies on a cycle or downstream of one: these models
     get a null depth and ``is_cyclic``.
     """
     names = models.select("project_id", _key(match).alias("name")).distinct()

@@ -10,9 +10,9 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from tablehealth.operators import audit, drift, lineage, profile, registry, suggest
 from tablehealth.plans import health
@@ -87,13 +87,18 @@ class Workspace:
         """Merge proposed columns into the registry; save the result with ``registry.save``."""
         return registry.merge_columns(existing, proposals)
 
+    def describe_models(self, existing: DataFrame, proposals: DataFrame) -> DataFrame:
+        """Merge proposed descriptions of whole models into the registry of models."""
+        return registry.merge_models(existing, proposals)
+
     def generate_model_docs(self, model: str, mode: str = "refined") -> DataFrame:
         """Proposals drawn from the model's data, not merged yet.
 
         A model whose table cannot be opened gives no rows.
         """
+        place = self._location(model)
         try:
-            table = self._table(model)
+            table = self._open(place)
             rows = profile.profile(table, model, mode=mode)
         except (AnalysisException, ValueError):
             return self.spark.createDataFrame([], REGISTRY_COLUMNS)
@@ -101,12 +106,12 @@ class Workspace:
         tests = suggest.as_test_entries(
             suggest.grouped(suggest.with_long_values(table, model, rows))
         )
-        return registry.from_suggestions(tests, self._location(model)["project_id"], model)
+        return registry.from_suggestions(tests, place["project_id"], model)
 
     def profile_all(self, models: Sequence[str], mode: str = "refined") -> DataFrame:
         return profile.profile_many({m: self._table(m) for m in models}, mode=mode)
 
-    def _location(self, model: str):
+    def _location(self, model: str) -> Row:
         row = (
             audit.find_model(self.models, model)
             .select("project_id", "schema", F.coalesce("alias", "name").alias("table"))
@@ -120,7 +125,9 @@ class Workspace:
         return row
 
     def _table(self, model: str) -> DataFrame:
-        row = self._location(model)
+        return self._open(self._location(model))
+
+    def _open(self, place: Row) -> DataFrame:
         if self.open_table is not None:
-            return self.open_table(row["schema"], row["table"])
-        return read_table(self.spark, row["table"], row["schema"])
+            return self.open_table(place["schema"], place["table"])
+        return read_table(self.spark, place["table"], place["schema"])
