@@ -12,7 +12,7 @@ from tablehealth.functions import text
 from tablehealth.operators import audit, drift, lineage, profile, registry, suggest
 from tablehealth.plans import health
 from tablehealth.sources import adhoc, manifest
-from tablehealth.sources.scratch import Scratch
+from tablehealth.sources.scratch import Scratch, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -61,7 +61,7 @@ def profile_orders(spark, folder):
 
 @query
 def profile_nulls(spark, folder):
-    return _profile(profile.profile(i.labelled_documents(spark, folder), "labelled"))
+    return _profile(profile.profile(stage(i.labelled_documents(spark, folder)), "labelled"))
 
 
 @query
@@ -145,7 +145,7 @@ def suggest_orders_refined(spark, folder):
 
 @query
 def suggest_nulls(spark, folder):
-    rows = profile.profile(i.labelled_documents(spark, folder), "labelled")
+    rows = profile.profile(stage(i.labelled_documents(spark, folder)), "labelled")
     return _suggestions(suggest.suggest(rows))
 
 

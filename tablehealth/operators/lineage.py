@@ -56,10 +56,12 @@ def graph_nodes(
         joined = joined.join(_exposed(exposures, match), ["project_id", "src"], "left")
     count = F.coalesce("downstream_count", F.lit(0))
     exposed = F.coalesce("is_exposed", F.lit(False))
+    # Taken from the join key, the name keeps the partitioning for the steps that follow.
+    name = F.col("src").alias("name") if match == "name" else F.col("name")
     return joined.select(
         "project_id",
         "node_id",
-        "name",
+        name,
         "pos",
         count.alias("downstream_count"),
         exposed.alias("is_exposed"),

@@ -35,7 +35,10 @@ def parse_manifests(df: DataFrame, text: Column, project_id: Column) -> DataFram
 
 
 def manifest_errors(manifests: DataFrame) -> DataFrame:
-    return manifests.where(F.col(CORRUPT).isNotNull()).select("project_id", CORRUPT)
+    """Manifests that did not parse, with their text and whether any nodes could be read."""
+    return manifests.where(F.col(CORRUPT).isNotNull()).select(
+        "project_id", CORRUPT, F.col("nodes").isNotNull().alias("has_nodes")
+    )
 
 
 def assets(manifests: DataFrame) -> DataFrame:

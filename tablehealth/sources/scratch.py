@@ -48,3 +48,13 @@ class Scratch:
         """Every version as one table with the partition column ``version``."""
         fields = [*schema.fields, T.StructField("version", T.IntegerType())]
         return self._spark.read.schema(T.StructType(fields)).parquet(self.path)
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared folder and return it read back.
+
+    Worth it before a profile of anything that is not a stored columnar table: a join, a view, rows
+    of text files or of a database. The profile reads column by column, and would otherwise compute
+    or fetch the whole input once per column.
+    """
+    return Scratch(df.sparkSession, "staged").write(df, 0)[0]

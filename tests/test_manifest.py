@@ -78,7 +78,7 @@ def test_missing_fields_fall_back(spark):
 def test_broken_files_surface(spark, tmp_path):
     (tmp_path / "good.json").write_text(json.dumps(sample()))
     (tmp_path / "bad.json").write_text('{"nodes": {"model.x": ')
-    found = manifest.read_manifests(spark, str(tmp_path)).cache()
+    found = manifest.read_manifests(spark, str(tmp_path))
     bad = manifest.manifest_errors(found).collect()
     assert len(bad) == 1 and bad[0].project_id.endswith("bad.json")
     assert manifest.assets(found).count() == 6

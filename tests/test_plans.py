@@ -102,3 +102,15 @@ def test_one_column_proposed_very_often(spark):
     assert hot.description == "text 9"
     assert [(t.name, t.config) for t in hot.tests] == [("t0", "0"), ("t1", "3"), ("t2", "6"), ("t3", "9"), ("t4", "12")]
     assert merged.count() == 20001
+
+
+def test_orphans_reuse_the_partitioning_of_the_join(spark):
+    models = spark.range(0, 1000, 1, 4).selectExpr(
+        "string(id % 2) project_id", "string(id) node_id", "'m' || id name", "id pos", "array('model.p.m1') depends_on"
+    )
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(lineage.orphans(lineage.graph_nodes(models)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert text.count("Exchange hashpartitioning") == 2  # the models and the counted consumers
