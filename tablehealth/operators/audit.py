@@ -35,14 +35,15 @@ def audit_models(models: DataFrame) -> DataFrame:
 
     Everything needed is in the row, so this is a narrow projection.
     """
+    columns = F.coalesce("columns", F.array())
     return _rate(
         models.select(
             *_model_fields(),
-            F.size("columns").alias("total_columns"),
-            F.size(F.filter("columns", lambda c: is_present(c["description"]))).alias(
+            F.size(columns).alias("total_columns"),
+            F.size(F.filter(columns, lambda c: is_present(c["description"]))).alias(
                 "documented_columns"
             ),
-            F.size(F.filter("columns", lambda c: F.size(c["tests"]) > 0)).alias("tested_columns"),
+            F.size(F.filter(columns, lambda c: F.size(c["tests"]) > 0)).alias("tested_columns"),
         )
     )
 

@@ -18,6 +18,7 @@ SHOWN_ROWS = 20
 
 _COMMENT = re.compile(r"--[^\n]*|/\*.*?\*/", re.DOTALL)
 _SIDE_EFFECT_CALL = re.compile(rf"`?\b(?:{'|'.join(SIDE_EFFECTS)})\b`?\s*\(", re.IGNORECASE)
+_SCRIPT = re.compile(r"\busing\s+(?:r\s*)?['\"]", re.IGNORECASE)  # SELECT TRANSFORM ... USING 'command'
 _COMPUTED_CALL = re.compile(r"\bidentifier\s*\([^)]*\)\s*\(", re.IGNORECASE)
 _WRITE_NODE = re.compile(
     r"^[\s:+\-!'*()\d]*(?:Execute\s+\w+Command|InsertInto\w+|MergeInto\w+|UpdateTable|DeleteFromTable"
@@ -33,9 +34,10 @@ def check_read_only(spark: SparkSession, sql: str) -> None:
     if first not in READ_WORDS:
         raise ValueError(f"Only read-only queries are allowed, got: {first.upper()!r}")
     bare = _COMMENT.sub(" ", sql)
-    call = _SIDE_EFFECT_CALL.search(bare) or _COMPUTED_CALL.search(bare)
-    if call:
-        raise ValueError(f"Function call not allowed: {call.group(0).strip()!r}")
+    for pattern in (_SIDE_EFFECT_CALL, _COMPUTED_CALL, _SCRIPT):
+        found = pattern.search(bare)
+        if found:
+            raise ValueError(f"Not allowed in a read-only query: {found.group(0).strip()!r}")
     if first == "with":
         # A command runs as soon as spark.sql sees it, while EXPLAIN only plans it.
         plan = spark.sql("EXPLAIN EXTENDED " + sql).first()[0]

@@ -18,8 +18,11 @@ _local_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a local session without it gets a temporary one."""
-    folder = spark.conf.get(_SETTING, None)
+    """Folder named by ``spark.checkpoint.dir``; a local session without it gets a temporary one.
+
+    Nothing in the folder is deleted here, as results may still read from it.
+    """
+    folder = spark.conf.get(_SETTING, None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):

@@ -172,7 +172,7 @@ def test_audit_cases(spark):
 def test_audit_without_models_or_columns(spark):
     row = audit.audit_projects(audited(spark).where("false"), by=()).first()
     assert (row.total_models, row.overall_score, row.naming_score) == (0, 100.0, 100.0)
-    rows = {r.name: r for r in audited(spark, ("d", "Text", []), ("e", "  ", [])).collect()}
+    rows = {r.name: r for r in audited(spark, ("d", "Text", []), ("e", "  ", None)).collect()}
     assert (rows["d"].doc_coverage, rows["d"].test_coverage, rows["e"].doc_coverage) == (1.0, 0.0, 0.0)
 
 

@@ -64,7 +64,8 @@ def test_odd_and_case_colliding_names(spark):
     assert [r["column"] for r in p.profile(df).orderBy("ordinal").collect()] == ["a b", "x.y", "Id", "id"]
 
 
-def test_wide_table_keeps_every_column(spark):
+def test_wide_table_keeps_every_column(spark, monkeypatch):
+    monkeypatch.setattr(p, "ESTIMATES_PER_SCAN", 41)
     df = spark.createDataFrame([tuple(range(205))] * 3, ", ".join(f"col{i} int" for i in range(205)))
     rows = p.profile(df, mode="approx").collect()
     assert len(rows) == 205 and {r.non_null_count for r in rows} == {3}

@@ -89,6 +89,7 @@ def test_guard(spark):
         "select reflect('java.lang.System', 'currentTimeMillis')",
         "select `java_method` /* x */ ('java.lang.System', 'nanoTime')",
         "select identifier('reflect')('java.lang.System', 'nanoTime')",
+        "select transform(a) using 'cat' as (b) from guarded",
         "with t as (select nothing from nowhere) select * from t",
         "",
         "-- hi\nselect 1",
@@ -106,6 +107,7 @@ def test_reads_pass_and_are_limited(spark):
     assert adhoc.execute_query(spark, "select :x + 1 as y", {"x": 1}).first().y == 2
     assert adhoc.execute_query(spark, "explain insert into guarded values (1)").count() == 1
     assert adhoc.execute_query(spark, "values (1), (2)").count() == 2
+    assert adhoc.execute_query(spark, "select * from range(3) a join range(2) b using (id)").count() == 2
     assert spark.table("guarded").count() == 0
 
 
