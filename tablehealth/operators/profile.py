@@ -21,7 +21,7 @@ from tablehealth.schemas import SAMPLE_VALUES
 # A column with at most this many distinct values also reports the values.
 LISTED_VALUES = 10
 # Texts longer than this are told apart by their SHA-256 digest, so that whole documents
-# are read but do not travel through the shuffle.
+# are read but do not travel through the shuffle. Values of longer text are not listed either.
 LONG_TEXT = 256
 # Refined mode counts exactly where the estimate could change a decision (see `refine`).
 FEW_VALUES = 20
@@ -252,14 +252,18 @@ class _Shape:
         present = (k.isNotNull() | F.col("digest").isNotNull()) if by_digest else k.isNotNull()
         self.n = F.count(F.lit(1)).alias("n")
         self.listed = _listed(F.hex(k) if is_binary else k.cast("string"), LISTED_VALUES)
+        short = F.length("listed") <= LONG_TEXT
+        whole = F.count(F.when(~short, 1)) == 0
+        if by_digest:
+            whole = whole & (F.count("digest") == 0)
         self.figures = [
             F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"),
             F.coalesce(F.sum(F.when(present, n)), F.lit(0)).alias("non_null_count"),
             F.count(F.when(present, 1)).alias("unique_count"),
             F.lit(True).alias("is_exact"),
             *_range(k, has_range),
-            F.array_sort(F.collect_list("listed")).alias("listed"),
-            (F.count("digest") == 0 if by_digest else F.lit(True)).alias("whole"),
+            F.array_sort(F.collect_list(F.when(short, F.col("listed")))).alias("listed"),
+            whole.alias("whole"),
         ]
 
     def keys(self, column: Column) -> list[Column]:

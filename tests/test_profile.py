@@ -142,3 +142,10 @@ def test_many_tables(fct_orders, spark):
     assert sorted((r.table, r["column"]) for r in rows) == [
         ("o", "amount"), ("o", "customer_id"), ("o", "order_id"), ("o", "status"), ("r", "id")
     ]
+
+
+def test_long_values_of_other_types_are_left_to_the_second_look(spark):
+    df = spark.range(40).select(F.sequence(F.lit(0), F.lit(200) + F.col("id") % 2).alias("a"))
+    row = p.profile(df).first()
+    assert (row.unique_count, row["values"]) == (2, None)
+    assert len(p.accepted_values(df, ["a"]).first()["values"]) == 2
