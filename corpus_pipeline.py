@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablehealth.llm import line_dedup, quality
+from tablehealth.llm import line_dedup, quality, simhash
 from tablehealth.sources.scratch import stage
 
 
@@ -18,7 +18,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.without_shared_lines(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("line dedup", lines)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return simhash.keep_first(docs)
+
+
+STAGES = [("quality rules", quality_rules), ("line dedup", lines), ("near dedup", near_dedup)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablehealth.llm import line_dedup, quality
+from tablehealth.llm import line_dedup, packing, quality, simhash
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,6 +19,20 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.clean(_documents(spark, folder)).select("doc_id", "text", "removed_lines")
 
 
+def op2_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.classes(_documents(spark, folder)).select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"),
+        "component_id",
+    )
+
+
+def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Place of every piece of every document."""
+    return packing.pack(_documents(spark, folder))
+
+
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts and verdict of every document."""
     return quality.judge(_documents(spark, folder)).select(
@@ -28,5 +42,7 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op9_quality_rules": op9_quality_rules,
 }

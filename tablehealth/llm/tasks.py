@@ -42,9 +42,11 @@ class Recent(dict):
     """Values by key, made by ``make`` when missing; keeps the recently used ones in bounded memory.
 
     Two generations: when the young one is full it becomes the old one, and what is asked for again
-    moves back.
+    moves back. Values of keys longer than ``LONGEST`` are not kept.
     """
 
+    LONGEST = 100
+
     def __init__(self, make, limit: int = 150_000) -> None:
         super().__init__()
         self._make, self._limit, self._old = make, limit, {}
@@ -53,6 +55,8 @@ class Recent(dict):
         value = self._old.get(key)
         if value is None:
             value = self._make(key)
+            if len(key) > self.LONGEST:
+                return value
         if len(self) >= self._limit:
             self._old = dict(self)
             self.clear()

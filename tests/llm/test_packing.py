@@ -1,0 +1,122 @@
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from tablehealth.llm import packing
+
+PATH = public_tokenizers.path(packing.VOCABULARY)
+WHOLE = Tokenizer.from_file(PATH)
+
+
+def whole_ids(text):
+    return WHOLE.encode(text, add_special_tokens=False).ids
+
+
+def check(rows, capacity):
+    """Rows of (length, sequence, offset) fill their sequences without gap."""
+    by = {}
+    for length, sequence, offset in rows:
+        by.setdefault(sequence, []).append((offset, length))
+    for parts in by.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(by)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.characters(), st.sampled_from(" \n\t'sS<|>é́Σ1"))))
+def test_words_one_by_one_give_the_same_ids(text):
+    text = text.encode("utf-8", "ignore").decode()
+    assert packing.encoder(PATH)(text) == np.array(whole_ids(text), "<u4").tobytes()
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_plan_places_all_and_wastes_little(seed):
+    rng = random.Random(seed)
+    capacity = rng.choice([10, 50, 2048])
+    counts = {
+        rng.randint(1, capacity): rng.choice([1, 2, 7, 1000]) for _ in range(rng.randint(1, 60))
+    }
+    plan = packing.make_plan(counts, capacity)
+    rows = []
+    for length, n in counts.items():
+        sequence, offset = plan(np.full(n, length), np.arange(n))
+        rows += zip([length] * n, sequence.tolist(), offset.tolist(), strict=True)
+    used = check(rows, capacity)
+    assert used == plan.sequences
+    least = max(-(-sum(k * n for k, n in counts.items()) // capacity),
+                sum(n for k, n in counts.items() if 2 * k > capacity))
+    assert used <= 11 / 9 * least + 1
+
+
+def best(sizes, capacity):
+    """Fewest sequences, by trying everything."""
+    sizes = sorted(sizes, reverse=True)
+    found = [len(sizes)]
+
+    def go(i, rooms):
+        if len(rooms) >= found[0]:
+            return
+        if i == len(sizes):
+            found[0] = len(rooms)
+            return
+        for k in {r: k for k, r in enumerate(rooms) if r >= sizes[i]}.values():
+            go(i + 1, [*rooms[:k], rooms[k] - sizes[i], *rooms[k + 1 :]])
+        go(i + 1, [*rooms, capacity - sizes[i]])
+
+    go(0, [])
+    return found[0]
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_reduction_keeps_the_optimum(seed):
+    rng = random.Random(seed)
+    capacity = 12
+    sizes = [rng.randint(1, capacity) for _ in range(rng.randint(1, 9))]
+    left = np.bincount(sizes, minlength=capacity + 1)
+    fixed = packing.reduce_dominated(left, capacity)
+    rest = [w for w, n in enumerate(left.tolist()) for _ in range(n)]
+    assert (left >= 0).all()
+    assert sum(p.count for p in fixed) + best(rest, capacity) == best(sizes, capacity)
+
+
+def test_pack_against_the_tokenizer(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = packing.pack(docs).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    want = set()
+    for doc, text in texts.items():
+        ids = [*whole_ids(text), 0]
+        for piece, at in enumerate(range(0, len(ids), 2048)):
+            part = ids[at : at + 2048]
+            want.add((doc, piece, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes())))
+    assert {tuple(r)[:5] for r in got} == want and len(got) == len(want)
+    used = check([(r.length, r.sequence_id, r.offset) for r in got], 2048)
+    total = sum(r.length for r in got)
+    assert used <= -(-total // 2048) + 2
+
+
+def test_odd_rows_and_sequences(spark):
+    rows = [(1, None, 5), (2, "", 5), (2, "", 5), (None, "a b", 5), (3, "word " * 5000, 5), (4, "z" * 9000, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, piece int")
+    got = packing.pack(docs).collect()
+    want = sorted(len(whole_ids(t or "")) + 1 for _, t, _ in rows)
+    lengths = {}
+    for r in got:
+        lengths.setdefault(r.doc_id, []).append(r.length)
+    assert sum(map(sum, lengths.values())) == sum(want)
+    check([(r.length, r.sequence_id, r.offset) for r in got], 2048)
+    full = packing.sequences(docs).collect()
+    assert sum(len(r.ids) for r in full) == 4 * sum(want)
+    assert all(len(r.ids) <= 4 * 2048 for r in full)
+    assert packing.pack(docs.where(F.lit(False))).count() == 0
