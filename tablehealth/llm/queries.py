@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablehealth.llm import line_dedup, packing, quality, simhash
+from tablehealth.llm import hamming, line_dedup, packing, quality, simhash
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -40,9 +40,17 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest rows of every twentieth row, by sign codes."""
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet")
+    found = hamming.search(rows, rows.where("vec_id % 20 = 0"), 10, "vec_id", "embedding")
+    return found.withColumnRenamed("id", "vec_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op9_quality_rules": op9_quality_rules,
+    "op10_exact_top_k": op10_exact_top_k,
 }

@@ -77,4 +77,20 @@ select doc_id, n_words, coalesce(word_chars, 0) as word_chars, n_symbols, n_dup_
 from based
 """
 
-ORACLE: dict[str, str] = {"op1_line_dedup": OP1, "op9_quality_rules": OP9}
+OP10 = """
+with coded as (
+        select vec_id, list_sum(list_transform(range(1, len(embedding) + 1),
+            lambda i: case when embedding[i] > 0 then 1::hugeint << (i - 1)::int else 0::hugeint end)
+            )::ubigint as code
+        from embeddings),
+    pairs as (
+        select q.vec_id as query_id, r.vec_id, bit_count(xor(q.code, r.code))::int as distance
+        from coded q, coded r where q.vec_id % 20 = 0)
+select query_id, (row_number() over (partition by query_id order by distance, vec_id))::int as rank,
+       vec_id, distance
+from pairs qualify rank <= 10
+"""
+
+ORACLE: dict[str, str] = {
+    "op10_exact_top_k": OP10,
+    "op1_line_dedup": OP1, "op9_quality_rules": OP9}
