@@ -91,13 +91,12 @@ def clean(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHAR
         )
     )
     texts = found.groupBy("text_key").agg(F.first("lines").alias("lines"))
-    hit = (
+    hit = stage(  # stored, so that the join below can split a text that many rows have
         texts.select("text_key", F.explode("lines.key").alias("key"))
         .join(shared_lines(found, min_sites, min_chars), "key", "left_semi")
         .groupBy("text_key")
         .agg(F.collect_set("key").alias("bad_keys"))
-        .alias("hit")
-    )
+    ).alias("hit")
     left = docs.alias("doc")
     joined = left.join(
         hit, text_key(F.coalesce(F.col("doc.text"), F.lit(""))) == F.col("hit.text_key"), "left"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablehealth.llm import hamming, line_dedup, packing, quality, simhash
+from tablehealth.llm import hamming, line_dedup, packing, pii, quality, simhash
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_documents(spark, folder))
 
 
+def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data of every document."""
+    return pii.spans(_documents(spark, folder))
+
+
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts and verdict of every document."""
     return quality.judge(_documents(spark, folder)).select(
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op6_pii": op6_pii,
     "op9_quality_rules": op9_quality_rules,
     "op10_exact_top_k": op10_exact_top_k,
 }
