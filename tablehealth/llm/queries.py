@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablehealth.llm import hamming, line_dedup, packing, pii, quality, simhash
+from tablehealth.llm import bpe, hamming, line_dedup, packing, pii, quality, simhash
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -38,6 +38,11 @@ def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.spans(_documents(spark, folder))
 
 
+def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of every document's token ids and of what they decode to."""
+    return bpe.digests(_documents(spark, folder))
+
+
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts and verdict of every document."""
     return quality.judge(_documents(spark, folder)).select(
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op6_pii": op6_pii,
+    "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
     "op10_exact_top_k": op10_exact_top_k,
 }
