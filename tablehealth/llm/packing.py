@@ -8,6 +8,8 @@ ranks the pieces within their length and looks their places up.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,25 +33,56 @@ VOCABULARY = "word_bpe_49k.json"
 END = b"\0\0\0\0"
 
 
+os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has given this task its core
+_MARKS = ".,:;!?"
+_PLAIN = re.compile("[!-\u024f]+")
+
+
 class Encoder:
     """Token ids of texts, as little-endian bytes, four for each id.
 
     The tokenizer never joins what a space or a line feed separates, so words are encoded one by one
-    and remembered. A text that may spell a special token is encoded as a whole.
+    and remembered. Nor does it join letters with the marks after them or tell case, so of words in Latin letters
+    the lower-cased stem and the marks are remembered. What is new in several texts is encoded in one call. A
+    text that may spell a special token is encoded as a whole.
     """
 
     def __init__(self, path: str) -> None:
         self._tokenizer = Tokenizer.from_file(path)
-        self._known = Recent(self.whole)
+        self._words = Recent(self._word, 200_000)
+        self._stems = Recent(self.whole, 350_000)
 
     def whole(self, text: str) -> bytes:
         ids = self._tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, "<u4").tobytes()
 
-    def __call__(self, text: str) -> bytes:
-        if "<|" in text:
-            return self.whole(text)
-        return b"".join(map(self._known.__getitem__, text.replace("\n", " ").split(" ")))
+    @staticmethod
+    def _split(word: str) -> tuple[str, str]:
+        if not _PLAIN.fullmatch(word):
+            return word, ""
+        stem = word.rstrip(_MARKS)
+        if not stem[-1:].isalnum():
+            return word, ""
+        return stem.lower(), word[len(stem) :]
+
+    def _word(self, word: str) -> bytes:
+        stem, marks = self._split(word)
+        return self._stems[stem] + self._stems[marks]
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        words = [t.replace("\n", " ").split(" ") if "<|" not in t else [] for t in texts]
+        fresh = self._words.unknown(set().union(*words))
+        stems = self._stems.unknown({self._split(w)[0] for w in fresh})
+        for at in range(0, len(stems), 4096):
+            part = stems[at : at + 4096]
+            found = self._tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            for stem, x in zip(part, found, strict=True):
+                self._stems.learn(stem, np.array(x.ids, "<u4").tobytes())
+        get = self._words.__getitem__
+        return [
+            b"".join(map(get, w)) if w else self.whole(t) for w, t in zip(words, texts, strict=True)
+        ]
 
 
 @lru_cache(maxsize=2)
@@ -71,8 +104,8 @@ def pieces(
         encode = encoder(path)
         for batch in slices(batches):
             row, piece, start, length, crc, ids = [], [], [], [], [], []
-            for at, text in enumerate(batch["text"].to_pylist()):
-                data = encode(text) + END
+            for at, data in enumerate(encode.many(batch["text"].to_pylist())):
+                data += END
                 for number, first in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[first : first + 4 * capacity]
                     row.append(at)

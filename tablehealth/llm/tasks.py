@@ -55,10 +55,18 @@ class Recent(dict):
         value = self._old.get(key)
         if value is None:
             value = self._make(key)
-            if len(key) > self.LONGEST:
-                return value
+        self.learn(key, value)
+        return value
+
+    def unknown(self, keys) -> list:
+        """Those of the keys that have no value here."""
+        return [k for k in keys if k not in self and k not in self._old]
+
+    def learn(self, key, value) -> None:
+        """Keep a value that was made elsewhere."""
+        if len(key) > self.LONGEST:
+            return
         if len(self) >= self._limit:
             self._old = dict(self)
             self.clear()
         self[key] = value
-        return value
