@@ -95,6 +95,7 @@ def top_codes(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         covered = SEGMENTS * (radius + 1) - 1
         found = (
             _probes(pending, radius)
+            .hint("merge")  # there are many more probes than Spark's estimate knows
             .join(filed, ["segment", "value"])
             .where(_first_meeting(radius))
             .select(
