@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablehealth.llm import bpe, hamming, line_dedup, packing, pii, quality, simhash
+from tablehealth.llm import bpe, hamming, langid, line_dedup, packing, pii, quality, simhash, toxicity
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,6 +33,17 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_documents(spark, folder))
 
 
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity score of every document."""
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    return toxicity.score(_documents(spark, folder), labels)
+
+
+def op5_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document."""
+    return langid.identify(_documents(spark, folder))
+
+
 def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data of every document."""
     return pii.spans(_documents(spark, folder))
@@ -61,6 +72,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_toxicity": op4_toxicity,
+    "op5_language": op5_language,
     "op6_pii": op6_pii,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
