@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablehealth.llm import bpe, hamming, langid, line_dedup, packing, pii, quality, simhash, toxicity
+from tablehealth.llm import bpe, hamming, langid, line_dedup, ngrams, packing, pii, quality, simhash, toxicity
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -49,6 +49,11 @@ def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.spans(_documents(spark, folder))
 
 
+def op7_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Log-probability of every document."""
+    return ngrams.score(_documents(spark, folder))
+
+
 def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of every document's token ids and of what they decode to."""
     return bpe.digests(_documents(spark, folder))
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_language": op5_language,
     "op6_pii": op6_pii,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
     "op10_exact_top_k": op10_exact_top_k,
