@@ -50,15 +50,16 @@ def line_items(text: Column) -> Column:
 
 
 def with_copies_marked(docs: DataFrame, within: list[str]) -> DataFrame:
-    """Add ``original``: false for a document whose smallest line key an earlier document has too.
+    """Add ``original``: false for a document whose smallest and largest line keys an earlier one has too.
 
-    Copies of a document, exact or with a few lines changed, nearly always share their smallest key,
-    while unrelated documents share it only if a line common to both happens to be the smallest. The
-    earliest document (by ``doc_id``) of a smallest key counts as the original. ``within`` names the
-    columns in which both have to agree. Needs ``doc_id`` and ``lines``.
+    Copies of a document, exact or with a few lines changed, mostly share both, while unrelated documents that have
+    lines in common do not, as all their other lines would have to lie between these. The earliest document
+    (by ``doc_id``) of such a pair of keys counts as the original. ``within`` names columns in which both have to
+    agree. Needs ``doc_id`` and ``lines``.
     """
-    keyed = docs.withColumn("anchor", F.array_min(F.transform("lines", lambda x: x["key"])))
-    by = [*within, "anchor"]
+    keys = F.transform("lines", lambda x: x["key"])
+    keyed = docs.withColumn("low_key", F.array_min(keys)).withColumn("high_key", F.array_max(keys))
+    by = [*within, "low_key", "high_key"]
     first = keyed.groupBy(*by).agg(F.min("doc_id").alias("first_id"))
     left, right = keyed.alias("l"), first.alias("r")
     same = F.col(f"l.{by[0]}").eqNullSafe(F.col(f"r.{by[0]}"))

@@ -14,12 +14,12 @@ _LINES = f"""
                      ('0x' || substr(md5(norm), 1, 15))::bigint as key
               from (select *, {_NORMAL} as norm from split_
                     where regexp_matches(line, '[^ \\t-\\r]'))),
-    anchors as (select rid, doc_id, source, min(key) as anchor from lines group by all)
+    anchors as (select rid, doc_id, source, min(key) as low, max(key) as high from lines group by all)
 """
 
 OP1 = f"""
 with {_LINES},
-    marked as (select rid, doc_id = min(doc_id) over (partition by anchor) as original from anchors),
+    marked as (select rid, doc_id = min(doc_id) over (partition by low, high) as original from anchors),
     shared as (
         select key from lines join marked using (rid) where chars >= 12
         group by key
@@ -38,7 +38,7 @@ from rows_ r left join kept using (rid) left join gone_ using (rid)
 
 OP9 = f"""
 with {_LINES},
-    marked as (select rid, doc_id = min(doc_id) over (partition by source, anchor) as original
+    marked as (select rid, doc_id = min(doc_id) over (partition by source, low, high) as original
                from anchors),
     hosts as (select source, count(*) as host_docs from documents group by source),
     common as (
