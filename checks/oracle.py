@@ -51,13 +51,11 @@ def profile_sql(table: str, schema: str, source: str) -> str:
     for ordinal, name, kind in _columns(schema):
         ranged = kind in ("int", "bigint", "double", "timestamp_ntz")
         low, high = (f"cast({f}({name}) as varchar)" if ranged else "null::varchar" for f in ("min", "max"))
-        # Texts over 256 characters are not listed while profiling.
-        listed = f"coalesce(max(length({name})), 0) <= 256" if kind == "string" else "true"
         parts.append(
             f"""select {ordinal} as ordinal, '{name}' as column_name, '{kind}' as data_type,
                 count(*) as total_rows, count({name}) as non_null_count,
                 count(distinct {name}) as unique_count, {low} as min_val, {high} as max_val,
-                case when count(distinct {name}) <= 10 and {listed} then coalesce(string_agg(
+                case when count(distinct {name}) <= 10 then coalesce(string_agg(
                   distinct cast({name} as varchar), ',' order by cast({name} as varchar)), '') end as value_list
                 from {source}"""
         )

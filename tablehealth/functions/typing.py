@@ -55,11 +55,6 @@ def holds_variant(kind: T.DataType) -> bool:
     return isinstance(kind, T.VariantType)
 
 
-def is_estimable(kind: T.DataType) -> bool:
-    """Whether ``approx_count_distinct`` takes the type."""
-    return has_range(kind) or isinstance(kind, (T.StringType, T.BooleanType, T.BinaryType))
-
-
 def canonical_type(kind: Column) -> Column:
     """Map the spellings of a type to one name; parameters in brackets are dropped."""
     bare = F.trim(F.lower(F.regexp_replace(kind, r"\s*\([^)]*\)", "")))

@@ -1,9 +1,9 @@
 """Column profiles: row, null and distinct counts, range, likely key, short value lists.
 
-Each column is grouped by its own value, and every figure comes from that one grouping. Several
-``count(distinct)`` in one aggregate would make Spark copy each row once per column, with all the
-columns as grouping keys; grouping column by column keeps the shuffled rows one value wide, combines
-repeated values before the shuffle, and reads each column of a columnar file once in total.
+A scan turns each row into one small cell per column, (column, value as text), and cells are grouped by both. Every
+figure comes from that one grouping. Several ``count(distinct)`` in one aggregate would make Spark copy each row once
+per column with all the columns as grouping keys; cells are one value wide, repeated values are combined before
+the shuffle, and the input is computed once however it is made.
 """
 
 from __future__ import annotations
@@ -20,15 +20,15 @@ from tablehealth.schemas import SAMPLE_VALUES
 
 # A column with at most this many distinct values also reports the values.
 LISTED_VALUES = 10
-# Texts longer than this are told apart by their SHA-256 digest, so that whole documents
-# are read but do not travel through the shuffle. Values of longer text are not listed either.
+# Texts longer than this are told apart by their SHA-256 digest, so that whole documents are read but do not travel
+# through the shuffle. If a column with few values has such texts, a second look fetches them.
 LONG_TEXT = 256
-# Refined mode counts exactly where the estimate could change a decision (see `refine`).
-FEW_VALUES = 20
-NEAR_UNIQUE = 0.75
-# Columns per scan when only estimates are taken. Sketches of many columns in one aggregate cost
-# far more time per row than the same sketches in several, and each column is still read once.
-ESTIMATES_PER_SCAN = 2
+# Columns whose cells one scan makes.
+COLUMNS_PER_SCAN = 32
+# A rule looks at columns with an unique rate from here on (see `refine`).
+NEAR_UNIQUE = 0.9
+# Estimates are taken to be off by no more than this many standard deviations.
+DEVIATIONS = 5
 
 MODES = ("exact", "refined", "approx")
 
@@ -40,14 +40,16 @@ def profile(
     columns: Sequence[str] | None = None,
     mode: str = "exact",
     rsd: float = 0.05,
+    listed: int = LISTED_VALUES,
 ) -> DataFrame:
     """One row per column of ``df``.
 
     ``exact`` is lazy and exact for every column. ``approx`` estimates distinct counts in one scan
     and shuffles almost nothing. ``refined`` runs the estimates, then counts exactly those columns
-    whose estimate is small or close to the row count; ``is_exact`` tells which is which.
+    whose estimate is small or close to the row count; ``is_exact`` tells which is which. Exactly counted columns
+    with at most ``listed`` distinct values also have them in ``values``, whole however long they are.
     """
-    return profile_many({table: df}, columns=columns, mode=mode, rsd=rsd)
+    return profile_many({table: df}, columns=columns, mode=mode, rsd=rsd, listed=listed)
 
 
 def profile_many(
@@ -56,6 +58,7 @@ def profile_many(
     columns: Sequence[str] | None = None,
     mode: str = "exact",
     rsd: float = 0.05,
+    listed: int = LISTED_VALUES,
 ) -> DataFrame:
     """Profiles of several tables as one job; the tables' scans run side by side.
 
@@ -63,41 +66,38 @@ def profile_many(
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, got {mode!r}")
-    shapes: dict[tuple, _Shape] = {}
     parts: list[DataFrame] = []
     for table, df in tables.items():
         fields = _fields(df, table, columns)
         data = _by_position(df)
         if mode == "exact":
-            parts += _exact(data, table, fields, shapes)
+            parts += _exact(data, table, fields, listed)
         elif mode == "approx":
-            parts += _estimated(data, table, fields, shapes, rsd)
+            parts += _estimated(data, table, fields, rsd, listed)
         else:
-            parts += refine(data, table, fields, shapes, rsd)
+            parts += refine(data, table, fields, rsd, listed)
     return _derive(union_all(parts))
 
 
 def refine(
-    data: DataFrame,
-    table: str,
-    fields: list[tuple[int, T.StructField]],
-    shapes: dict[tuple, _Shape],
-    rsd: float,
+    data: DataFrame, table: str, fields: list[tuple[int, T.StructField]], rsd: float, listed: int
 ) -> list[DataFrame]:
     """Estimates first; exact counts where a rule could turn on the difference.
 
     The estimates come to the driver as one small row per column, like a schema does.
     """
-    rows = union_all(_estimated(data, table, fields, shapes, rsd)).collect()
+    rows = union_all(_estimated(data, table, fields, rsd, listed)).collect()
     by_ordinal = dict(fields)
+    off = DEVIATIONS * rsd
     settled, open_fields = [], []
     for row in rows:
-        close = row.unique_count <= FEW_VALUES or row.unique_count >= NEAR_UNIQUE * row.total_rows
+        few = row.unique_count <= listed * (1 + off) + 1
+        close = few or row.unique_count >= NEAR_UNIQUE * (1 - off) * row.total_rows
         if row.is_exact or not close:
             settled.append(row)
         else:
             open_fields.append((row.ordinal, by_ordinal[row.ordinal]))
-    parts = _exact(data, table, open_fields, shapes)
+    parts = _exact(data, table, open_fields, listed)
     if settled:
         parts.append(data.sparkSession.createDataFrame(settled, _STATS))
     return parts
@@ -120,21 +120,10 @@ def accepted_values(
 
     Meant for columns known to hold few values: repeated values are combined before the shuffle.
     """
-    fields = _fields(df, table, columns)
-    data = _by_position(df)
-    parts = []
-    for ordinal, field in fields:
-        text = _as_text(_column(data, ordinal), field.dataType)
-        values = data.select(text.alias("k")).distinct().select("k", _listed(F.col("k"), limit))
-        parts.append(
-            values.agg(
-                F.lit(ordinal).alias("ordinal"),
-                F.lit(field.name).alias("column"),
-                F.count("k").alias("unique_count"),
-                F.array_sort(F.collect_list("listed")).alias("values"),
-            ).where(F.col("unique_count") <= limit)
-        )
-    return union_all(parts).select(F.lit(table).alias("table"), "*")
+    rows = union_all(_exact(_by_position(df), table, _fields(df, table, columns), limit))
+    return rows.where(F.col("unique_count") <= limit).select(
+        "table", "ordinal", "column", "unique_count", F.col("listed").alias("values")
+    )
 
 
 def sample_rows(df: DataFrame, n: int = 5, order_by: Sequence[str] | None = None) -> DataFrame:
@@ -177,7 +166,6 @@ _STATS = T.StructType(
         T.StructField("min_val", T.StringType()),
         T.StructField("max_val", T.StringType()),
         T.StructField("listed", T.ArrayType(T.StringType())),
-        T.StructField("whole", T.BooleanType()),
     ]
 )
 
@@ -218,121 +206,194 @@ def _as_text(column: Column, kind: T.DataType) -> Column:
 
 
 def _exact(
-    data: DataFrame,
-    table: str,
-    fields: list[tuple[int, T.StructField]],
-    shapes: dict[tuple, _Shape],
+    data: DataFrame, table: str, fields: list[tuple[int, T.StructField]], listed: int
 ) -> list[DataFrame]:
     """Statistics of each column from its distinct values and their counts."""
-    parts = []
-    for ordinal, field in fields:
-        column, kind = _column(data, ordinal), field.dataType
-        if kinds.holds_variant(kind):  # not groupable as such
-            column, kind = F.to_json(column), T.StringType()
-        by_digest = kinds.is_plain_text(kind) or isinstance(kind, T.BinaryType)
-        key = (by_digest, isinstance(kind, T.BinaryType), kinds.has_range(kind))
-        if key not in shapes:
-            shapes[key] = _Shape(*key)
-        shape = shapes[key]
-        values = data.groupBy(*shape.keys(column)).agg(shape.n)
-        parts.append(
-            values.select("*", shape.listed).agg(
-                *_identity(table, ordinal, field), *shape.figures
-            )
-        )
+    plain = [(i, f) for i, f in fields if _is_plain(f.dataType)]
+    parts = [
+        _of_values(_values(data, part), data, table, part, listed) for part in _scans(plain)
+    ]
+    for one in fields:
+        if not _is_plain(one[1].dataType):
+            parts.append(_of_values(_values_alone(data, one), data, table, [one], listed))
     return parts
 
 
-class _Shape:
-    """The expressions that columns of like type share, built once for all of them."""
-
-    def __init__(self, by_digest: bool, is_binary: bool, has_range: bool) -> None:
-        self._by_digest = by_digest
-        k, n = F.col("k"), F.col("n")
-        present = (k.isNotNull() | F.col("digest").isNotNull()) if by_digest else k.isNotNull()
-        self.n = F.count(F.lit(1)).alias("n")
-        self.listed = _listed(F.hex(k) if is_binary else k.cast("string"), LISTED_VALUES)
-        short = F.length("listed") <= LONG_TEXT
-        whole = F.count(F.when(~short, 1)) == 0
-        if by_digest:
-            whole = whole & (F.count("digest") == 0)
-        self.figures = [
-            F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"),
-            F.coalesce(F.sum(F.when(present, n)), F.lit(0)).alias("non_null_count"),
-            F.count(F.when(present, 1)).alias("unique_count"),
-            F.lit(True).alias("is_exact"),
-            *_range(k, has_range),
-            F.array_sort(F.collect_list(F.when(short, F.col("listed")))).alias("listed"),
-            whole.alias("whole"),
-        ]
+def _scans(fields: list[tuple[int, T.StructField]]) -> list[list[tuple[int, T.StructField]]]:
+    step = COLUMNS_PER_SCAN
+    return [fields[at : at + step] for at in range(0, len(fields), step)]
 
-    def keys(self, column: Column) -> list[Column]:
-        if not self._by_digest:
-            return [column.alias("k")]
-        is_long = F.length(column) > LONG_TEXT
-        return [
-            F.when(~is_long, column).alias("k"),
-            F.when(is_long, F.sha2(column, 256)).alias("digest"),
-        ]
 
+def _is_plain(kind: T.DataType) -> bool:
+    """Whether the text of a value tells it apart and can be turned back into it."""
+    simple = (T.BooleanType, T.BinaryType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    return kinds.is_numeric(kind) or kinds.is_plain_text(kind) or isinstance(kind, simple)
 
-def _listed(text: Column, limit: int) -> Column:
-    """The text in the first ``limit + 1`` rows of each partition, null in the others.
 
-    Enough to list all values of a column that has few (one more row for the null), and a bounded
-    number for a column that has many.
-    """
-    row_in_partition = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return F.when(row_in_partition <= limit, text).alias("listed")
+def _cell(column: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.BinaryType):
+        return F.hex(column)
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(column).cast("string")  # a local time may stand for two instants
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return (column + F.lit(0.0).cast(kind)).cast("string")  # one zero
+    return column.cast("string")
 
 
-def _range(column: Column, has_range: bool) -> list[Column]:
-    if not has_range:
-        nothing = F.lit(None).cast("string")
-        return [nothing.alias("min_val"), nothing.alias("max_val")]
-    return [
-        F.min(column).cast("string").alias("min_val"),
-        F.max(column).cast("string").alias("max_val"),
+def _back(text: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.TimestampType):
+        return F.timestamp_micros(text.try_cast("long"))
+    return text.try_cast(kind)
+
+
+def _has_long(kind: T.DataType) -> bool:
+    return isinstance(kind, (T.StringType, T.BinaryType))
+
+
+def _cells(data: DataFrame, fields: list[tuple[int, T.StructField]]) -> DataFrame:
+    """``at`` (place in ``fields``) and ``text``, a row per row and column."""
+    items = [
+        F.struct(F.lit(at).alias("at"), _cell(_column(data, i), f.dataType).alias("text"))
+        for at, (i, f) in enumerate(fields)
     ]
+    # A join would add this condition to some uses of the cells and so keep them from sharing a scan.
+    return data.select(F.inline(F.array(*items))).where("at is not null")
+
+
+def _keyed(cells: DataFrame) -> DataFrame:
+    is_long = F.coalesce(F.length("text") > LONG_TEXT, F.lit(False))
+    key = F.when(is_long, F.sha2(F.col("text").cast("binary"), 256)).otherwise(F.col("text"))
+    return cells.select("at", "text", key.alias("k"), is_long.alias("is_long"))
+
+
+def _values(data: DataFrame, fields: list[tuple[int, T.StructField]]) -> DataFrame:
+    """``at``, ``k``, ``is_long`` and ``n``: each column's distinct values, long texts as digests."""
+    return _keyed(_cells(data, fields)).groupBy("at", "k", "is_long").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _values_alone(data: DataFrame, field: tuple[int, T.StructField]) -> DataFrame:
+    """The same for one column that is grouped by its own type; ``v`` holds the value."""
+    column, kind = _column(data, field[0]), field[1].dataType
+    if kinds.holds_variant(kind):  # not groupable as such
+        column = F.to_json(column)
+    counted = data.groupBy(column.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(
+        F.lit(0).alias("at"), F.col("v").cast("string").alias("k"), F.lit(False).alias("is_long"), "n", "v"
+    )
 
 
-def _identity(table: str, ordinal: int, field: T.StructField) -> list[Column]:
+def _of_values(
+    values: DataFrame, data: DataFrame, table: str, fields: list[tuple[int, T.StructField]], listed: int
+) -> DataFrame:
+    """Figures of each column. The uses of ``values`` share its shuffle, as each reads all its columns."""
+    present, n = F.col("k").isNotNull(), F.col("n")
+    none = data.sparkSession.range(len(fields)).select(
+        F.col("id").cast("int").alias("at"), F.lit(None).cast("string").alias("k"),
+        F.lit(False).alias("is_long"), F.lit(0).cast("long").alias("n"),
+    )
+    alone = "v" in values.columns
+    if alone:
+        none = none.withColumn("v", F.lit(None).cast(values.schema["v"].dataType))
+    stats = (
+        values.unionByName(none)
+        .groupBy("at")
+        .agg(
+            F.sum("n").alias("total_rows"),
+            F.coalesce(F.sum(F.when(present, n)), F.lit(0)).alias("non_null_count"),
+            F.count(F.when(present & (n > 0), 1)).alias("unique_count"),
+            *_ranges(fields, alone),
+        )
+    )
+    few = F.broadcast(stats.where(F.col("unique_count").between(1, listed)).select("at"))
+
+    def some(condition: Column) -> Column:
+        """The condition, tied to the count so that it cannot move below the grouping and split its uses."""
+        return F.when(condition, n).otherwise(0) > 0
+
+    own = values.join(few, "at")
+    short, is_long = present & ~F.col("is_long"), F.col("is_long")
+    texts = own.where(some(short)).select("at", F.col("k").alias("text"))
+    if any(_has_long(f.dataType) and _is_plain(f.dataType) for _, f in fields):
+        # At most `listed` digests of each column.
+        wanted = F.broadcast(own.where(some(is_long)).select("at", "k"))
+        cells = _keyed(_cells(data, fields)).where(is_long)
+        found = cells.join(wanted, ["at", "k"], "left_semi").groupBy("at", "k").agg(
+            F.any_value("text").alias("text")
+        )
+        texts = texts.unionByName(found.select("at", "text"))
+    micros = [at for at, (_, f) in enumerate(fields) if isinstance(f.dataType, T.TimestampType)]
+    if micros:
+        shown = F.timestamp_micros(F.expr("try_cast(text as long)")).cast("string")
+        texts = texts.select("at", F.when(F.col("at").isin(micros), shown).otherwise(F.col("text")).alias("text"))
+    lists = texts.groupBy("at").agg(F.array_sort(F.collect_list("text")).alias("found"))
+    nothing = F.when(F.col("unique_count") == 0, F.array().cast("array<string>"))
+    return stats.join(F.broadcast(lists), "at", "left").select(
+        *_identities(table, fields),
+        "total_rows",
+        "non_null_count",
+        "unique_count",
+        F.lit(True).alias("is_exact"),
+        "min_val",
+        "max_val",
+        F.coalesce("found", nothing).alias("listed"),
+    )
+
+
+def _ranges(fields: list[tuple[int, T.StructField]], alone: bool) -> list[Column]:
+    """Minimum and maximum as text, taken in the column's own type."""
+    kinds_here: dict[T.DataType, list[int]] = {}
+    for at, (_, f) in enumerate(fields):
+        if kinds.has_range(f.dataType):
+            kinds_here.setdefault(f.dataType, []).append(at)
+    lows, highs = [F.lit(None).cast("string")], [F.lit(None).cast("string")]
+    for kind, places in kinds_here.items():
+        value = F.col("v") if alone else F.when(F.col("at").isin(places), _back(F.col("k"), kind))
+        lows.append(F.min(value).cast("string"))
+        highs.append(F.max(value).cast("string"))
+    return [F.coalesce(*lows).alias("min_val"), F.coalesce(*highs).alias("max_val")]
+
+
+def _identities(table: str, fields: list[tuple[int, T.StructField]]) -> list[Column]:
+    def at(values: list) -> Column:
+        return F.get(F.array(*map(F.lit, values)), F.col("at"))
+
     return [
         F.lit(table).alias("table"),
-        F.lit(ordinal).alias("ordinal"),
-        F.lit(field.name).alias("column"),
-        F.lit(field.dataType.simpleString()).alias("data_type"),
+        at([i for i, _ in fields]).alias("ordinal"),
+        at([f.name for _, f in fields]).alias("column"),
+        at([f.dataType.simpleString() for _, f in fields]).alias("data_type"),
     ]
 
 
 def _estimated(
-    data: DataFrame,
-    table: str,
-    fields: list[tuple[int, T.StructField]],
-    shapes: dict[tuple, _Shape],
-    rsd: float,
+    data: DataFrame, table: str, fields: list[tuple[int, T.StructField]], rsd: float, listed: int
 ) -> list[DataFrame]:
-    """Distinct counts by sketch, the rest exact: a scan with one small row per task to shuffle."""
-    simple = [(i, f) for i, f in fields if kinds.is_estimable(f.dataType)]
-    others = [(i, f) for i, f in fields if not kinds.is_estimable(f.dataType)]
-    parts = _exact(data, table, others, shapes)
-    for start in range(0, len(simple), ESTIMATES_PER_SCAN):
-        batch = simple[start : start + ESTIMATES_PER_SCAN]
-        figures = [
-            F.struct(
-                *_identity(table, i, f),
-                F.count(F.lit(1)).alias("total_rows"),
-                F.count(_column(data, i)).alias("non_null_count"),
-                F.approx_count_distinct(_column(data, i), rsd).alias("unique_count"),
+    """Distinct counts by sketch, the rest exact: a scan with a few small rows per task to shuffle."""
+    plain = [(i, f) for i, f in fields if _is_plain(f.dataType)]
+    parts = _exact(data, table, [x for x in fields if not _is_plain(x[1].dataType)], listed)
+    for part in _scans(plain):
+        cells = _cells(data, part).withColumn("k", F.col("text")).withColumn("n", F.lit(1))
+        none = data.sparkSession.range(len(part)).select(
+            F.col("id").cast("int").alias("at"), F.lit(None).cast("string").alias("text"),
+            F.lit(None).cast("string").alias("k"), F.lit(0).alias("n"),
+        )
+        stats = cells.unionByName(none).groupBy("at").agg(
+            F.sum("n").alias("total_rows"),
+            F.count("k").alias("non_null_count"),
+            F.approx_count_distinct("k", rsd).alias("unique_count"),
+            *_ranges(part, alone=False),
+        )
+        parts.append(
+            stats.select(
+                *_identities(table, part),
+                "total_rows",
+                "non_null_count",
+                "unique_count",
                 F.lit(False).alias("is_exact"),
-                *_range(_column(data, i), kinds.has_range(f.dataType)),
+                "min_val",
+                "max_val",
                 F.lit(None).cast("array<string>").alias("listed"),
-                F.lit(False).alias("whole"),
-            ).alias(f"s{i}")
-            for i, f in batch
-        ]
-        parts.append(
-            data.agg(*figures).select(F.inline(F.array(*[f"s{i}" for i, _ in batch])))
+            )
         )
     return parts
 
@@ -355,5 +416,5 @@ def _derive(stats: DataFrame) -> DataFrame:
         (F.col("is_exact") & (filled == total) & (unique == total) & (total > 0)).alias(
             "is_likely_pk"
         ),
-        F.when(F.col("whole") & (unique <= LISTED_VALUES), F.col("listed")).alias("values"),
+        F.col("listed").alias("values"),
     )

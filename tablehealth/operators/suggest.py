@@ -159,35 +159,24 @@ def notes(profile: DataFrame) -> DataFrame:
 
 
 def suggest_table(
-    df: DataFrame, table: str = "table", *, mode: str = "refined", parity: bool = False
+    df: DataFrame,
+    table: str = "table",
+    *,
+    mode: str = "exact",
+    parity: bool = False,
+    values: str = "exact",
 ) -> DataFrame:
-    """Profile a table and suggest tests for it.
-
-    The profile is collected (a row per column). Few-valued columns whose texts are too long to be
-    listed while profiling get their values from a second look at just these columns.
-    """
+    """Profile a table and suggest tests for it; options as in ``profile`` and :func:`rules`."""
     rows = profiling.profile(df, table, mode=mode)
-    rows = df.sparkSession.createDataFrame(rows.collect(), rows.schema)
-    return suggest(with_long_values(df, table, rows), rules(parity=parity))
+    if values == "sample":
+        rows = with_samples(rows, df, table)
+    return suggest(rows, rules(values, parity))
 
 
-def with_long_values(df: DataFrame, table: str, profile: DataFrame) -> DataFrame:
-    """Fill in the value lists of few-valued columns that hold long texts."""
-    unlisted = profile.where(
-        F.col("is_exact")
-        & F.col("unique_count").between(1, FEW_VALUES)
-        & F.col("values").isNull()
-    )
-    columns = [row["column"] for row in unlisted.select("column").collect()]
-    if not columns:
-        return profile
-    found = profiling.accepted_values(df, columns, table).select(
-        "ordinal", F.col("values").alias("long_values")
-    )
-    return profile.join(found, "ordinal", "left").select(
-        *[c for c in profile.columns if c != "values"],
-        F.coalesce("values", "long_values").alias("values"),
-    )
+def with_samples(profile: DataFrame, df: DataFrame, table: str = "table", n: int = 3) -> DataFrame:
+    """Add ``sample_values``, the first ``n`` values of each column."""
+    samples = profiling.sample_values(df, table, n).select("ordinal", "sample_values")
+    return profile.join(samples, "ordinal", "left")
 
 
 def _accepted(values: str) -> Column:

@@ -66,7 +66,7 @@ class Workspace:
             self.get_project_health(), audit.audit_models(self.models)
         )
 
-    def profile_model(self, model: str, mode: str = "refined") -> DataFrame:
+    def profile_model(self, model: str, mode: str = "exact") -> DataFrame:
         return profile.profile(self._table(model), model, mode=mode)
 
     def execute_query(self, sql: str, args: dict[str, Any] | list[Any] | None = None) -> DataFrame:
@@ -80,7 +80,7 @@ class Workspace:
         actual = columns_of(self.spark, {model: self._table(model)})
         return drift.ordered(drift.detect(actual, declared, canonical=canonical))
 
-    def suggest_tests(self, model: str, mode: str = "refined") -> DataFrame:
+    def suggest_tests(self, model: str, mode: str = "exact") -> DataFrame:
         return suggest.suggest_table(self._table(model), model, mode=mode)
 
     def update_docs(self, existing: DataFrame, proposals: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ class Workspace:
         """Merge proposed descriptions of whole models into the registry of models."""
         return registry.merge_models(existing, proposals)
 
-    def generate_model_docs(self, model: str, mode: str = "refined") -> DataFrame:
+    def generate_model_docs(self, model: str, mode: str = "exact") -> DataFrame:
         """Proposals drawn from the model's data, not merged yet.
 
         A model whose table cannot be opened gives no rows.
@@ -103,12 +103,10 @@ class Workspace:
         except (AnalysisException, ValueError):
             return self.spark.createDataFrame([], REGISTRY_COLUMNS)
         rows = self.spark.createDataFrame(rows.collect(), rows.schema)
-        tests = suggest.as_test_entries(
-            suggest.grouped(suggest.with_long_values(table, model, rows))
-        )
+        tests = suggest.as_test_entries(suggest.grouped(rows))
         return registry.from_suggestions(tests, place["project_id"], model)
 
-    def profile_all(self, models: Sequence[str], mode: str = "refined") -> DataFrame:
+    def profile_all(self, models: Sequence[str], mode: str = "exact") -> DataFrame:
         return profile.profile_many({m: self._table(m) for m in models}, mode=mode)
 
     def _location(self, model: str) -> Row:

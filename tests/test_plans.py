@@ -17,17 +17,32 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_each_column_is_scanned_alone(spark):
+def executed(df):
+    df.collect()
+    return plan(df)
+
+
+def test_a_profile_scans_once(spark):
     df = spark.read.parquet(f"{FOLDER}/lineitem.parquet")
-    text = plan(profile.profile(df, columns=["l_orderkey", "l_returnflag"]))
-    assert re.findall(r"ReadSchema: (struct<[^>]*>)", text) == [
-        "struct<l_orderkey:bigint>", "struct<l_returnflag:string>"
-    ]
-    assert "Expand" not in text
+    text = executed(profile.profile(df, columns=["l_orderkey", "l_returnflag"])).split("Initial Plan")[0]
+    assert set(re.findall(r"ReadSchema: (struct<[^>]*>)", text)) == {"struct<l_orderkey:bigint,l_returnflag:string>"}
+    assert len(re.findall(r"FileScan parquet", text)) == 1 and "Expand" not in text
     text = plan(profile.profile(df, columns=["l_orderkey", "l_returnflag"], mode="approx"))
     assert re.findall(r"ReadSchema: (struct<[^>]*>)", text) == ["struct<l_orderkey:bigint,l_returnflag:string>"]
 
 
+def test_a_profiled_join_is_computed_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        orders = spark.read.parquet(f"{FOLDER}/orders.parquet")
+        customer = spark.read.parquet(f"{FOLDER}/customer.parquet")
+        joined = orders.join(customer, orders["o_custkey"] == customer["c_custkey"])
+        text = executed(profile.profile(joined)).split("Initial Plan")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(re.findall("FileScan parquet", text)) == 2
+
+
 def test_filters_reach_the_scan(spark):
     df = spark.read.parquet(f"{FOLDER}/orders.parquet").where("o_orderkey < 100")
     text = plan(profile.profile(df, columns=["o_orderstatus"]))

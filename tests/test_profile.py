@@ -64,10 +64,10 @@ def test_odd_and_case_colliding_names(spark):
     assert [r["column"] for r in p.profile(df).orderBy("ordinal").collect()] == ["a b", "x.y", "Id", "id"]
 
 
-def test_wide_table_keeps_every_column(spark, monkeypatch):
-    monkeypatch.setattr(p, "ESTIMATES_PER_SCAN", 41)
+@pytest.mark.parametrize("mode", ["exact", "approx"])
+def test_wide_table_keeps_every_column(spark, mode):
     df = spark.createDataFrame([tuple(range(205))] * 3, ", ".join(f"col{i} int" for i in range(205)))
-    rows = p.profile(df, mode="approx").collect()
+    rows = p.profile(df, mode=mode).collect()
     assert len(rows) == 205 and {r.non_null_count for r in rows} == {3}
 
 
@@ -95,7 +95,7 @@ def test_long_texts_are_told_apart_whole(spark):
     df = spark.createDataFrame([(base + "a",), (base + "b",), (base + "a",), ("short",), (None,)], "t string")
     row = p.profile(df).first()
     assert (row.total_rows, row.non_null_count, row.unique_count) == (5, 4, 3)
-    assert row["values"] is None  # listed by accepted_values instead
+    assert row["values"] == sorted([base + "a", base + "b", "short"])
     listed = p.accepted_values(df, ["t"]).first()
     assert listed["values"] == sorted([base + "a", base + "b", "short"])
 
@@ -144,8 +144,28 @@ def test_many_tables(fct_orders, spark):
     ]
 
 
-def test_long_values_of_other_types_are_left_to_the_second_look(spark):
+def test_long_values_of_other_types_are_listed(spark):
     df = spark.range(40).select(F.sequence(F.lit(0), F.lit(200) + F.col("id") % 2).alias("a"))
     row = p.profile(df).first()
-    assert (row.unique_count, row["values"]) == (2, None)
+    assert row.unique_count == 2 and [len(v) > 700 for v in row["values"]] == [True, True]
     assert len(p.accepted_values(df, ["a"]).first()["values"]) == 2
+
+
+def test_values_that_only_look_alike(spark):
+    df = spark.sql(
+        """select * from values (0.0d, timestamp'2024-10-27 00:30:00Z', '1'), (-0.0d, timestamp'2024-10-27 01:30:00Z', '1 '),
+           (double('nan'), null, null) t(d, ts, s)"""
+    )
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")  # both times read 02:30 there
+    try:
+        rows = by_column(p.profile(df))
+        assert (rows["d"].unique_count, rows["ts"].unique_count, rows["s"].unique_count) == (2, 2, 2)
+        assert rows["ts"]["values"] == ["2024-10-27 02:30:00"] * 2 and rows["d"].max_val == "NaN"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_coarse_estimates_do_not_change_decisions(spark):
+    df = spark.range(0, 40000, 1, 4).select("id", (F.col("id") % 10).alias("ten"), (F.col("id") % 37000).alias("most"))
+    rows = by_column(p.profile(df, mode="refined", rsd=0.15))
+    assert rows["id"].is_likely_pk and rows["most"].is_exact and len(rows["ten"]["values"]) == 10
