@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,22 +16,33 @@ REMOVED = "removed_from_db"
 CHANGED = "type_changed"
 
 
+def _names(by: str | Sequence[str]) -> list[str]:
+    return [by] if isinstance(by, str) else list(by)
+
+
 def compare(
-    actual: DataFrame, declared: DataFrame, *, by: str = "table", canonical: bool = False
+    actual: DataFrame,
+    declared: DataFrame,
+    *,
+    by: str | Sequence[str] = "table",
+    canonical: bool = False,
 ) -> DataFrame:
     """Every actual and declared column with its kind of drift, null where there is none.
 
-    ``actual`` has (by, ordinal, column, data_type), ``declared`` has (by, pos, column, data_type).
-    Names match without regard to case. Both sides are first brought down to one row per table and
-    name, so repeated entries are combined before the shuffle and the join cannot multiply rows of
-    a table that dominates the input. Spellings that differ only in case are all kept.
+    ``actual`` has (by, ordinal, column, data_type), ``declared`` has (by, pos, column, data_type); ``by`` names one or
+    more columns that tell tables apart, say project and table. Names match without regard to case. Repeated
+    entries are combined before the shuffle. Of several declarations of a name the last counts; actual spellings that
+    differ only in case are all kept, so there are no more rows than actual columns and declared names.
     """
-    found = _by_name(actual, by, "ordinal").withColumnRenamed("entries", "found")
-    stated = _by_name(declared, by, "pos").withColumnRenamed("entries", "stated")
-    both = found.join(stated, [by, "name_key"], "full_outer")
-    pairs = both.select(by, "name_key", F.explode_outer("found").alias("f"), "stated").select(
-        by, "name_key", "f", F.explode_outer("stated").alias("s")
+    by = _names(by)
+    key = F.lower("column").alias("name_key")
+    entry = ["column", "data_type"]
+    found = actual.groupBy(*by, key, *entry).agg(F.min(F.col("ordinal").cast("long")).alias("place")).select(
+        *by, "name_key", F.struct("place", *entry).alias("f")
     )
+    last = F.max(F.struct(F.col("pos").cast("long").alias("place"), *entry)).alias("s")
+    stated = declared.groupBy(*by, key).agg(last)
+    pairs = found.join(stated, [*by, "name_key"], "full_outer")
     actual_type, declared_type = F.col("f.data_type"), F.col("s.data_type")
     agree = types_agree(declared_type, actual_type)
     if canonical:
@@ -40,7 +53,7 @@ def compare(
         .when(~agree, CHANGED)
     )
     return pairs.select(
-        by,
+        *by,
         F.when(F.col("s").isNull(), F.col("f.column")).otherwise(F.col("name_key")).alias(
             "column_name"
         ),
@@ -52,22 +65,26 @@ def compare(
 
 
 def detect(
-    actual: DataFrame, declared: DataFrame, *, by: str = "table", canonical: bool = False
+    actual: DataFrame,
+    declared: DataFrame,
+    *,
+    by: str | Sequence[str] = "table",
+    canonical: bool = False,
 ) -> DataFrame:
     """The drifted columns only, with a message."""
     drifted = compare(actual, declared, by=by, canonical=canonical).where("drift_type is not null")
     return drifted.select("*", _rank().alias("kind_order"), _message().alias("message"))
 
 
-def ordered(drift: DataFrame, by: str = "table") -> DataFrame:
+def ordered(drift: DataFrame, by: str | Sequence[str] = "table") -> DataFrame:
     """Added columns in table order, then removed in declared order, then changed in table order."""
-    return drift.orderBy(by, "kind_order", "position", "column_name")
+    return drift.orderBy(*_names(by), "kind_order", "position", "column_name")
 
 
-def summarize(comparison: DataFrame, by: str = "table") -> DataFrame:
+def summarize(comparison: DataFrame, by: str | Sequence[str] = "table") -> DataFrame:
     """Counts per table from :func:`compare`; clean tables are in it, as they have rows there."""
     kind = F.col("drift_type")
-    return comparison.groupBy(by).agg(
+    return comparison.groupBy(*_names(by)).agg(
         F.count(kind).alias("total_drifts"),
         (F.count(kind) == 0).alias("is_clean"),
         *[
@@ -77,16 +94,6 @@ def summarize(comparison: DataFrame, by: str = "table") -> DataFrame:
     )
 
 
-def _by_name(columns: DataFrame, by: str, place: str) -> DataFrame:
-    entry = F.struct(
-        F.col(place).cast("bigint").alias("place"), "column", "data_type"
-    )
-    # The set is bounded by a name's spellings and types, not by the number of rows.
-    return columns.groupBy(by, F.lower("column").alias("name_key")).agg(
-        F.array_sort(F.collect_set(entry)).alias("entries")
-    )
-
-
 def _rank() -> Column:
     kind = F.col("drift_type")
     return F.when(kind == ADDED, 1).when(kind == REMOVED, 2).otherwise(3)

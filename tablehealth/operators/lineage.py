@@ -106,7 +106,8 @@ def fan_out(
         Window.partitionBy("project_id", "src").orderBy("pos", "dst", "dep_pos")
     )
     first = (
-        links.withColumn("rank", rank)
+        links.join(hubs.select("project_id", "src"), ["project_id", "src"], "left_semi")
+        .withColumn("rank", rank)
         .where(F.col("rank") <= listed)
         .groupBy("project_id", "src")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "dst"))).alias("ranked"))
@@ -119,6 +120,11 @@ def fan_out(
     )
 
 
+def by_fan_out(hubs: DataFrame) -> DataFrame:
+    """Result of :func:`fan_out`, most consumers first within each project."""
+    return hubs.orderBy("project_id", F.desc("downstream_count"), "model")
+
+
 def node_depths(models: DataFrame, match: str = "name") -> DataFrame:
     """Longest chain of models ending in each model, counted in models.
 

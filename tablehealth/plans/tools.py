@@ -51,6 +51,24 @@ class Workspace:
     def audit_project(self) -> DataFrame:
         return audit.audit_projects(audit.audit_models(self.models))
 
+    def worst_models(self) -> DataFrame:
+        """The models of each project with the least coverage."""
+        return audit.worst_models(audit.audit_models(self.models))
+
+    def naming_violations(self) -> DataFrame:
+        return audit.naming_violations(audit.audit_models(self.models))
+
+    def orphans(self, match: str = "name") -> DataFrame:
+        """Models that nothing consumes and no exposure uses."""
+        return lineage.orphans(lineage.graph_nodes(self.models, self.exposures, match))
+
+    def roots(self) -> DataFrame:
+        return lineage.roots(self.models)
+
+    def hubs(self, match: str = "name") -> DataFrame:
+        """Models with many consumers, those with most first."""
+        return lineage.by_fan_out(lineage.fan_out(self.models, match=match))
+
     def check_test_coverage(self, sort: bool = False) -> DataFrame:
         return audit.coverage_bands(audit.audit_models(self.models), sort)
 
@@ -66,22 +84,63 @@ class Workspace:
             self.get_project_health(), audit.audit_models(self.models)
         )
 
-    def profile_model(self, model: str, mode: str = "exact") -> DataFrame:
-        return profile.profile(self._table(model), model, mode=mode)
-
-    def execute_query(self, sql: str, args: dict[str, Any] | list[Any] | None = None) -> DataFrame:
-        return adhoc.execute_query(self.spark, sql, args)
-
-    def detect_schema_drift(self, model: str, canonical: bool = False) -> DataFrame:
-        found = audit.find_model(self.models, model)
+    def profile_model(
+        self, model: str, mode: str = "exact", project_id: str | None = None
+    ) -> DataFrame:
+        """The model's columns, with ``sample_values`` of each."""
+        table = self._table(model, project_id)
+        return suggest.with_samples(profile.profile(table, model, mode=mode), table, model)
+
+    def sample_rows(self, model: str, n: int = 5, project_id: str | None = None) -> DataFrame:
+        return profile.sample_rows(self._table(model, project_id), n)
+
+    def execute_query(
+        self,
+        sql: str,
+        args: dict[str, Any] | list[Any] | None = None,
+        limit: int | None = None,
+    ) -> DataFrame:
+        return adhoc.execute_query(self.spark, sql, args, limit)
+
+    def detect_schema_drift(
+        self, model: str, canonical: bool = False, project_id: str | None = None
+    ) -> DataFrame:
+        """Drift of one model's table; ``project_id`` is needed where several projects have the name."""
+        place = self._location(model, project_id)
+        found = audit.find_model(self.models, model).where(F.col("project_id") == place["project_id"])
         declared = manifest.asset_columns(found).select(
             F.lit(model).alias("table"), "pos", "column", "data_type"
         )
-        actual = columns_of(self.spark, {model: self._table(model)})
+        actual = columns_of(self.spark, {model: self._open(place)})
         return drift.ordered(drift.detect(actual, declared, canonical=canonical))
 
-    def suggest_tests(self, model: str, mode: str = "exact") -> DataFrame:
-        return suggest.suggest_table(self._table(model), model, mode=mode)
+    def detect_all_drift(self, actual: DataFrame, canonical: bool = False) -> DataFrame:
+        """Drift of every model of every project at once.
+
+        ``actual`` has (project_id, table, ordinal, column, data_type) as a catalog lists them; tables are
+        named like the models.
+        """
+        by = ("project_id", "table")
+        declared = manifest.asset_columns(self.models).select(
+            "project_id", F.col("model").alias("table"), "pos", "column", "data_type"
+        )
+        return drift.ordered(drift.detect(actual, declared, by=by, canonical=canonical), by)
+
+    def suggest_tests(
+        self,
+        model: str,
+        mode: str = "exact",
+        values: str = "exact",
+        project_id: str | None = None,
+    ) -> DataFrame:
+        """Suggested tests; ``values`` as in ``suggest.rules``. See also :meth:`suggestion_note`."""
+        table = self._table(model, project_id)
+        return suggest.suggest_table(table, model, mode=mode, values=values)
+
+    def suggestion_note(self, model: str, project_id: str | None = None) -> DataFrame:
+        """A row that warns of a table with too few rows; no row otherwise."""
+        rows = self._table(model, project_id).agg(F.count(F.lit(1)).alias("total_rows"))
+        return suggest.notes(rows.select(F.lit(model).alias("table"), "total_rows"))
 
     def update_docs(self, existing: DataFrame, proposals: DataFrame) -> DataFrame:
         """Merge proposed columns into the registry; save the result with ``registry.save``."""
@@ -109,21 +168,24 @@ class Workspace:
     def profile_all(self, models: Sequence[str], mode: str = "exact") -> DataFrame:
         return profile.profile_many({m: self._table(m) for m in models}, mode=mode)
 
-    def _location(self, model: str) -> Row:
-        row = (
-            audit.find_model(self.models, model)
-            .select("project_id", "schema", F.coalesce("alias", "name").alias("table"))
-            .orderBy("project_id")
-            .first()
+    def _location(self, model: str, project_id: str | None = None) -> Row:
+        found = audit.find_model(self.models, model).select(
+            "project_id", "schema", F.coalesce("alias", "name").alias("table")
         )
-        if row is None:
-            raise ValueError(f"Model {model!r} not found")
+        if project_id is not None:
+            found = found.where(F.col("project_id") == project_id)
+        rows = found.take(2)
+        if not rows:
+            raise ValueError(f"There is no model {model!r}")
+        if len(rows) > 1:
+            raise ValueError(f"Several projects have a model {model!r}; name one by project_id")
+        row = rows[0]
         if not row["schema"]:
             raise ValueError(f"Model {model!r} has no schema")
         return row
 
-    def _table(self, model: str) -> DataFrame:
-        return self._open(self._location(model))
+    def _table(self, model: str, project_id: str | None = None) -> DataFrame:
+        return self._open(self._location(model, project_id))
 
     def _open(self, place: Row) -> DataFrame:
         if self.open_table is not None:

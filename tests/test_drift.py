@@ -50,6 +50,25 @@ def test_repeated_rows_do_not_multiply(spark):
     assert len(got) == 1
 
 
+def test_output_is_linear_in_the_columns(spark):
+    actual = [("t", n, "a" if n % 2 else "A", "int") for n in range(200)]
+    declared = [("t", n, "a", f"type{n}") for n in range(200)]
+    got = run(spark, actual, declared)
+    assert [(r[1], r[3], r[4]) for r in got] == [("a", "int", "type199")] * 2
+
+
+def test_projects_are_kept_apart(spark):
+    a = spark.createDataFrame([("a", "t", 1, "x", "int"), ("b", "t", 1, "y", "int")], "project_id string, " + ACTUAL)
+    d = spark.createDataFrame([("a", "t", 0, "x", "int"), ("b", "t", 0, "z", "int")], "project_id string, " + DECLARED)
+    by = ("project_id", "table")
+    got = drift.ordered(drift.detect(a, d, by=by), by).collect()
+    assert [(r.project_id, r.column_name, r.drift_type) for r in got] == [
+        ("b", "y", "added_in_db"), ("b", "z", "removed_from_db")
+    ]
+    rows = {tuple(r)[:3] for r in drift.summarize(drift.compare(a, d, by=by), by).collect()}
+    assert rows == {("a", "t", 0), ("b", "t", 2)}
+
+
 def test_fleet_summary_has_clean_tables(spark):
     a = spark.createDataFrame([("x", 1, "a", "int"), ("y", 1, "a", "int"), ("y", 2, "b", "int")], ACTUAL)
     d = spark.createDataFrame([("x", 0, "a", "int"), ("y", 0, "a", "date"), ("z", 0, "q", "int")], DECLARED)

@@ -91,6 +91,14 @@ def test_guard(spark):
         "select identifier('reflect')('java.lang.System', 'nanoTime')",
         "select transform(a) using 'cat' as (b) from guarded",
         "with t as (select nothing from nowhere) select * from t",
+        "select '--' a, reflect('java.lang.System','currentTimeMillis') b",
+        "select '/*' a, java_method('java.lang.System', 'nanoTime') b, '*/' c",
+        "select /* a /* b */ */ reflect /**/ ('java.lang.System', 'nanoTime')",
+        r"select '\\'--' a, reflect('java.lang.System', 'nanoTime')".replace("\\\\", "\\"),
+        r"select r'\' a, reflect('java.lang.System', 'nanoTime'), ''",
+        "select system.builtin.reflect('java.lang.System', 'nanoTime')",
+        "select transform(a) using r'cat' as (b) from guarded",
+        "select 'open",
         "",
         "-- hi\nselect 1",
     ):
@@ -102,7 +110,12 @@ def test_guard(spark):
 
 
 def test_reads_pass_and_are_limited(spark):
-    assert adhoc.execute_query(spark, " select * from range(1000)").count() == 200
+    assert adhoc.execute_query(spark, " select * from range(1000)").count() == 1000
+    assert adhoc.execute_query(spark, " select * from range(1000)", limit=200).count() == 200
+    for text in ("reflect(1)", "-- x", "/* x", "using 'a'", "identifier(a)(b)"):
+        sql = "select '" + text.replace("'", "''") + "' as a -- reflect(1)"
+        assert adhoc.execute_query(spark, sql + "\n/* java_method(2) */").count() == 1
+    assert adhoc.execute_query(spark, "select 1 as `reflect` from range(1)").first().reflect == 1
     assert adhoc.execute_query(spark, "with t as (select 'insert into x' a) select * from t").first().a == "insert into x"
     assert adhoc.execute_query(spark, "select :x + 1 as y", {"x": 1}).first().y == 2
     assert adhoc.execute_query(spark, "explain insert into guarded values (1)").count() == 1
