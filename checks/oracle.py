@@ -82,18 +82,18 @@ def suggest_sql(profile: str, *, parity: bool = False, values: str = "value_list
     unique = "(unique_count = total_rows and total_rows > 0)"
     rules = [
         (1, "not_null", "'high'", no_nulls, "null",
-         "'0% null rate (' || non_null_count || '/' || total_rows || ' rows are filled)'"),
+         "'All ' || total_rows || ' rows have a value'"),
         (2, "not_null", "'medium'", time_like, "null",
-         "'Time column with only ' || null_rate || '% nulls'"),
+         "'A time that ' || null_rate || ' percent of rows lack'"),
         (3, "unique", "'high'", unique, "null",
-         "format('100% unique values ({:,} distinct in {:,} rows)', unique_count, total_rows)"),
+         "format('No value repeats: {:,} in {:,} rows', unique_count, total_rows)"),
         (4, "accepted_values", f"case when {values} <> '' then 'high' else 'medium' end",
          "unique_count between 1 and 10 and total_rows >= 10", f"nullif({values}, '')",
-         "'Low cardinality: ' || unique_count || ' distinct values'"),
+         "'Takes only ' || unique_count || ' different values'"),
         (5, "not_null", "'medium'", f"{id_name} and not ({no_nulls}) and not {time_like} and null_rate <= 5",
-         "null", "'ID column with ' || null_rate || '% nulls'"),
+         "null", "'A key that ' || null_rate || ' percent of rows lack'"),
         (6, "unique", "'medium'", f"{id_name} and not {unique} and unique_rate >= 90",
-         "null", "'ID column with ' || unique_rate || '% unique values'"),
+         "null", "'A key with ' || unique_rate || ' different values per hundred rows'"),
     ]
     parts = [
         f"""select ordinal, column_name, {order} as rule_order, '{test}' as test_name,
@@ -171,7 +171,7 @@ audited as (
     length(coalesce(m.description, '')) as description_len,
     regexp_matches(m.name, '^[a-z][a-z0-9_]*$') as naming_ok,
     case when regexp_matches(m.name, '^[a-z][a-z0-9_]*$') then ''
-      else '''' || m.name || ''' is not snake_case lowercase' end as naming_issue,
+      else 'Only small letters, digits and underscores make a model name: ' || m.name end as naming_issue,
     coalesce(c.total_columns, 0) as total_columns, coalesce(c.documented_columns, 0) as documented_columns,
     coalesce(c.tested_columns, 0) as tested_columns
   from models m left join counts c on c.project_id = m.project_id and c.node_id = m.node_id),
@@ -196,8 +196,8 @@ scored as (
     round_even(((total_models - naming_violations) / total_models * 100)::double, 1)::double as naming_score
   from totals),
 scores as (
-  select *, round_even((model_doc_score * 0.25::double + column_doc_score * 0.30::double
-    + test_score * 0.35::double + naming_score * 0.10::double)::double, 1)::double as overall_score from scored),
+  select *, printf('%.1f', model_doc_score * 0.25::double + column_doc_score * 0.30::double
+    + test_score * 0.35::double + naming_score * 0.10::double)::double as overall_score from scored),
 ranked as (
   select *, doc_coverage + test_coverage as coverage,
     row_number() over (partition by project_id order by doc_coverage + test_coverage, pos, node_id) as rank
@@ -407,7 +407,7 @@ ORACLE: dict[str, str] = {
         select project_id, pos, node_id, name, test_pct, doc_pct, tested_columns, total_columns,
           case when test_pct < 20 then 'red' when test_pct < 60 then 'yellow' else 'green' end as band from pct""",
     "naming_violations": """
-        select project_id, name as model, '''' || name || ''' is not snake_case lowercase' as issue
+        select project_id, name as model, 'Only small letters, digits and underscores make a model name: ' || name as issue
         from (select 'parts' as project_id, p_name as name from part
               union select 'events', event_type from events)
         where not regexp_matches(name, '^[a-z][a-z0-9_]*$')""",

@@ -35,7 +35,10 @@ def is_model_name(name: Column) -> Column:
 def naming_issue(name: Column) -> Column:
     """Text of the naming problem, empty when the name is fine."""
     return F.when(is_model_name(name), F.lit("")).otherwise(
-        F.concat(F.lit("'"), F.coalesce(name, F.lit("")), F.lit("' is not snake_case lowercase"))
+        F.concat(
+            F.lit("Only small letters, digits and underscores make a model name: "),
+            F.coalesce(name, F.lit("")),
+        )
     )
 
 
@@ -117,6 +120,24 @@ def round_even(value: Column, digits: int = 0) -> Column:
     return F.bround(value, digits)
 
 
+def round_tenth(value: Column) -> Column:
+    """One decimal of a score from 0 to 100, rounded by the number's exact binary value.
+
+    ``bround`` goes by the shortest decimal text, which makes ties of numbers that lie just beside one. Times a large
+    power of two the score is a whole number, and so are its twenty-fold and what is left of that after the tenths.
+    """
+
+    def rounded(bits: int) -> Column:
+        scaled = (value * F.lit(float(1 << bits))).cast("long") * 20
+        tenths = F.shiftright(scaled, bits + 1)
+        left = scaled - F.shiftleft(tenths, bits + 1)
+        half = F.lit(1 << bits)
+        up = (left > half) | ((left == half) & (tenths % 2 == 1))
+        return (tenths + F.when(up, 1).otherwise(0)) / F.lit(10.0)
+
+    return F.when(value < 1, rounded(58)).otherwise(rounded(52))
+
+
 def percent(part: Column, whole: Column, digits: int, when_empty: float) -> Column:
     """``part / whole`` as a rounded percentage, with a fixed value for an empty whole."""
     return F.when(whole == 0, F.lit(when_empty)).otherwise(round_even(part / whole * 100, digits))

@@ -14,6 +14,7 @@ from tablehealth.functions.text import (
     naming_issue,
     percent,
     round_even,
+    round_tenth,
 )
 
 # Weights of the overall score, band limits, length of the worst list.
@@ -83,7 +84,7 @@ def audit_projects(model_audit: DataFrame, by: Sequence[str] = ("project_id",))
         ).alias("naming_score"),
     )
     overall = sum((F.col(score) * weight for score, weight in WEIGHTS[1:]), _first_weighted())
-    return scored.withColumn("overall_score", round_even(overall, 1))
+    return scored.withColumn("overall_score", round_tenth(overall))
 
 
 def worst_models(model_audit: DataFrame, n: int = WORST) -> DataFrame:

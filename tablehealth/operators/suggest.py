@@ -57,44 +57,44 @@ def rules(values: str = "exact", parity: bool = False) -> list[Rule]:
             "not_null",
             F.lit("high"),
             no_nulls,
-            F.concat(F.lit("0% null rate ("), filled, F.lit("/"), total, F.lit(" rows are filled)")),
+            F.concat(F.lit("All "), total, F.lit(" rows have a value")),
         ),
         Rule(
             "not_null",
             F.lit("medium"),
             time_like,
-            F.concat(F.lit("Time column with only "), null_text, F.lit("% nulls")),
+            F.concat(F.lit("A time that "), null_text, F.lit(" percent of rows lack")),
         ),
         Rule(
             "unique",
             F.lit("high"),
             all_unique,
             F.concat(
-                F.lit("100% unique values ("),
+                F.lit("No value repeats: "),
                 F.format_number(unique, 0),
-                F.lit(" distinct in "),
+                F.lit(" in "),
                 F.format_number(total, 0),
-                F.lit(" rows)"),
+                F.lit(" rows"),
             ),
         ),
         Rule(
             "accepted_values",
             F.when(accepted.isNotNull(), "high").otherwise("medium"),
             (unique > 0) & (unique <= FEW_VALUES) & (total >= MIN_ROWS),
-            F.concat(F.lit("Low cardinality: "), unique, F.lit(" distinct values")),
+            F.concat(F.lit("Takes only "), unique, F.lit(" different values")),
             accepted,
         ),
         Rule(
             "not_null",
             F.lit("medium"),
             is_id_name(name) & ~no_nulls & ~time_like & (null_rate <= ID_MAX_NULL_RATE),
-            F.concat(F.lit("ID column with "), null_text, F.lit("% nulls")),
+            F.concat(F.lit("A key that "), null_text, F.lit(" percent of rows lack")),
         ),
         Rule(
             "unique",
             F.lit("medium"),
             is_id_name(name) & ~all_unique & (unique_rate >= ID_MIN_UNIQUE_RATE),
-            F.concat(F.lit("ID column with "), unique_text, F.lit("% unique values")),
+            F.concat(F.lit("A key with "), unique_text, F.lit(" different values per hundred rows")),
         ),
     ]
 

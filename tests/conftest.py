@@ -28,22 +28,15 @@ def spark(tmp_path_factory):
 
 
 @pytest.fixture(scope="session")
-def fct_orders(spark):
+def readings(spark):
+    """Twelve sensors: one without a station, two with the same level."""
     from decimal import Decimal
 
+    levels = "4.50 12.00 7.25 -1.50 30.00 4.50 8.10 9.99 15.75 22.40 3.05 18.60".split()
     rows = [
-        (1, 101, "placed", "29.99"),
-        (2, 102, "shipped", "49.99"),
-        (3, 103, "placed", "9.99"),
-        (4, 104, "completed", "199.99"),
-        (5, 105, "completed", "59.99"),
-        (6, 106, "placed", "14.99"),
-        (7, 107, "shipped", "79.99"),
-        (8, 108, "completed", "39.99"),
-        (9, None, "returned", "24.99"),
-        (10, 110, "placed", "34.99"),
+        (501 + i, None if i == 5 else 31 + i - (i > 5), ("live", "idle", "live", "off")[i % 4], Decimal(level))
+        for i, level in enumerate(levels)
     ]
     return spark.createDataFrame(
-        [(a, b, c, Decimal(d)) for a, b, c, d in rows],
-        "order_id int, customer_id int, status string, amount decimal(10,2)",
+        rows, "sensor_id int, station_id int, state string, level decimal(7,2)"
     ).coalesce(1)

@@ -1,4 +1,4 @@
-"""A small catalog manifest for the tests, as Python data."""
+"""A small catalog manifest for the tests: an observatory, from camera frames to a monthly report."""
 
 
 def column(description="", tests=(), data_type=None):
@@ -12,11 +12,11 @@ def model(name, schema, materialized, description="", columns=None, depends_on=(
         "alias": name,
         "resource_type": "model",
         "description": description,
-        "original_file_path": f"models/{name}.sql",
-        "database": "shop",
+        "original_file_path": f"sky/{schema}/{name}.sql",
+        "database": "observatory",
         "schema": schema,
         "config": {"materialized": materialized},
-        "raw_code": f"select * from {name}_raw",
+        "raw_code": f"-- {name}\nselect 1",
         "columns": columns or {},
         "depends_on": {"nodes": list(depends_on)},
         "tags": [],
@@ -24,46 +24,55 @@ def model(name, schema, materialized, description="", columns=None, depends_on=(
 
 
 def sample():
-    bare = column()
-    models = [
-        model(
-            "stg_orders", "staging", "view", "Staged orders.",
-            {
-                "order_id": column("Key", ["not_null", "unique"]),
-                "customer_id": column("Customer", ["not_null"]),
-                "status": bare, "amount": bare, "order_date": bare,
-            },
-            ["source.shop.orders"],
+    """Seven models with a diamond, a versioned id, a seed, a test, two sources and an exposure."""
+    frames = {
+        "frame_id": column("Number of the frame", ["unique"]),
+        "night": column("Night it was taken"),
+        "filter_band": column(),
+    }
+    targets = {"target_id": column("", ["not_null"]), "ra": column(), "dec": column()}
+    brightness = {
+        "target_id": column(),
+        "night": column(),
+        "magnitude": column("Apparent magnitude", [{"in_range": {"low": -2}}]),
+    }
+    nights = {"night": column("Date", ["unique", "not_null"]), "moon": column("Phase")}
+    nodes = {
+        "seed.sky.bands": {"name": "bands", "resource_type": "seed"},
+        "model.sky.stg_frames": model(
+            "stg_frames", "landing", "incremental", "One row per frame.", frames, ["source.sky.camera"]
+        ),
+        "model.sky.stg_targets": model(
+            "stg_targets", "landing", "view", "", targets, ["source.sky.catalogue", "seed.sky.bands"]
         ),
-        model(
-            "stg_customers", "staging", "view", "",
-            {"customer_id": bare, "first_name": bare, "last_name": bare, "email": bare},
-            ["source.shop.customers"],
+        "model.sky.int_matches": model(
+            "int_matches", "work", "ephemeral", "Frames with their targets.", {},
+            ["model.sky.stg_frames", "model.sky.stg_targets"],
         ),
-        model(
-            "fct_orders", "marts", "table", "",
-            {"order_id": bare, "customer_id": bare, "status": bare, "amount": bare},
-            ["model.shop.stg_orders", "model.shop.stg_customers"],
+        "model.sky.fct_brightness": model(
+            "fct_brightness", "serving", "table", "", brightness,
+            ["model.sky.int_matches", "model.sky.stg_targets"],
         ),
-        model(
-            "dim_customers", "marts", "table", "Customers.",
-            {
-                "customer_id": column("Key", ["not_null", {"accepted_values": {"values": ["a"]}}]),
-                "first_name": column("First"), "last_name": column("Last"), "n": column("Orders"),
-            },
-            ["model.shop.stg_customers", "model.shop.stg_orders"],
+        "model.sky.dim_nights": model(
+            "dim_nights", "serving", "table", "Nights.", nights, ["model.sky.stg_frames"]
         ),
-        model("orphan_model", "staging", "view"),
-        model("BadNameModel", "staging", "view"),
-    ]
-    nodes = {f"model.shop.{m['name']}": m for m in models}
-    nodes["test.shop.not_null"] = {"name": "not_null", "resource_type": "test"}
+        "model.sky.rpt_monthly.v2": model(
+            "rpt_monthly", "serving", "table", "", {"total": column()},
+            ["model.sky.dim_nights", "model.sky.fct_brightness"],
+        ),
+        "model.sky.Scratch-Pad": model("Scratch-Pad", "work", "view"),
+        "test.sky.unique_frame": {"name": "unique_frame", "resource_type": "test"},
+    }
     return {
-        "metadata": {"version": "11"},
+        "metadata": {"version": "12"},
         "nodes": nodes,
         "sources": {
-            "source.shop.orders": {"name": "orders", "source_name": "shop", "schema": "raw", "loaded_at_field": "at"},
-            "source.shop.customers": {"name": "customers", "source_name": "shop", "identifier": "cust"},
+            "source.sky.camera": {"name": "camera", "source_name": "raw", "identifier": "camera_log"},
+            "source.sky.catalogue": {"name": "catalogue", "source_name": "raw", "loaded_at_field": "seen"},
+        },
+        "exposures": {
+            "exposure.sky.board": {
+                "name": "board", "type": "dashboard", "depends_on": {"nodes": ["model.sky.rpt_monthly.v2"]}
+            }
         },
-        "exposures": {},
     }

@@ -76,12 +76,12 @@ def test_fleet_summary_has_clean_tables(spark):
     assert rows == {"x": (0, True, 0, 0, 0), "y": (2, False, 1, 0, 1), "z": (1, False, 0, 1, 0)}
 
 
-def test_actual_columns_of_tables(spark, fct_orders):
-    rows = columns_of(spark, {"fct_orders": fct_orders}).collect()
+def test_actual_columns_of_tables(spark, readings):
+    rows = columns_of(spark, {"readings": readings}).collect()
     assert [(r.ordinal, r["column"], r.data_type) for r in rows] == [
-        (1, "order_id", "int"), (2, "customer_id", "int"), (3, "status", "string"), (4, "amount", "decimal(10,2)")
+        (1, "sensor_id", "int"), (2, "station_id", "int"), (3, "state", "string"), (4, "level", "decimal(7,2)")
     ]
-    declared = spark.createDataFrame([("fct_orders", 0, "order_id", "int"), ("fct_orders", 1, "total", "int")], DECLARED)
-    got = drift.detect(columns_of(spark, {"fct_orders": fct_orders}), declared).collect()
-    assert sorted(r.column_name for r in got) == ["amount", "customer_id", "status", "total"]
-    assert {r.message for r in got} >= {"Column 'total' is not in the table", "Column 'status' is not declared"}
+    declared = spark.createDataFrame([("readings", 0, "sensor_id", "int"), ("readings", 1, "total", "int")], DECLARED)
+    got = drift.detect(columns_of(spark, {"readings": readings}), declared).collect()
+    assert sorted(r.column_name for r in got) == ["level", "state", "station_id", "total"]
+    assert {r.message for r in got} >= {"Column 'total' is not in the table", "Column 'state' is not declared"}

@@ -22,10 +22,10 @@ def depths(df, **options):
 
 
 def test_orphans_and_exposures(spark):
-    models = graph(spark, [("stg_orders", []), ("fct_orders", ["model.p.stg_orders"]), ("orphan_model", [])])
-    assert names(lineage.orphans(lineage.graph_nodes(models))) == {"fct_orders", "orphan_model"}
-    exposures = spark.createDataFrame([("p", ["model.p.fct_orders"]), ("other", ["model.p.orphan_model"])], EXPOSURES)
-    assert names(lineage.orphans(lineage.graph_nodes(models, exposures))) == {"orphan_model"}
+    models = graph(spark, [("cut", []), ("polish", ["model.p.cut"]), ("spare", [])])
+    assert names(lineage.orphans(lineage.graph_nodes(models))) == {"polish", "spare"}
+    exposures = spark.createDataFrame([("p", ["model.p.polish"]), ("other", ["model.p.spare"])], EXPOSURES)
+    assert names(lineage.orphans(lineage.graph_nodes(models, exposures))) == {"spare"}
 
 
 def test_roots(spark):

@@ -8,30 +8,30 @@ def by_column(df):
     return {r["column"]: r for r in df.collect()}
 
 
-def test_orders_profile(fct_orders):
-    rows = by_column(p.profile(fct_orders, "fct_orders"))
+def test_readings_profile(readings):
+    rows = by_column(p.profile(readings, "readings"))
     picked = {
         c: (r.non_null_count, r.unique_count, r.null_rate, r.unique_rate, r.min_val, r.max_val, r.is_likely_pk)
         for c, r in rows.items()
     }
     assert picked == {
-        "order_id": (10, 10, 0.0, 100.0, "1", "10", True),
-        "customer_id": (9, 9, 10.0, 90.0, "101", "110", False),
-        "status": (10, 4, 0.0, 40.0, None, None, False),
-        "amount": (10, 10, 0.0, 100.0, "9.99", "199.99", True),
+        "sensor_id": (12, 12, 0.0, 100.0, "501", "512", True),
+        "station_id": (11, 11, 8.33, 91.67, "31", "41", False),
+        "state": (12, 3, 0.0, 25.0, None, None, False),
+        "level": (12, 11, 0.0, 91.67, "-1.50", "30.00", False),
     }
-    assert {r.total_rows for r in rows.values()} == {10}
-    assert rows["status"]["values"] == ["completed", "placed", "returned", "shipped"]
+    assert {r.total_rows for r in rows.values()} == {12}
+    assert rows["state"]["values"] == ["idle", "live", "off"] and rows["level"]["values"] is None
     assert [r.ordinal for r in sorted(rows.values(), key=lambda r: r.ordinal)] == [1, 2, 3, 4]
 
 
-def test_modes_agree_on_small_data(fct_orders):
-    exact = sorted(map(tuple, p.profile(fct_orders, "t").collect()))
-    refined = sorted(map(tuple, p.profile(fct_orders, "t", mode="refined").collect()))
+def test_modes_agree_on_small_data(readings):
+    exact = sorted(map(tuple, p.profile(readings, "t").collect()))
+    refined = sorted(map(tuple, p.profile(readings, "t", mode="refined").collect()))
     assert refined == exact
-    approx = by_column(p.profile(fct_orders, "t", mode="approx"))
-    assert not approx["order_id"].is_likely_pk and not approx["order_id"].is_exact
-    assert approx["customer_id"].non_null_count == 9
+    approx = by_column(p.profile(readings, "t", mode="approx"))
+    assert not approx["sensor_id"].is_likely_pk and not approx["sensor_id"].is_exact
+    assert approx["station_id"].non_null_count == 11
 
 
 def test_empty_table(spark):
@@ -49,14 +49,14 @@ def test_all_null_column(spark):
         assert r["values"] == []
 
 
-def test_no_columns_and_unknown_columns(spark, fct_orders):
+def test_no_columns_and_unknown_columns(spark, readings):
     with pytest.raises(ValueError):
         p.profile(spark.createDataFrame([], "a int").drop("a"))
     with pytest.raises(ValueError):
-        p.profile(fct_orders, columns=["nope"])
+        p.profile(readings, columns=["nope"])
     with pytest.raises(ValueError):
-        p.profile(fct_orders, mode="fast")
-    assert [r["column"] for r in p.profile(fct_orders, columns=["status"]).collect()] == ["status"]
+        p.profile(readings, mode="fast")
+    assert [r["column"] for r in p.profile(readings, columns=["state"]).collect()] == ["state"]
 
 
 def test_odd_and_case_colliding_names(spark):
@@ -116,8 +116,8 @@ def test_hot_value_is_combined_before_the_shuffle(spark):
     assert (row.total_rows, row.unique_count) == (100000, 66667)
 
 
-def test_profile_never_expands_rows(fct_orders):
-    plan = p.profile(fct_orders)._jdf.queryExecution().toString()
+def test_profile_never_expands_rows(readings):
+    plan = p.profile(readings)._jdf.queryExecution().toString()
     assert "Expand" not in plan
 
 
@@ -129,18 +129,18 @@ def test_refined_counts_near_unique_columns_exactly(spark):
     assert not rows["mid"].is_exact and abs(rows["mid"].unique_count - 700) < 150
 
 
-def test_samples(fct_orders):
-    rows = by_column(p.sample_values(fct_orders, order_by=["order_id"]))
-    assert rows["order_id"].sample_values == ["1", "2", "3"]
-    assert rows["customer_id"].sample_values == ["101", "102", "103"]
-    assert p.sample_rows(fct_orders).count() == 5
-    assert [r.order_id for r in p.sample_rows(fct_orders, 2, ["order_id"]).collect()] == [1, 2]
+def test_samples(readings):
+    rows = by_column(p.sample_values(readings, order_by=["sensor_id"]))
+    assert rows["sensor_id"].sample_values == ["501", "502", "503"]
+    assert rows["level"].sample_values == ["4.50", "12.00", "7.25"]
+    assert p.sample_rows(readings).count() == 5
+    assert [r.sensor_id for r in p.sample_rows(readings, 2, ["sensor_id"]).collect()] == [501, 502]
 
 
-def test_many_tables(fct_orders, spark):
-    rows = p.profile_many({"o": fct_orders, "r": spark.range(3)}).collect()
+def test_many_tables(readings, spark):
+    rows = p.profile_many({"o": readings, "r": spark.range(3)}).collect()
     assert sorted((r.table, r["column"]) for r in rows) == [
-        ("o", "amount"), ("o", "customer_id"), ("o", "order_id"), ("o", "status"), ("r", "id")
+        ("o", "level"), ("o", "sensor_id"), ("o", "state"), ("o", "station_id"), ("r", "id")
     ]
 
 

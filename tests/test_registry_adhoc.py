@@ -124,14 +124,14 @@ def test_reads_pass_and_are_limited(spark):
     assert spark.table("guarded").count() == 0
 
 
-def test_tables(spark, fct_orders, tmp_path):
-    fct_orders.write.mode("overwrite").saveAsTable("fct_orders_t")
-    assert tables.table_exists(spark, "default", "fct_orders_t")
+def test_tables(spark, readings, tmp_path):
+    readings.write.mode("overwrite").saveAsTable("readings_t")
+    assert tables.table_exists(spark, "default", "readings_t")
     assert not tables.table_exists(spark, "default", "missing_t")
-    assert tables.read_table(spark, "fct_orders_t", "default").count() == 10
+    assert tables.read_table(spark, "readings_t", "default").count() == 12
     path = str(tmp_path / "o")
-    fct_orders.write.parquet(path)
-    assert tables.read_table(spark, path).count() == 10
+    readings.write.parquet(path)
+    assert tables.read_table(spark, path).count() == 12
     with pytest.raises(ValueError):
         tables.read_table(spark, "x; drop table y")
     with pytest.raises(ValueError):

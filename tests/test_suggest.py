@@ -32,38 +32,31 @@ def suggested(profile, **options):
     return [(r.test_name, r.confidence) for r in rows]
 
 
-def test_orders_exact_lists(fct_orders):
-    rows = s.suggest_table(fct_orders, "fct_orders").orderBy("ordinal", "rule_order").collect()
-    got = [(r["column"], r.test_name, r.confidence) for r in rows]
-    assert got == [
-        ("order_id", "not_null", "high"),
-        ("order_id", "unique", "high"),
-        ("order_id", "accepted_values", "high"),
-        ("customer_id", "accepted_values", "high"),
-        ("customer_id", "unique", "medium"),
-        ("status", "not_null", "high"),
-        ("status", "accepted_values", "high"),
-        ("amount", "not_null", "high"),
-        ("amount", "unique", "high"),
-        ("amount", "accepted_values", "high"),
+def test_readings_exact_lists(readings):
+    rows = s.suggest_table(readings, "readings").orderBy("ordinal", "rule_order").collect()
+    assert [(r["column"], r.test_name, r.confidence) for r in rows] == [
+        ("sensor_id", "not_null", "high"),
+        ("sensor_id", "unique", "high"),
+        ("station_id", "unique", "medium"),
+        ("state", "not_null", "high"),
+        ("state", "accepted_values", "high"),
+        ("level", "not_null", "high"),
     ]
-    lists = {r["column"]: r["values"] for r in rows if r.test_name == "accepted_values"}
-    assert lists["order_id"] == ["1", "10", "2", "3", "4", "5", "6", "7", "8", "9"]
-    assert lists["status"] == ["completed", "placed", "returned", "shipped"]
-    assert len(lists["customer_id"]) == 9 and len(lists["amount"]) == 10
+    assert [r["values"] for r in rows if r.test_name == "accepted_values"] == [["idle", "live", "off"]]
 
 
-def test_orders_sampled_lists(fct_orders):
-    profile = p.profile(fct_orders, "t").join(
-        p.sample_values(fct_orders, order_by=["order_id"]).select("ordinal", "sample_values"), "ordinal"
+def test_readings_sampled_lists(readings):
+    few = readings.orderBy("sensor_id").limit(10)
+    profile = p.profile(few, "t").join(
+        p.sample_values(few, order_by=["sensor_id"]).select("ordinal", "sample_values"), "ordinal"
     )
     rows = s.suggest(profile, s.rules(values="sample")).collect()
     lists = {r["column"]: r["values"] for r in rows if r.test_name == "accepted_values"}
     assert lists == {
-        "order_id": ["1", "2", "3"],
-        "customer_id": ["101", "102", "103"],
-        "status": ["placed", "shipped"],
-        "amount": ["29.99", "49.99", "9.99"],
+        "sensor_id": ["501", "502", "503"],
+        "station_id": ["31", "32", "33"],
+        "state": ["idle", "live"],
+        "level": ["12.00", "4.50", "7.25"],
     }
 
 

@@ -11,60 +11,84 @@ from tests.manifests import sample
 
 
 @pytest.fixture(scope="module")
-def workspace(spark, fct_orders):
+def workspace(spark, readings):
     data = sample()
-    data["nodes"]["model.shop.fct_orders"]["columns"]["gone"] = {"data_type": "int"}
-    data["nodes"]["model.shop.fct_orders"]["columns"]["status"] = {"data_type": "int"}
-    data["nodes"]["model.shop.orphan_model"]["schema"] = None
-    text = spark.createDataFrame([(json.dumps(data),)], "j string")
-    manifests = manifest.parse_manifests(text, F.col("j"), F.lit("shop")).cache()
+    own = data["nodes"]["model.sky.dim_nights"]
+    own["name"] = own["alias"] = "readings"
+    own["columns"] = {"sensor_id": {}, "gone": {"data_type": "int"}, "state": {"data_type": "int"}}
+    data["nodes"]["model.sky.Scratch-Pad"]["schema"] = None
+    other = {"nodes": {"model.sea.rpt_monthly": data["nodes"]["model.sky.rpt_monthly.v2"]}}
+    texts = [("sky", json.dumps(data)), ("sea", json.dumps(other))]
+    manifests = manifest.parse_manifests(
+        spark.createDataFrame(texts, "p string, j string"), F.col("j"), F.col("p")
+    ).cache()
 
     def open_table(schema, table):
-        if (schema, table) == ("marts", "fct_orders"):
-            return fct_orders
+        if (schema, table) == ("serving", "readings"):
+            return readings
         return spark.table(f"{schema}.{table}")
 
     return Workspace(spark, manifests, open_table)
 
 
 def test_listing_and_details(workspace):
-    assert workspace.list_models().first().name == "BadNameModel"
-    row = workspace.get_model_details("stg_orders").first()
-    assert row.sql_preview == row.raw_sql and len(row.columns) == 5
-    assert audit.model_path(workspace.models, "stg_orders").first()[1] == "models/stg_orders.sql"
-    assert audit.node_id(workspace.models, "stg_orders").first()[1] == "model.shop.stg_orders"
+    assert {r.name for r in workspace.list_models().where("project_id = 'sky'").collect()} >= {"Scratch-Pad", "readings"}
+    row = workspace.get_model_details("stg_frames").first()
+    assert row.sql_preview == row.raw_sql and len(row.columns) == 3
+    assert audit.model_path(workspace.models, "stg_frames").first()[1] == "sky/landing/stg_frames.sql"
+    assert audit.node_id(workspace.models, "stg_frames").first()[1] == "model.sky.stg_frames"
     assert workspace.get_model_details("nope").count() == 0
 
 
 def test_audits_and_health(workspace):
-    assert workspace.audit_project().first().total_models == 6
-    assert workspace.check_test_coverage().count() == 6
-    assert workspace.analyze_dag().first().max_chain_depth == 2
-    row = workspace.get_project_health().first()
-    assert (row.total_models, row.orphan_models) == (6, 4)
-    assert workspace.recommended_actions().count() == 3
-
-
-def test_profiles_drift_and_suggestions(workspace):
-    assert workspace.profile_model("fct_orders").count() == 4
-    drift = workspace.detect_schema_drift("fct_orders").collect()
-    assert [(r.column_name, r.drift_type) for r in drift] == [("gone", "removed_from_db"), ("status", "type_changed")]
-    assert workspace.suggest_tests("fct_orders").count() == 10
-    with pytest.raises(ValueError):
-        workspace.profile_model("nope")
-    with pytest.raises(ValueError):
-        workspace.profile_model("orphan_model")
-    assert workspace.profile_all(["fct_orders"]).count() == 4
+    totals = {r.project_id: r.total_models for r in workspace.audit_project().collect()}
+    assert totals == {"sky": 7, "sea": 1}
+    assert workspace.check_test_coverage().count() == 8
+    assert {r.project_id: r.max_chain_depth for r in workspace.analyze_dag().collect()} == {"sky": 4, "sea": 1}
+    rows = {r.project_id: (r.total_models, r.orphan_models) for r in workspace.get_project_health().collect()}
+    assert rows["sky"] == (7, 3)
+    assert workspace.recommended_actions().count() >= 3
+    assert workspace.worst_models().where("project_id = 'sky'").count() == 7
+    assert [r.model for r in workspace.naming_violations().collect()] == ["Scratch-Pad"]
+    assert {r.name for r in workspace.orphans("node_id").where("project_id = 'sky'").collect()} >= {"Scratch-Pad"}
+    assert {r.name for r in workspace.roots().where("project_id = 'sky'").collect()} == {
+        "stg_frames", "stg_targets", "Scratch-Pad"
+    }
+    assert workspace.hubs().count() == 0
+
+
+def test_profiles_drift_and_suggestions(workspace, spark):
+    rows = {r["column"]: r for r in workspace.profile_model("readings").collect()}
+    assert len(rows) == 4 and len(rows["state"].sample_values) == 3
+    assert workspace.sample_rows("readings", 2).count() == 2
+    drift = workspace.detect_schema_drift("readings").collect()
+    assert [(r.column_name, r.drift_type) for r in drift] == [
+        ("station_id", "added_in_db"), ("level", "added_in_db"), ("gone", "removed_from_db"), ("state", "type_changed")
+    ]
+    actual = spark.createDataFrame(
+        [("sky", "readings", 1, "sensor_id", "int"), ("sea", "rpt_monthly", 1, "total", "int"), ("sea", "rpt_monthly", 2, "x", "int")],
+        "project_id string, table string, ordinal int, column string, data_type string",
+    )
+    found = {(r.project_id, r.table, r.column_name) for r in workspace.detect_all_drift(actual).collect()}
+    assert ("sea", "rpt_monthly", "x") in found and ("sky", "rpt_monthly", "total") in found
+    assert ("sea", "rpt_monthly", "total") not in found
+    assert workspace.suggest_tests("readings").count() == 6
+    assert workspace.suggest_tests("readings", values="sample").count() == 6
+    assert workspace.suggestion_note("readings").count() == 0
+    for unknown in ("nope", "Scratch-Pad", "rpt_monthly"):  # none, without a schema, in two projects
+        with pytest.raises(ValueError):
+            workspace.profile_model(unknown)
+    assert workspace.profile_all(["readings"]).count() == 4
 
 
 def test_docs_flow(workspace, spark):
-    proposals = workspace.generate_model_docs("fct_orders")
+    proposals = workspace.generate_model_docs("readings")
     empty = spark.createDataFrame([], REGISTRY_COLUMNS)
     merged = workspace.update_docs(empty, proposals)
-    rows = registry.documented_columns(merged, "fct_orders", "shop").collect()
-    assert [r["column"] for r in rows] == ["order_id", "customer_id", "status", "amount"]
+    rows = registry.documented_columns(merged, "readings", "sky").collect()
+    assert [r["column"] for r in rows] == ["sensor_id", "station_id", "state", "level"]
     assert [t.name for t in rows[2].tests] == ["not_null", "accepted_values"]
-    assert workspace.generate_model_docs("stg_orders").count() == 0  # its table does not exist
+    assert workspace.generate_model_docs("stg_frames").count() == 0  # its table does not exist
     with pytest.raises(ValueError):
         workspace.generate_model_docs("nope")
 
