@@ -159,6 +159,9 @@ summary as (
   join (select project_id, max(depth) as max_chain_depth from depths group by project_id) d using (project_id))
 """
 
+# The graph without the walk over its chains, for queries that need no depth.
+FLAT_GRAPH = GRAPH[: GRAPH.index("feeds as (")].rstrip().rstrip(",")
+
 _AUDIT_FROM = r"""
 counts as (
   select project_id, node_id, count(*) as total_columns,
@@ -424,12 +427,12 @@ ORACLE: dict[str, str] = {
         select key, name, regexp_matches(name, '^[a-zA-Z_][a-zA-Z0-9_]{0,127}$') as is_safe
         from (select c_custkey as key, c_name as name from customer
               union all select p_partkey, replace(p_name, ' ', '_') from part)""",
-    "graph_nodes": f"""with recursive {GRAPH}
+    "graph_nodes": f"""with {FLAT_GRAPH}
         select project_id, node_id, name, pos, downstream_count, is_exposed, is_root, is_orphan, is_high_fan_out
         from flagged""",
-    "orphans": f"with recursive {GRAPH} select distinct project_id, name from flagged where is_orphan",
-    "roots": f"with recursive {GRAPH} select project_id, node_id, name, pos from flagged where is_root",
-    "fan_out": f"""with recursive {GRAPH},
+    "orphans": f"with {FLAT_GRAPH} select distinct project_id, name from flagged where is_orphan",
+    "roots": f"with {FLAT_GRAPH} select project_id, node_id, name, pos from flagged where is_root",
+    "fan_out": f"""with {FLAT_GRAPH},
         ordered as (select *, row_number() over (partition by project_id, src order by pos, dst, dep_pos) as rn
                     from links)
         select l.project_id, l.src as model, count(*) as downstream_count,
@@ -440,7 +443,7 @@ ORACLE: dict[str, str] = {
         select project_id, name, depth, false as is_cyclic from depths""",
     "max_depth": f"""with recursive {GRAPH}
         select project_id, max(depth) as max_chain_depth, max(depth) > 10 as is_deep, false as has_cycle
-        from depths where project_id = 'chat' group by project_id""",
+        from depths group by project_id""",
     "graph_summary": f"with recursive {GRAPH} select * from summary",
     "health_dashboard": f"{_HEALTH} select * from scores join (select * exclude (total_models) from summary) using (project_id)",
     "health_actions": f"""{_HEALTH},

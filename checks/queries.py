@@ -391,8 +391,7 @@ def node_depths(spark, folder):
 
 @query
 def max_depth(spark, folder):
-    turns = i.fleet_models(spark, folder).where("project_id = 'chat'")
-    return lineage.depth_summary(lineage.node_depths(turns))
+    return lineage.depth_summary(lineage.node_depths(i.fleet_models(spark, folder)))
 
 
 @query
