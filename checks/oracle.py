@@ -290,6 +290,11 @@ ORACLE: dict[str, str] = {
         f"(select table_name, column_name from ({_profile_of(t)}) where is_likely_pk)"
         for t in ("customer", "orders", "events", "part")
     ),
+    "profile_long_values": profile_sql(
+        "stamps", "stamp string", "(select repeat(lang, 200) as stamp from documents)"
+    ),
+    "estimates_close": f"""select ordinal, column_name, unique_count as exact, true as is_close
+        from ({_profile_of("lineitem")})""",
     "profile_approx_ranges": f"""select ordinal, column_name, total_rows, non_null_count, null_rate, min_val, max_val
         from ({_profile_of("lineitem")})""",
     "sample_rows": "select * from orders order by o_orderkey limit 5",
@@ -394,6 +399,10 @@ ORACLE: dict[str, str] = {
         select o_orderpriority as project_id, 'cust_' || o_custkey as name, min(o_orderkey) as pos,
           'order_' || min(o_orderkey) as node_id, arg_min(o_totalprice, o_orderkey) as total
         from orders group by o_orderpriority, o_custkey""",
+    "model_paths": """
+        select o_orderpriority as project_id, 'model.shop.o' || min(o_orderkey) as node_id,
+          'models/' || lower(arg_min(o_orderstatus, o_orderkey)) || '/o' || min(o_orderkey) || '.sql' as original_file_path
+        from orders where o_orderkey % 7 = 3 group by o_orderpriority""",
     "lineage_direct": """
         select c_mktsegment as project_id, c_name as name, d.pos as dep_pos,
           case d.pos when 0 then 'model.geo.nation_' || c_nationkey else 'source.geo.raw' end as dep_id

@@ -81,6 +81,28 @@ def likely_keys(spark, folder):
     )
 
 
+@query
+def profile_long_values(spark, folder):
+    """Few values, each of several hundred characters, are listed whole."""
+    stamps = i.table(spark, folder, "documents").select(F.repeat("lang", F.lit(200)).alias("stamp"))
+    return _profile(profile.profile(stamps, "stamps"))
+
+
+@query
+def estimates_close(spark, folder):
+    """Whether estimated distinct counts are within three standard deviations of the exact ones."""
+    df = i.table(spark, folder, "lineitem")
+    exact = profile.profile(df).select("ordinal", "column", F.col("unique_count").alias("exact"))
+    guessed = profile.profile(df, mode="approx").select("ordinal", "unique_count")
+    off = F.abs(F.col("unique_count") - F.col("exact"))
+    return exact.join(guessed, "ordinal").select(
+        "ordinal",
+        F.col("column").alias("column_name"),
+        "exact",
+        (off <= F.col("exact") * 3 * 0.05).alias("is_close"),
+    )
+
+
 @query
 def profile_approx_ranges(spark, folder):
     """The one-scan mode; its distinct counts are estimates, so they stay out of the comparison."""
@@ -283,6 +305,20 @@ def model_lookup(spark, folder):
     return audit.first_by_name(models)
 
 
+@query
+def model_paths(spark, folder):
+    """File and node id of the first order of each priority, looked up by one name."""
+    models = i.table(spark, folder, "orders").selectExpr(
+        "o_orderpriority project_id",
+        "if(o_orderkey % 7 = 3, 'picked', concat('o', o_orderkey)) name",
+        "o_orderkey pos",
+        "concat('model.shop.o', o_orderkey) node_id",
+        "concat('models/', lower(o_orderstatus), '/o', o_orderkey, '.sql') original_file_path",
+    )
+    ids = audit.node_id(models, "picked")
+    return audit.model_path(models, "picked").join(ids, "project_id")
+
+
 @query
 def lineage_direct(spark, folder):
     models = i.table(spark, folder, "customer").selectExpr(
