@@ -87,7 +87,8 @@ def fit(texts: list[str], labels: list[int], rounds: int = ROUNDS) -> Model:
 
     Only traits that toxic documents hold ``EVIDENCE`` times as often as documents do overall get a weight.
     """
-    docs = [sentences_of(t) for t in texts]
+    pool: dict[bytes, bytes] = {}  # one object for each word
+    docs = [[[pool.setdefault(w, w) for w in s] for s in sentences_of(t)] for t in texts]
     y = np.array(labels, float)
     if not any(docs) or not 0 < y.sum() < len(y):
         rate = float(y.mean()) if len(y) else 0.0
