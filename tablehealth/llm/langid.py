@@ -24,6 +24,7 @@ SAMPLE = 400
 FOLDS, HELD_OUT = 4, 2
 SMOOTHING = 0.1
 ROUNDS = 12
+RANKING_ROUNDS = 5
 PENALTY = 6.0
 _MARKS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
@@ -37,71 +38,96 @@ class Languages:
     """Log-likelihoods of words under each language's trigram model, in natural units."""
 
     def __init__(self, counts: dict[str, Counter]) -> None:
+        self.counts = counts
         self.names = sorted(counts)
-        self._letters = 2 + len({g[2] for c in counts.values() for g in c})
-        self._grams: dict[str, np.ndarray] = {}
-        self._contexts: dict[str, np.ndarray] = {}
+        size = len(self.names)
+        letters = 2 + len({g[2] for c in counts.values() for g in c})
+        contexts: dict[str, np.ndarray] = {}
         for at, name in enumerate(self.names):
             for gram, n in counts[name].items():
-                self._grams.setdefault(gram, np.zeros(len(self.names)))[at] += n
-                self._contexts.setdefault(gram[:2], np.zeros(len(self.names)))[at] += n
-        self._unseen = np.zeros(len(self.names))
-        self.known = Recent(self.word)
-
-    def __getstate__(self):
-        return {**self.__dict__, "known": None}
-
-    def __setstate__(self, state):
-        self.__dict__ = {**state, "known": Recent(self.word)}
-
-    def word(self, word: bytes) -> bytes:
-        """The word's log-likelihood in every language, as the bytes of float32 values."""
-        text = f"  {word.decode()} "
-        total = np.zeros(len(self.names))
-        for i in range(len(text) - 2):
-            gram = text[i : i + 3]
-            total += np.log(self._grams.get(gram, self._unseen) + SMOOTHING)
-            total -= np.log(self._contexts.get(gram[:2], self._unseen) + SMOOTHING * self._letters)
-        return total.astype(np.float32).tobytes()
+                contexts.setdefault(gram[:2], np.zeros(size))[at] += n
+        rows = [np.full(size, -np.log(letters))]  # after letters that no language knows
+        self._open: dict[str, int] = {}
+        for context, total in contexts.items():
+            self._open[context] = len(rows)
+            rows.append(np.log(SMOOTHING / (total + SMOOTHING * letters)))
+        self._grams: dict[str, int] = {}
+        for gram in sorted({g for c in counts.values() for g in c}):
+            n = np.array([counts[name][gram] for name in self.names])
+            self._grams[gram] = len(rows)
+            rows.append(np.log((n + SMOOTHING) / (contexts[gram[:2]] + SMOOTHING * letters)))
+        self._rows = np.array(rows)
+        self.known = Recent(lambda w: self.words([w])[0].tobytes(), 200_000)
+
+    def __reduce__(self):
+        return Languages, (self.counts,)
+
+    def words(self, words: list[bytes]) -> np.ndarray:
+        """A row for each word, its trigrams added up."""
+        gram, context, ids, sizes = self._grams.get, self._open.get, [], []
+        for word in words:
+            text = f"  {word.decode()} "
+            for i in range(len(text) - 2):
+                part = text[i : i + 3]
+                at = gram(part)
+                ids.append(context(part[:2], 0) if at is None else at)
+            sizes.append(len(text) - 2)
+        ends = np.cumsum(sizes)
+        return np.add.reduceat(self._rows[ids], ends - sizes).astype(np.float32)
 
     def likelihoods(self, words: list[bytes]) -> np.ndarray:
+        fresh = self.known.unknown(set(words))
+        for at in range(0, len(fresh), 4096):
+            part = fresh[at : at + 4096]
+            for word, row in zip(part, self.words(part), strict=True):
+                self.known.learn(word, row.tobytes())
         data = b"".join(map(self.known.__getitem__, words))
         return np.frombuffer(data, np.float32).reshape(-1, len(self.names))
 
 
 def mixture(
-    logs: np.ndarray, starts: np.ndarray, sizes: np.ndarray, allowed: np.ndarray
+    logs: np.ndarray, times: np.ndarray, starts: np.ndarray, sizes: np.ndarray, allowed: np.ndarray, rounds: int = ROUNDS
 ) -> tuple[np.ndarray, np.ndarray]:
     """Proportions (documents, languages) and log-likelihoods by expectation-maximisation.
 
-    ``logs`` holds the words of all documents, one after another; ``allowed`` the languages of each.
+    ``logs`` holds the distinct words of all documents, one document after another, ``times`` how often each occurs,
+    ``sizes`` how many there are, and ``allowed`` the languages of each document.
     """
     top = logs.max(axis=1, keepdims=True)
     likely = np.exp(logs - top).astype(np.float64) + 1e-30
     share = allowed / allowed.sum(axis=1, keepdims=True)
     doc = np.repeat(np.arange(len(sizes)), sizes)
-    for _ in range(ROUNDS):
+    total = np.add.reduceat(times, starts)[:, None]
+    for _ in range(rounds):
         part = likely * share[doc]
-        part /= part.sum(axis=1, keepdims=True)
-        share = np.add.reduceat(part, starts, axis=0) / sizes[:, None]
+        part *= (times / part.sum(axis=1))[:, None]
+        share = np.add.reduceat(part, starts, axis=0) / total
     fitted = np.log((likely * share[doc]).sum(axis=1)) + top[:, 0]
-    return share, np.add.reduceat(fitted, starts)
+    return share, np.add.reduceat(fitted * times, starts)
 
 
-def proportions(logs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def proportions(logs: np.ndarray, times: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Each document's share of each language; languages that do not pay for themselves have none.
 
     The languages are tried in order of their share in the full mixture: one, two and so on, as long as
-    each gains more log-likelihood than ``PENALTY`` and half the logarithm of the number of words.
+    each gains more log-likelihood than ``PENALTY`` and half the logarithm of the number of words. Documents
+    for which a bound shows that no mixture gains as much are settled without fitting any.
     """
-    count = logs.shape[1]
+    count, times = logs.shape[1], times.astype(np.float64)
     starts = np.r_[0, np.cumsum(sizes)[:-1]]
-    single = np.add.reduceat(logs.astype(np.float64), starts, axis=0)
-    cost = PENALTY + 0.5 * np.log(sizes)
-    best = np.zeros_like(single)
-    bound = np.add.reduceat(logs.max(axis=1).astype(np.float64), starts)
-    open_ = np.flatnonzero(bound - single.max(axis=1) > cost)  # others hold one language for sure
-    best[np.arange(len(sizes)), single.argmax(axis=1)] = 1
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    wide = logs.astype(np.float64)
+    single = np.add.reduceat(wide * times[:, None], starts, axis=0)
+    words = np.add.reduceat(times, starts)
+    cost = PENALTY + 0.5 * np.log(words)
+    best, first = np.zeros_like(single), single.argmax(axis=1)
+    best[np.arange(len(sizes)), first] = 1
+    # No mixture gains more than each word's best language would, nor, as the logarithm is concave, than the
+    # logarithm of a language's mean ratio to the first one.
+    gain = np.add.reduceat(logs.max(axis=1) * times, starts) - single.max(axis=1)
+    ratio = np.exp(np.minimum(wide - wide[np.arange(len(doc)), first[doc]][:, None], 60)) * times[:, None]
+    mean = np.add.reduceat(ratio, starts, axis=0).max(axis=1) / words
+    open_ = np.flatnonzero(np.minimum(gain, words * np.log(mean)) > cost)
     if not len(open_):
         return best
 
@@ -109,11 +135,11 @@ def proportions(logs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         n = sizes[docs]
         return np.repeat(starts[docs] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
 
-    def fit(docs: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = sizes[docs]
-        return mixture(logs[rows(docs)], np.r_[0, np.cumsum(n)[:-1]], n, allowed)
+    def fit(docs: np.ndarray, allowed: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+        n, at = sizes[docs], rows(docs)
+        return mixture(logs[at], times[at], np.r_[0, np.cumsum(n)[:-1]], n, allowed, rounds)
 
-    share, _ = fit(open_, np.ones((len(open_), count)))
+    share, _ = fit(open_, np.ones((len(open_), count)), RANKING_ROUNDS)
     order = np.argsort(-share, axis=1, kind="stable")
     value = single[open_].max(axis=1)
     for m in range(2, count + 1):
@@ -169,12 +195,13 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Languages | None:
 def predict(model: Languages | None, texts: list[str]) -> list[tuple[str, float, str]]:
     """Language, its share, and all shares for each text."""
     out: list[tuple[str, float, str]] = [("und", 0.0, "")] * len(texts)
-    words = [words_of(t) if any(map(str.isalpha, t)) else [] for t in texts]
+    words = [Counter(words_of(t)) if any(map(str.isalpha, t)) else Counter() for t in texts]
     some = [i for i, w in enumerate(words) if w]
     if model is None or not some:
         return out
     logs = model.likelihoods([w for i in some for w in words[i]])
-    shares = proportions(logs, np.array([len(words[i]) for i in some]))
+    times = np.array([n for i in some for n in words[i].values()])
+    shares = proportions(logs, times, np.array([len(words[i]) for i in some]))
     for i, share in zip(some, shares, strict=True):
         at = int(share.argmax())
         listed = ",".join(

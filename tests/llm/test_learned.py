@@ -74,7 +74,8 @@ def test_languages_on_held_out_documents(spark):
     assert sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.98 * len(held)
 
 
-def brute_mixture(logs, allowed, rounds):
+def brute_mixture(logs, times, allowed, rounds):
+    logs = [row for row, n in zip(logs, times, strict=True) for _ in range(n)]
     share = [a / sum(allowed) for a in allowed]
     for _ in range(rounds):
         parts = []
@@ -90,9 +91,25 @@ def test_mixture_against_plain_loops():
     sizes = np.array([5, 1, 40])
     logs = rng.normal(0, 3, (46, 3)).astype(np.float32)
     allowed = np.array([[1, 1, 1], [1, 0, 1], [0, 1, 1]], float)
-    share, _ = langid.mixture(logs, np.array([0, 5, 6]), sizes, allowed)
+    times = rng.integers(1, 4, 46)
+    share, _ = langid.mixture(logs, times, np.array([0, 5, 6]), sizes, allowed)
     for d, (a, b) in enumerate([(0, 5), (5, 6), (6, 46)]):
-        assert share[d] == pytest.approx(brute_mixture(logs[a:b].tolist(), allowed[d], langid.ROUNDS), abs=1e-5)
+        assert share[d] == pytest.approx(brute_mixture(logs[a:b].tolist(), times[a:b].tolist(), allowed[d], langid.ROUNDS), abs=1e-5)
+
+
+def test_settled_documents_would_not_gain():
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        n = int(rng.integers(1, 60))
+        logs, times = rng.normal(0, rng.uniform(0.1, 3), (n, 3)).astype(np.float32), rng.integers(1, 5, n)
+        logs[:, 0] += rng.uniform(0, 3)
+        size = np.array([n])
+        shares = langid.proportions(logs, times, size)[0]
+        _, fitted = langid.mixture(logs, times, np.array([0]), size, np.ones((1, 3)), 60)
+        alone = float((logs * times[:, None]).sum(axis=0).max())
+        if (shares > 0).sum() == 1:  # no language pays for itself; two together may gain up to twice the price
+            assert fitted[0] - alone <= 2 * (langid.PENALTY + 0.5 * math.log(times.sum())) + 1e-6
+        assert shares.sum() == pytest.approx(1)
 
 
 def test_a_mixed_text_holds_both_languages():
