@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -38,6 +40,13 @@ _MARKS = ".,:;!?"
 _PLAIN = re.compile("[!-\u024f]+")
 
 
+def _bytes_of(ids: list[int]) -> bytes:
+    found = array("I", ids)
+    if sys.byteorder == "big":
+        found.byteswap()
+    return found.tobytes()
+
+
 class Encoder:
     """Token ids of texts, as little-endian bytes, four for each id.
 
@@ -49,16 +58,16 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         self._tokenizer = Tokenizer.from_file(path)
-        self._words = Recent(self._word, 200_000)
+        self._words = Recent(self._word, 250_000)
         self._stems = Recent(self.whole, 350_000)
 
     def whole(self, text: str) -> bytes:
         ids = self._tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        return _bytes_of(ids)
 
     @staticmethod
     def _split(word: str) -> tuple[str, str]:
-        if not _PLAIN.fullmatch(word):
+        if not word.isascii() and not _PLAIN.fullmatch(word):
             return word, ""
         stem = word.rstrip(_MARKS)
         if not stem[-1:].isalnum():
@@ -73,12 +82,16 @@ class Encoder:
         """The ids of each text."""
         words = [t.replace("\n", " ").split(" ") if "<|" not in t else [] for t in texts]
         fresh = self._words.unknown(set().union(*words))
-        stems = self._stems.unknown({self._split(w)[0] for w in fresh})
+        parts = list(map(self._split, fresh))
+        stems = self._stems.unknown({stem for stem, _ in parts})
         for at in range(0, len(stems), 4096):
             part = stems[at : at + 4096]
             found = self._tokenizer.encode_batch_fast(part, add_special_tokens=False)
             for stem, x in zip(part, found, strict=True):
-                self._stems.learn(stem, np.array(x.ids, "<u4").tobytes())
+                self._stems.learn(stem, _bytes_of(x.ids))
+        get = self._stems.__getitem__
+        for word, (stem, marks) in zip(fresh, parts, strict=True):
+            self._words.learn(word, get(stem) + get(marks) if marks else get(stem))
         get = self._words.__getitem__
         return [
             b"".join(map(get, w)) if w else self.whole(t) for w, t in zip(words, texts, strict=True)
