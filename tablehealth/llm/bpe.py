@@ -1,7 +1,7 @@
 """Byte-level BPE encoding by dynamic programming over prefixes, and decoding.
 
 Every prefix of a piece has one encoding, and a sequence of tokens is an encoding exactly if each two
-neighbours are (``BytePairs.fits``). So the last token of each prefix is all that has to be stored: the
+neighbours are (``BytePairs.fitting``). So the last token of each prefix is all that has to be stored: the
 token that ends there and fits the last token of the prefix before it. Reading the chain backwards gives the
 encoding of any prefix. Appending goes on from the stored tokens, and an edit recomputes them from its place on
 until they agree with the old ones again.
@@ -32,17 +32,28 @@ PIECES = public_tokenizers.PATTERN.replace(r"[^\s", f"[^{_SPACE}").replace(r"\s"
 )
 
 
+class _Pairs(Recent):
+    """Keys are numbers here."""
+
+    def learn(self, key, value) -> None:
+        if len(self) >= self._limit:
+            self._old = dict(self)
+            self.clear()
+        self[key] = value
+
+
 class BytePairs:
     """Tokens by their bytes, and which of them may stand next to each other."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.bytes = {rank: token for token, rank in ranks.items()}
-        self.prefixes = {token[:n] for token in ranks for n in range(1, len(token) + 1)}
+        #: What tokens begin with: the rank of what is a token itself, -1 for the rest.
+        self.reach = {token[:n]: -1 for token in ranks for n in range(1, len(token))} | ranks
         self.longest, self.highest = max(map(len, ranks)), max(ranks.values())
-        self._own: dict[int, bool] = {}
+        self._alone: dict[int, bool] = {}
         self._made: dict[int, tuple[int, int] | None] = {}
-        self._fits = Recent(self._check, 400_000)
+        self.fitting = _Pairs(self._check, 400_000)
 
     def merged(self, data: bytes, least: int = 1) -> list[int]:
         """The encoding by its definition: join the neighbours of lowest rank, the first of equals.
@@ -68,13 +79,18 @@ class BytePairs:
             self._made[token] = (ids[0], ids[1]) if len(ids) == 2 else None
         return self._made[token]
 
-    def _check(self, pair: tuple[int, int]) -> bool:
-        """Whether the two stay apart: go back through the joins on both sides of their border.
+    def _check(self, pair: int) -> bool:
+        """Whether two tokens stay apart, given as ``before << 32 | token``; ``before`` is -1 at the start.
 
-        The later join is undone first (of equal ones the right one, as the left is done first). While the tokens
-        at the border were ``a`` and ``b``, they would have been joined if that came before the join just undone.
+        Goes back through the joins on both sides of their border. The later join is undone first (of equal ones the
+        right one, as the left is done first). While the tokens at the border were ``a`` and ``b``, they would have
+        been joined if that came before the join just undone.
         """
-        a, b = pair
+        a, b = pair >> 32, pair & 0xFFFFFFFF
+        if not self._own(b):
+            return False
+        if a < 0:
+            return True
         before = self.highest + 1
         while True:
             joined = self.ranks.get(self.bytes[a] + self.bytes[b])
@@ -88,50 +104,50 @@ class BytePairs:
             else:
                 return True
 
-    def fits(self, before: int | None, token: int) -> bool:
-        """Whether the token may follow ``before``, or may stand first."""
-        own = self._own.get(token)
+    def _own(self, token: int) -> bool:
+        """Whether the token's bytes encode as the token."""
+        own = self._alone.get(token)
         if own is None:
-            own = self._own[token] = self.merged(self.bytes[token]) == [token]
-        return own and (before is None or self._fits[before, token])
+            own = self._alone[token] = self.merged(self.bytes[token]) == [token]
+        return own
 
 
 class Prefixes:
     """The last token of every prefix of a growing or edited piece."""
 
     def __init__(self, pairs: BytePairs, data: bytes = b"") -> None:
-        self._pairs, self.data = pairs, bytearray()
-        self.last: list[int | None] = [None]
+        self._pairs, self.data = pairs, b""
+        self.last: list[int | None] = [-1]
         self.append(data)
 
-    def _extend(self, start: int) -> None:
-        """Fill in the open prefixes that tokens from ``start`` on reach."""
-        ranks, prefixes, last = self._pairs.ranks, self._pairs.prefixes, self.last
-        before, data = last[start], self.data
-        for end in range(start + 1, len(data) + 1):
-            part = bytes(data[start:end])
-            if part not in prefixes:
-                return
-            token = ranks.get(part)
-            if token is not None and last[end] is None and self._pairs.fits(before, token):
-                last[end] = token
+    def _extend(self, first: int, stop: int | None = None) -> None:
+        """Fill in the open prefixes that tokens beginning at ``first`` up to ``stop`` reach."""
+        reach, fitting = self._pairs.reach.get, self._pairs.fitting
+        data, last, size = self.data, self.last, len(self.data)
+        for start in range(first, size if stop is None else stop):
+            before = last[start] << 32
+            for end in range(start + 1, size + 1):
+                token = reach(data[start:end])
+                if token is None:
+                    break
+                if token >= 0 and last[end] is None and fitting[before | token]:
+                    last[end] = token
 
     def append(self, more: bytes) -> None:
         """Add bytes at the end; what was stored stays as it is."""
         first = max(0, len(self.data) - self._pairs.longest + 1)
         self.data += more
         self.last += [None] * len(more)
-        for start in range(first, len(self.data)):
-            self._extend(start)
+        self._extend(first)
 
     def replace(self, start: int, stop: int, new: bytes) -> int:
         """Put ``new`` in place of a range; return how many prefixes had to be computed."""
         longest, old, moved = self._pairs.longest, self.last, len(new) - (stop - start)
-        self.data[start:stop] = new
+        self.data = self.data[:start] + new + self.data[stop:]
         self.last = old[: start + 1] + [None] * (len(self.data) - start)
         agree, after = 0, start + len(new)
         for at in range(max(0, start - longest + 1), len(self.data)):
-            self._extend(at)
+            self._extend(at, at + 1)
             if at + 1 > after:
                 agree = agree + 1 if self.last[at + 1] == old[at + 1 - moved] else 0
                 if agree >= longest:
@@ -158,7 +174,7 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.pairs = BytePairs(ranks)
         self._pattern = regex.compile(PIECES)
-        self._known = Recent(self._piece)
+        self._known = Recent(self._piece, 400_000)
 
     def _piece(self, piece: str) -> bytes:
         data = piece.encode()
