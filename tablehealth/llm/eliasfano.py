@@ -18,17 +18,29 @@ from pyarrow import fs
 _U = np.uint64
 
 
+def _byte_selects() -> np.ndarray:
+    """Place of the set bit of each rank in each byte, at ``byte * 8 + rank``."""
+    table = np.zeros((256, 8), np.int64)
+    for byte in range(256):
+        places = [b for b in range(8) if byte >> b & 1]
+        table[byte, : len(places)] = places
+    return table.reshape(-1)
+
+
+_BYTES = _byte_selects()
+
+
 def _select_in_word(word: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Place of the set bit with this rank in each word."""
     place = np.zeros(len(word), np.int64)
-    rank = rank.copy()
-    for step in (32, 16, 8, 4, 2, 1):
+    for step in (32, 16, 8):
         ones = np.bitwise_count(word & _U((1 << step) - 1)).astype(np.int64)
         on = rank >= ones
-        rank -= ones * on
-        word = np.where(on, word >> _U(step), word)
-        place += step * on
-    return place
+        rank = rank - ones * on
+        shift = step * on
+        word = word >> shift.astype(np.uint64)
+        place += shift
+    return place + _BYTES[(word & _U(255)).astype(np.int64) * 8 + rank]
 
 
 class EliasFano:

@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +38,8 @@ DISCOUNT = 0.75
 SMOOTHING = 0.1
 FOLDS = 10
 END = b"\n"  # not a word, as words hold no white space
-CHUNK = 3_000_000
+CHUNK = 2_000_000
+SLICE = 800_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -95,7 +97,7 @@ class Trie:
             }
             for at, level in enumerate(meta["levels"])
         ]
-        self._known = Recent(lambda w: int(self._look_up([w])[0]), 250_000)
+        self._known = Recent(lambda w: self._look_up([w]).tobytes(), 250_000)
 
     def _by_shard(self, route: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         order = np.argsort(route, kind="stable")
@@ -117,9 +119,10 @@ class Trie:
     def ids(self, words: list[bytes]) -> np.ndarray:
         """Numbers of the words; -1 for those that training has not seen."""
         fresh = self._known.unknown(set(words))
-        for word, at in zip(fresh, self._look_up(fresh).tolist(), strict=True):
-            self._known.learn(word, at)
-        return np.fromiter(map(self._known.__getitem__, words), np.int64, len(words))
+        data = self._look_up(fresh).tobytes()
+        for at, word in enumerate(fresh):
+            self._known.learn(word, data[8 * at : 8 * at + 8])
+        return np.frombuffer(b"".join(map(self._known.__getitem__, words)), np.int64)
 
     def counts(self, depth: int, index: np.ndarray) -> np.ndarray:
         """Counts of the n-grams at these places of a level; 0 for -1."""
@@ -175,13 +178,25 @@ def contexts(own: Trie, ids: np.ndarray, first: np.ndarray, depth: int) -> Itera
         state = at
 
 
-def _texts(batches: Iterator[pa.RecordBatch], rows: int = 384) -> Iterator[tuple[list[bytes], np.ndarray, pa.RecordBatch]]:
+def _texts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[tuple[list[bytes], np.ndarray, pa.RecordBatch]]:
     """All tokens of a few texts, how many each has, and the rows."""
     for batch in slices(batches, rows):
         each = [tokens_of(t) for t in batch["text"].to_pylist()]
         yield [w for t in each for w in t], np.array([len(t) for t in each]), batch
 
 
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
+    """Word numbers of several texts, how many each has, and the rows; about ``SLICE`` numbers at a time."""
+    for batch in batches:
+        sizes = pc.binary_length(batch["ids"]).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+        parts = np.cumsum(sizes) // SLICE
+        for rows in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(parts)) + 1):
+            if len(rows):
+                part = batch.slice(int(rows[0]), len(rows))
+                data = b"".join(part["ids"].to_pylist())
+                yield np.frombuffer(data, "<i4").astype(np.int64), sizes[rows], part
+
+
 def _first(sizes: np.ndarray) -> np.ndarray:
     first = np.zeros(int(sizes.sum()), bool)
     first[np.cumsum(sizes) - sizes] = True
@@ -242,16 +257,44 @@ def _shards(rows: DataFrame, write) -> list[dict]:
     return sorted(found, key=lambda s: s["first"])
 
 
-def train(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT) -> str:
-    """Count and write the trie of all texts; its description, for ``trie``.
+def number(docs: DataFrame, meta: dict) -> DataFrame:
+    """``doc_id``, ``held_out`` and ``ids``: each token of each row as its word's number, four bytes each."""
+    known = json.dumps(meta)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = trie(known)
+        for tokens, sizes, batch in _texts(batches):
+            ids = own.ids(tokens).astype("<i4")
+            ends = np.cumsum(sizes)
+            data = [ids[a:b].tobytes() for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], batch["held_out"], pa.array(data, pa.binary())], names=["doc_id", "held_out", "ids"]
+            )
 
-    Longer n-grams than words are kept if they occur at least ``min_count`` times. One can only do so if the n-grams
-    in it do, so others are never counted.
+    if meta["words"] >= 1 << 31:
+        raise ValueError("more than two thousand million different words do not fit the numbers")
+    fields = [
+        T.StructField("doc_id", docs.schema["doc_id"].dataType),
+        T.StructField("held_out", T.BooleanType()),
+        T.StructField("ids", T.BinaryType()),
+    ]
+    path = f"{shared_folder(docs.sparkSession)}/ids-{uuid.uuid4().hex}"
+    found = docs.mapInArrow(run, T.StructType(fields))
+    found.write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(T.StructType(fields)).parquet(path)
+
+
+def train(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT) -> tuple[str, DataFrame]:
+    """Count and write the trie of the texts that are not held out.
+
+    ``docs`` holds ``doc_id``, ``held_out`` and ``text``. Returns the trie's description, for ``trie``, and the numbered
+    texts of all rows, which are made once and read by every level. Longer n-grams than words are kept if they occur at
+    least ``min_count`` times. One can only do so if the n-grams in it do, so others are never counted.
     """
     spark = docs.sparkSession
     ship(spark)
     folder = f"{shared_folder(spark)}/ngrams-{uuid.uuid4().hex}"
-    texts = docs.select(text_of().alias("text"))
+    texts = docs.where(~F.col("held_out")).select("text")
 
     def write_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (rows := _gathered(batches)) is not None:
@@ -265,6 +308,8 @@ def train(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT) -> st
     meta["words"] = sum(s["n"] for s in meta["levels"][0])
     meta["total"] = sum(s["total"] for s in meta["levels"][0])
     v = max(1, meta["words"])
+    numbered = number(docs, meta)
+    learned = numbered.where(~F.col("held_out"))
     for level in range(2, order + 1):
         known = json.dumps(meta)
 
@@ -277,9 +322,8 @@ def train(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT) -> st
                     [pa.array(keys), pa.array(counts.astype(np.int32))], names=["key", "n"]
                 )
 
-            for tokens, sizes, _ in _texts(batches):
-                ids, first = own.ids(tokens), _first(sizes)
-                state = ids
+            for ids, sizes, _ in _numbered(batches):
+                first, state = _first(sizes), ids
                 for _, at, _, _ in contexts(own, ids, first, level - 1):
                     state = at
                 often = own.counts(level - 1, state) >= min_count
@@ -313,7 +357,7 @@ def train(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT) -> st
             yield _written(folder, level, int(rows["key"][0]), len(n), int(n.sum()), numbers, arrays)
 
         grams = stage(
-            texts.mapInArrow(count, "key long, n int")
+            learned.select("ids").mapInArrow(count, "key long, n int")
             .groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
         )
         parent = F.expr(f"key div {v}L")
@@ -322,12 +366,12 @@ def train(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT) -> st
         )
         rows = grams.withColumn("parent", parent).join(kept, "parent").select("key", "n", "kept")
         meta["levels"].append(_shards(rows, write))
-    return json.dumps(meta)
+    return json.dumps(meta), numbered
 
 
-def score_tokens(own: Trie, tokens: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def score_tokens(own: Trie, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each text: known tokens, log10 of the unigram and of the whole model's probability."""
-    ids, starts = own.ids(tokens), np.cumsum(sizes) - sizes
+    starts = np.cumsum(sizes) - sizes
     base = own.unigram(ids)
     chance = base
     for _, _, a, b in contexts(own, ids, _first(sizes), own.depth):
@@ -343,13 +387,13 @@ def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT) -> Da
     alone. A null ``doc_id`` is not held out. Repeated rows count each time and get equal rows; an empty table
     gives an empty result. If all rows are held out every token is unknown.
     """
-    fold_of = fold(F.col("doc_id"), FOLDS)
-    meta = train(docs.where(fold_of != 0), order, min_count)
+    held = (fold(F.col("doc_id"), FOLDS) == 0).alias("held_out")
+    meta, numbered = train(docs.select("doc_id", held, text_of().alias("text")), order, min_count)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = trie(meta)
-        for tokens, sizes, batch in _texts(batches):
-            known, base, full = score_tokens(own, tokens, sizes)
+        for ids, sizes, batch in _numbered(batches):
+            known, base, full = score_tokens(own, ids, sizes)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch["doc_id"], batch["held_out"], pa.array(sizes.astype(np.int64)), pa.array(known),
@@ -364,5 +408,4 @@ def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT) -> Da
         *(T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")),
         *(T.StructField(n, T.DoubleType()) for n in ("base_score", "score")),
     ]
-    held = (fold_of == 0).alias("held_out")
-    return docs.select("doc_id", held, text_of().alias("text")).mapInArrow(run, T.StructType(fields))
+    return numbered.mapInArrow(run, T.StructType(fields))
