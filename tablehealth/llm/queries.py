@@ -50,8 +50,8 @@ def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
-    """Log-probability of every document."""
-    return ngrams.score(_documents(spark, folder))
+    """Log-probability of every document, by all n-grams of the training texts."""
+    return ngrams.score(_documents(spark, folder), min_count=1)
 
 
 def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:

@@ -104,3 +104,23 @@ def test_odd_rows(spark):
     assert ngrams.score(docs.where(F.lit(False))).count() == 0
     only = spark.createDataFrame([(i, "a b") for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0], "doc_id long, text string")
     assert {(r.n_known, r.train_tokens, r.score) for r in ngrams.score(only).collect()} == {(0, 0, 0.0)}
+
+
+def test_the_query_learns_from_every_ngram(spark, sf_dir):
+    from tablehealth.llm.queries import QUERIES
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    check(QUERIES["op7_lm_scoring"](spark, sf_dir).collect(), texts, least=1)
+
+
+def test_a_passage_seen_once_is_known(spark, tmp_path):
+    from tablehealth.llm.queries import QUERIES
+
+    passage = " ".join(f"w{i}" for i in range(60))
+    mixed = " ".join(f"w{i * 7 % 60}" for i in range(60))
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    learned = [i for i in range(200) if i not in held and zlib.crc32(str(i).encode()) % 10][0]
+    rows = [(learned, passage), (held[0], passage), (held[1], mixed)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.score for r in QUERIES["op7_lm_scoring"](spark, str(tmp_path)).collect()}
+    assert got[held[0]] > got[held[1]] + 20
