@@ -1,8 +1,8 @@
 """Line dedup: remove lines that many sites share.
 
 A HyperLogLog sketch of the sites of each line is built in every task and merged by the aggregation,
-so a line costs one small row per task however often it occurs. Lines whose estimate is near the
-threshold get an exact distinct count before anything is removed.
+so a line costs one small row per task however often it occurs. Lines whose estimate reaches the
+threshold or is near it get an exact distinct count, over originals alone, before anything is removed.
 """
 
 from __future__ import annotations
@@ -16,10 +16,11 @@ from tablehealth.llm.lines import (
     WORD,
     line_items,
     line_key,
+    line_sets,
     normal_line,
+    original_lines,
     text_key,
     text_of,
-    with_copies_marked,
 )
 from tablehealth.sources.scratch import stage
 
@@ -34,45 +35,32 @@ def site(source: Column) -> Column:
 
 
 def shared_lines(found: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``key`` of the lines that at least ``min_sites`` sites hold.
+    """``key`` of the lines that originals on at least ``min_sites`` sites hold.
 
-    Lines shorter than ``min_chars`` are left alone. So is a line most of whose documents are copies
-    of others: its spread comes from copying whole documents, which near-dedup handles.
+    Lines shorter than ``min_chars`` are left alone. Of each group of copies only the original counts: what spreads
+    by copying whole documents is for near-dedup to handle.
     """
-    each = with_copies_marked(found.select("doc_id", "source", "lines"), [])
-    keys = F.array_distinct(
-        F.transform(F.filter("lines", lambda x: x["chars"] >= min_chars), lambda x: x["key"])
-    )
-    seen = each.select(
-        site(F.col("source")).alias("site"), "original", F.explode(keys).alias("key")
-    )
-    spread = (
-        seen.groupBy("key")
-        .agg(
-            F.hll_sketch_agg("site", SKETCH_BITS).alias("sketch"),
-            F.count("*").alias("docs"),
-            F.sum(F.col("original").cast("long")).alias("originals"),
-        )
-        .where(
-            (F.col("docs") >= min_sites) & (F.col("originals") * 2 >= F.col("docs"))
-        )
+    sets = stage(line_sets(found.select("doc_id", "source", "lines"), []))
+    margin = max(2, math.ceil(4 * min_sites * 1.04 / math.sqrt(2**SKETCH_BITS)))
+    likely = stage(
+        sets.select(site(F.col("source")).alias("site"), F.explode("lines.key").alias("key"))
+        .groupBy("key")
+        .agg(F.hll_sketch_agg("site", SKETCH_BITS).alias("sketch"), F.count("*").alias("sets"))
+        .where(F.col("sets") >= min_sites)
         .select("key", F.hll_sketch_estimate("sketch").alias("sites"))
+        .where(F.col("sites") >= min_sites - margin)
+        .select("key")
     )
-    margin = max(2, math.ceil(4 * min_sites * 1.04 / math.sqrt(2**SKETCH_BITS)))
-    likely = stage(spread.where(F.col("sites") >= min_sites - margin))
-    sure = likely.where(F.col("sites") > min_sites + margin).select("key")
-    near = likely.where(F.col("sites") <= min_sites + margin).select("key")
-    exact = (
-        found.select(site(F.col("source")).alias("site"), F.explode("lines.key").alias("key"))
-        .join(near, "key", "left_semi")
-        .groupBy("key", "site")
+    return (
+        original_lines(sets, likely, [])
+        .where(F.col("item.chars") >= min_chars)
+        .groupBy(F.col("item.key").alias("key"), site(F.col("source")).alias("site"))
         .count()
         .groupBy("key")
         .agg(F.count("*").alias("n"))
         .where(F.col("n") >= min_sites)
         .select("key")
     )
-    return sure.unionByName(exact)
 
 
 def clean(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:

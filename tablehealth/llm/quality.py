@@ -12,10 +12,11 @@ from tablehealth.llm.lines import (
     SPACES,
     let,
     line_items,
+    line_sets,
     lines_with_words,
+    original_lines,
     text_key,
     text_of,
-    with_copies_marked,
 )
 from tablehealth.sources.scratch import stage
 
@@ -102,22 +103,23 @@ def common_lines(
     """``source``, ``key`` of the lines that more documents of their host hold than the limit allows.
 
     The limit is ``min_documents``, or ``host_share`` of the host's documents if that is more. Copies
-    of one document count once, and a line that mostly occurs in such copies is none of these:
-    removing copies is the task of deduplication.
+    of one document count once: removing them is the task of deduplication.
     """
-    each = with_copies_marked(found.select("doc_id", "source", "lines"), ["source"])
-    keys = F.array_distinct(F.transform("lines", lambda x: x["key"]))
-    counted = (
-        each.select("source", "original", F.explode(keys).alias("key"))
-        .groupBy("source", "key")
-        .agg(F.count("*").alias("docs"), F.sum(F.col("original").cast("long")).alias("originals"))
-        .where((F.col("originals") > min_documents) & (F.col("originals") * 2 >= F.col("docs")))
-    )
     hosts = found.groupBy("source").agg(F.count("*").alias("host_docs")).alias("h")
-    left = counted.alias("c")
-    return left.join(hosts, F.col("c.source").eqNullSafe(F.col("h.source"))).where(
-        F.col("originals") > F.col("host_docs") * host_share
-    ).select("c.source", "key")
+    sets = stage(line_sets(found.select("doc_id", "source", "lines"), ["source"]))
+
+    def over(counted: DataFrame) -> DataFrame:
+        left = counted.where(F.col("n") > min_documents).alias("c")
+        return left.join(hosts, F.col("c.source").eqNullSafe(F.col("h.source"))).where(
+            F.col("n") > F.col("host_docs") * host_share
+        ).select("c.source", "key")
+
+    every = sets.select("source", F.explode("lines.key").alias("key"))
+    likely = stage(over(every.groupBy("source", "key").agg(F.count("*").alias("n"))))
+    left = original_lines(sets, likely, ["source"])
+    return over(
+        left.groupBy("source", F.col("item.key").alias("key")).agg(F.count("*").alias("n"))
+    )
 
 
 def depleted(found: DataFrame, common: DataFrame) -> DataFrame:

@@ -139,3 +139,37 @@ def test_no_python_in_native_plans(spark, sf_dir, capsys):
         plan = capsys.readouterr().out
         assert "HashAggregate" in plan or "Scan parquet" in plan
         assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "BroadcastNestedLoop", "Cartesian"))
+
+
+def on_template(seed, template, own, n=40):
+    base = [words(("t", seed, k), 10) for k in range(template)]
+    return ["\n".join(base + [words((seed, i, k), 12) for k in range(own)]) for i in range(n)]
+
+
+TEMPLATES = [(s, b, u) for s in range(12) for b, u in ((5, 1), (10, 1), (10, 2), (20, 1), (20, 5))]
+
+
+def test_templates_with_few_own_lines_go(spark):
+    made = {(s, b, u): on_template(s, b, u) for s, b, u in TEMPLATES}
+    rows = [(t, i, k) for k, texts in enumerate(made.values()) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(
+        [(n, t, f"s{i % 12}", f"h{k}") for n, (t, i, k) in enumerate(rows)], "doc_id long, text string, source string, host string"
+    )
+    got = {r.doc_id: (r.text, r.removed_lines) for r in line_dedup.clean(docs).collect()}
+    for n, (t, _, k) in enumerate(rows):
+        _, b, _ = TEMPLATES[k]
+        assert got[n] == ("\n".join(t.split("\n")[b:]), b), TEMPLATES[k]
+    kept = {r.doc_id: r.kept for r in quality.judge(docs.withColumn("source", F.col("host"))).collect()}
+    assert not any(kept.values())
+
+
+def test_copies_with_a_word_changed_stay(spark):
+    base = [words(("near", k), 100) for k in range(3)]
+    rows = []
+    for i in range(400):
+        parts = [x.split() for x in base]
+        parts[i % 3][i % 97] = f"changed{i}"
+        rows.append((i, "\n".join(map(" ".join, parts)), f"s{i % 12}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r.removed_lines for r in line_dedup.clean(docs).collect()} == {0}
+    assert all(r.kept for r in quality.judge(docs.withColumn("source", F.lit("h"))).collect())
