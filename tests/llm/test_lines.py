@@ -163,6 +163,17 @@ def test_templates_with_few_own_lines_go(spark):
     assert not any(kept.values())
 
 
+def test_copies_elsewhere_do_not_save_a_line(spark):
+    licence = "licensed under the terms of the owners"
+    other = ["\n".join([words((i, "own"), 60), licence]) for i in range(300)]
+    copied = words("copied", 60) + "\n" + licence
+    rows = [(i, t, f"s{i % 100}") for i, t in enumerate(other + [copied] * 1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r.removed_lines for r in line_dedup.clean(docs).collect()} == {1}
+    bad = {r.key for r in quality.common_lines(quality.features(docs.withColumn("source", F.lit("h")))).collect()}
+    assert len(bad) == 1
+
+
 def test_copies_with_a_word_changed_stay(spark):
     base = [words(("near", k), 100) for k in range(3)]
     rows = []
