@@ -23,7 +23,7 @@ from tablehealth.llm.tasks import Recent, ship, slices
 SAMPLE = 8000
 MIN_DOCUMENTS = 5
 ROUNDS = 400
-EVIDENCE = 2.5
+EVIDENCE = 6.63  # of a chi-square with one degree of freedom: one in a hundred by chance
 PREFIXES = (3, 4, 5, 6)
 RESTRAINT = 1e-5
 FOLDS = 5
@@ -82,10 +82,24 @@ class Model:
         return best
 
 
+def evidence(toxic: np.ndarray, seen: np.ndarray, all_toxic: float, n: int) -> np.ndarray:
+    """Likelihood ratio (G) of labels that depend on a trait against labels that do not."""
+
+    def part(found: np.ndarray, rows: np.ndarray, share: float) -> np.ndarray:
+        return found * np.log(np.maximum(found, 1e-300) / np.maximum(rows * share, 1e-300))
+
+    rate, rest = all_toxic / n, n - seen
+    return 2 * (
+        part(toxic, seen, rate) + part(seen - toxic, seen, 1 - rate)
+        + part(all_toxic - toxic, rest, rate) + part(rest - all_toxic + toxic, rest, 1 - rate)
+    )
+
+
 def fit(texts: list[str], labels: list[int], rounds: int = ROUNDS) -> Model:
     """Fit by Adam on the noisy-or likelihood, with a penalty on large weights.
 
-    Only traits that toxic documents hold ``EVIDENCE`` times as often as documents do overall get a weight.
+    Traits get a weight if the likelihood ratio of their share of toxic documents against that of all others reaches
+    ``EVIDENCE``, at any base rate and whether they speak for toxic or for harmless texts.
     """
     pool: dict[bytes, bytes] = {}  # one object for each word
     docs = [[[pool.setdefault(w, w) for w in s] for s in sentences_of(t)] for t in texts]
@@ -101,8 +115,11 @@ def fit(texts: list[str], labels: list[int], rounds: int = ROUNDS) -> Model:
         seen.update(here)
         if label:
             toxic.update(here)
-    least = EVIDENCE * y.mean()
-    told = sorted(t for t, n in seen.items() if n >= MIN_DOCUMENTS and toxic[t] > least * n)
+    often = sorted(t for t, n in seen.items() if n >= MIN_DOCUMENTS)
+    ratio = evidence(
+        np.array([toxic[t] for t in often], float), np.array([seen[t] for t in often], float), y.sum(), len(y)
+    )
+    told = [t for t, g in zip(often, ratio.tolist(), strict=True) if g >= EVIDENCE]
     index = {t: i for i, t in enumerate(told)}
     links = np.array([(i, index[t]) for w, i in words.items() for t in own[w] if t in index])
     links = links.astype(np.int64).reshape(-1, 2)

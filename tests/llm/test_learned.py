@@ -139,3 +139,26 @@ def test_language_odd_rows(spark):
     assert got[3] == got[4] == got[5] == "und" and got[None] == "en" and got[6] in ("de", "en")
     assert langid.identify(docs.where(F.lit(False))).count() == 0
     assert {r.lang_pred for r in langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+@pytest.mark.parametrize("rate", [0.2, 0.5, 0.8])
+def test_toxicity_at_any_share_of_toxic_labels(rate):
+    rng = random.Random(7)
+    common = [f"{a}{b}" for a in ("kor", "lem", "vas", "tun", "pid") for b in ("a", "ela", "omi", "ust", "ing", "ath")]
+    bad = ["awful", "nasty", "vile", "horrid"]
+
+    def text(toxic):
+        parts = [[rng.choice(common) for _ in range(6)] for _ in range(6)]
+        if toxic:
+            parts[rng.randrange(6)][rng.randrange(6)] = rng.choice(bad)
+        return ". ".join(map(" ".join, parts)) + "."
+
+    labels = [int(i < rate * 800) for i in range(800)]
+    model = toxicity.fit([text(y) for y in labels], labels)
+    toxic, clean = ([model.document(text(y)) for _ in range(100)] for y in (1, 0))
+    assert sum(x >= 0.5 for x in toxic) >= 90 and sum(x >= 0.5 for x in clean) <= 10
+
+
+def test_evidence_has_both_signs():
+    got = toxicity.evidence(np.array([20.0, 0.0, 10.0]), np.array([20.0, 20.0, 20.0]), 100, 200)
+    assert got[0] == pytest.approx(got[1]) and got[0] > toxicity.EVIDENCE and got[2] == pytest.approx(0)
