@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablehealth.llm import bpe, hamming, langid, line_dedup, ngrams, packing, pii, quality, simhash, toxicity
+from tablehealth.llm import (
+    bpe,
+    hamming,
+    langid,
+    line_dedup,
+    ngrams,
+    packing,
+    pii,
+    quality,
+    sentencepieces,
+    simhash,
+    toxicity,
+)
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -73,6 +85,11 @@ def op10_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumnRenamed("id", "vec_id")
 
 
+def op13_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of every document's piece ids and of the text they decode to."""
+    return sentencepieces.digests(_documents(spark, folder))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -84,4 +101,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
     "op10_exact_top_k": op10_exact_top_k,
+    "op13_sentencepiece": op13_sentencepiece,
 }
