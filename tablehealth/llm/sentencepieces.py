@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import codecs
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import groupby, islice
@@ -110,21 +111,25 @@ class Table:
         self._known = Recent(self._one, 400_000)
 
     def _one(self, word: str) -> bytes:
-        return np.array(self.vocabulary.segment([word])[0], "<i4").tobytes()
+        return array("i", self.vocabulary.segment([word])[0]).tobytes()
+
+    def _learn(self, words: set[str]) -> None:
+        fresh = self._known.unknown(words)
+        for word, ids in zip(fresh, self.vocabulary.segment(fresh), strict=True):
+            self._known.learn(word, array("i", ids).tobytes())
+
+    def _placed(self, words: list[str]) -> bytes:
+        return b"".join(map(self._known.__getitem__, words))
 
     def many(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text: distinct words are segmented once, then joined back by position."""
-        known, get = self._known, self._known.__getitem__
-        out = []
-        for text in texts:
-            ids = []
-            for words in self.vocabulary.words(text):
-                fresh = known.unknown(set(words))
-                for word, found in zip(fresh, self.vocabulary.segment(fresh), strict=True):
-                    known.learn(word, np.array(found, "<i4").tobytes())
-                ids += map(get, words)
-            out.append(np.frombuffer(b"".join(ids), "<i4"))
-        return out
+        out = [b""] * len(texts)
+        parts = ((k, part) for k, text in enumerate(texts) for part in self.vocabulary.words(text))
+        while some := list(islice(parts, 16)):
+            self._learn(set().union(*(words for _, words in some)))
+            for k, words in some:
+                out[k] += self._placed(words)
+        return [np.frombuffer(x, "i4") for x in out]
 
 
 @lru_cache(maxsize=2)
