@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablehealth.llm import (
+    alignment,
     bpe,
     hamming,
     langid,
@@ -85,6 +86,11 @@ def op10_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumnRenamed("id", "vec_id")
 
 
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's tokens of two tokenizers aligned, with how common its links are."""
+    return alignment.scores(_documents(spark, folder))
+
+
 def op13_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of every document's piece ids and of the text they decode to."""
     return sentencepieces.digests(_documents(spark, folder))
@@ -101,5 +107,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
     "op10_exact_top_k": op10_exact_top_k,
+    "op11_alignment": op11_alignment,
     "op13_sentencepiece": op13_sentencepiece,
 }
