@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tablehealth.llm import (
     alignment,
     bpe,
+    conversations,
     hamming,
     langid,
     line_dedup,
@@ -91,6 +92,12 @@ def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.scores(_documents(spark, folder))
 
 
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, after damage by a checksum."""
+    rows = spark.read.parquet(f"{folder}/conversations.parquet")
+    return conversations.report(conversations.damaged(rows), rows)
+
+
 def op13_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of every document's piece ids and of the text they decode to."""
     return sentencepieces.digests(_documents(spark, folder))
@@ -108,5 +115,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_exact_top_k": op10_exact_top_k,
     "op11_alignment": op11_alignment,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_sentencepiece": op13_sentencepiece,
 }
