@@ -18,6 +18,7 @@ from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -121,56 +122,84 @@ class Aligner:
         self._right = Vocabulary(right)
         self._left_size = np.array(list(map(len, self._left_bytes)), np.int64)
         self._right_size = np.array(list(map(len, self._right.bytes)), np.int64)
-        self.known = Recent(lambda w: self.align([w])[0], 200_000)
+        #: Every id as text, with each of the marks that may follow it; left ids first.
+        sides = len(self._left_size) + len(self._right_size)
+        numbers = [str(k if k < len(self._left_size) else k - len(self._left_size)) for k in range(sides)]
+        self._said = [number + mark for mark in (",", "|", ";", "") for number in numbers]
+        self.known: Recent = Recent(None, 200_000)
 
     def words(self, text: str) -> Iterator[list[str]]:
         return self._right.words(text)
 
+    def _spelt(self, left: list[list[int]], right: list[list[int]], words: list[str]) -> list[int]:
+        """Places of the words that both sides spell as they are."""
+        data = [w.encode() for w in words]
+        spelt, other = self._left_bytes.__getitem__, self._right.bytes.__getitem__
+        sizes = np.cumsum(list(map(len, data)))
+        whole = b"".join(data)
+        same = True
+        for side, size, read in ((left, self._left_size, spelt), (right, self._right_size, other)):
+            flat = np.fromiter(chain.from_iterable(side), np.int64)
+            upto = np.cumsum(list(map(len, side)))
+            reached = np.concatenate([[0], np.cumsum(size[flat])])[upto]
+            same = same and bool((reached == sizes).all()) and b"".join(map(read, flat.tolist())) == whole
+        if same:
+            return list(range(len(words)))
+        each = enumerate(zip(left, right, data, strict=True))
+        return [k for k, (a, b, d) in each if b"".join(map(spelt, a)) == d == b"".join(map(other, b))]
+
+    def _texts(self, flat_left: np.ndarray, flat_right: np.ndarray, groups: Groups, last: np.ndarray) -> list[str]:
+        """The groups of each word as text; ``last`` counts the groups up to each word's end."""
+        side = np.repeat([0, 1], [len(flat_left), len(flat_right)])
+        group = np.concatenate([groups.left_of, groups.right_of])
+        order = np.lexsort((side, group))
+        number = np.concatenate([flat_left, flat_right + len(self._left_size)])[order]
+        group, side = group[order], side[order]
+        mark = np.zeros(len(order), np.int64)
+        mark[:-1] = np.where(group[1:] != group[:-1], 2, side[1:] - side[:-1])
+        ends = np.cumsum(groups.left + groups.right)[last - 1]
+        mark[ends - 1] = 3
+        tokens = list(map(self._said.__getitem__, (mark * (len(self._said) // 4) + number).tolist()))
+        bounds = [0, *ends.tolist()]
+        return ["".join(tokens[a:b]) for a, b in zip(bounds, bounds[1:])]
+
     def align(self, words: list[str]) -> list[Word]:
         """The words aligned, all in one pass over their bytes laid end to end."""
         left = [x.ids for x in self._left.encode_batch_fast(words, add_special_tokens=False)]
         right = self._right.segment(words)
-        spelt, data = self._left_bytes.__getitem__, [w.encode() for w in words]
-        other = self._right.bytes.__getitem__
-        fits = [
-            b"".join(map(spelt, a)) == d == b"".join(map(other, b))
-            for a, b, d in zip(left, right, data, strict=True)
-        ]
-        at = [k for k, fine in enumerate(fits) if fine]
+        at = self._spelt(left, right, words)
         out = [_SPOILT] * len(words)
         if not at:
             return out
-        flat_left = np.concatenate([np.array(left[k], np.int64) for k in at])
-        flat_right = np.concatenate([np.array(right[k], np.int64) for k in at])
+        left, right = [left[k] for k in at], [right[k] for k in at]
+        flat_left = np.fromiter(chain.from_iterable(left), np.int64)
+        flat_right = np.fromiter(chain.from_iterable(right), np.int64)
         left_end, right_end = np.cumsum(self._left_size[flat_left]), np.cumsum(self._right_size[flat_right])
         groups = coalesce(
             left_end - self._left_size[flat_left], left_end, right_end - self._right_size[flat_right], right_end
         )
         i, j = expand(groups)
-        pairs = flat_left[i] * SIDE + flat_right[j]
-        links = np.cumsum(groups.left * groups.right)
-        sizes = zip(groups.left.tolist(), groups.right.tolist(), strict=True)
-        a, b = map(str, flat_left.tolist()), map(str, flat_right.tolist())
-        texts = [
-            ",".join([next(a) for _ in range(n)]) + "|" + ",".join([next(b) for _ in range(m)]) for n, m in sizes
-        ]
-        last = groups.left_of[np.cumsum([len(left[k]) for k in at]) - 1] + 1
-        begin = link = 0
-        for k, end in zip(at, last.tolist(), strict=True):
-            upto = int(links[end - 1])
-            out[k] = Word(
-                len(left[k]), len(right[k]), end - begin, ";".join(texts[begin:end]),
-                pairs[link:upto].tobytes(), True,
-            )
-            begin, link = end, upto
+        pairs = (flat_left[i] * SIDE + flat_right[j]).tobytes()
+        last = groups.left_of[np.cumsum(list(map(len, left))) - 1] + 1
+        links = (8 * np.cumsum(groups.left * groups.right)[last - 1]).tolist()
+        texts = self._texts(flat_left, flat_right, groups, last)
+        counts = np.diff(last, prepend=0).tolist()
+        begin = 0
+        for k, a, b, n, text, upto in zip(at, left, right, counts, texts, links, strict=True):
+            out[k] = Word(len(a), len(b), n, text, pairs[begin:upto], True)
+            begin = upto
         return out
 
-    def learn(self, words: set[str]) -> None:
-        fresh = self.known.unknown(words)
+    def table(self, words: set[str]) -> dict[str, Word]:
+        """The words with their alignments; those not known yet are aligned together."""
+        found = self.known.held(words)
+        fresh = [w for w in words if w not in found]
         for at in range(0, len(fresh), 8192):
             part = fresh[at : at + 8192]
             for word, aligned in zip(part, self.align(part), strict=True):
+                found[word] = aligned
                 self.known.learn(word, aligned)
+        return found
 
 
 @lru_cache(maxsize=2)
@@ -191,27 +220,21 @@ class Batch:
 
 def align_texts(own: Aligner, texts: list[str]) -> Batch:
     """All the texts' tokens aligned: ``counts`` holds tokens left and right, groups and links."""
-    place: dict[str, int] = {}
-    table: list[Word] = []
+    said = [list(own.words(text)) for text in texts]
+    words = own.table(set().union(*(part for parts in said for part in parts)))
+    table = list(words.values())
+    place = {word: k for k, word in enumerate(words)}
+    numbers = [array("q", chain.from_iterable(map(place.__getitem__, part) for part in parts)) for parts in said]
+    sizes = np.array(list(map(len, numbers)), np.int64)
+    number = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in numbers if x)])
+    doc = np.repeat(np.arange(len(texts)), sizes)
+    fits = np.array([w.fits for w in table], bool)
+    spoilt = np.bincount(doc[~fits[number]], minlength=len(texts)) > 0
+    write = [w.groups for w in table].__getitem__
+    groups = ["" if bad else ";".join(map(write, x)) for bad, x in zip(spoilt.tolist(), numbers, strict=True)]
+    keep = ~spoilt[doc]
+    doc, number = doc[keep], number[keep]
     counts = np.zeros((len(texts), 4), np.int64)
-    spoilt = np.zeros(len(texts), bool)
-    groups, docs, numbers = [], [], []
-    for at, text in enumerate(texts):
-        said, mine = [], array("q")
-        for words in own.words(text):
-            new = set(words).difference(place)
-            own.learn(new)
-            for word in new:
-                place[word] = len(table)
-                table.append(own.known[word])
-            mine.extend(map(place.__getitem__, words))
-            said += [table[k].groups for k in mine[-len(words) :]]
-        mine = np.frombuffer(mine, np.int64) if mine else np.zeros(0, np.int64)
-        spoilt[at] = not all(table[k].fits for k in set(mine.tolist()))
-        groups.append("" if spoilt[at] else ";".join(said))
-        docs.append(np.full(0 if spoilt[at] else len(mine), at))
-        numbers.append(mine[: len(docs[-1])])
-    doc, number = np.concatenate(docs), np.concatenate(numbers)
     links = np.array([len(w.pairs) // 8 for w in table], np.int64)
     per_word = np.array([(w.n_left, w.n_right, w.n_groups) for w in table], np.int64).reshape(-1, 3)
     for k in range(3):

@@ -108,27 +108,25 @@ class Table:
 
     def __init__(self, path: str) -> None:
         self.vocabulary = Vocabulary(path)
-        self._known = Recent(self._one, 400_000)
+        self._known: Recent = Recent(None, 400_000)
 
-    def _one(self, word: str) -> bytes:
-        return array("i", self.vocabulary.segment([word])[0]).tobytes()
-
-    def _learn(self, words: set[str]) -> None:
-        fresh = self._known.unknown(words)
+    def _of(self, words: set[str]) -> dict[str, bytes]:
+        """The words with their ids; those not known yet are segmented together."""
+        found = self._known.held(words)
+        fresh = [w for w in words if w not in found]
         for word, ids in zip(fresh, self.vocabulary.segment(fresh), strict=True):
-            self._known.learn(word, array("i", ids).tobytes())
-
-    def _placed(self, words: list[str]) -> bytes:
-        return b"".join(map(self._known.__getitem__, words))
+            found[word] = array("i", ids).tobytes()
+            self._known.learn(word, found[word])
+        return found
 
     def many(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text: distinct words are segmented once, then joined back by position."""
         out = [b""] * len(texts)
         parts = ((k, part) for k, text in enumerate(texts) for part in self.vocabulary.words(text))
         while some := list(islice(parts, 16)):
-            self._learn(set().union(*(words for _, words in some)))
+            ids = self._of(set().union(*(words for _, words in some)))
             for k, words in some:
-                out[k] += self._placed(words)
+                out[k] += b"".join(map(ids.__getitem__, words))
         return [np.frombuffer(x, "i4") for x in out]
 
 

@@ -62,6 +62,14 @@ class Recent(dict):
         """Those of the keys that have no value here."""
         return [k for k in keys if k not in self and k not in self._old]
 
+    def held(self, keys) -> dict:
+        """Those of the keys that have values here, with their values; they count as used."""
+        found = {k: self[k] if k in self else self._old[k] for k in keys if k in self or k in self._old}
+        for key, value in found.items():
+            if key not in self:
+                self.learn(key, value)
+        return found
+
     def learn(self, key, value) -> None:
         """Keep a value that was made elsewhere."""
         if len(key) > self.LONGEST:
