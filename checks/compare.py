@@ -37,17 +37,19 @@ def rows_of(columns, rows):
     return [columns[at] for at in order], sorted(tuple(plain(r[at]) for at in order) for r in rows)
 
 
-def compare(spark: SparkSession, folder: str, name: str) -> tuple[bool, str]:
+def compare(
+    spark: SparkSession, folder: str, name: str, queries: dict = QUERIES, oracle: dict = ORACLE
+) -> tuple[bool, str]:
     con = duckdb.connect()
     for table in TABLES:
         con.execute(f"create view {table} as select * from '{folder}/{table}.parquet'")
     start = time.time()
-    df = QUERIES[name](spark, folder)
+    df = queries[name](spark, folder)
     left = rows_of(df.columns, [tuple(r) for r in df.collect()])
     spent = time.time() - start
-    if name not in ORACLE:
+    if name not in oracle:
         return True, f"{len(left[1])} rows, {spent:.1f} s, no SQL"
-    result = con.execute(ORACLE[name])
+    result = con.execute(oracle[name])
     right = rows_of([d[0] for d in result.description], result.fetchall())
     if left == right:
         return True, f"{len(left[1])} rows, {spent:.1f} s"

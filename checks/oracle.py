@@ -159,6 +159,9 @@ summary as (
   join (select project_id, max(depth) as max_chain_depth from depths group by project_id) d using (project_id))
 """
 
+# Whether a model depends on no other; ids here hold no comma.
+_NO_MODELS = "not contains(',' || coalesce(array_to_string(depends_on, ','), ''), ',model.')"
+
 # The graph without the walk over its chains, for queries that need no depth.
 FLAT_GRAPH = GRAPH[: GRAPH.index("feeds as (")].rstrip().rstrip(",")
 
@@ -436,11 +439,20 @@ ORACLE: dict[str, str] = {
         select key, name, regexp_matches(name, '^[a-zA-Z_][a-zA-Z0-9_]{0,127}$') as is_safe
         from (select c_custkey as key, c_name as name from customer
               union all select p_partkey, replace(p_name, ' ', '_') from part)""",
-    "graph_nodes": f"""with {FLAT_GRAPH}
-        select project_id, node_id, name, pos, downstream_count, is_exposed, is_root, is_orphan, is_high_fan_out
-        from flagged""",
+    "graph_nodes": f"""with models as ({FLEET_MODELS}),
+        consumers as (
+          select project_id, split_part(dep_id, '.', 3) as name, count(*) as n
+          from (select project_id, unnest(depends_on) as dep_id from models) group by all),
+        exposed as (select distinct 'o' || o_orderkey as name from orders where o_orderpriority = '1-URGENT'),
+        told as (
+          select m.*, coalesce(c.n, 0) as downstream_count,
+            m.project_id = 'shop' and x.name is not null as is_exposed
+          from models m left join consumers c using (project_id, name) left join exposed x using (name))
+        select project_id, node_id, name, pos, downstream_count, is_exposed, {_NO_MODELS} as is_root,
+          downstream_count = 0 and not is_exposed as is_orphan, downstream_count >= 5 as is_high_fan_out
+        from told""",
     "orphans": f"with {FLAT_GRAPH} select distinct project_id, name from flagged where is_orphan",
-    "roots": f"with {FLAT_GRAPH} select project_id, node_id, name, pos from flagged where is_root",
+    "roots": f"select project_id, node_id, name, pos from ({FLEET_MODELS}) where {_NO_MODELS}",
     "fan_out": f"""with {FLAT_GRAPH},
         ordered as (select *, row_number() over (partition by project_id, src order by pos, dst, dep_pos) as rn
                     from links)
