@@ -24,6 +24,19 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def quoted(name: str) -> Column:
+    """The column of that name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A name like ``name`` that ``df`` has no column of."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_key(text: Column) -> Column:
     """Sixteen bytes that stand for a whole text."""
     return F.unhex(F.md5(text))
@@ -130,25 +143,3 @@ def original_lines(sets: DataFrame, common: DataFrame, within: list[str]) -> Dat
     left = told.where("common").alias("t")
     on = (F.col("t.set_key") == F.col("o.set_key")) & _same("t", "o", within)
     return left.join(originals, on, "left_semi").select("set_key", "source", "item")
-
-
-def with_copies_marked(docs: DataFrame, within: list[str]) -> DataFrame:
-    """Add ``original``: false for a document whose smallest and largest line keys an earlier one has too.
-
-    Copies of a document, exact or with a few lines changed, mostly share both, while unrelated documents that have
-    lines in common do not, as all their other lines would have to lie between these. The earliest document
-    (by ``doc_id``) of such a pair of keys counts as the original. ``within`` names columns in which both have to
-    agree. Needs ``doc_id`` and ``lines``.
-    """
-    keys = F.transform("lines", lambda x: x["key"])
-    keyed = docs.withColumn("low_key", F.array_min(keys)).withColumn("high_key", F.array_max(keys))
-    by = [*within, "low_key", "high_key"]
-    first = keyed.groupBy(*by).agg(F.min("doc_id").alias("first_id"))
-    left, right = keyed.alias("l"), first.alias("r")
-    same = F.col(f"l.{by[0]}").eqNullSafe(F.col(f"r.{by[0]}"))
-    for name in by[1:]:
-        same &= F.col(f"l.{name}").eqNullSafe(F.col(f"r.{name}"))
-    original = F.coalesce(F.col("l.doc_id") == F.col("r.first_id"), F.lit(False))
-    return left.join(right, same).select(
-        *(F.col(f"l.{name}") for name in docs.columns), original.alias("original")
-    )

@@ -70,9 +70,10 @@ class Encoder:
         if not word.isascii() and not _PLAIN.fullmatch(word):
             return word, ""
         stem = word.rstrip(_MARKS)
-        if not stem[-1:].isalnum():
+        low = stem.lower()  # may end in a combining mark, which does join with what follows
+        if not (stem[-1:].isalnum() and low[-1:].isalnum()):
             return word, ""
-        return stem.lower(), word[len(stem) :]
+        return low, word[len(stem) :]
 
     def _word(self, word: str) -> bytes:
         stem, marks = self._split(word)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablehealth.llm.lines import text_of
+from tablehealth.llm.lines import quoted, text_of, unused
 from tablehealth.llm.tagger import Tagger
 from tablehealth.llm.tasks import ship, slices
 
@@ -284,29 +284,40 @@ def spelled(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
 
-def _each(docs: DataFrame, names: dict[str, T.DataType], row: Callable[[str, list, list], tuple], model: Tagger | None) -> DataFrame:
-    """``docs`` with columns made from each text and its spans; ``text`` must not be null."""
+def _each(
+    docs: DataFrame, names: dict[str, T.DataType], row: Callable[[str, list, list], tuple], model: Tagger | None
+) -> DataFrame:
+    """Columns made from each text and its spans: in place of those of that name, the others after them.
+
+    Columns are told apart by their places, so they may be called anything. A null text is read as empty.
+    """
     kept = [f for f in docs.schema.fields if f.name not in names]
+    places = [f"c{k}" for k in range(len(kept))]
+    made_names = [f"made{k}" for k in range(len(names))]
+    types = {T.StringType(): pa.string(), T.LongType(): pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = batch["_text"].to_pylist()
+            texts = batch["text"].to_pylist()
             made = [row(t, *s) for t, s in zip(texts, find(model, texts), strict=True)]
             columns = list(zip(*made, strict=True)) or [[] for _ in names]
-            types = {T.StringType(): pa.string(), T.LongType(): pa.int64()}
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(batch[f.name] for f in kept),
+                    *(batch[n] for n in places),
                     *(pa.array(list(c), types[t]) for c, t in zip(columns, names.values(), strict=True)),
                 ],
-                names=[*(f.name for f in kept), *names],
+                names=[*places, *made_names],
             )
 
-    schema = T.StructType([*kept, *(T.StructField(n, t) for n, t in names.items())])
-    return (
-        docs.select(*(F.col(f"`{f.name}`") for f in kept), text_of().alias("_text"))
-        .mapInArrow(run, schema)
-    )
+    schema = T.StructType([
+        *(T.StructField(n, f.dataType) for n, f in zip(places, kept, strict=True)),
+        *(T.StructField(n, t) for n, t in zip(made_names, names.values(), strict=True)),
+    ])
+    given = [quoted(f.name).alias(n) for n, f in zip(places, kept, strict=True)]
+    done = docs.select(*given, text_of().alias("text")).mapInArrow(run, schema)
+    place_of = dict(zip([*(f.name for f in kept), *names], [*places, *made_names], strict=True))
+    order = [n for n in docs.columns if n in place_of] + [n for n in names if n not in docs.columns]
+    return done.select(*(F.col(place_of[n]) for n in order)).toDF(*order)
 
 
 def spans(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -338,10 +349,15 @@ def masked(text: str, every: list[Span]) -> str:
 
 
 def mask(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """All rows and columns of ``docs`` with personal data masked in ``text``; null stays null."""
+    """All rows and columns of ``docs`` with personal data masked in ``text``.
+
+    Reads ``text`` alone; other columns pass through, whatever they are called. A null text stays null, an empty one
+    empty. Repeated rows are masked alike, an empty table gives an empty result.
+    """
     ship(docs.sparkSession)
     model = train(labelled(docs, sample))
-    held = docs.withColumn("_null", F.col("text").isNull())
+    missing = unused(docs, "missing")
+    held = docs.withColumn(missing, F.col("text").isNull())
     done = _each(held, {"text": T.StringType()}, lambda t, _, every: (masked(t, every),), model)
-    text = F.when(~F.col("_null"), F.col("text")).alias("text")
-    return done.select(*(text if n == "text" else F.col(f"`{n}`") for n in docs.columns))
+    text = F.when(~F.col(missing), F.col("text")).alias("text")
+    return done.select(*(text if n == "text" else quoted(n) for n in docs.columns))

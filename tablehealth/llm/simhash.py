@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from tablehealth.llm.bitslice import bucket_links
 from tablehealth.llm.components import components
-from tablehealth.llm.lines import text_key, text_of
+from tablehealth.llm.lines import text_key, text_of, unused
 from tablehealth.llm.tasks import ship, slices
 from tablehealth.sources.scratch import stage
 
@@ -179,14 +179,15 @@ def classes(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """The documents that give their component its id, once each, with all their columns.
 
-    Rows without a ``doc_id`` stay, as no component is named after them.
+    Rows without a ``doc_id`` stay, as no component is named after them. Other columns pass through, whatever they are
+    called.
     """
     first = (
-        classes(docs).where("doc_id = component_id").select("doc_id", "text_key").distinct()
+        classes(docs).where("doc_id = component_id")
+        .select(F.col("doc_id").alias("first_id"), F.col("text_key").alias("first_key")).distinct()
     ).alias("first")
-    keyed = docs.withColumn("_text_key", text_key(text_of())).alias("doc")
-    same = (F.col("doc.doc_id") == F.col("first.doc_id")) & (
-        F.col("doc._text_key") == F.col("first.text_key")
-    )
-    named = keyed.join(first, same, "left_semi").dropDuplicates(["doc_id", "_text_key"])
-    return named.unionByName(keyed.where("doc_id is null")).drop("_text_key")
+    key = unused(docs, "text_key")
+    keyed = docs.withColumn(key, text_key(text_of())).alias("doc")
+    same = (F.col("doc.doc_id") == F.col("first.first_id")) & (F.col(f"doc.{key}") == F.col("first.first_key"))
+    named = keyed.join(first, same, "left_semi").dropDuplicates(["doc_id", key])
+    return named.unionByName(keyed.where("doc_id is null")).drop(key)

@@ -2,81 +2,6 @@
 
 from __future__ import annotations
 
-_WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t-\\r]+'), lambda x: x <> '')"
-_NORMAL = "lower(trim(regexp_replace(line, '[ \\t-\\r]+', ' ', 'g')))"
-
-_LINES = f"""
-    rows_ as (select row_number() over () as rid, doc_id, source, coalesce(text, '') as text
-              from documents),
-    split_ as (select rid, doc_id, source, unnest(string_split(text, chr(10))) as line,
-                      generate_subscripts(string_split(text, chr(10)), 1) as place from rows_),
-    lines as (select rid, doc_id, source, place, length(norm) as chars,
-                     ('0x' || substr(md5(norm), 1, 15))::bigint as key
-              from (select *, {_NORMAL} as norm from split_
-                    where regexp_matches(line, '[^ \\t-\\r]'))),
-    anchors as (select rid, doc_id, source, min(key) as low, max(key) as high from lines group by all)
-"""
-
-OP1 = f"""
-with {_LINES},
-    marked as (select rid, doc_id = min(doc_id) over (partition by low, high) as original from anchors),
-    shared as (
-        select key from lines join marked using (rid) where chars >= 12
-        group by key
-        having count(distinct coalesce(source, chr(1))) >= 10
-           and count(distinct rid) filter (original) * 2 >= count(distinct rid)),
-    kept as (
-        select rid, string_agg(line, chr(10) order by place) as text
-        from split_ anti join (select rid, place from lines semi join shared using (key)) gone
-             using (rid, place) group by rid),
-    gone_ as (select rid, count(*) as n from lines semi join shared using (key) group by rid)
-select r.doc_id,
-       case when n is null then r.text else coalesce(kept.text, '') end as text,
-       coalesce(n, 0) as removed_lines
-from rows_ r left join kept using (rid) left join gone_ using (rid)
-"""
-
-OP9 = f"""
-with {_LINES},
-    marked as (select rid, doc_id = min(doc_id) over (partition by source, low, high) as original
-               from anchors),
-    hosts as (select source, count(*) as host_docs from documents group by source),
-    common as (
-        select lines.source, key from lines join marked using (rid)
-             join hosts on hosts.source is not distinct from lines.source
-        group by lines.source, key, host_docs
-        having count(distinct rid) filter (original) > greatest(20, host_docs * 0.005)
-           and count(distinct rid) filter (original) * 2 >= count(distinct rid)),
-    lost as (
-        select rid from lines left join (select *, true as bad from common) c
-             on c.source is not distinct from lines.source and c.key = lines.key
-        group by rid having 2 * coalesce(sum(chars) filter (bad), 0) > sum(chars)),
-    words as (select rid, {_WORDS} as w from rows_),
-    windows as (select rid, unnest(list_transform(range(1, len(w) - 1),
-                                   lambda i: list_aggregate(w[i:i+2], 'string_agg', ' '))) as win,
-                       unnest(range(1, len(w) - 1)) as spot from words where len(w) >= 3),
-    twice as (select rid, spot from windows
-              qualify count(*) over (partition by rid, win) >= 2),
-    repeats as (select rid, count(distinct spot + o) as n
-                from twice, (select unnest([0, 1, 2]) as o) group by rid),
-    dups as (select rid, count(*) - count(distinct line) as n from split_
-             where regexp_matches(line, '[^ \\t-\\r]') group by rid),
-    counted as (
-        select r.rid, r.doc_id, len(w)::bigint as n_words,
-               length(list_aggregate(w, 'string_agg', ''))::bigint as word_chars,
-               length(regexp_replace(r.text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
-               coalesce(dups.n, 0)::bigint as n_dup_lines,
-               coalesce(repeats.n, 0)::bigint as n_repeat_words
-        from rows_ r join words using (rid) left join dups using (rid)
-             left join repeats using (rid)),
-    based as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed
-              from counted)
-select doc_id, n_words, coalesce(word_chars, 0) as word_chars, n_symbols, n_dup_lines,
-       n_repeat_words, base_failed,
-       not base_failed and rid not in (select rid from lost) as kept
-from based
-"""
-
 OP10 = """
 with coded as (
         select vec_id, list_sum(list_transform(range(1, len(embedding) + 1),
@@ -91,6 +16,6 @@ select query_id, (row_number() over (partition by query_id order by distance, ve
 from pairs qualify rank <= 10
 """
 
-ORACLE: dict[str, str] = {
-    "op10_exact_top_k": OP10,
-    "op1_line_dedup": OP1, "op9_quality_rules": OP9}
+#: The rule for copies in operators 1 and 9 rests on 64-bit hashes that the other engine lacks, so their tests hold
+#: them against plain loops.
+ORACLE: dict[str, str] = {"op10_exact_top_k": OP10}

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablehealth.llm.lines import text_of
+from tablehealth.llm.lines import text_key, text_of
 from tablehealth.llm.tasks import Recent, ship, slices
 
 SAMPLE = 8000
+#: Characters of the sampled texts together; texts beyond it in the order of their hash are not learned from.
+SAMPLE_CHARS = 64_000_000
 MIN_DOCUMENTS = 5
 ROUNDS = 400
 EVIDENCE = 6.63  # of a chi-square with one degree of freedom: one in a hundred by chance
@@ -156,14 +159,35 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(-1))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from at most ``sample`` labelled documents of the training folds, picked by their hash."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model:
+    """A model from at most ``sample`` labelled texts of the training folds, of ``chars`` characters together.
+
+    Ids are picked by their hash, and of each id every text once, in the order of a hash: at most ``sample`` sizes come to
+    the driver, then the texts that fit.
+    """
     known = (
         labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         .where(fold(F.col("doc_id"), FOLDS) != 0)
     )
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", text_of().alias("text")).join(picked, "doc_id").collect()
+    texts = docs.select("doc_id", text_of().alias("text")).join(picked, "doc_id").select(
+        "doc_id", "text", "toxic", text_key(F.col("text")).alias("key")
+    )
+    sizes = (
+        texts.groupBy("doc_id", "key").agg(F.max(F.length("text")).alias("size"))
+        .orderBy(F.xxhash64("doc_id", "key"), "doc_id", "key").limit(sample).collect()
+    )
+    fits = [r for r, total in zip(sizes, accumulate(r["size"] for r in sizes), strict=True) if total <= chars]
+    if not fits:
+        return fit([], [])
+    chosen = docs.sparkSession.createDataFrame(
+        [(r["doc_id"], r["key"]) for r in fits], T.StructType([texts.schema["doc_id"], texts.schema["key"]])
+    )
+    # Texts are hashed once more, as a row for each of the few pairs is wanted however often it occurs.
+    rows = (
+        texts.join(chosen, ["doc_id", "key"], "left_semi").groupBy("doc_id", "key")
+        .agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).collect()
+    )
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     return fit([r["text"] for r in rows], [int(r["toxic"]) for r in rows])
 

@@ -162,3 +162,18 @@ def test_toxicity_at_any_share_of_toxic_labels(rate):
 def test_evidence_has_both_signs():
     got = toxicity.evidence(np.array([20.0, 0.0, 10.0]), np.array([20.0, 20.0, 20.0]), 100, 200)
     assert got[0] == pytest.approx(got[1]) and got[0] > toxicity.EVIDENCE and got[2] == pytest.approx(0)
+
+
+def test_copies_of_a_labelled_document_are_learned_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: seen.append((texts, labels)) or toxicity.Model({}, 0.0))
+    rows = [(1, "same text")] * 300 + [(1, "another"), (2, "x" * 50), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 4)], "doc_id long, toxic int")
+    toxicity.train(docs, labels)
+    known = {r.doc_id for r in docs.where(toxicity.fold(F.col("doc_id"), toxicity.FOLDS) != 0).select("doc_id").distinct().collect()}
+    want = sorted({(i, t or "") for i, t in rows if i in known})
+    assert list(zip(seen[0][0], seen[0][1])) == [(t, i % 2) for i, t in want]
+    toxicity.train(docs, labels, sample=2)
+    toxicity.train(docs, labels, chars=0)
+    assert len(seen[1][0]) == min(2, len(want)) and not any(seen[2][0])

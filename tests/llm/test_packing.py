@@ -120,3 +120,11 @@ def test_odd_rows_and_sequences(spark):
     assert sum(len(r.ids) for r in full) == 4 * sum(want)
     assert all(len(r.ids) <= 4 * 2048 for r in full)
     assert packing.pack(docs.where(F.lit(False))).count() == 0
+
+
+def test_every_letter_before_every_mark():
+    texts = [f"{a}{chr(c)}{mark}" for c in range(0x21, 0x250) for mark in ".,:;!?" for a in ("", "Ta")] + ["TARİHİ.", "İ!?İ."]
+    own = packing.encoder(public_tokenizers.path(packing.VOCABULARY))
+    library = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    for text, found in zip(texts, own.many(texts), strict=True):
+        assert np.frombuffer(found, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text

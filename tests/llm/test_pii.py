@@ -132,3 +132,13 @@ def test_odd_rows(spark):
     assert text[3] == "<IP> " * 900
     none = docs.where(F.lit(False))
     assert pii.spans(none).count() == 0 and pii.mask(none).count() == 0
+
+
+def test_masking_keeps_columns_of_any_name(spark):
+    rows = [(1, "mail a.b@c.org now", "p", True, 3, None), (1, "mail a.b@c.org now", "p", True, 3, None), (2, None, None, None, 4, "q"), (3, "", "p", False, 5, "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _text string, _null boolean, `a.b` int, `missing` string")
+    out = pii.mask(docs)
+    assert out.columns == docs.columns and out.schema["a.b"].dataType == docs.schema["a.b"].dataType
+    got = sorted((tuple(r) for r in out.collect()), key=str)
+    assert got == sorted(((i, t.replace("a.b@c.org", "<EMAIL>") if t else t, *rest) for i, t, *rest in rows), key=str)
+    assert pii.mask(docs.where("false")).count() == 0

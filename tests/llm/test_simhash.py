@@ -126,3 +126,9 @@ def test_odd_rows(spark):
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == [1, 5, 8]
     empty = docs.where(F.lit(False))
     assert simhash.classes(empty).count() == 0 and simhash.keep_first(empty).count() == 0
+
+
+def test_first_documents_keep_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", "x", 7), (2, "a b c d e f", "y", 8)], "doc_id long, text string, text_key string, _text_key int")
+    out = simhash.keep_first(docs)
+    assert out.columns == docs.columns and [tuple(r) for r in out.collect()] == [(1, "a b c d e f", "x", 7)]
