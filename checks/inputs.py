@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablehealth.operators.profile import union_all
@@ -76,6 +76,25 @@ def fleet_models(spark: SparkSession, folder: str) -> DataFrame:
     return union_all([part.select(*fields) for part in (customers, orders, lines, turns)])
 
 
+def ring_models(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders that depend on the customer's order before; for every third customer the first depends on the last."""
+    by = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    ends = Window.partitionBy("o_custkey")
+    before = F.coalesce(
+        F.lag("o_orderkey").over(by), F.when(F.col("o_custkey") % 3 == 0, F.max("o_orderkey").over(ends))
+    )
+    orders = table(spark, folder, "orders").withColumn("before", before).selectExpr(
+        "'ring' project_id", "concat('model.ring.o', o_orderkey) node_id", "concat('o', o_orderkey) name", "o_orderkey pos",
+        "if(before is null, cast(array() as array<string>), array(concat('model.ring.o', before))) depends_on",
+    )
+    lines = table(spark, folder, "lineitem").selectExpr(
+        "'ring' project_id", "concat('model.ring.l', l_orderkey, '_', l_linenumber) node_id",
+        "concat('l', l_orderkey, '_', l_linenumber) name", "l_orderkey pos",
+        "array(concat('model.ring.o', l_orderkey)) depends_on",
+    )
+    return orders.unionByName(lines)
+
+
 def fleet_exposures(spark: SparkSession, folder: str) -> DataFrame:
     """Urgent orders are in use outside the graph."""
     return (

@@ -462,6 +462,11 @@ ORACLE: dict[str, str] = {
         group by l.project_id, l.src having count(*) >= 15""",
     "node_depths": f"""with recursive {GRAPH}
         select project_id, name, depth, false as is_cyclic from depths""",
+    "graph_cycles": """with rings as (select o_orderkey from orders where o_custkey % 3 = 0)
+        select 'ring' as project_id, 'o' || o_orderkey as name, true as on_cycle from rings
+        union all
+        select distinct 'ring', 'l' || l_orderkey || '_' || l_linenumber, false
+        from lineitem join rings on l_orderkey = o_orderkey""",
     "max_depth": f"""with recursive {GRAPH}
         select project_id, max(depth) as max_chain_depth, max(depth) > 10 as is_deep, false as has_cycle
         from depths group by project_id""",

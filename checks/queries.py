@@ -425,6 +425,11 @@ def node_depths(spark, folder):
     return lineage.node_depths(i.fleet_models(spark, folder))
 
 
+@query
+def graph_cycles(spark, folder):
+    return lineage.cycles(i.ring_models(spark, folder))
+
+
 @query
 def max_depth(spark, folder):
     return lineage.depth_summary(lineage.node_depths(i.fleet_models(spark, folder)))

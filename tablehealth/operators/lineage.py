@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablehealth.functions.text import last_segment
-from tablehealth.sources.scratch import Scratch
+from tablehealth.operators import depth
 
 # Fan-out threshold, listed consumers, depth that draws a warning, model id prefix.
 HIGH_FAN_OUT = 5
@@ -125,50 +125,35 @@ def by_fan_out(hubs: DataFrame) -> DataFrame:
     return hubs.orderBy("project_id", F.desc("downstream_count"), "model")
 
 
-def node_depths(models: DataFrame, match: str = "name") -> DataFrame:
+def node_depths(models: DataFrame, match: str = "name", local: int = depth.LOCAL_EDGES) -> DataFrame:
     """Longest chain of models ending in each model, counted in models.
 
-    Peels the graph level by level. A round keeps the edges whose source still has an incoming
-    edge; a model therefore has as many rounds as the longest chain above it. All projects peel
-    together, and the edges shrink from round to round. Rounds are written to the shared folder.
-    A model that feeds a large part of the graph is one key of the semi join; adaptive execution
-    splits its edges. When a round removes nothing, what is left lies on a cycle or downstream of one: these models
-    get a null depth and ``is_cyclic``.
+    Models on a cycle or downstream of one get a null depth and ``is_cyclic``. How levels are found: see
+    :func:`tablehealth.operators.depth.levels`.
     """
     names = models.select("project_id", _key(match).alias("name")).distinct()
-    links = (
+    found = depth.levels(_links(models, names, match), local)
+    cyclic = F.coalesce("is_cyclic", F.lit(False))
+    return names.join(found, ["project_id", "name"], "left").select(
+        "project_id", "name", F.when(~cyclic, F.coalesce("depth", F.lit(1))).alias("depth"), cyclic.alias("is_cyclic")
+    )
+
+
+def cycles(models: DataFrame, match: str = "name", local: int = depth.LOCAL_EDGES) -> DataFrame:
+    """The models without a depth: ``on_cycle`` tells those that reach themselves from those behind a cycle."""
+    names = models.select("project_id", _key(match).alias("name")).distinct()
+    found = depth.levels(_links(models, names, match), local)
+    return found.where("is_cyclic").select("project_id", "name", "on_cycle")
+
+
+def _links(models: DataFrame, names: DataFrame, match: str) -> DataFrame:
+    """Which known model feeds which, each pair once."""
+    return (
         edges(models, match)
         .where(F.col("dep_id").startswith(MODEL_PREFIX))
         .select("project_id", "src", "dst")
-        .distinct()
         .join(names.withColumnRenamed("name", "src"), ["project_id", "src"], "left_semi")
-    )
-    scratch = Scratch(models.sparkSession, "depth")
-    left, count = scratch.write(links, 0)
-    if count == 0:
-        return names.select(
-            "*", F.lit(1).alias("depth"), F.lit(False).alias("is_cyclic")
-        )
-    version, stuck = 0, False
-    while count and not stuck:
-        version += 1
-        fed = left.select("project_id", F.col("dst").alias("src")).distinct()
-        left, remaining = scratch.write(left.join(fed, ["project_id", "src"], "left_semi"), version)
-        stuck, count = remaining == count, remaining
-    last = (
-        scratch.all_versions(left.schema)
-        .groupBy("project_id", F.col("dst").alias("name"))
-        .agg(F.max("version").alias("last"))
-    )
-    cyclic = (F.col("last") == version) if stuck else F.lit(False)
-    return names.join(last, ["project_id", "name"], "left").select(
-        "project_id",
-        "name",
-        F.when(F.col("last").isNull(), 1)
-        .when(cyclic, F.lit(None).cast("int"))
-        .otherwise(F.col("last") + 2)
-        .alias("depth"),
-        F.coalesce(cyclic, F.lit(False)).alias("is_cyclic"),
+        .distinct()
     )
 
 
@@ -192,10 +177,10 @@ def summarize(nodes: DataFrame, depths: DataFrame) -> DataFrame:
 
 
 def depth_summary(depths: DataFrame) -> DataFrame:
-    depth = F.coalesce(F.max("depth"), F.lit(0))
+    longest = F.coalesce(F.max("depth"), F.lit(0))
     return depths.groupBy("project_id").agg(
-        depth.alias("max_chain_depth"),
-        (depth > DEEP).alias("is_deep"),
+        longest.alias("max_chain_depth"),
+        (longest > DEEP).alias("is_deep"),
         F.bool_or("is_cyclic").alias("has_cycle"),
     )
 

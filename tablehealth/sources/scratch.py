@@ -39,11 +39,13 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str) -> None:
         self._spark = spark
         self.path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+        self.last = -1  # the version written last
 
     def write(self, df: DataFrame, version: int) -> tuple[DataFrame, int]:
         """Write one version; return it read back, and its row count taken while writing."""
         seen = Observation()
         target = f"{self.path}/version={version}"
+        self.last = version
         df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(target)
         return self._spark.read.schema(df.schema).parquet(target), seen.get["n"]
 

@@ -1,8 +1,9 @@
 import random
+import time
 
 import pytest
 
-from tablehealth.operators import lineage
+from tablehealth.operators import depth, lineage
 
 MODELS = "project_id string, node_id string, name string, pos int, depends_on array<string>"
 EXPOSURES = "project_id string, depends_on array<string>"
@@ -93,3 +94,85 @@ def test_random_graph_against_brute_force(spark):
     for name, deps in spec:
         longest[name] = 1 + max((longest[d.rsplit(".", 1)[1]] for d in deps), default=0)
     assert depths(graph(spark, spec)) == longest
+
+
+def reach(links):
+    """Everything that each node leads to."""
+    out = {}
+    for a, b in links:
+        out.setdefault(a, set()).add(b)
+    found = {}
+    for start in {x for pair in links for x in pair}:
+        seen, open_ = set(), [start]
+        while open_:
+            for after in out.get(open_.pop(), ()):
+                if after not in seen:
+                    seen.add(after)
+                    open_.append(after)
+        found[start] = seen
+    return found
+
+
+@pytest.mark.parametrize("local", [0, 14, lineage.depth.LOCAL_EDGES])
+def test_cycles_against_reach(spark, local):
+    """In rounds alone, in rounds and then in tasks, and in tasks alone."""
+    rng = random.Random(3)
+    specs = {
+        "p": [(f"n{i:02}", [f"model.p.n{j:02}" for j in range(14) if rng.random() < 0.075]) for i in range(14)],
+        "q": [("a", ["model.q.c"]), ("b", ["model.q.a"]), ("c", ["model.q.b"]), ("d", ["model.q.c"]), ("e", ["model.q.d", "model.q.g"]),
+              ("f", ["model.q.e"]), ("g", ["model.q.f"]), ("h", ["model.q.g", "model.q.r"]), ("r", []), ("s", ["model.q.r", "model.q.s"])],
+    }
+    models = graph(spark, specs["p"]).union(graph(spark, specs["q"], "q"))
+    want_depth, want_cycle = {}, {}
+    for project, spec in specs.items():
+        links = [(d.rsplit(".", 1)[1], name) for name, deps in spec for d in deps]
+        leads = reach(links)
+        circular = {n for n, seen in leads.items() if n in seen}
+        behind = circular | {x for n in circular for x in leads[n]}
+        longest = {}
+
+        def chain(name):
+            if name not in longest:
+                longest[name] = 1 + max((chain(a) for a, b in links if b == name), default=0)
+            return longest[name]
+
+        for name, _ in spec:
+            want_depth[project, name] = (None, True) if name in behind else (chain(name), False)
+            if name in behind:
+                want_cycle[project, name] = name in circular
+    got = {(r.project_id, r.name): (r.depth, r.is_cyclic) for r in lineage.node_depths(models, local=local).collect()}
+    assert got == want_depth and {c for c in want_cycle.values()} == {True, False}
+    assert {(r.project_id, r.name): r.on_cycle for r in lineage.cycles(models, local=local).collect()} == want_cycle
+
+
+@pytest.mark.parametrize("local", [0, 20])
+def test_depth_in_rounds_against_brute_force(spark, local):
+    rng = random.Random(9)
+    spec = [(f"n{i}", [f"model.p.n{j}" for j in sorted(rng.sample(range(max(0, i - 9), i), min(i, rng.randint(0, 3))))]) for i in range(18)]
+    longest = {}
+    for name, deps in spec:
+        longest[name] = 1 + max((longest[d.rsplit(".", 1)[1]] for d in deps), default=0)
+    assert depths(graph(spark, spec), local=local) == longest
+
+
+def test_a_long_chain_in_few_jobs(spark):
+    chain = graph(spark, [("n0", [])] + [(f"n{i}", [f"model.p.n{i - 1}"]) for i in range(1, 60)])
+    start = time.monotonic()
+    assert depths(chain) == {f"n{i}": i + 1 for i in range(60)}
+    assert time.monotonic() - start < 15
+
+
+def test_rows_written_are_linear_in_the_edges(spark, monkeypatch):
+    counts = []
+    write = depth.Scratch.write
+
+    def counted(self, df, version):
+        found = write(self, df, version)
+        counts.append(found[1])
+        return found
+
+    monkeypatch.setattr(depth.Scratch, "write", counted)
+    spec = [("n0", [])] + [(f"n{i}", [f"model.p.n{j}" for j in range(max(0, i - 3), i)]) for i in range(1, 25)]
+    edges_ = sum(len(d) for _, d in spec)
+    assert max(depths(graph(spark, spec), local=0).values()) == 25
+    assert sum(counts) <= 4 * edges_
