@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablehealth.operators.profile import union_all
+from tablehealth.sources.scratch import shared_folder
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -195,6 +198,33 @@ def manifest_texts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+FILE_NODE = (
+    '"model.shop.order_%1$s": {"name": "order_%1$s", "resource_type": "%2$s", "description": "%3$s", '
+    '"columns": {"o_custkey": {"description": "Customer"}, "o_comment": {"tests": ["unique"]}}, '
+    '"depends_on": {"nodes": ["source.shop.customer_%4$s"]}}'
+)
+
+
+def manifest_files(spark: SparkSession, folder: str) -> str:
+    """A folder of manifest files with the orders of a thousand keys each, written from the table."""
+    order = F.struct("o_orderkey", F.format_string(
+        FILE_NODE, F.col("o_orderkey").cast("string"),
+        F.when(F.col("o_orderpriority") == "5-LOW", "seed").otherwise("model"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", "Urgent order").otherwise(""), F.col("o_custkey").cast("string"),
+    ).alias("node"))
+    texts = (
+        table(spark, folder, "orders").groupBy(F.floor(F.col("o_orderkey") / 1000).alias("project"))
+        .agg(F.array_sort(F.collect_list(order)).alias("orders"))
+        .select("project", F.concat(
+            F.lit('{"nodes": {'), F.array_join("orders.node", ", "),
+            F.lit('}, "sources": {"source.shop.c": {"name": "c", "source_name": "shop"}}}'),
+        ).alias("value"))
+    )
+    path = f"{shared_folder(spark)}/manifests-{uuid.uuid4().hex}"
+    texts.write.partitionBy("project").text(path)
+    return path
+
+
 def actual_columns(spark: SparkSession, folder: str) -> DataFrame:
     """Order lines as the columns of tables, a table per order."""
     return table(spark, folder, "lineitem").selectExpr(

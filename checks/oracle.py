@@ -462,6 +462,16 @@ ORACLE: dict[str, str] = {
         group by l.project_id, l.src having count(*) >= 15""",
     "node_depths": f"""with recursive {GRAPH}
         select project_id, name, depth, false as is_cyclic from depths""",
+    "manifest_files": """with placed as (
+          select *, o_orderkey // 1000 as project,
+            row_number() over (partition by o_orderkey // 1000 order by o_orderkey) - 1 as place from orders)
+        select cast(project as varchar) as project_id, cast(place as integer) as pos,
+          'model.shop.order_' || o_orderkey as node_id, 'order_' || o_orderkey as name,
+          case when o_orderpriority = '1-URGENT' then 'Urgent order' else '' end as description, 2 as column_count,
+          1 as documented_column_count, 'source.shop.customer_' || o_custkey as depends_on
+        from placed where o_orderpriority <> '5-LOW'""",
+    "manifest_file_sources": """select distinct cast(o_orderkey // 1000 as varchar) as project_id, 0 as pos,
+          'source.shop.c' as source_id, 'c' as name, 'c' as identifier from orders""",
     "graph_cycles": """with rings as (select o_orderkey from orders where o_custkey % 3 = 0)
         select 'ring' as project_id, 'o' || o_orderkey as name, true as on_cycle from rings
         union all

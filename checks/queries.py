@@ -245,6 +245,27 @@ def manifest_models(spark, folder):
     )
 
 
+def _manifest_files(spark, folder):
+    """Manifest files of many models, keyed by their folder's number."""
+    path = i.manifest_files(spark, folder)
+    number = F.regexp_extract(F.col("_metadata.file_path"), "project=(-?[0-9]+)", 1)
+    return manifest.read_manifests(spark, path, number)
+
+
+@query
+def manifest_files(spark, folder):
+    models = manifest.with_summary(manifest.assets(_manifest_files(spark, folder), spread=True))
+    return models.select(
+        "project_id", "pos", "node_id", "name", "description", "column_count", "documented_column_count",
+        F.array_join("depends_on", ",").alias("depends_on"),
+    )
+
+
+@query
+def manifest_file_sources(spark, folder):
+    return manifest.sources(_manifest_files(spark, folder)).select("project_id", "pos", "source_id", "name", "identifier")
+
+
 @query
 def manifest_columns(spark, folder):
     columns = manifest.asset_columns(manifest.assets(_manifests(spark, folder)))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablehealth.functions.text import is_present
-from tablehealth.schemas import CORRUPT, MANIFEST
+from tablehealth.schemas import CORRUPT, MANIFEST, MANIFEST_EXPOSURE, MANIFEST_NODE, MANIFEST_SOURCE
 
 
 def read_manifests(
@@ -27,11 +28,18 @@ def read_manifests(
 
 
 def parse_manifests(df: DataFrame, text: Column, project_id: Column) -> DataFrame:
-    """The same table from manifests held as text in a column."""
-    parsed = F.from_json(text, MANIFEST, {"columnNameOfCorruptRecord": CORRUPT})
-    return df.select(project_id.alias("project_id"), parsed.alias("m")).select(
-        "project_id", *[F.col(f"m.{name}").alias(name) for name in MANIFEST.names]
-    )
+    """The same table from manifests held as text in a column.
+
+    Parsing costs far more than moving the text, so rows are dealt over all tasks first, however few files they came from.
+    Each column parses what it holds and skips the rest.
+    """
+    raw = df.select(project_id.alias("project_id"), text.alias("text")).repartition(F.xxhash64("text"))
+
+    def part(name: str) -> Column:
+        return F.from_json("text", T.StructType([MANIFEST[name]]))[name].alias(name)
+
+    whole = F.from_json("text", MANIFEST, {"columnNameOfCorruptRecord": CORRUPT})[CORRUPT]
+    return raw.select("project_id", *(part(n) for n in MANIFEST.names if n != CORRUPT), whole.alias(CORRUPT))
 
 
 def manifest_errors(manifests: DataFrame) -> DataFrame:
@@ -41,11 +49,13 @@ def manifest_errors(manifests: DataFrame) -> DataFrame:
     )
 
 
-def assets(manifests: DataFrame) -> DataFrame:
-    """Models of all projects with their details; ``pos`` is the order in the file."""
-    nodes = _entries(manifests, "nodes", "node_id", "node").where(
-        F.col("node.resource_type") == "model"
-    )
+def assets(manifests: DataFrame, spread: bool = False) -> DataFrame:
+    """Models of all projects with their details; ``pos`` is the order in the file.
+
+    ``spread`` deals the models over all tasks before they are parsed, for manifests of very many models.
+    """
+    is_model = F.get_json_object("entry", "$.resource_type") == "model"
+    nodes = _entries(manifests, "nodes", "node_id", "node", MANIFEST_NODE, is_model, spread)
     empty_map = F.col("node.columns").isNull()
     columns = F.when(empty_map, F.array()).otherwise(
         F.transform(
@@ -120,7 +130,7 @@ def dependencies(models: DataFrame) -> DataFrame:
 
 
 def sources(manifests: DataFrame) -> DataFrame:
-    return _entries(manifests, "sources", "source_id", "s").select(
+    return _entries(manifests, "sources", "source_id", "s", MANIFEST_SOURCE).select(
         "project_id",
         "pos",
         "source_id",
@@ -135,7 +145,7 @@ def sources(manifests: DataFrame) -> DataFrame:
 
 
 def exposures(manifests: DataFrame) -> DataFrame:
-    return _entries(manifests, "exposures", "exposure_id", "x").select(
+    return _entries(manifests, "exposures", "exposure_id", "x", MANIFEST_EXPOSURE).select(
         "project_id",
         "pos",
         "exposure_id",
@@ -146,11 +156,17 @@ def exposures(manifests: DataFrame) -> DataFrame:
     )
 
 
-def _entries(manifests: DataFrame, field: str, key: str, value: str) -> DataFrame:
-    """The entries of an id-keyed object in file order.
+def _entries(
+    manifests: DataFrame, field: str, key: str, value: str, schema: T.StructType, only: Column | None = None,
+    spread: bool = False,
+) -> DataFrame:
+    """The entries of an id-keyed object in file order, each parsed as a row of its own.
 
     The outer form is used because for the inner one Spark infers a filter on the exploded map,
     and that would parse the text of a manifest a second and third time.
     """
-    exploded = F.posexplode_outer(field).alias("pos", key, value)
-    return manifests.select("project_id", exploded).where(F.col(key).isNotNull())
+    rows = manifests.select("project_id", F.posexplode_outer(field).alias("pos", key, "entry"))
+    rows = rows.where(F.col(key).isNotNull() if only is None else F.col(key).isNotNull() & only)
+    if spread:
+        rows = rows.repartition("project_id", key)
+    return rows.select("project_id", "pos", key, F.from_json("entry", schema).alias(value))
