@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from tablehealth.llm.lines import text_of
-from tablehealth.llm.sentencepieces import Vocabulary
+from tablehealth.llm.sentencepieces import MARK, SPACE, Vocabulary
 from tablehealth.llm.tasks import Recent, ship, slices
 from tablehealth.sources.scratch import stage
 
@@ -40,6 +40,8 @@ SIDE = 1 << 31
 #: Characters of the texts whose pairs are collected before a block is closed.
 BLOCK_CHARS = 1 << 24
 BATCH_CHARS = 1 << 21
+#: Words that a side encodes as one text.
+TOGETHER = 64
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has given this task its core
 
@@ -126,33 +128,16 @@ class Aligner:
         sides = len(self._left_size) + len(self._right_size)
         numbers = [str(k if k < len(self._left_size) else k - len(self._left_size)) for k in range(sides)]
         self._said = [number + mark for mark in (",", "|", ";", "") for number in numbers]
-        self.known: Recent = Recent(None, 200_000)
+        self.known: Recent = Recent(None, 300_000)
 
     def words(self, text: str) -> Iterator[list[str]]:
         return self._right.words(text)
 
-    def _spelt(self, left: list[list[int]], right: list[list[int]], words: list[str]) -> list[int]:
-        """Places of the words that both sides spell as they are."""
-        data = [w.encode() for w in words]
-        spelt, other = self._left_bytes.__getitem__, self._right.bytes.__getitem__
-        sizes = np.cumsum(list(map(len, data)))
-        whole = b"".join(data)
-        same = True
-        for side, size, read in ((left, self._left_size, spelt), (right, self._right_size, other)):
-            flat = np.fromiter(chain.from_iterable(side), np.int64)
-            upto = np.cumsum(list(map(len, side)))
-            reached = np.concatenate([[0], np.cumsum(size[flat])])[upto]
-            same = same and bool((reached == sizes).all()) and b"".join(map(read, flat.tolist())) == whole
-        if same:
-            return list(range(len(words)))
-        each = enumerate(zip(left, right, data, strict=True))
-        return [k for k, (a, b, d) in each if b"".join(map(spelt, a)) == d == b"".join(map(other, b))]
-
     def _texts(self, flat_left: np.ndarray, flat_right: np.ndarray, groups: Groups, last: np.ndarray) -> list[str]:
         """The groups of each word as text; ``last`` counts the groups up to each word's end."""
         side = np.repeat([0, 1], [len(flat_left), len(flat_right)])
         group = np.concatenate([groups.left_of, groups.right_of])
-        order = np.lexsort((side, group))
+        order = np.argsort(group, kind="stable")  # left tokens stand before right ones
         number = np.concatenate([flat_left, flat_right + len(self._left_size)])[order]
         group, side = group[order], side[order]
         mark = np.zeros(len(order), np.int64)
@@ -164,31 +149,51 @@ class Aligner:
         return ["".join(tokens[a:b]) for a, b in zip(bounds, bounds[1:])]
 
     def align(self, words: list[str]) -> list[Word]:
-        """The words aligned, all in one pass over their bytes laid end to end."""
-        left = [x.ids for x in self._left.encode_batch_fast(words, add_special_tokens=False)]
-        right = self._right.segment(words)
-        at = self._spelt(left, right, words)
-        out = [_SPOILT] * len(words)
-        if not at:
-            return out
-        left, right = [left[k] for k in at], [right[k] for k in at]
-        flat_left = np.fromiter(chain.from_iterable(left), np.int64)
-        flat_right = np.fromiter(chain.from_iterable(right), np.int64)
+        """The words aligned. A word begins with white space, so those that end in something else stay apart when they are
+        written one after the other, and each side encodes them all in one call."""
+        plain = [w for w in words if MARK not in w and w[-1] not in SPACE]
+        found = dict(zip(plain, self._together(plain), strict=True))
+        for word in words:
+            if word not in found:
+                found[word] = _SPOILT if MARK in word else self._together([word])[0]
+        return [found[w] for w in words]
+
+    def _together(self, words: list[str]) -> list[Word]:
+        """Words that may be written one after the other: encoded some at a time, and aligned in one pass over their bytes."""
+        if not words:
+            return []
+        text = "".join(words)
+        data = text.encode()
+        said = ["".join(words[k : k + TOGETHER]) for k in range(0, len(words), TOGETHER)]
+        encoded = self._left.encode_batch_fast(said, add_special_tokens=False)
+        left = list(chain.from_iterable(x.ids for x in encoded))
+        right = list(chain.from_iterable(self._right.segment(said)))
+        flat_left, flat_right = np.array(left, np.int64), np.array(right, np.int64)
         left_end, right_end = np.cumsum(self._left_size[flat_left]), np.cumsum(self._right_size[flat_right])
+        sizes = map(len, words) if len(data) == len(text) else (len(w.encode()) for w in words)
+        ends = np.cumsum(np.fromiter(sizes, np.int64, len(words)))
+        upto_left, upto_right = np.searchsorted(left_end, ends) + 1, np.searchsorted(right_end, ends) + 1
+        same = (
+            b"".join(map(self._left_bytes.__getitem__, left)) == data
+            and b"".join(map(self._right.bytes.__getitem__, right)) == data
+            and (left_end[upto_left - 1] == ends).all()
+            and (right_end[upto_right - 1] == ends).all()
+        )
+        if not same:
+            return [_SPOILT] if len(words) == 1 else [self._together([w])[0] for w in words]
         groups = coalesce(
             left_end - self._left_size[flat_left], left_end, right_end - self._right_size[flat_right], right_end
         )
         i, j = expand(groups)
         pairs = (flat_left[i] * SIDE + flat_right[j]).tobytes()
-        last = groups.left_of[np.cumsum(list(map(len, left))) - 1] + 1
+        last = groups.left_of[upto_left - 1] + 1
         links = (8 * np.cumsum(groups.left * groups.right)[last - 1]).tolist()
         texts = self._texts(flat_left, flat_right, groups, last)
-        counts = np.diff(last, prepend=0).tolist()
-        begin = 0
-        for k, a, b, n, text, upto in zip(at, left, right, counts, texts, links, strict=True):
-            out[k] = Word(len(a), len(b), n, text, pairs[begin:upto], True)
-            begin = upto
-        return out
+        counts = zip(*(np.diff(x, prepend=0).tolist() for x in (upto_left, upto_right, last)), strict=True)
+        return [
+            Word(a, b, n, written, pairs[begin:end], True)
+            for (a, b, n), written, begin, end in zip(counts, texts, [0, *links[:-1]], links, strict=True)
+        ]
 
     def table(self, words: set[str]) -> dict[str, Word]:
         """The words with their alignments; those not known yet are aligned together."""
@@ -240,17 +245,15 @@ def align_texts(own: Aligner, texts: list[str]) -> Batch:
     for k in range(3):
         counts[:, k] = np.bincount(doc, per_word[number, k], len(texts))
     counts[:, 3] = np.bincount(doc, links[number], len(texts))
-    word_key, often = np.unique(doc * max(1, len(table)) + number, return_counts=True)
-    doc, number = np.divmod(word_key, max(1, len(table)))
     pair, local = np.unique(
         np.frombuffer(b"".join(w.pairs for w in table), np.int64), return_inverse=True
     )
-    firsts = np.cumsum(links) - links
-    spot = local[runs(firsts[number], links[number])]
-    key, where = np.unique(
-        np.repeat(doc, links[number]) * max(1, len(pair)) + spot, return_inverse=True
-    )
-    times = np.bincount(where, np.repeat(often, links[number]), len(key)).astype(np.int64)
+    per, firsts = links[number], np.cumsum(links) - links
+    key = np.repeat(doc, per) * max(1, len(pair)) + local[runs(firsts[number], per)]
+    key.sort()
+    begin = np.flatnonzero(np.diff(key, prepend=-1))
+    times = np.diff(np.append(begin, len(key)))
+    key = key[begin]
     doc, spot = np.divmod(key, max(1, len(pair)))
     return Batch(counts, groups, doc, pair[spot], times)
 
