@@ -1,14 +1,19 @@
 """Column profiles: row, null and distinct counts, range, likely key, short value lists.
 
-A scan turns each row into one small cell per column, (column, value as text), and cells are grouped by both. Every
-figure comes from that one grouping. Several ``count(distinct)`` in one aggregate would make Spark copy each row once
-per column with all the columns as grouping keys; cells are one value wide, repeated values are combined before
+A scan turns each row into one small cell per column, (column, value in one of four types), and cells are grouped by
+both. Every figure comes from that one grouping. Several ``count(distinct)`` in one aggregate would make Spark copy each
+row once per column with all the columns as grouping keys; cells are one value wide, repeated values are combined before
 the shuffle, and the input is computed once however it is made.
+
+Whole numbers, and what is one underneath (dates, instants, truth values, decimals of up to 18 digits), are grouped by
+word: 64 neighbouring values share a row whose bits tell which of them occur. Distinct counts are counts of bits. A
+dense key or date column so travels as a bitmap, and a sparse one as a row per value like any other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +25,10 @@ from tablehealth.schemas import SAMPLE_VALUES
 
 # A column with at most this many distinct values also reports the values.
 LISTED_VALUES = 10
+# Neighbouring whole numbers that share a word, as a power of two: the bits of a long.
+WORD_BITS = 6
+# Decimals of up to so many digits are whole numbers of their smallest unit.
+LONG_DIGITS = 18
 # Texts longer than this are told apart by their SHA-256 digest, so that whole documents are read but do not travel
 # through the shuffle. If a column with few values has such texts, a second look fetches them.
 LONG_TEXT = 256
@@ -177,9 +186,12 @@ def _by_position(df: DataFrame) -> DataFrame:
     return df.toDF(*[f"c{i}" for i in range(1, len(df.columns) + 1)])
 
 
+def _name(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def _column(data: DataFrame, ordinal: int) -> Column:
-    name = data.columns[ordinal - 1].replace("`", "``")
-    return F.col(f"`{name}`")
+    return F.col(_name(data.columns[ordinal - 1]))
 
 
 def _fields(
@@ -230,20 +242,57 @@ def _is_plain(kind: T.DataType) -> bool:
     return kinds.is_numeric(kind) or kinds.is_plain_text(kind) or isinstance(kind, simple)
 
 
-def _cell(column: Column, kind: T.DataType) -> Column:
-    if isinstance(kind, T.BinaryType):
-        return F.hex(column)
+def _is_whole(kind: T.DataType) -> bool:
+    """Whether a value is a whole number of 64 bits underneath."""
+    if isinstance(kind, T.DecimalType):
+        return kind.precision <= LONG_DIGITS
+    return isinstance(kind, (T.IntegralType, T.DateType, T.TimestampType, T.BooleanType))
+
+
+# What every column of a table adds to a plan is SQL text: one call to Spark instead of dozens for each.
+_CELL = {"whole": "long", "real": "double", "moment": "timestamp_ntz", "text": "string"}
+
+
+def _cell(column: str, kind: T.DataType) -> tuple[str, str]:
+    """Under which name of ``_CELL`` a value is grouped, and how: so that it is told apart and can be turned back."""
+    if isinstance(kind, T.DateType):
+        return "whole", f"cast(unix_date({column}) as long)"
     if isinstance(kind, T.TimestampType):
-        return F.unix_micros(column).cast("string")  # a local time may stand for two instants
+        return "whole", f"unix_micros({column})"  # a local time may stand for two instants
+    if isinstance(kind, T.DecimalType) and _is_whole(kind):
+        return "whole", f"cast({column} * {10**kind.scale}BD as long)"
+    if _is_whole(kind):
+        return "whole", f"cast({column} as long)"
     if isinstance(kind, (T.FloatType, T.DoubleType)):
-        return (column + F.lit(0.0).cast(kind)).cast("string")  # one zero
-    return column.cast("string")
+        return "real", f"cast({column} as double) + 0D"  # one zero
+    if isinstance(kind, T.TimestampNTZType):
+        return "moment", column
+    return "text", f"hex({column})" if isinstance(kind, T.BinaryType) else f"cast({column} as string)"
 
 
-def _back(text: Column, kind: T.DataType) -> Column:
-    if isinstance(kind, T.TimestampType):
-        return F.timestamp_micros(text.try_cast("long"))
-    return text.try_cast(kind)
+def _shown(fields: list[tuple[int, T.StructField]], cell: dict[str, str]) -> str:
+    """A cell of the column ``at`` as the text of the value it stands for."""
+    places: dict[T.DataType, list[str]] = {}
+    for at, (_, f) in enumerate(fields):
+        places.setdefault(f.dataType, []).append(str(at))
+    cases = []
+    for kind, here in places.items():
+        name = _cell("", kind)[0]
+        value = cell[name]
+        if isinstance(kind, T.DateType):
+            value = f"date_from_unix_date(cast({value} as int))"
+        elif isinstance(kind, T.TimestampType):
+            value = f"timestamp_micros({value})"
+        elif isinstance(kind, T.BooleanType):
+            value = f"{value} = 1"
+        elif name == "whole" and isinstance(kind, T.DecimalType):
+            unit = f"{Decimal((0, (1,), -kind.scale)):f}BD"
+            value = f"cast(cast({value} as decimal(20,0)) * {unit} as {kind.simpleString()})"
+        elif name == "real":
+            value = f"cast({value} as {kind.simpleString()})"
+        if name != "text":
+            cases.append(f"when at in ({', '.join(here)}) then cast({value} as string)")
+    return f"case {' '.join(cases)} else {cell['text']} end" if cases else cell["text"]
 
 
 def _has_long(kind: T.DataType) -> bool:
@@ -251,24 +300,31 @@ def _has_long(kind: T.DataType) -> bool:
 
 
 def _cells(data: DataFrame, fields: list[tuple[int, T.StructField]]) -> DataFrame:
-    """``at`` (place in ``fields``) and ``text``, a row per row and column."""
-    items = [
-        F.struct(F.lit(at).alias("at"), _cell(_column(data, i), f.dataType).alias("text"))
-        for at, (i, f) in enumerate(fields)
-    ]
+    """``at`` (place in ``fields``) and the value under one of four names, a row per row and column."""
+    items = []
+    for at, (i, f) in enumerate(fields):
+        name, value = _cell(_name(data.columns[i - 1]), f.dataType)
+        typed = (f"'{c}', cast({value if c == name else 'null'} as {kind})" for c, kind in _CELL.items())
+        items.append(f"named_struct('at', {at}, {', '.join(typed)})")
     # A join would add this condition to some uses of the cells and so keep them from sharing a scan.
-    return data.select(F.inline(F.array(*items))).where("at is not null")
+    return data.selectExpr(f"inline(array({', '.join(items)}))").where("at is not null")
 
 
 def _keyed(cells: DataFrame) -> DataFrame:
-    is_long = F.coalesce(F.length("text") > LONG_TEXT, F.lit(False))
-    key = F.when(is_long, F.sha2(F.col("text").cast("binary"), 256)).otherwise(F.col("text"))
-    return cells.select("at", "text", key.alias("k"), is_long.alias("is_long"))
+    is_long = f"coalesce(length(text) > {LONG_TEXT}, false)"
+    key = f"case when {is_long} then sha2(cast(text as binary), 256) else text end"
+    return cells.selectExpr("*", f"{key} as k", f"{is_long} as is_long")
 
 
 def _values(data: DataFrame, fields: list[tuple[int, T.StructField]]) -> DataFrame:
-    """``at``, ``k``, ``is_long`` and ``n``: each column's distinct values, long texts as digests."""
-    return _keyed(_cells(data, fields)).groupBy("at", "k", "is_long").agg(F.count(F.lit(1)).alias("n"))
+    """Each column's distinct values with their number ``n``: a row per word of whole numbers, with the ``bits`` that
+    occur, and else a row per value, long texts as digests in ``k``."""
+    bit = f"shiftleft(1L, cast(whole & {2**WORD_BITS - 1} as int))"  # the remainder, also of negative numbers
+    return (
+        _keyed(_cells(data, fields))
+        .groupBy("at", F.expr(f"shiftright(whole, {WORD_BITS}) as word"), "real", "moment", "k", "is_long")
+        .agg(F.expr(f"bit_or({bit}) as bits"), F.expr("count(1) as n"))
+    )
 
 
 def _values_alone(data: DataFrame, field: tuple[int, T.StructField]) -> DataFrame:
@@ -277,80 +333,115 @@ def _values_alone(data: DataFrame, field: tuple[int, T.StructField]) -> DataFram
     if kinds.holds_variant(kind):  # not groupable as such
         column = F.to_json(column)
     counted = data.groupBy(column.alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    return counted.select(
-        F.lit(0).alias("at"), F.col("v").cast("string").alias("k"), F.lit(False).alias("is_long"), "n", "v"
-    )
+    return counted.selectExpr(*_nothing("0", "cast(v as string)"), "n", "v")
+
+
+def _nothing(at: str, k: str) -> list[str]:
+    """A row of values that holds ``k`` at most."""
+    empty = {"word": "long", "real": "double", "moment": "timestamp_ntz"}
+    return [
+        f"{at} as at", *(f"cast(null as {kind}) as {name}" for name, kind in empty.items()),
+        f"cast({k} as string) as k", "false as is_long", "cast(null as long) as bits",
+    ]
+
+
+_ENDS = {"low": "min", "high": "max"}
+# How many different values a row of values stands for.
+_SIZE = """case when word is not null then bit_count(bits)
+    else cast(real is not null or moment is not null or k is not null as int) end"""
+
+
+def _end(end: str) -> str:
+    """The least or the largest of the whole numbers of a word."""
+    digits = f"bin({end}_bits)"
+    after = f"length({digits}) - " + ("1" if end == "high" else f"length(rtrim('0', {digits}))")
+    return f"shiftleft({end}_word, {WORD_BITS}) | cast({after} as long)"
 
 
 def _of_values(
     values: DataFrame, data: DataFrame, table: str, fields: list[tuple[int, T.StructField]], listed: int
 ) -> DataFrame:
     """Figures of each column. The uses of ``values`` share its shuffle, as each reads all its columns."""
-    present, n = F.col("k").isNotNull(), F.col("n")
-    none = data.sparkSession.range(len(fields)).select(
-        F.col("id").cast("int").alias("at"), F.lit(None).cast("string").alias("k"),
-        F.lit(False).alias("is_long"), F.lit(0).cast("long").alias("n"),
-    )
+    none = data.sparkSession.range(len(fields)).selectExpr(*_nothing("cast(id as int)", "null"), "0L as n")
     alone = "v" in values.columns
     if alone:
         none = none.withColumn("v", F.lit(None).cast(values.schema["v"].dataType))
-    stats = (
-        values.unionByName(none)
-        .groupBy("at")
-        .agg(
-            F.sum("n").alias("total_rows"),
-            F.coalesce(F.sum(F.when(present, n)), F.lit(0)).alias("non_null_count"),
-            F.count(F.when(present & (n > 0), 1)).alias("unique_count"),
-            *_ranges(fields, alone),
-        )
-    )
-    few = F.broadcast(stats.where(F.col("unique_count").between(1, listed)).select("at"))
+    figures = [
+        "sum(n) as total_rows",
+        f"coalesce(sum(case when {_SIZE} > 0 then n end), 0) as non_null_count",
+        # Tied to the number, as every use below has to read all of a row for the shuffle to be shared.
+        f"sum(cast(case when n > 0 then {_SIZE} else 0 end as long)) as unique_count",
+        *(f"{f}(word) as {end}_word" for end, f in _ENDS.items()),
+        *(f"{f}_by(bits, word) as {end}_bits" for end, f in _ENDS.items()),
+        *(f"{f}({name}) as {end}_{name}" for name in ("real", "moment") for end, f in _ENDS.items()),
+        *_ranges(fields, alone),
+    ]
+    stats = values.unionByName(none).groupBy("at").agg(*map(F.expr, figures))
+    few = F.broadcast(stats.where(f"unique_count between 1 and {listed}").select("at"))
 
-    def some(condition: Column) -> Column:
-        """The condition, tied to the count so that it cannot move below the grouping and split its uses."""
-        return F.when(condition, n).otherwise(0) > 0
+    def some(condition: str) -> str:
+        """The condition, tied to the counts so that it cannot move below the grouping and split its uses."""
+        return f"case when {condition} then n + {_SIZE} else 0 end > 0"
 
     own = values.join(few, "at")
-    short, is_long = present & ~F.col("is_long"), F.col("is_long")
-    texts = own.where(some(short)).select("at", F.col("k").alias("text"))
+    numbers = f"filter(sequence(0, {2**WORD_BITS - 1}), i -> getbit(bits, i) = 1)"
+    found = {
+        "whole": f"shiftleft(word, {WORD_BITS}) | cast(i as long)", "real": "real", "moment": "moment", "text": "k",
+    }
+    texts = (
+        own.where(some(f"not is_long and {_SIZE} > 0"))
+        .selectExpr("at", "word", "real", "moment", "k",
+                    f"explode(case when word is not null then {numbers} else array(0) end) as i")
+        .selectExpr("at", f"{_shown(fields, found)} as text")
+    )
     if any(_has_long(f.dataType) and _is_plain(f.dataType) for _, f in fields):
         # At most `listed` digests of each column.
-        wanted = F.broadcast(own.where(some(is_long)).select("at", "k"))
-        cells = _keyed(_cells(data, fields)).where(is_long)
-        found = cells.join(wanted, ["at", "k"], "left_semi").groupBy("at", "k").agg(
+        wanted = F.broadcast(own.where(some("is_long")).select("at", "k"))
+        cells = _keyed(_cells(data, fields)).where("is_long")
+        long_ones = cells.join(wanted, ["at", "k"], "left_semi").groupBy("at", "k").agg(
             F.any_value("text").alias("text")
         )
-        texts = texts.unionByName(found.select("at", "text"))
-    micros = [at for at, (_, f) in enumerate(fields) if isinstance(f.dataType, T.TimestampType)]
-    if micros:
-        shown = F.timestamp_micros(F.expr("try_cast(text as long)")).cast("string")
-        texts = texts.select("at", F.when(F.col("at").isin(micros), shown).otherwise(F.col("text")).alias("text"))
-    lists = texts.groupBy("at").agg(F.array_sort(F.collect_list("text")).alias("found"))
-    nothing = F.when(F.col("unique_count") == 0, F.array().cast("array<string>"))
-    return stats.join(F.broadcast(lists), "at", "left").select(
+        texts = texts.unionByName(long_ones.select("at", "text"))
+    lists = texts.groupBy("at").agg(F.expr("array_sort(collect_list(text)) as found"))
+    low, high = (
+        _if_ranged(fields, {
+            "whole": _end(end), "real": f"{end}_real", "moment": f"{end}_moment", "text": f"{end}_text",
+        })
+        for end in _ENDS
+    )
+    # A list may be long, as its texts are whole: Spark broadcasts it only if it has measured it as small.
+    return stats.join(lists, "at", "left").select(
         *_identities(table, fields),
-        "total_rows",
-        "non_null_count",
-        "unique_count",
-        F.lit(True).alias("is_exact"),
-        "min_val",
-        "max_val",
-        F.coalesce("found", nothing).alias("listed"),
+        *map(F.expr, (
+            "total_rows", "non_null_count", "unique_count", "true as is_exact",
+            f"{low} as min_val", f"{high} as max_val",
+            "coalesce(found, case when unique_count = 0 then cast(array() as array<string>) end) as listed",
+        )),
     )
 
 
-def _ranges(fields: list[tuple[int, T.StructField]], alone: bool) -> list[Column]:
-    """Minimum and maximum as text, taken in the column's own type."""
-    kinds_here: dict[T.DataType, list[int]] = {}
+def _if_ranged(fields: list[tuple[int, T.StructField]], cell: dict[str, str]) -> str:
+    ranged = [str(at) for at, (_, f) in enumerate(fields) if kinds.has_range(f.dataType)]
+    if not ranged:
+        return "cast(null as string)"
+    return f"case when at in ({', '.join(ranged)}) then {_shown(fields, cell)} end"
+
+
+def _ranges(fields: list[tuple[int, T.StructField]], alone: bool) -> list[str]:
+    """``low_text`` and ``high_text``: the range of what is grouped as text, taken in the column's own type."""
+    places: dict[str, list[str]] = {}
     for at, (_, f) in enumerate(fields):
-        if kinds.has_range(f.dataType):
-            kinds_here.setdefault(f.dataType, []).append(at)
-    lows, highs = [F.lit(None).cast("string")], [F.lit(None).cast("string")]
-    for kind, places in kinds_here.items():
-        value = F.col("v") if alone else F.when(F.col("at").isin(places), _back(F.col("k"), kind))
-        lows.append(F.min(value).cast("string"))
-        highs.append(F.max(value).cast("string"))
-    return [F.coalesce(*lows).alias("min_val"), F.coalesce(*highs).alias("max_val")]
+        if kinds.has_range(f.dataType) and (alone or _cell("", f.dataType)[0] == "text"):
+            places.setdefault(f.dataType.simpleString(), []).append(str(at))
+    found = []
+    for end, f in _ENDS.items():
+        values = [
+            "v" if alone else f"case when at in ({', '.join(here)}) then try_cast(k as {kind}) end"
+            for kind, here in places.items()
+        ]
+        texts = ["cast(null as string)", *(f"cast({f}({value}) as string)" for value in values)]
+        found.append(f"coalesce({', '.join(texts)}) as {end}_text")
+    return found
 
 
 def _identities(table: str, fields: list[tuple[int, T.StructField]]) -> list[Column]:
@@ -371,28 +462,27 @@ def _estimated(
     """Distinct counts by sketch, the rest exact: a scan with a few small rows per task to shuffle."""
     plain = [(i, f) for i, f in fields if _is_plain(f.dataType)]
     parts = _exact(data, table, [x for x in fields if not _is_plain(x[1].dataType)], listed)
+    present = " or ".join(f"{name} is not null" for name in _CELL)
     for part in _scans(plain):
-        cells = _cells(data, part).withColumn("k", F.col("text")).withColumn("n", F.lit(1))
-        none = data.sparkSession.range(len(part)).select(
-            F.col("id").cast("int").alias("at"), F.lit(None).cast("string").alias("text"),
-            F.lit(None).cast("string").alias("k"), F.lit(0).alias("n"),
+        none = data.sparkSession.range(len(part)).selectExpr(
+            "cast(id as int) as at", *(f"cast(null as {kind}) as {name}" for name, kind in _CELL.items()), "0 as n"
         )
-        stats = cells.unionByName(none).groupBy("at").agg(
-            F.sum("n").alias("total_rows"),
-            F.count("k").alias("non_null_count"),
-            F.approx_count_distinct("k", rsd).alias("unique_count"),
+        figures = [
+            "sum(n) as total_rows",
+            f"count(case when {present} then 1 end) as non_null_count",
+            f"approx_count_distinct(case when {present} then struct({', '.join(_CELL)}) end, {rsd}D) as unique_count",
+            *(f"{f}({name}) as {end}_{name}" for name in ("whole", "real", "moment") for end, f in _ENDS.items()),
             *_ranges(part, alone=False),
-        )
+        ]
+        cells = _cells(data, part).selectExpr("*", "1 as n").unionByName(none).selectExpr("*", "text as k")
+        low, high = (_if_ranged(part, {name: f"{end}_{name}" for name in _CELL}) for end in _ENDS)
         parts.append(
-            stats.select(
+            cells.groupBy("at").agg(*map(F.expr, figures)).select(
                 *_identities(table, part),
-                "total_rows",
-                "non_null_count",
-                "unique_count",
-                F.lit(False).alias("is_exact"),
-                "min_val",
-                "max_val",
-                F.lit(None).cast("array<string>").alias("listed"),
+                *map(F.expr, (
+                    "total_rows", "non_null_count", "unique_count", "false as is_exact",
+                    f"{low} as min_val", f"{high} as max_val", "cast(null as array<string>) as listed",
+                )),
             )
         )
     return parts

@@ -1,4 +1,6 @@
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tablehealth.operators import profile as p
@@ -169,3 +171,40 @@ def test_coarse_estimates_do_not_change_decisions(spark):
     df = spark.range(0, 40000, 1, 4).select("id", (F.col("id") % 10).alias("ten"), (F.col("id") % 37000).alias("most"))
     rows = by_column(p.profile(df, mode="refined", rsd=0.15))
     assert rows["id"].is_likely_pk and rows["most"].is_exact and len(rows["ten"]["values"]) == 10
+
+
+def test_whole_numbers_share_words(spark):
+    edge = [-(2**63), 2**63 - 1, -65, -64, -1, 0, 63, 64, None, 0, -1]
+    df = spark.createDataFrame([(x, None if x is None else x % 50) for x in edge], "a long, b long").selectExpr(
+        "a", "cast(b as byte) b", "b > 20 t", "date_add(date'1969-12-31', cast(b as int)) d",
+        "cast((b - 25) / 100 as decimal(18,2)) m", "cast(b as decimal(30,5)) w", "cast(b / 4 as float) f",
+        "timestamp_millis(b * 3) ts",
+    )
+    rows = by_column(p.profile(df))
+    want = df.selectExpr(*(f"count(distinct {c}) as {c}" for c in df.columns)).first()
+    assert {c: r.unique_count for c, r in rows.items()} == want.asDict()
+    assert {r.non_null_count for r in rows.values()} == {10}
+    for c in df.columns:
+        ends = df.selectExpr(f"cast(min({c}) as string)", f"cast(max({c}) as string)").first()
+        assert (rows[c].min_val, rows[c].max_val) == ((None, None) if c == "t" else tuple(ends)), c
+        listed = sorted(r[0] for r in df.selectExpr(f"cast({c} as string) x").distinct().collect() if r[0] is not None)
+        assert rows[c]["values"] == listed, c
+    guessed = by_column(p.profile(df, mode="approx"))
+    assert {(c, r.min_val, r.max_val) for c, r in guessed.items()} == {(c, r.min_val, r.max_val) for c, r in rows.items()}
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.integers(-(2**63), 2**63 - 1), st.integers(-200, 200)), max_size=60))
+def test_any_whole_numbers(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "a long")
+    row = p.profile(df).first()
+    there = {v for v in values if v is not None}
+    ends = (str(min(there)), str(max(there))) if there else (None, None)
+    assert (row.total_rows, row.unique_count, row.min_val, row.max_val) == (len(values), len(there), *ends)
+    assert row["values"] == (sorted(map(str, there)) if len(there) <= p.LISTED_VALUES else None)
+
+
+def test_dense_numbers_travel_as_words(spark):
+    df = spark.range(0, 64_000, 1, 1).selectExpr("id", "date_from_unix_date(cast(id % 6400 as int)) d")
+    values = p._values(df, p._fields(df, "t", None))
+    assert values.groupBy("at").count().collect() == [(0, 1000), (1, 100)]
