@@ -300,6 +300,8 @@ ORACLE: dict[str, str] = {
         from ({_profile_of("lineitem")})""",
     "profile_approx_ranges": f"""select ordinal, column_name, total_rows, non_null_count, null_rate, min_val, max_val
         from ({_profile_of("lineitem")})""",
+    "profile_snapshots": f"""select ordinal, column_name, total_rows, non_null_count, null_rate, min_val, max_val,
+        true as is_close from ({_profile_of("lineitem")})""",
     "sample_rows": "select * from orders order by o_orderkey limit 5",
     "sample_values": "with s as (select * from orders order by o_orderkey limit 3) "
     + " union all ".join(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,10 @@ from pyspark.sql import functions as F
 
 from checks import inputs as i
 from tablehealth.functions import text
-from tablehealth.operators import audit, drift, lineage, profile, registry, suggest
+from tablehealth.operators import audit, drift, lineage, profile, registry, snapshots, suggest
 from tablehealth.plans import health
 from tablehealth.sources import adhoc, manifest
-from tablehealth.sources.scratch import Scratch, stage
+from tablehealth.sources.scratch import Scratch, shared_folder, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -118,6 +119,21 @@ def profile_approx_ranges(spark, folder):
     )
 
 
+@query
+def profile_snapshots(spark, folder):
+    """Order lines summarised by line number, one part a second time, and merged; estimates within three deviations."""
+    lines = i.table(spark, folder, "lineitem")
+    path = f"{shared_folder(spark)}/summaries-{uuid.uuid4().hex}"
+    for some in ("l_linenumber < 5", "l_linenumber >= 4"):
+        snapshots.save(snapshots.summarize(lines.where(some), "lineitem", F.col("l_linenumber")), path)
+    exact = profile.profile(lines).select("ordinal", F.col("unique_count").alias("exact"))
+    off = F.abs(F.col("unique_count") - F.col("exact"))
+    return snapshots.merge(snapshots.read(spark, path)).join(exact, "ordinal").select(
+        "ordinal", F.col("column").alias("column_name"), "total_rows", "non_null_count", "null_rate", "min_val",
+        "max_val", (off <= F.col("exact") * 3 * snapshots.RSD).alias("is_close"),
+    )
+
+
 @query
 def sample_rows(spark, folder):
     return profile.sample_rows(i.table(spark, folder, "orders"), 5, ["o_orderkey"])

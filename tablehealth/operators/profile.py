@@ -299,15 +299,20 @@ def _has_long(kind: T.DataType) -> bool:
     return isinstance(kind, (T.StringType, T.BinaryType))
 
 
-def _cells(data: DataFrame, fields: list[tuple[int, T.StructField]]) -> DataFrame:
-    """``at`` (place in ``fields``) and the value under one of four names, a row per row and column."""
+def _cells(
+    data: DataFrame, fields: list[tuple[int, T.StructField]], keep: Sequence[str] = ()
+) -> DataFrame:
+    """``at`` (place in ``fields``) and the value under one of four names, a row per row and column.
+
+    The columns in ``keep`` go along with every cell.
+    """
     items = []
     for at, (i, f) in enumerate(fields):
         name, value = _cell(_name(data.columns[i - 1]), f.dataType)
         typed = (f"'{c}', cast({value if c == name else 'null'} as {kind})" for c, kind in _CELL.items())
         items.append(f"named_struct('at', {at}, {', '.join(typed)})")
     # A join would add this condition to some uses of the cells and so keep them from sharing a scan.
-    return data.selectExpr(f"inline(array({', '.join(items)}))").where("at is not null")
+    return data.selectExpr(*map(_name, keep), f"inline(array({', '.join(items)}))").where("at is not null")
 
 
 def _keyed(cells: DataFrame) -> DataFrame:
