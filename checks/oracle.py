@@ -515,6 +515,19 @@ ORACLE: dict[str, str] = {
           coalesce(array_to_string(list_filter(list_transform(tests, lambda t: t.config), lambda c: c is not null), ','), '')
             as test_configs
         from merged""",
+    "registry_versions": f"""with {_REGISTRY}, kept as (
+        select 'p' as project_id, * from merged
+        union all by name
+        select 'q' as project_id, 'doc_' || doc_id as column_name, doc_id + 1 as pos,
+          case when toxic = 1 then 'toxic' else '' end as description,
+          [{{'name': case when quality = 1 then 'not_null' else 'accepted_values' end,
+             'config': case when quality = 1 then null else '{{"values":["a"]}}' end}}] as tests
+        from labels)
+        select project_id, 'docs' as model, column_name, pos, description,
+          coalesce(array_to_string(list_transform(tests, lambda t: t.name), ','), '') as test_names,
+          coalesce(array_to_string(list_filter(list_transform(tests, lambda t: t.config), lambda c: c is not null), ','), '')
+            as test_configs
+        from kept""",
     "registry_models": """
         select n_regionkey::varchar as project_id, n_nationkey::varchar as model,
           coalesce(arg_max(c_name, c_custkey) filter (where c_mktsegment = 'BUILDING' and c_name <> ''), any_value(n_name))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from checks import inputs as i
 from tablehealth.functions import text
-from tablehealth.operators import audit, drift, lineage, profile, registry, snapshots, suggest
+from tablehealth.operators import audit, drift, lineage, profile, registry, snapshots, suggest, versions
 from tablehealth.plans import health
 from tablehealth.sources import adhoc, manifest
 from tablehealth.sources.scratch import Scratch, shared_folder, stage
@@ -527,6 +527,16 @@ def registry_merge(spark, folder):
     )
 
 
+@query
+def registry_versions(spark, folder):
+    """Two projects in a versioned registry; proposals touch one of them."""
+    known = i.registry_columns(spark, folder)
+    store = versions.Versions(spark, f"{shared_folder(spark)}/registry-{uuid.uuid4().hex}")
+    store.merge(known.unionByName(known.withColumn("project_id", F.lit("q"))))
+    store.merge(i.column_proposals(spark, folder))
+    return _registry_rows(store.read())
+
+
 @query
 def registry_models(spark, folder):
     """Nations as registered models; their customers propose descriptions, the last one stays."""

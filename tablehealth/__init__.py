@@ -1,6 +1,6 @@
 """Table and catalog health on Spark: profiles, drift, test suggestions, audits and lineage."""
 
-from tablehealth.operators import audit, drift, lineage, profile, registry, snapshots, suggest
+from tablehealth.operators import audit, drift, lineage, profile, registry, snapshots, suggest, versions
 from tablehealth.plans import health
 from tablehealth.plans.tools import Workspace
 from tablehealth.sources import adhoc, manifest, tables
@@ -18,4 +18,5 @@ __all__ = [
     "snapshots",
     "suggest",
     "tables",
+    "versions",
 ]
