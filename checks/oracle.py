@@ -303,6 +303,12 @@ ORACLE: dict[str, str] = {
     "profile_snapshots": f"""select ordinal, column_name, total_rows, non_null_count, null_rate, min_val, max_val,
         true as is_close from ({_profile_of("lineitem")})""",
     "sample_rows": "select * from orders order by o_orderkey limit 5",
+    "sample_repeatable": "select * from customer order by md5('draw' || "
+    + " || ".join(
+        f"coalesce(length(cast({name} as varchar)) || ':' || cast({name} as varchar), '-')"
+        for _, name, _ in _columns(SCHEMAS["customer"])
+    )
+    + ") limit 20",
     "sample_values": "with s as (select * from orders order by o_orderkey limit 3) "
     + " union all ".join(
         f"""select {n} as ordinal, '{name}' as column_name,

@@ -139,6 +139,12 @@ def sample_rows(spark, folder):
     return profile.sample_rows(i.table(spark, folder, "orders"), 5, ["o_orderkey"])
 
 
+@query
+def sample_repeatable(spark, folder):
+    """The same rows however the table is dealt over tasks."""
+    return profile.repeatable_rows(i.table(spark, folder, "customer"), 20, "draw")
+
+
 @query
 def sample_values(spark, folder):
     rows = profile.sample_values(i.table(spark, folder, "orders"), "orders", 3, ["o_orderkey"])
@@ -178,7 +184,7 @@ def suggest_orders(spark, folder):
 @query
 def suggest_orders_refined(spark, folder):
     """Decided from estimates and exact counts where it matters: the same suggestions."""
-    return _suggestions(suggest.suggest_table(i.table(spark, folder, "orders"), "orders"))
+    return _suggestions(suggest.suggest_table(i.table(spark, folder, "orders"), "orders", mode="refined"))
 
 
 @query

@@ -140,6 +140,20 @@ def sample_rows(df: DataFrame, n: int = 5, order_by: Sequence[str] | None = None
     return (df.orderBy(*order_by) if order_by else df).limit(n)
 
 
+def repeatable_rows(df: DataFrame, n: int = 5, seed: str = "") -> DataFrame:
+    """``n`` rows that are the same for any partitioning, order or engine version: those of the least MD5.
+
+    Every task keeps its ``n`` least rows and these are merged, so nothing is sorted or shuffled as a whole. Equal rows
+    are drawn together, up to ``n``. Another ``seed`` draws other rows. Column names do not matter, their order does.
+    """
+    data = _by_position(df)
+    parts = [_as_text(_column(data, i), f.dataType) for i, f in enumerate(df.schema.fields, 1)]
+    # Lengths keep apart what would read the same when joined; nulls differ from empty texts.
+    marked = [F.coalesce(F.concat(F.length(x).cast("string"), F.lit(":"), x), F.lit("-")) for x in parts]
+    drawn = data.orderBy(F.md5(F.concat(F.lit(seed), *marked).cast("binary"))).limit(n)
+    return drawn.toDF(*df.columns)
+
+
 def sample_values(
     df: DataFrame,
     table: str = "table",

@@ -208,3 +208,18 @@ def test_dense_numbers_travel_as_words(spark):
     df = spark.range(0, 64_000, 1, 1).selectExpr("id", "date_from_unix_date(cast(id % 6400 as int)) d")
     values = p._values(df, p._fields(df, "t", None))
     assert values.groupBy("at").count().collect() == [(0, 1000), (1, 100)]
+
+
+def test_repeatable_rows_for_any_partitioning(spark):
+    df = spark.range(500).selectExpr(
+        "id % 490 as a", "if(id % 7 = 0, null, cast(id % 5 as string)) as `b.c`", "map('k', id % 3) as m", "cast(string(id) as binary) as A"
+    )
+    draws = [p.repeatable_rows(d, 9) for d in (df, df.repartition(7), df.coalesce(1).sortWithinPartitions("`b.c`"))]
+    assert draws[0].columns == df.columns
+    texts = [sorted(map(str, d.collect())) for d in draws]
+    assert texts[0] == texts[1] == texts[2] and len(set(texts[0])) == 9
+    assert sorted(map(str, p.repeatable_rows(df, 9, "x").collect())) != texts[0]
+    assert "TakeOrderedAndProject" in draws[0]._jdf.queryExecution().executedPlan().toString()
+    assert p.repeatable_rows(df.limit(0)).count() == 0 and p.repeatable_rows(df, 900).count() == 500
+    pair = spark.createDataFrame([("ab", ""), ("a", "b"), (None, "")], "x string, y string")
+    assert p.repeatable_rows(pair.unionAll(pair), 9).distinct().count() == 3
