@@ -249,6 +249,37 @@ def declared_columns(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def order_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """``table``, ``path``: two tables for every thousand order keys, written here, with prices or with dates."""
+    target = f"{shared_folder(spark)}/orders-{uuid.uuid4().hex}"
+    orders = table(spark, folder, "orders").withColumn("part", F.expr("o_orderkey div 1000"))
+    kinds = {
+        "priced": orders.where("o_orderstatus = 'F'").selectExpr(
+            "part", "o_orderkey", "cast(o_totalprice as decimal(12, 2)) o_totalprice"
+        ),
+        "dated": orders.where("o_orderstatus <> 'F'").selectExpr("part", "o_orderkey", "o_orderpriority", "o_orderdate"),
+    }
+    found = []
+    for kind, rows in kinds.items():
+        rows.repartition("part").write.partitionBy("part").parquet(f"{target}/{kind}")
+        found.append(rows.select(
+            F.concat(F.lit(f"{kind}_"), "part").alias("table"), F.concat(F.lit(f"{target}/{kind}/part="), "part").alias("path")
+        ).distinct())
+    return union_all(found)
+
+
+def declared_order_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """The same three columns declared for every one of them."""
+    parts = table(spark, folder, "orders").selectExpr(
+        "concat(if(o_orderstatus = 'F', 'priced_', 'dated_'), o_orderkey div 1000) `table`"
+    ).distinct()
+    return parts.selectExpr(
+        "`table`",
+        "posexplode(map('O_ORDERKEY', 'bigint', 'o_totalprice', 'double', 'o_orderdate', 'timestamp_ntz'))"
+        " as (pos, `column`, data_type)",
+    )
+
+
 def registry_columns(spark: SparkSession, folder: str) -> DataFrame:
     """Labels as documented columns of one model."""
     return table(spark, folder, "labels").selectExpr(

@@ -239,6 +239,20 @@ _DECLARED = """(select 'order_' || o_orderkey as tbl, i as pos, 'line' || i as c
     from orders, range(1, 5) r(i))"""
 
 
+def _counts_sql(table: str, schema: str) -> str:
+    """A SELECT per column: counts, and the range of what has one."""
+    parts = []
+    for ordinal, name, kind in _columns(schema):
+        ranged = kind in ("int", "bigint", "double", "timestamp_ntz")
+        value = f"{name} + 0.0" if kind == "double" else name  # files state a minimum of zero as -0.0
+        low, high = (f"cast({f}({value}) as varchar)" if ranged else "null::varchar" for f in ("min", "max"))
+        parts.append(
+            f"""select '{table}' as table_name, {ordinal} as ordinal, '{name}' as column_name, '{kind}' as data_type,
+                count(*) as total_rows, count({name}) as non_null_count, {low} as min_val, {high} as max_val from {table}"""
+        )
+    return " union all ".join(parts)
+
+
 def _drift(agree: str) -> str:
     return f"""
     compared as (
@@ -361,6 +375,19 @@ ORACLE: dict[str, str] = {
           count(*) filter (where drift_type = 'removed_from_db') as removed,
           count(*) filter (where drift_type = 'type_changed') as type_changes
         from compared group by table_name""",
+    "fleet_drift": """
+        with tables as (
+          select distinct case when o_orderstatus = 'F' then 'priced_' else 'dated_' end || o_orderkey // 1000 as table_name
+          from orders),
+        found(kind, column_name, drift_type, db_type, manifest_type, position, kind_order, message) as (values
+          ('dated', 'o_orderpriority', 'added_in_db', 'string', null, 2, 1, 'Column ''o_orderpriority'' is not declared'),
+          ('dated', 'o_totalprice', 'removed_from_db', null, 'double', 1, 2, 'Column ''o_totalprice'' is not in the table'),
+          ('priced', 'o_orderdate', 'removed_from_db', null, 'timestamp_ntz', 2, 2, 'Column ''o_orderdate'' is not in the table'),
+          ('priced', 'o_totalprice', 'type_changed', 'decimal(12,2)', 'double', 2, 3,
+           'Type of ''o_totalprice'': table has decimal(12,2), declared as double'))
+        select table_name, column_name, drift_type, db_type, manifest_type, position::bigint as position, kind_order, message
+        from tables join found on starts_with(table_name, kind)""",
+    "footer_counts": " union all ".join(_counts_sql(name, schema) for name, schema in SCHEMAS.items()),
     "manifest_models": f"""
         select o_orderkey::varchar as project_id, 0 as pos, 'model.shop.order_' || o_orderkey as node_id,
           'order_' || o_orderkey as name, 'order_' || o_orderkey as alias,
@@ -485,6 +512,15 @@ ORACLE: dict[str, str] = {
         union all
         select distinct 'ring', 'l' || l_orderkey || '_' || l_linenumber, false
         from lineitem join rings on l_orderkey = o_orderkey""",
+    "longest_chains": f"""with recursive {GRAPH},
+        chain as (
+          select project_id, arg_min(name, (-depth, name)) as name, max(depth) as depth from depths group by project_id
+          union all
+          select c.project_id, f.src, c.depth - 1 from chain c, lateral (
+            select min(f.src) as src from feeds f join depths d on d.project_id = f.project_id and d.name = f.src
+            where f.project_id = c.project_id and f.dst = c.name and d.depth = c.depth - 1) f
+          where c.depth > 1)
+        select project_id, count(*) as models, string_agg(name, ' > ' order by depth) as path from chain group by project_id""",
     "max_depth": f"""with recursive {GRAPH}
         select project_id, max(depth) as max_chain_depth, max(depth) > 10 as is_deep, false as has_cycle
         from depths group by project_id""",

@@ -12,7 +12,7 @@ from checks import inputs as i
 from tablehealth.functions import text
 from tablehealth.operators import audit, drift, lineage, profile, registry, snapshots, suggest, versions
 from tablehealth.plans import health
-from tablehealth.sources import adhoc, manifest
+from tablehealth.sources import adhoc, footers, manifest
 from tablehealth.sources.scratch import Scratch, shared_folder, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -247,6 +247,20 @@ def drift_summary(spark, folder):
     return rows.withColumnRenamed("table", "table_name")
 
 
+@query
+def fleet_drift(spark, folder):
+    """Schemas that tasks read from the footers of many tables, against what is declared for them."""
+    actual = footers.columns(i.order_tables(spark, folder)).where("error is null")
+    return drift.detect(actual, i.declared_order_tables(spark, folder)).withColumnRenamed("table", "table_name")
+
+
+@query
+def footer_counts(spark, folder):
+    """Counts and ranges of every table from footers, other ranges from a scan of their columns."""
+    parts = [footers.counts(spark, name, f"{folder}/{name}.parquet", scan=True) for name in i.TABLES]
+    return profile.union_all(parts).withColumnRenamed("table", "table_name").withColumnRenamed("column", "column_name")
+
+
 # Manifests
 
 
@@ -473,6 +487,15 @@ def graph_cycles(spark, folder):
     return lineage.cycles(i.ring_models(spark, folder))
 
 
+@query
+def longest_chains(spark, folder):
+    chains = lineage.longest_chains(i.fleet_models(spark, folder))
+    path = F.array_sort(F.collect_list(F.struct("place", "name")))
+    return chains.groupBy("project_id").agg(
+        F.count("*").alias("models"), F.array_join(path["name"], " > ").alias("path")
+    )
+
+
 @query
 def max_depth(spark, folder):
     return lineage.depth_summary(lineage.node_depths(i.fleet_models(spark, folder)))

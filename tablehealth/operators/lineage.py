@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tablehealth.functions.text import last_segment
 from tablehealth.operators import depth
+from tablehealth.sources.scratch import Scratch, stage
 
 # Fan-out threshold, listed consumers, depth that draws a warning, model id prefix.
 HIGH_FAN_OUT = 5
@@ -146,6 +147,45 @@ def cycles(models: DataFrame, match: str = "name", local: int = depth.LOCAL_EDGE
     return found.where("is_cyclic").select("project_id", "name", "on_cycle")
 
 
+def longest_chains(models: DataFrame, match: str = "name", local: int = depth.LOCAL_EDGES) -> DataFrame:
+    """The longest chain of each project, a row per model on it: ``project_id``, ``place`` from 1, ``name``.
+
+    It ends in the model with the least name among the deepest, and before each model stands the one with the least name among
+    those that it consumes one level below. Chains are followed by steps that double: after ``k`` joins ``2 ** k`` models of every
+    chain are known, so a chain of a million takes twenty. Models on a cycle or behind one are in no chain; a project of such models
+    alone has none.
+    """
+    key = ["project_id", "name"]
+    names = models.select("project_id", _key(match).alias("name")).distinct()
+    links = stage(_links(models, names, match))
+    found = depth.levels(links, local)
+    levels = stage(
+        names.join(found, key, "left").where(~F.coalesce("is_cyclic", F.lit(False))).select(
+            *key, F.coalesce("depth", F.lit(1)).alias("place")
+        )
+    )
+    below = levels.select("project_id", F.col("name").alias("src"), (F.col("place") + 1).alias("place"))
+    before = (
+        links.join(below, ["project_id", "src"])
+        .join(levels.withColumnRenamed("name", "dst"), ["project_id", "dst", "place"])
+        .groupBy("project_id", F.col("dst").alias("name")).agg(F.min("src").alias("up"))
+    )
+    last = F.min(F.struct((-F.col("place")).alias("depth"), "name")).alias("last")
+    known, jumps = Scratch(models.sparkSession, "chains"), Scratch(models.sparkSession, "jumps")
+    reached, new = known.write(levels.groupBy("project_id").agg(last).select("project_id", "last.name"), 0)
+    jump, _ = jumps.write(before, 0)
+    while new:
+        step = reached.join(jump, key).select("project_id", F.col("up").alias("name"))
+        _, new = known.write(step, known.last + 1)
+        reached = known.all_versions(reached.schema).select(*key)
+        if new:
+            onward = jump.select("project_id", F.col("name").alias("up"), F.col("up").alias("over"))
+            jump, _ = jumps.write(
+                jump.join(onward, ["project_id", "up"]).select(*key, F.col("over").alias("up")), jumps.last + 1
+            )
+    return reached.join(levels, key).select("project_id", "place", "name")
+
+
 def _links(models: DataFrame, names: DataFrame, match: str) -> DataFrame:
     """Which known model feeds which, each pair once."""
     return (

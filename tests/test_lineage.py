@@ -2,8 +2,10 @@ import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from tablehealth.operators import depth, lineage
+from tablehealth.operators.profile import union_all
 
 MODELS = "project_id string, node_id string, name string, pos int, depends_on array<string>"
 EXPOSURES = "project_id string, depends_on array<string>"
@@ -176,3 +178,51 @@ def test_rows_written_are_linear_in_the_edges(spark, monkeypatch):
     edges_ = sum(len(d) for _, d in spec)
     assert max(depths(graph(spark, spec), local=0).values()) == 25
     assert sum(counts) <= 4 * edges_
+
+
+def listed(df):
+    return {
+        r.project_id: r.path.split(">")
+        for r in df.groupBy("project_id").agg(
+            F.array_join(F.array_sort(F.collect_list(F.struct("place", "name")))["name"], ">").alias("path")
+        ).collect()
+    }
+
+
+def longest_by_hand(spec):
+    """The chain with the least end, then the least model before it, and so on."""
+    feeds = {n: sorted({d.split(".")[-1] for d in deps} & {m for m, _ in spec}) for n, deps in spec}
+    known = {}
+    while True:
+        new = {n: 1 + max((known[s] for s in src), default=0) for n, src in feeds.items() if n not in known and all(s in known for s in src)}
+        if not new:
+            break
+        known.update(new)
+    if not known:
+        return None
+    chain = [min(n for n in known if known[n] == max(known.values()))]
+    while known[chain[0]] > 1:
+        chain.insert(0, min(s for s in feeds[chain[0]] if known[s] == known[chain[0]] - 1))
+    return chain
+
+
+def test_longest_chains_equal_those_by_hand(spark):
+    rng, specs = random.Random(11), {}
+    for p in range(6):
+        size = rng.randrange(1, 25)
+        specs[f"p{p}"] = [
+            (f"m{i:02}", [f"model.x.m{rng.randrange(size if p == 5 else max(i, 1)):02}" for _ in range(rng.randrange(3)) if i or p == 5])
+            for i in range(size)
+        ]
+    specs["line"] = [(f"n{i:02}", [f"model.x.n{i - 1:02}"] if i else []) for i in range(37)]
+    specs["ring"] = [("a", ["model.x.b"]), ("b", ["model.x.a"]), ("c", ["model.x.b"])]
+    df = union_all([graph(spark, spec, name) for name, spec in specs.items()])
+    expected = {name: longest_by_hand(spec) for name, spec in specs.items() if longest_by_hand(spec)}
+    assert "ring" not in expected and len(expected["line"]) == 37
+    assert listed(lineage.longest_chains(df)) == expected
+
+
+def test_longest_chains_of_odd_tables(spark):
+    assert lineage.longest_chains(graph(spark, [])).collect() == []
+    twice = [("a", []), ("a", []), ("b", ["model.p.a", "model.p.a", "model.p.gone"])]
+    assert listed(lineage.longest_chains(graph(spark, twice))) == {"p": ["a", "b"]}
