@@ -6,100 +6,60 @@ The guard keeps mistakes out; it is not a security boundary. Catalog permissions
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from typing import Any
 
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 
-# Allowed first words, functions with side effects.
+# Allowed first words, those of them that may hold anything else, functions with side effects.
 READ_WORDS = ("select", "with", "explain", "describe", "show", "values")
+PLANNED = ("select", "with", "values")
 SIDE_EFFECTS = ("reflect", "try_reflect", "java_method")
 
-_PLAIN = re.compile(r"\w+|\s+|.", re.DOTALL)
-_COMMENT_MARK = re.compile(r"/\*|\*/")
-_LINE_COMMENT = re.compile(r"--(?:\\\n|[^\n])*")
-_NAME = re.compile(r"`((?:[^`]|``)*)`")
-_TEXT = {
-    True: re.compile(r"""'((?:\\.|[^'\\])*)'|"((?:\\.|[^"\\])*)\"""", re.DOTALL),
-    False: re.compile(r"""'([^']*)'|"([^"]*)\"""", re.DOTALL),
-}
+_FIELDS = "spark.sql.debug.maxToStringFields"
+_PLAN = "== Physical Plan =="
 _WRITE_NODE = re.compile(
     r"^[\s:+\-!'*()\d]*(?:Execute\s+\w+Command|InsertInto\w+|MergeInto\w+|UpdateTable|DeleteFromTable"
     r"|AppendData|Overwrite\w+|ReplaceData|WriteDelta)\b",
     re.MULTILINE,
 )
+_SCRIPT_NODE = re.compile(r"^[\s:+\-!'*()\d]*(?:Hive)?ScriptTransformation\b", re.MULTILINE)
+_SIDE_EFFECT = re.compile(rf"\b(?:{'|'.join(SIDE_EFFECTS)})\(", re.IGNORECASE)
 
 
-def _tokens(sql: str, escapes: bool = True) -> Iterator[tuple[str, str]]:
-    """``word``, ``name`` (quoted), ``text`` (literal) and ``mark`` tokens; comments and space are left out."""
-    at, raw = 0, False
-    while at < len(sql):
-        if sql.startswith("--", at):
-            at = _LINE_COMMENT.match(sql, at).end()
-            continue
-        if sql.startswith("/*", at):
-            depth, end = 1, at + 2
-            while depth:
-                found = _COMMENT_MARK.search(sql, end)
-                if found is None:
-                    raise ValueError("A comment has no end")
-                depth, end = depth + (1 if found.group() == "/*" else -1), found.end()
-            at = end
-            continue
-        kind, found = "name", _NAME.match(sql, at)
-        if sql[at] in "'\"":
-            kind, found = "text", _TEXT[escapes and not raw].match(sql, at)
-        if sql[at] in "`'\"":
-            if found is None:
-                raise ValueError("A quotation has no end")
-            yield kind, next(g for g in found.groups() if g is not None).replace("``", "`")
-        else:
-            kind, found = "mark", _PLAIN.match(sql, at)
-            if found.group()[0].isalnum() or found.group()[0] == "_":
-                kind = "word"
-            if not found.group().isspace():
-                yield kind, found.group().lower()
-        raw = kind == "word" and found.group().lower() == "r"
-        at = found.end()
+def check_read_only(spark: SparkSession, sql: str, args: dict[str, Any] | list[Any] | None = None) -> None:
+    """Raise ``ValueError`` unless ``sql`` only reads.
 
-
-def _forbidden(tokens: list[tuple[str, str]]) -> str | None:
-    """The first call with side effects, computed function name or script among the tokens."""
-    for at, (kind, value) in enumerate(tokens):
-        after = tokens[at + 1] if at + 1 < len(tokens) else ("", "")
-        called = after == ("mark", "(")
-        if kind != "mark" and called and value.lower() in SIDE_EFFECTS:
-            return value
-        if kind == "word" and value == "using" and (after[0] == "text" or after == ("word", "r")):
-            return "using"
-        if kind == "word" and value == "identifier" and called:
-            depth = 0
-            for end in range(at + 1, len(tokens)):
-                depth += {("mark", "("): 1, ("mark", ")"): -1}.get(tokens[end], 0)
-                if depth == 0:
-                    if tokens[end + 1 : end + 2] == [("mark", "(")]:
-                        return value
-                    break
-    return None
-
-
-def check_read_only(spark: SparkSession, sql: str) -> None:
-    """Raise ``ValueError`` unless ``sql`` only reads."""
+    The first word decides what may run at all, and Spark's own plan of it what else is refused: writes behind WITH,
+    functions that call Java, scripts. A text that reads like such a call, ``'reflect(1)'`` say, is refused as well.
+    """
     words = sql.split(None, 1)
     first = words[0].lower() if words else ""
     if first not in READ_WORDS:
         raise ValueError(f"This statement may change data, as it does not begin with a word for reading: {first!r}")
-    escapes = spark.conf.get("spark.sql.parser.escapedStringLiterals", "false") != "true"
-    found = _forbidden(list(_tokens(sql, escapes)))
+    if first not in PLANNED:
+        return
+    plan = _explained(spark, sql, args)
+    if first == "with" and _PLAN not in plan:  # a command runs as soon as spark.sql sees it, EXPLAIN only plans it
+        raise ValueError(f"The query cannot be planned: {plan}")
+    if _WRITE_NODE.search(plan):
+        raise ValueError("The statement after WITH writes data")
+    found = _SIDE_EFFECT.search(plan) or _SCRIPT_NODE.search(plan)
     if found:
-        raise ValueError(f"Not allowed in a query that only reads: {found!r}")
-    if first == "with":
-        # A command runs as soon as spark.sql sees it, while EXPLAIN only plans it.
-        plan = spark.sql("EXPLAIN EXTENDED " + sql).first()[0]
-        if "== Physical Plan ==" not in plan:
-            raise ValueError(f"The query cannot be planned: {plan}")
-        if _WRITE_NODE.search(plan):
-            raise ValueError("The statement after WITH writes data")
+        raise ValueError(f"Not allowed in a query that only reads: {found.group().strip()!r}")
+
+
+def _explained(spark: SparkSession, sql: str, args: dict[str, Any] | list[Any] | None) -> str:
+    """All plans of ``sql``, with every column written out."""
+    before = spark.conf.get(_FIELDS)
+    spark.conf.set(_FIELDS, str(2**31 - 1))
+    try:
+        text = "EXPLAIN EXTENDED " + sql
+        return (spark.sql(text, args=args) if args else spark.sql(text)).first()[0]
+    except ParseException as error:
+        raise ValueError(f"This is no SQL: {error}") from error
+    finally:
+        spark.conf.set(_FIELDS, before)
 
 
 def execute_query(
@@ -109,6 +69,6 @@ def execute_query(
     limit: int | None = None,
 ) -> DataFrame:
     """Run one read-only statement; ``limit`` keeps that many rows, without it all are returned."""
-    check_read_only(spark, sql)
+    check_read_only(spark, sql, args)
     result = spark.sql(sql, args=args) if args else spark.sql(sql)
     return result if limit is None else result.limit(limit)

@@ -99,6 +99,9 @@ def test_guard(spark):
         "select system.builtin.reflect('java.lang.System', 'nanoTime')",
         "select transform(a) using r'cat' as (b) from guarded",
         "select 'open",
+        "select 'reflect(1)' a",
+        "select " + ", ".join(f"id + {n} c{n}" for n in range(60)) + ", REFLECT ('java.lang.System', 'nanoTime') from range(2)",
+        "select * from range(2) where id in (select length(java_method('java.lang.System', 'nanoTime')) from guarded)",
         "",
         "-- hi\nselect 1",
     ):
@@ -112,7 +115,7 @@ def test_guard(spark):
 def test_reads_pass_and_are_limited(spark):
     assert adhoc.execute_query(spark, " select * from range(1000)").count() == 1000
     assert adhoc.execute_query(spark, " select * from range(1000)", limit=200).count() == 200
-    for text in ("reflect(1)", "-- x", "/* x", "using 'a'", "identifier(a)(b)"):
+    for text in ("reflect (1)", "-- x", "/* x", "using 'a'", "identifier(a)(b)", "insert into x", "ScriptTransformation"):
         sql = "select '" + text.replace("'", "''") + "' as a -- reflect(1)"
         assert adhoc.execute_query(spark, sql + "\n/* java_method(2) */").count() == 1
     assert adhoc.execute_query(spark, "select 1 as `reflect` from range(1)").first().reflect == 1
