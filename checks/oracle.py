@@ -367,6 +367,12 @@ ORACLE: dict[str, str] = {
           coalesce(string_agg('{{"values":["' || replace(value_list, ',', '","') || '"]}}', ',' order by rule_order), '')
             as test_configs
         from s group by ordinal, column_name""",
+    "doc_preview_with_profile": f"""
+        with p as ({_P_ORDERS}), s as ({suggest_sql(_P_ORDERS)})
+        select p.ordinal, p.column_name, p.total_rows, p.null_rate, p.unique_rate,
+          coalesce((select string_agg(s.test_name, ',' order by s.rule_order) from s where s.ordinal = p.ordinal), '')
+            as test_names
+        from p""",
     "schema_drift": f"with {_drift(_AGREE)} {_DRIFTED}",
     "schema_drift_canonical": f"with {_drift(_AGREE_CANONICAL)} {_DRIFTED}",
     "drift_summary": f"""with {_drift(_AGREE)}
@@ -398,6 +404,13 @@ ORACLE: dict[str, str] = {
           3 as column_count, 1 as documented_column_count,
           'source.shop.customer_' || o_custkey || ',model.shop.priority' as depends_on, 't' as tags
         from {_ORDER_MODELS}""",
+    "model_details": f"""
+        select o_orderkey::varchar as project_id, 'order_' || o_orderkey as name, 's_' || s as schema,
+          'order_' || o_orderkey as alias, case when o_orderstatus = 'F' then 'table' else 'view' end as materialized,
+          false as is_root, 'select ' || o_custkey as sql_preview, false as sql_is_cut,
+          'o_custkey+not_null|relationships,o_orderstatus-accepted_values,o_comment-' as column_details,
+          'source.shop.customer_' || o_custkey || ',model.shop.priority' as depends_on
+        from {_ORDER_MODELS}""",
     "manifest_columns": f"""
         select o_orderkey::varchar as project_id, 'order_' || o_orderkey as model, c.pos, c.name as column_name,
           c.description, c.data_type, c.tests

@@ -222,6 +222,15 @@ def doc_preview(spark, folder):
     return _registry_rows(registry.from_suggestions(entries, "p", "orders"))
 
 
+@query
+def doc_preview_with_profile(spark, folder):
+    rows = suggest.with_tests(profile.profile(i.table(spark, folder, "orders"), "orders"))
+    names = F.array_join(F.transform("tests", lambda t: t["test_name"]), ",")
+    return rows.select(
+        "ordinal", F.col("column").alias("column_name"), "total_rows", "null_rate", "unique_rate", names.alias("test_names")
+    )
+
+
 # Drift
 
 
@@ -302,6 +311,18 @@ def manifest_file_sources(spark, folder):
     return manifest.sources(_manifest_files(spark, folder)).select("project_id", "pos", "source_id", "name", "identifier")
 
 
+@query
+def model_details(spark, folder):
+    models = audit.details(manifest.assets(_manifests(spark, folder)))
+    columns = F.transform("column_details", lambda c: F.concat(
+        c["name"], F.when(c["has_description"], "+").otherwise("-"), F.array_join(c["test_names"], "|")
+    ))
+    return models.select(
+        "project_id", "name", "schema", "alias", "materialized", "is_root", "sql_preview", "sql_is_cut",
+        F.array_join(columns, ",").alias("column_details"), F.array_join("depends_on", ",").alias("depends_on"),
+    )
+
+
 @query
 def manifest_columns(spark, folder):
     columns = manifest.asset_columns(manifest.assets(_manifests(spark, folder)))
@@ -509,24 +530,23 @@ def graph_summary(spark, folder):
 # Health
 
 
-def _fleet_audit(spark, folder):
-    return audit.audit_items(i.fleet_models(spark, folder), i.fleet_items(spark, folder))
-
-
-def _dashboard(spark, folder):
-    return health.dashboard(
-        audit.audit_projects(_fleet_audit(spark, folder)), graph_summary(spark, folder)
-    )
+def _health(spark, folder):
+    """The dashboard and the audit of the fleet's models, which are computed once."""
+    models = stage(i.fleet_models(spark, folder))
+    audited = stage(audit.audit_items(models, i.fleet_items(spark, folder)))
+    nodes = lineage.graph_nodes(models, i.fleet_exposures(spark, folder))
+    summary = lineage.summarize(nodes, lineage.node_depths(models))
+    return health.dashboard(audit.audit_projects(audited), summary), audited
 
 
 @query
 def health_dashboard(spark, folder):
-    return _dashboard(spark, folder)
+    return _health(spark, folder)[0]
 
 
 @query
 def health_actions(spark, folder):
-    return health.dashboard_actions(_dashboard(spark, folder), _fleet_audit(spark, folder))
+    return health.dashboard_actions(*_health(spark, folder))
 
 
 @query

@@ -15,6 +15,7 @@ from tablehealth.functions.text import (
     percent,
     round_even,
     round_tenth,
+    test_name,
 )
 
 # Weights of the overall score, band limits, length of the worst list.
@@ -27,6 +28,7 @@ WEIGHTS = (
 RED_BELOW = 20
 YELLOW_BELOW = 60
 WORST = 10
+SQL_PREVIEW = 2000  # characters of SQL shown with a model's details
 
 _COUNTERS = ("total_columns", "documented_columns", "tested_columns")
 
@@ -149,6 +151,29 @@ def first_by_name(models: DataFrame) -> DataFrame:
     return models.withColumn("rank", rank).where(F.col("rank") == 1).drop("rank")
 
 
+def details(models: DataFrame) -> DataFrame:
+    """Model rows with what describes them in one place; no shuffle.
+
+    ``column_details`` tells for each declared column, in order, whether it has a description and the names of its tests;
+    ``is_root`` whether the model depends on nothing; ``sql_preview`` is the start of the SQL and ``sql_is_cut`` whether there is more.
+    """
+    shown = F.transform(
+        F.coalesce("columns", F.array()),
+        lambda c: F.struct(
+            c["name"].alias("name"),
+            is_present(c["description"]).alias("has_description"),
+            F.transform(c["tests"], test_name).alias("test_names"),
+        ),
+    )
+    return models.select(
+        "*",
+        shown.alias("column_details"),
+        (F.size("depends_on") == 0).alias("is_root"),
+        F.substring("raw_sql", 1, SQL_PREVIEW).alias("sql_preview"),
+        (F.length("raw_sql") > SQL_PREVIEW).alias("sql_is_cut"),
+    )
+
+
 def find_model(models: DataFrame, name: str) -> DataFrame:
     """The model of that name in each project, or no row."""
     return first_by_name(models.where(F.col("name") == name))

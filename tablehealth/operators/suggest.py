@@ -106,6 +106,11 @@ def suggest(profile: DataFrame, rule_list: Sequence[Rule] | None = None) -> Data
 
 def grouped(profile: DataFrame, rule_list: Sequence[Rule] | None = None) -> DataFrame:
     """One row per column with suggestions, its tests as an array in rule order."""
+    return with_tests(profile, rule_list).select("table", "ordinal", "column", "tests").where(F.size("tests") > 0)
+
+
+def with_tests(profile: DataFrame, rule_list: Sequence[Rule] | None = None) -> DataFrame:
+    """Every row of a profile with its suggested ``tests`` in rule order, an empty array where there are none."""
     no_values = F.lit(None).cast("array<string>")
     cases = []
     for order, rule in enumerate(rule_list or rules(), 1):
@@ -122,9 +127,7 @@ def grouped(profile: DataFrame, rule_list: Sequence[Rule] | None = None) -> Data
                 ),
             )
         )
-    return profile.select(
-        "table", "ordinal", "column", F.filter(F.array(*cases), lambda t: t.isNotNull()).alias("tests")
-    ).where(F.size("tests") > 0)
+    return profile.withColumn("tests", F.filter(F.array(*cases), lambda t: t.isNotNull()))
 
 
 def as_test_entries(grouped_suggestions: DataFrame) -> DataFrame:

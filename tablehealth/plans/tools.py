@@ -10,7 +10,8 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +19,9 @@ from tablehealth.operators import audit, drift, lineage, profile, registry, sugg
 from tablehealth.plans import health
 from tablehealth.schemas import REGISTRY_COLUMNS
 from tablehealth.sources import adhoc, manifest
+from tablehealth.sources.scratch import stage
 from tablehealth.sources.tables import columns_of, read_table
 
-SQL_PREVIEW = 2000  # fixed value: characters of SQL shown with a model's details
-
 
 @dataclass(frozen=True)
 class Workspace:
@@ -43,10 +43,8 @@ class Workspace:
         return audit.list_models(self.models)
 
     def get_model_details(self, model: str) -> DataFrame:
-        """The model's row with all details; ``sql_preview`` is the start of the SQL."""
-        return audit.find_model(self.models, model).withColumn(
-            "sql_preview", F.substring("raw_sql", 1, SQL_PREVIEW)
-        )
+        """The model's row with all details, see :func:`tablehealth.operators.audit.details`."""
+        return audit.details(audit.find_model(self.models, model))
 
     def audit_project(self) -> DataFrame:
         return audit.audit_projects(audit.audit_models(self.models))
@@ -73,16 +71,27 @@ class Workspace:
         return audit.coverage_bands(audit.audit_models(self.models), sort)
 
     def analyze_dag(self, match: str = "name") -> DataFrame:
-        nodes = lineage.graph_nodes(self.models, self.exposures, match)
-        return lineage.summarize(nodes, lineage.node_depths(self.models, match))
+        return _dag(self._staged_models(), self.exposures, match)
+
+    def longest_chains(self, match: str = "name") -> DataFrame:
+        """The models on the longest chain of each project."""
+        return lineage.longest_chains(self.models, match)
 
     def get_project_health(self) -> DataFrame:
-        return health.dashboard(self.audit_project(), self.analyze_dag())
+        return self._health()[0]
 
     def recommended_actions(self) -> DataFrame:
-        return health.dashboard_actions(
-            self.get_project_health(), audit.audit_models(self.models)
-        )
+        return health.dashboard_actions(*self._health())
+
+    def _staged_models(self) -> DataFrame:
+        """The models without their SQL, parsed and written once for all steps that follow."""
+        return stage(self.models.drop("raw_sql", "compiled_sql", "config", "tags"))
+
+    def _health(self) -> tuple[DataFrame, DataFrame]:
+        """The dashboard and the audit of the models."""
+        models = self._staged_models()
+        audited = audit.audit_models(models)
+        return health.dashboard(audit.audit_projects(audited), _dag(models, self.exposures, "name")), audited
 
     def profile_model(
         self, model: str, mode: str = "exact", project_id: str | None = None
@@ -150,27 +159,47 @@ class Workspace:
         """Merge proposed descriptions of whole models into the registry of models."""
         return registry.merge_models(existing, proposals)
 
-    def generate_model_docs(self, model: str, mode: str = "exact") -> DataFrame:
+    def generate_model_docs(self, model: str, mode: str = "exact", project_id: str | None = None) -> DataFrame:
         """Proposals drawn from the model's data, not merged yet.
 
-        A model whose table cannot be opened gives no rows.
+        A model whose table cannot be opened or read gives no rows.
         """
-        place = self._location(model)
-        try:
-            table = self._open(place)
-            rows = profile.profile(table, model, mode=mode)
-        except (AnalysisException, ValueError):
+        place = self._location(model, project_id)
+        rows = self._readable_profile(place, model, mode)
+        if rows is None:
             return self.spark.createDataFrame([], REGISTRY_COLUMNS)
-        rows = self.spark.createDataFrame(rows.collect(), rows.schema)
         tests = suggest.as_test_entries(suggest.grouped(rows))
         return registry.from_suggestions(tests, place["project_id"], model)
 
-    def profile_all(self, models: Sequence[str], mode: str = "exact") -> DataFrame:
-        return profile.profile_many({m: self._table(m) for m in models}, mode=mode)
+    def preview_docs(self, model: str, mode: str = "exact", project_id: str | None = None) -> DataFrame:
+        """The proposals beside what they rest on: a row per column of the table with the model's description, the
+        column's profile and its suggested ``tests``, an empty list where there are none.
+
+        A model whose table cannot be opened or read gives one row with its description and no column.
+        """
+        place = self._location(model, project_id)
+        about = self.spark.createDataFrame(
+            [(place["project_id"], model, place["description"])], "project_id string, model string, description string"
+        )
+        rows = self._readable_profile(place, model, mode)
+        if rows is None:
+            return about.withColumn("column", F.lit(None).cast("string"))
+        return about.join(suggest.with_tests(rows), F.col("model") == F.col("table"), "left").drop("table")
+
+    def _readable_profile(self, place: Row, model: str, mode: str) -> DataFrame | None:
+        """The profile, computed here to see whether it can be: a row per column."""
+        try:
+            rows = profile.profile(self._open(place), model, mode=mode)
+            return self.spark.createDataFrame(rows.collect(), rows.schema)
+        except (PySparkException, Py4JJavaError, ValueError):
+            return None
+
+    def profile_all(self, models: Sequence[str], mode: str = "exact", project_id: str | None = None) -> DataFrame:
+        return profile.profile_many({m: self._table(m, project_id) for m in models}, mode=mode)
 
     def _location(self, model: str, project_id: str | None = None) -> Row:
         found = audit.find_model(self.models, model).select(
-            "project_id", "schema", F.coalesce("alias", "name").alias("table")
+            "project_id", "schema", "description", F.coalesce("alias", "name").alias("table")
         )
         if project_id is not None:
             found = found.where(F.col("project_id") == project_id)
@@ -191,3 +220,7 @@ class Workspace:
         if self.open_table is not None:
             return self.open_table(place["schema"], place["table"])
         return read_table(self.spark, place["table"], place["schema"])
+
+
+def _dag(models: DataFrame, exposures: DataFrame, match: str) -> DataFrame:
+    return lineage.summarize(lineage.graph_nodes(models, exposures, match), lineage.node_depths(models, match))

@@ -35,6 +35,10 @@ def test_listing_and_details(workspace):
     assert {r.name for r in workspace.list_models().where("project_id = 'sky'").collect()} >= {"Scratch-Pad", "readings"}
     row = workspace.get_model_details("stg_frames").first()
     assert row.sql_preview == row.raw_sql and len(row.columns) == 3
+    assert [c.name for c in row.column_details] == [c.name for c in row.columns] and not row.sql_is_cut
+    assert [c.has_description for c in row.column_details] == [bool(c.description.strip()) for c in row.columns]
+    long = workspace.models.limit(1).withColumn("raw_sql", F.repeat(F.lit("x"), 2001))
+    assert audit.details(long).first().sql_is_cut and len(audit.details(long).first().sql_preview) == 2000
     assert audit.model_path(workspace.models, "stg_frames").first()[1] == "sky/landing/stg_frames.sql"
     assert audit.node_id(workspace.models, "stg_frames").first()[1] == "model.sky.stg_frames"
     assert workspace.get_model_details("nope").count() == 0
@@ -93,5 +97,32 @@ def test_docs_flow(workspace, spark):
         workspace.generate_model_docs("nope")
 
 
+def test_previews_keep_all_columns(workspace, spark):
+    rows = workspace.preview_docs("readings", project_id="sky").orderBy("ordinal").collect()
+    assert [r["column"] for r in rows] == ["sensor_id", "station_id", "state", "level"]
+    assert {r.project_id for r in rows} == {"sky"} and rows[0].total_rows == 12
+    assert [t.test_name for t in rows[2].tests] == ["not_null", "accepted_values"]
+    row = workspace.preview_docs("stg_frames").first()  # its table does not exist
+    assert row["column"] is None and row.model == "stg_frames"
+
+
+def test_a_name_in_two_projects(workspace, spark, readings):
+    def open_table(schema, table):
+        return readings if table != "readings" else readings.select(F.raise_error(F.lit("lost")).alias("x"))
+
+    two = Workspace(spark, workspace.manifests, open_table)
+    with pytest.raises(ValueError):
+        two.generate_model_docs("rpt_monthly")
+    rows = two.generate_model_docs("rpt_monthly", project_id="sea").collect()
+    assert {r.project_id for r in rows} == {"sea"} and len(rows) == 4
+    assert two.profile_all(["rpt_monthly"], project_id="sky").count() == 4
+    assert two.generate_model_docs("readings").count() == 0  # its table opens, but cannot be read
+
+
+def test_models_are_parsed_once(workspace):
+    plan = workspace.recommended_actions()._jdf.queryExecution().optimizedPlan().toString()
+    assert "raw_sql" not in plan and "get_json_object(entry" not in plan
+
+
 def test_sql(workspace):
     assert workspace.execute_query("select 1 as one").first().one == 1
