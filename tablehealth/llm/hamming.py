@@ -17,21 +17,45 @@ from tablehealth.operators.profile import union_all
 from tablehealth.sources.scratch import Scratch, stage
 
 BITS = 64
-SEGMENTS = 4
+SEGMENTS = 4  # of each word of 64 bits
 WIDTH = BITS // SEGMENTS
 
 
-def sign_code(vector: str) -> Column:
-    """64 bits: bit i is set where element i is positive. Null for a null vector."""
-    bits = (
-        f"aggregate(transform({vector}, (x, i) -> if(x > 0, shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b)"
-    )
-    longer = F.raise_error(F.lit(f"vectors of more than {BITS} elements have no code"))
-    return F.when(F.expr(f"size({vector}) > {BITS}"), longer.cast("long")).otherwise(F.expr(bits))
+def words_of(*tables: DataFrame, vector: str) -> int:
+    """How many words of 64 bits hold a sign for each element of the longest vector."""
+    longest = [df.agg(F.max(F.size(vector))).first()[0] or 0 for df in tables]
+    return max(1, -(-max(longest) // BITS))
+
+
+def sign_code(vector: str, words: int = 1) -> Column:
+    """Bit i is set where element i is positive; elements that are not there are not positive. Null for a null vector.
+
+    A code of one word is a long, a longer one an array of longs.
+    """
+    def word(at: int) -> str:
+        part = vector if words == 1 else f"slice({vector}, {BITS * at + 1}, {BITS})"
+        return f"aggregate(transform({part}, (x, i) -> if(x > 0, shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b)"
+
+    code = word(0) if words == 1 else f"array({', '.join(map(word, range(words)))})"
+    return F.expr(f"if({vector} is null, null, {code})")
+
+
+def _word(code: Column, at: int, words: int) -> Column:
+    return code if words == 1 else F.get(code, F.lit(at))
+
+
+def _segment(word: Column, number: int) -> Column:
+    return F.shiftrightunsigned(word, number % SEGMENTS * WIDTH).bitwiseAND((1 << WIDTH) - 1)
+
 
+def _differ(words: int) -> list[Column]:
+    """The bits in which ``q`` and ``code`` differ, word by word."""
+    return [_word(F.col("q"), w, words).bitwiseXOR(_word(F.col("code"), w, words)) for w in range(words)]
 
-def _segment(code: Column | str, number: int) -> Column:
-    return F.shiftrightunsigned(code, number * WIDTH).bitwiseAND((1 << WIDTH) - 1)
+
+def _distance(words: int) -> Column:
+    first, *rest = [F.bit_count(d) for d in _differ(words)]
+    return sum(rest, first).cast("int").alias("distance")
 
 
 def _masks(weight: int) -> Column:
@@ -40,68 +64,59 @@ def _masks(weight: int) -> Column:
     return F.lit(found).cast("array<long>")
 
 
-def _probes(queries: DataFrame, radius: int) -> DataFrame:
-    """``q``, ``segment``, ``value``: segment values that differ from the query's by ``radius`` bits."""
-    each = F.explode(
-        F.array(
-            *(
-                F.struct(F.lit(s).alias("segment"), _segment("q", s).alias("own"))
-                for s in range(SEGMENTS)
-            )
-        )
-    )
+def _segments(code: str, words: int, value: str) -> Column:
+    """Every segment of a code with its number."""
+    return F.explode(F.array(*(
+        F.struct(F.lit(s).alias("segment"), _segment(_word(F.col(code), s // SEGMENTS, words), s).alias(value))
+        for s in range(SEGMENTS * words)
+    ))).alias("at")
+
+
+def _probes(queries: DataFrame, radius: int, words: int) -> DataFrame:
+    """``q``, ``segment``, ``value``: segment values that differ from the query's by ``radius`` bits.
+
+    Few queries may have many probes, so they are dealt over all tasks first.
+    """
     return (
-        queries.select("q", each.alias("at"))
+        queries.repartition(F.col("q"))
+        .select("q", _segments("q", words, "own"))
         .select("q", "at.segment", "at.own", F.explode(_masks(radius)).alias("mask"))
         .select("q", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
     )
 
 
-def _first_meeting(radius: int) -> Column:
+def _first_meeting(radius: int, words: int) -> Column:
     """True where no smaller radius, and no earlier segment at this one, finds the pair as well."""
-    differ = F.col("q").bitwiseXOR(F.col("code"))
+    differ = _differ(words)
     clear = F.lit(True)
-    for s in range(SEGMENTS):
-        bits = F.bit_count(_segment(differ, s))
+    for s in range(SEGMENTS * words):
+        bits = F.bit_count(_segment(differ[s // SEGMENTS], s))
         clear &= F.when(F.col("segment") > s, bits > radius).otherwise(bits >= radius)
     return clear
 
 
-def _filed(codes: DataFrame) -> DataFrame:
-    each = F.explode(
-        F.array(
-            *(
-                F.struct(F.lit(s).alias("segment"), _segment("code", s).alias("value"))
-                for s in range(SEGMENTS)
-            )
-        )
-    )
-    return codes.select("code", "first_id", "n", each.alias("at")).select(
-        "code", "first_id", "n", "at.*"
-    )
+def _filed(codes: DataFrame, words: int) -> DataFrame:
+    return codes.select("code", "first_id", "n", _segments("code", words, "value")).select("code", "first_id", "n", "at.*")
 
 
-def top_codes(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def top_codes(codes: DataFrame, queries: DataFrame, k: int, words: int = 1) -> DataFrame:
     """``q``, ``code``, ``distance``: for each query code enough nearest codes to hold k rows.
 
     ``codes`` has a row per distinct ``code`` with its ``first_id`` and row count ``n``; ``queries`` has
     distinct ``q``.
     """
     scratch = Scratch(codes.sparkSession, "topk")
-    filed, total = stage(_filed(codes)), codes.count()
+    filed, total = stage(_filed(codes, words)), codes.count()
     best_first = Window.partitionBy("q").orderBy("distance", "first_id")
     pending, held, finished = queries.select("q"), None, []
     for radius in range(WIDTH + 1):
-        covered = SEGMENTS * (radius + 1) - 1
+        covered = SEGMENTS * words * (radius + 1) - 1
         found = (
-            _probes(pending, radius)
+            _probes(pending, radius, words)
             .hint("merge")  # there are many more probes than Spark's estimate knows
             .join(filed, ["segment", "value"])
-            .where(_first_meeting(radius))
-            .select(
-                "q", "code", "first_id", "n",
-                F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).cast("int").alias("distance"),
-            )
+            .where(_first_meeting(radius, words))
+            .select("q", "code", "first_id", "n", _distance(words))
         )
         if held is not None:
             found = found.unionByName(held.select(found.columns))
@@ -127,21 +142,24 @@ def top_codes(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 def search(rows: DataFrame, queries: DataFrame, k: int, id_column: str, vector: str) -> DataFrame:
     """``query_id``, ``rank``, ``id``, ``distance``: the k nearest rows of each query row.
 
-    Exact in Hamming distance between sign codes; equal distances go by id. A row is its own neighbour if
+    Exact in Hamming distance between sign codes, which have as many words of 64 bits as the longest vector needs; of a shorter
+    one the rest is not positive. Equal distances go by id. A row is its own neighbour if
     it is among the rows. Rows or queries without an id or a vector have no place in the result; a null
     element is not positive. Repeated rows count each time. With fewer than k rows all are returned, with
     an empty table none. Other columns are ignored.
     """
+    words = words_of(rows, queries, vector=vector)
+
     def coded(df: DataFrame) -> DataFrame:
         return (
             df.select(F.col(id_column).alias("id"), F.col(vector).alias("v"))
-            .select("id", sign_code("v").alias("code"))
+            .select("id", sign_code("v", words).alias("code"))
             .where("id is not null and code is not null")
         )
 
     known, asked = stage(coded(rows)), stage(coded(queries))
     codes = stage(known.groupBy("code").agg(F.min("id").alias("first_id"), F.count("*").alias("n")))
-    best = top_codes(codes, asked.select(F.col("code").alias("q")).distinct(), k)
+    best = top_codes(codes, asked.select(F.col("code").alias("q")).distinct(), k, words)
     within = Window.partitionBy("code").orderBy("id")
     members = known.withColumn("at", F.row_number().over(within)).where(F.col("at") <= k)
     nearest = Window.partitionBy("q").orderBy("distance", "id", "at")

@@ -43,5 +43,17 @@ def test_odd_rows(spark):
     none = df.where(F.lit(False))
     assert hamming.search(none, df, 3, "id", "v").count() == 0
     assert hamming.search(df, none, 3, "id", "v").count() == 0
-    with pytest.raises(Exception, match="more than 64"):
-        run(spark, [(1, [1.0] * 65)], [(1, [1.0])], 1)
+
+
+def test_codes_of_several_words(spark):
+    rng = random.Random(3)
+    base = [[rng.uniform(-1, 1) for _ in range(150)] for _ in range(3)]
+    rows = []
+    for i in range(60):  # around three centres, so that small radii suffice
+        v = list(base[i % 3])
+        for at in rng.sample(range(150), rng.randrange(8)):
+            v[at] = -v[at]
+        rows.append((i, v[: rng.choice((64, 65, 150, 150, 150))]))
+    rows += [(90, rows[0][1]), (91, [1.0] * 65), (92, []), (93, None)]
+    queries = [*rows[:3], rows[-3], (99, [-1.0] * 130)]
+    assert run(spark, rows, queries, 4) == brute(rows, queries, 4)
