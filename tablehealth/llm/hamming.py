@@ -75,10 +75,11 @@ def _segments(code: str, words: int, value: str) -> Column:
 def _probes(queries: DataFrame, radius: int, words: int) -> DataFrame:
     """``q``, ``segment``, ``value``: segment values that differ from the query's by ``radius`` bits.
 
-    Few queries may have many probes, so they are dealt over all tasks first.
+    Few queries may have many probes, so they are dealt over a stated number of tasks first: Spark would join small ones.
     """
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        queries.repartition(F.col("q"))
+        queries.repartition(tasks, F.col("q"))
         .select("q", _segments("q", words, "own"))
         .select("q", "at.segment", "at.own", F.explode(_masks(radius)).alias("mask"))
         .select("q", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
