@@ -570,6 +570,12 @@ ORACLE: dict[str, str] = {
           coalesce(array_to_string(list_filter(list_transform(tests, lambda t: t.config), lambda c: c is not null), ','), '')
             as test_configs
         from merged""",
+    "registry_unnamed": f"""with {_REGISTRY.replace("from documents", "from documents where (doc_id + 1) % 3 <> 0 and (doc_id + 1) % 5 <> 0")}
+        select 'p' as project_id, 'docs' as model, column_name, pos, description,
+          coalesce(array_to_string(list_transform(tests, lambda t: t.name), ','), '') as test_names,
+          coalesce(array_to_string(list_filter(list_transform(tests, lambda t: t.config), lambda c: c is not null), ','), '')
+            as test_configs
+        from merged""",
     "registry_versions": f"""with {_REGISTRY}, kept as (
         select 'p' as project_id, * from merged
         union all by name

@@ -576,6 +576,14 @@ def registry_merge(spark, folder):
     )
 
 
+@query
+def registry_unnamed(spark, folder):
+    """Proposals without a column name, empty or null, are passed over."""
+    name = F.when(F.expr("pos % 3 = 0"), "").when(F.expr("pos % 5 <> 0"), F.col("column"))
+    proposals = i.column_proposals(spark, folder).withColumn("column", name)
+    return _registry_rows(registry.merge_columns(i.registry_columns(spark, folder), proposals))
+
+
 @query
 def registry_versions(spark, folder):
     """Two projects in a versioned registry; proposals touch one of them."""
