@@ -531,9 +531,9 @@ def graph_summary(spark, folder):
 
 
 def _health(spark, folder):
-    """The dashboard and the audit of the fleet's models, which are computed once."""
+    """The dashboard and the audit of the fleet, whose models are computed once."""
     models = stage(i.fleet_models(spark, folder))
-    audited = stage(audit.audit_items(models, i.fleet_items(spark, folder)))
+    audited = audit.audit_items(models, i.fleet_items(spark, folder))
     nodes = lineage.graph_nodes(models, i.fleet_exposures(spark, folder))
     summary = lineage.summarize(nodes, lineage.node_depths(models))
     return health.dashboard(audit.audit_projects(audited), summary), audited
