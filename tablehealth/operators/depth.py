@@ -1,7 +1,9 @@
 """Levels of lineage graphs, and the cycles in them.
 
-Projects are graphs of their own. One whose edges fit a task is solved there, all such projects in one job. Larger ones
-go in rounds over the whole cluster: a frontier of models whose level is known fires its edges, and a model joins
+Projects are graphs of their own. One whose edges fit a task is solved there, all such projects in one job. Of larger ones the
+models that feed nothing are set aside first, as long as that takes at least half of the edges: their level follows from the
+levels of what feeds them. What is left falls into weakly connected parts, and tasks solve many parts each. Only a part too large
+for a task goes in rounds over the whole cluster: a frontier of models whose level is known fires its edges, and a model joins
 the next frontier once as many edges have been fired at it as it has. Edges are stored once; a round writes a row for each
 model that it fired at, so everything written is linear in the edges. As soon as what is left of a project fits a task, it is
 finished there. Edges that never fire lie on a cycle or behind one.
@@ -14,32 +16,151 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablehealth.operators.components import components
 from tablehealth.sources.scratch import Scratch, stage
 
 #: Edges of a project that one task takes.
 LOCAL_EDGES = 1_000_000
-_LEVELS = "project_id string, name string, depth int, is_cyclic boolean, on_cycle boolean"
-_KEY = ["project_id", "name"]
+#: Parts of a project go to the same task until they have this share of it.
+_FILL = 4
+_LEVELS = "project_id string, name string, depth int, is_cyclic boolean, on_cycle boolean, feeds boolean"
+#: The name goes first: within a project it is what rows are told apart by when they are sorted.
+_KEY = ["name", "project_id"]
 
 
-def levels(links: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
-    """``project_id``, ``name``, ``depth``, ``is_cyclic``, ``on_cycle`` of the models at the ends of ``links`` (``project_id``,
-    ``src``, ``dst``, each once).
+def levels(edges: DataFrame, names: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
+    """A row for each model at an end of an edge: ``project_id``, ``name``, ``depth``, ``is_cyclic``, ``on_cycle``, ``feeds``.
 
-    ``depth`` is the longest chain ending in the model, 1 for models that nothing feeds. It is null for models on a cycle
-    or behind one, which ``is_cyclic``; ``on_cycle`` tells the two apart.
+    ``edges`` (``project_id``, ``src``, ``dst``) may repeat, ``names`` (``project_id``, ``name``) are the models there are, and
+    edges from anything else do not count. ``depth`` is the longest chain ending in the model, 1 for models that nothing feeds. It
+    is null for models on a cycle or behind one, which ``is_cyclic``; ``on_cycle`` tells the two apart, and ``feeds`` the models
+    that feed others.
     """
-    links = stage(links)
-    sizes = stage(links.groupBy("project_id").agg(F.count("*").alias("edges")))
-    base = F.lit(1).alias("base")
-    small = links.join(sizes.where(F.col("edges") <= local), "project_id", "left_semi").select("*", base)
-    large = sizes.where(F.col("edges") > local)
+    return settle(told(edges, names, local))
+
+
+def settle(rows: DataFrame) -> DataFrame:
+    """One row per model from all that is told about it."""
+    cyclic = F.bool_or("is_cyclic")
+    return rows.groupBy(*_KEY).agg(
+        F.when(~cyclic, F.max("depth")).alias("depth"), cyclic.alias("is_cyclic"),
+        F.bool_or("on_cycle").alias("on_cycle"), F.bool_or("feeds").alias("feeds"),
+    ).select("project_id", "name", "depth", "is_cyclic", "on_cycle", "feeds")
+
+
+def flat(names: DataFrame) -> DataFrame:
+    """What a name alone tells: a level of 1 at least."""
+    no = F.lit(False)
+    return names.select(
+        "project_id", "name", F.lit(1).alias("depth"), no.alias("is_cyclic"), no.alias("on_cycle"), no.alias("feeds")
+    )
+
+
+def told(edges: DataFrame, names: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
+    """The rows that :func:`levels` settles: each edge, once its source has a level, tells one for its end."""
+    edges, total = Scratch(edges.sparkSession, "edges").write(edges.where("project_id is not null and src is not null"), 0)
+    sizes = stage(edges.groupBy("project_id").agg(F.count("*").alias("edges")))
+    large = F.broadcast(sizes.where(F.col("edges") > local).select("project_id"))
     if large.isEmpty():
-        return _in_tasks(small)
-    done, rest, stuck = _rounds(stage(links.join(large, "project_id", "left_semi")), large, local)
-    if stuck:
-        return _in_tasks(small).unionByName(done).unionByName(_around(rest, local))
-    return _in_tasks(small.unionByName(rest)).unionByName(done)
+        return _in_tasks(_known(edges, names).withColumn("base", F.lit(1)))
+    many = edges.join(large, "project_id", "left_semi")
+    known = stage(_sources(many, names.join(large, "project_id", "left_semi")))
+    inner, count = Scratch(edges.sparkSession, "inner").write(
+        _ending_in(many, known).join(known.withColumnRenamed("name", "src"), ["src", "project_id"], "left_semi")
+        .select("project_id", "src", "dst").distinct(), 0
+    )
+    rows = _passed_on(many, stage(_with_levels(known, _inside(inner, count, local, 2 * count <= total))))
+    few = F.broadcast(sizes.where(F.col("edges") <= local).select("project_id"))
+    if few.isEmpty():
+        return rows
+    small = _known(edges.join(few, "project_id", "left_semi"), names.join(few, "project_id", "left_semi"))
+    return rows.unionByName(_in_tasks(small.withColumn("base", F.lit(1))))
+
+
+def _known(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """Edges from models that there are, each once."""
+    return edges.join(names.distinct().withColumnRenamed("name", "src"), ["src", "project_id"], "left_semi").select(
+        "project_id", "src", "dst"
+    ).distinct()
+
+
+def _sources(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """The models that feed others. Grouped rather than joined, so that names are not sorted."""
+    ends = edges.select("project_id", F.col("src").alias("name"), F.lit(True).alias("feeds"), F.lit(False).alias("there"))
+    there = names.select("project_id", "name", F.lit(False).alias("feeds"), F.lit(True).alias("there"))
+    both = ends.unionByName(there).groupBy(*_KEY).agg(F.bool_or("feeds").alias("feeds"), F.bool_or("there").alias("there"))
+    return both.where("feeds and there").select("project_id", "name")
+
+
+def _ending_in(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    return edges.join(sources.withColumnRenamed("name", "dst"), ["dst", "project_id"], "left_semi").select("project_id", "src", "dst")
+
+
+def _with_levels(sources: DataFrame, inner: DataFrame) -> DataFrame:
+    """Levels of the models that feed others; those without an edge among them are fed by nothing."""
+    return sources.join(inner.drop("feeds"), _KEY, "left").select(
+        *_KEY, F.when(~F.coalesce("is_cyclic", F.lit(False)), F.coalesce("depth", F.lit(1))).alias("depth"),
+        F.coalesce("is_cyclic", F.lit(False)).alias("is_cyclic"), F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"),
+        F.lit(True).alias("feeds"),
+    )
+
+
+def _passed_on(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """The levels of models that feed others, and what they tell of the models they feed."""
+    ends = edges.join(
+        sources.select(F.col("name").alias("src"), "project_id", "depth", "is_cyclic"), ["src", "project_id"]
+    ).select(
+        "project_id", F.col("dst").alias("name"), (F.col("depth") + 1).alias("depth"), "is_cyclic",
+        F.lit(False).alias("on_cycle"), F.lit(False).alias("feeds"),
+    )
+    return ends.unionByName(sources)
+
+
+def _inside(links: DataFrame, count: int, local: int, trim: bool) -> DataFrame:
+    """Levels of the models at the ends of ``links``, which are stored, each once."""
+    sizes = stage(links.groupBy("project_id").agg(F.count("*").alias("edges")))
+    if sizes.where(F.col("edges") > local).isEmpty():
+        return _in_tasks(links.withColumn("base", F.lit(1)))
+    if not trim:
+        return _in_parts(links, sizes, local)
+    sources = stage(links.select("project_id", F.col("src").alias("name")).distinct())
+    inner, left = Scratch(links.sparkSession, "inner").write(_ending_in(links, sources), 0)
+    below = _inside(inner, left, local, 2 * left <= count)
+    return settle(_passed_on(links, stage(_with_levels(sources, below))))
+
+
+def _in_parts(links: DataFrame, sizes: DataFrame, local: int) -> DataFrame:
+    """Weakly connected parts are found on hashes of the models: two that share one only make a part of two.
+
+    A part of up to a quarter of what a task takes shares its task with others, a larger one has its own, and one that is too large
+    goes in rounds.
+    """
+    if not local:
+        return _over_cluster(links, sizes, local)
+    share = max(local // _FILL, 1)
+    hashed = links.select(F.xxhash64("project_id", "src").alias("a"), F.xxhash64("project_id", "dst").alias("b"))
+    roots = components(hashed, "parts").withColumnRenamed("node", "a")
+    part = F.coalesce("root", "a").alias("part")
+    parts = hashed.join(roots, "a", "left").groupBy(part).agg(F.count("*").alias("size"))
+    wide = stage(parts.where(F.col("size") > share))
+    placed = links.withColumn("a", F.xxhash64("project_id", "src")).join(roots, "a", "left").select(
+        "project_id", "src", "dst", part
+    ).join(F.broadcast(wide), "part", "left").join(F.broadcast(sizes), "project_id")
+    shared = F.pmod("part", F.ceil(F.col("edges") / share))
+    fits = placed.where(F.coalesce("size", F.lit(0)) <= local).select(
+        "project_id", "src", "dst", F.lit(1).alias("base"), F.when(F.col("size").isNull(), shared).otherwise(F.col("part")).alias("part")
+    )
+    solved = fits.groupBy("project_id", "part").applyInPandas(_solve, _LEVELS)
+    if wide.where(F.col("size") > local).isEmpty():
+        return solved
+    rest = stage(placed.where(F.col("size") > local).select("project_id", "src", "dst"))
+    return solved.unionByName(_over_cluster(rest, stage(rest.groupBy("project_id").agg(F.count("*").alias("edges"))), local))
+
+
+def _over_cluster(links: DataFrame, sizes: DataFrame, local: int) -> DataFrame:
+    done, rest, stuck = _rounds(links, sizes, local)
+    found = done.unionByName(_around(rest, local)) if stuck else _in_tasks(rest).drop("feeds").unionByName(done)
+    return found.withColumn("feeds", F.lit(False))
 
 
 def _rounds(links: DataFrame, sizes: DataFrame, local: int) -> tuple[DataFrame, DataFrame, bool]:
@@ -189,7 +310,8 @@ def _members(edges: pd.DataFrame) -> pd.DataFrame:
 def _solve(edges: pd.DataFrame) -> pd.DataFrame:
     """Levels of one project from its edges. An edge without a source says that its end has at least level ``base``."""
     given = edges["src"].isna().to_numpy()
-    codes, names = pd.factorize(pd.concat([edges["src"][~given], edges["dst"]], ignore_index=True))
+    # A model without a name is one of its own: nothing can name it as its source.
+    codes, names = pd.factorize(pd.concat([edges["src"][~given], edges["dst"]], ignore_index=True), use_na_sentinel=False)
     n = int((~given).sum())
     src, every = codes[:n], codes[n:]
     dst = every[~given]
@@ -216,6 +338,7 @@ def _solve(edges: pd.DataFrame) -> pd.DataFrame:
     out = pd.DataFrame({
         "project_id": edges["project_id"].iloc[0], "name": names,
         "depth": pd.array(np.where(cyclic, 0, level), "Int32"), "is_cyclic": cyclic, "on_cycle": on_cycle,
+        "feeds": np.bincount(src, minlength=len(names)) > 0,
     })
     out.loc[cyclic, "depth"] = pd.NA
     return out

@@ -39,7 +39,8 @@ def graph_nodes(
     Consumers are counted per task before the shuffle, so a model that feeds a large part of the
     graph arrives as a few rows.
     """
-    consumers = edges(models, match).groupBy("project_id", "src").agg(
+    by = ["src", "project_id"]  # rows are sorted by name first, as most are of a few projects
+    consumers = edges(models, match).groupBy(*by).agg(
         F.count(F.lit(1)).alias("downstream_count")
     )
     nodes = models.select(
@@ -50,11 +51,11 @@ def graph_nodes(
         _key(match).alias("src"),
         (~F.exists("depends_on", lambda d: d.startswith(MODEL_PREFIX))).alias("is_root"),
     )
-    joined = nodes.join(consumers, ["project_id", "src"], "left")
+    joined = nodes.join(consumers, by, "left")
     if exposures is None:
         joined = joined.withColumn("is_exposed", F.lit(False))
     else:
-        joined = joined.join(_exposed(exposures, match), ["project_id", "src"], "left")
+        joined = joined.join(_exposed(exposures, match), by, "left")
     count = F.coalesce("downstream_count", F.lit(0))
     exposed = F.coalesce("is_exposed", F.lit(False))
     # Taken from the join key, the name keeps the partitioning for the steps that follow.
@@ -132,18 +133,15 @@ def node_depths(models: DataFrame, match: str = "name", local: int = depth.LOCAL
     Models on a cycle or downstream of one get a null depth and ``is_cyclic``. How levels are found: see
     :func:`tablehealth.operators.depth.levels`.
     """
-    names = models.select("project_id", _key(match).alias("name")).distinct()
-    found = depth.levels(_links(models, names, match), local)
-    cyclic = F.coalesce("is_cyclic", F.lit(False))
-    return names.join(found, ["project_id", "name"], "left").select(
-        "project_id", "name", F.when(~cyclic, F.coalesce("depth", F.lit(1))).alias("depth"), cyclic.alias("is_cyclic")
-    )
+    names = _names(models, match)
+    # Models without a link stand on level 1, and one grouping settles them with the others.
+    told = depth.told(_links(models, match), names, local).where("name is not null")
+    return depth.settle(told.unionByName(depth.flat(names))).select("project_id", "name", "depth", "is_cyclic")
 
 
 def cycles(models: DataFrame, match: str = "name", local: int = depth.LOCAL_EDGES) -> DataFrame:
     """The models without a depth: ``on_cycle`` tells those that reach themselves from those behind a cycle."""
-    names = models.select("project_id", _key(match).alias("name")).distinct()
-    found = depth.levels(_links(models, names, match), local)
+    found = depth.levels(_links(models, match), _names(models, match), local)
     return found.where("is_cyclic").select("project_id", "name", "on_cycle")
 
 
@@ -151,56 +149,61 @@ def longest_chains(models: DataFrame, match: str = "name", local: int = depth.LO
     """The longest chain of each project, a row per model on it: ``project_id``, ``place`` from 1, ``name``.
 
     It ends in the model with the least name among the deepest, and before each model stands the one with the least name among
-    those that it consumes one level below. Chains are followed by steps that double: after ``k`` joins ``2 ** k`` models of every
-    chain are known, so a chain of a million takes twenty. Models on a cycle or behind one are in no chain; a project of such models
-    alone has none.
+    those that it consumes one level below. Only models that feed others, and the last of each chain, are looked at. Chains are
+    followed by steps that double: after ``k`` joins ``2 ** k`` models of every chain are known, so a chain of a million takes
+    twenty. Models on a cycle or behind one are in no chain; a project of such models alone has none.
     """
-    key = ["project_id", "name"]
-    names = models.select("project_id", _key(match).alias("name")).distinct()
-    links = stage(_links(models, names, match))
-    found = depth.levels(links, local)
-    levels = stage(
-        names.join(found, key, "left").where(~F.coalesce("is_cyclic", F.lit(False))).select(
-            *key, F.coalesce("depth", F.lit(1)).alias("place")
-        )
+    key = ["name", "project_id"]
+    names = _names(models, match)
+    links = stage(_links(models, match))
+    found = stage(depth.levels(links, names, local).where("name is not null"))
+    place = F.col("depth").alias("place")
+    deepest = F.min(F.struct((-F.col("depth")).alias("depth"), "name")).alias("last")
+    last = stage(
+        found.where("depth > 1").groupBy("project_id").agg(deepest)
+        .select("project_id", "last.name", (-F.col("last.depth")).alias("place"))
+    )
+    # Where no model has a model below it, the least name alone is the chain.
+    single = (
+        names.join(last, "project_id", "left_anti").join(found.where("is_cyclic"), key, "left_anti")
+        .groupBy("project_id").agg(F.min(F.struct("name")).alias("last"))
+        .select("project_id", F.lit(1).alias("place"), "last.name").where("project_id is not null and name is not null")
     )
-    below = levels.select("project_id", F.col("name").alias("src"), (F.col("place") + 1).alias("place"))
+    lower = found.where("feeds and depth is not null").select("project_id", "name", place)
+    upper = lower.where("place > 1").unionByName(last).distinct()
     before = (
-        links.join(below, ["project_id", "src"])
-        .join(levels.withColumnRenamed("name", "dst"), ["project_id", "dst", "place"])
-        .groupBy("project_id", F.col("dst").alias("name")).agg(F.min("src").alias("up"))
+        links.join(upper.withColumnRenamed("name", "dst"), ["dst", "project_id"])
+        .join(lower.select("project_id", F.col("name").alias("src"), (F.col("place") + 1).alias("place")), ["src", "project_id", "place"])
+        .groupBy(F.col("dst").alias("name"), "project_id").agg(F.min("src").alias("up"))
     )
-    last = F.min(F.struct((-F.col("place")).alias("depth"), "name")).alias("last")
     known, jumps = Scratch(models.sparkSession, "chains"), Scratch(models.sparkSession, "jumps")
-    reached, new = known.write(levels.groupBy("project_id").agg(last).select("project_id", "last.name"), 0)
+    reached, new = known.write(last.select("project_id", "name"), 0)
     jump, _ = jumps.write(before, 0)
     while new:
         step = reached.join(jump, key).select("project_id", F.col("up").alias("name"))
         _, new = known.write(step, known.last + 1)
-        reached = known.all_versions(reached.schema).select(*key)
+        reached = known.all_versions(reached.schema).select("project_id", "name")
         if new:
             onward = jump.select("project_id", F.col("name").alias("up"), F.col("up").alias("over"))
             jump, _ = jumps.write(
-                jump.join(onward, ["project_id", "up"]).select(*key, F.col("over").alias("up")), jumps.last + 1
+                jump.join(onward, ["up", "project_id"]).select(*key, F.col("over").alias("up")), jumps.last + 1
             )
-    return reached.join(levels, key).select("project_id", "place", "name")
+    return reached.join(found, key).select("project_id", place, "name").unionByName(single)
 
 
-def _links(models: DataFrame, names: DataFrame, match: str) -> DataFrame:
-    """Which known model feeds which, each pair once."""
-    return (
-        edges(models, match)
-        .where(F.col("dep_id").startswith(MODEL_PREFIX))
-        .select("project_id", "src", "dst")
-        .join(names.withColumnRenamed("name", "src"), ["project_id", "src"], "left_semi")
-        .distinct()
-    )
+def _names(models: DataFrame, match: str) -> DataFrame:
+    return models.select("project_id", _key(match).alias("name"))
+
+
+def _links(models: DataFrame, match: str) -> DataFrame:
+    """Which model says that it is fed by which, whether or not that one is known."""
+    return edges(models, match).where(F.col("dep_id").startswith(MODEL_PREFIX)).select("project_id", "src", "dst")
 
 
 def summarize(nodes: DataFrame, depths: DataFrame) -> DataFrame:
     """One row per project: totals, orphans, roots, high fan-out and depth."""
     # Names may repeat within a project; orphans and hubs are counted once per name.
-    per_name = nodes.groupBy("project_id", "name").agg(
+    per_name = nodes.groupBy("name", "project_id").agg(
         F.count(F.lit(1)).alias("models"),
         F.count_if("is_root").alias("roots"),
         F.bool_or("is_orphan").alias("is_orphan"),

@@ -226,3 +226,48 @@ def test_longest_chains_of_odd_tables(spark):
     assert lineage.longest_chains(graph(spark, [])).collect() == []
     twice = [("a", []), ("a", []), ("b", ["model.p.a", "model.p.a", "model.p.gone"])]
     assert listed(lineage.longest_chains(graph(spark, twice))) == {"p": ["a", "b"]}
+
+
+def test_parts_that_fit_tasks_need_no_rounds(spark, monkeypatch):
+    """A project too large for a task, of rings with a tail and of chains that are not."""
+
+    def refuse(*_):
+        raise AssertionError("rounds over the cluster")
+
+    spec, want = [], {}
+    for part in range(9):
+        ring = part % 3 == 0
+        for i in range(6):
+            deps = [f"model.p.m{part}_{i - 1}"] * 2 if i else [f"model.p.m{part}_3"] if ring else ["model.p.gone"]
+            spec.append((f"m{part}_{i}", deps))
+            want[f"m{part}_{i}"] = (None, True) if ring else (i + 1, False)
+    spec.append((None, ["model.p.m0_5", "model.p.m1_5"]))
+    models = graph(spark, [(n or "x", d) for n, d in spec]).withColumn("name", F.when(F.col("name") != "x", F.col("name")))
+    monkeypatch.setattr(depth, "_rounds", refuse)
+    got = {r.name: (r.depth, r.is_cyclic) for r in lineage.node_depths(models, local=12).collect()}
+    assert got == {**want, None: (1, False)}
+    cycles = {r.name: r.on_cycle for r in lineage.cycles(models, local=12).collect() if r.name}
+    assert cycles == {f"m{p}_{i}": i < 4 for p in (0, 3, 6) for i in range(6)}
+    assert listed(lineage.longest_chains(models, local=12)) == {"p": [f"m1_{i}" for i in range(6)]}
+
+
+def test_levels_of_models_that_feed_nothing_need_no_rounds(spark, monkeypatch):
+    """Each customer has orders, each order lines: all of it is one part, and too large for a task."""
+    monkeypatch.setattr(depth, "_rounds", None)
+    spec = [("all", [])] + [(f"o{i}", ["model.p.all"]) for i in range(5)]
+    spec += [(f"l{i}_{j}", [f"model.p.o{i}", "model.p.gone"]) for i in range(5) for j in range(4)]
+    got = depths(graph(spark, spec), local=6)
+    assert got == {n: {"a": 1, "o": 2, "l": 3}[n[0]] for n, _ in spec}
+
+
+@pytest.mark.parametrize("local", [0, 9])
+def test_longest_chains_of_large_projects(spark, local):
+    specs = {
+        "p": [("a", []), ("b", ["model.p.a"]), ("c", ["model.p.b", "model.p.a"]), ("d", ["model.p.c"]), ("e", ["model.p.c", "model.p.d"])],
+        "q": [("z", []), ("y", ["model.q.gone"]), ("x", ["model.q.x"])],
+        "r": [("u", ["model.r.v"]), ("v", ["model.r.u"])],
+        "s": [(f"s{i}", [f"model.s.s{i - 1}"] if i % 4 else []) for i in range(16)],
+    }
+    df = union_all([graph(spark, spec, name) for name, spec in specs.items()])
+    want = {"p": ["a", "b", "c", "d", "e"], "q": ["y"], "s": ["s8", "s9", "s10", "s11"]}
+    assert listed(lineage.longest_chains(df, local=local)) == want
