@@ -55,6 +55,21 @@ MODELS = (
 )
 
 
+def test_listed_models_are_computed_once(spark):
+    """A sort by ranges reads its input twice, but not what the input is computed from."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def parsed(name):
+        seen.add(1)
+        return f"m{name}"
+
+    models = spark.range(40).selectExpr("string(id % 3) project_id", *MODELS, "'view' materialized", "'s' schema")
+    listed = audit.list_models(models.withColumn("name", parsed("name"))).collect()
+    assert [(r.project_id, r.name) for r in listed] == sorted((str(i % 3), f"m{i}") for i in range(40))
+    assert seen.value == 40
+
+
 def test_top_k_is_cut_before_the_shuffle(spark):
     models = spark.range(100).selectExpr("string(id % 3) project_id", *MODELS)
     for df in (audit.worst_models(audit.audit_models(models)), audit.first_by_name(models)):
