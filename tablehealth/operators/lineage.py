@@ -135,7 +135,7 @@ def node_depths(models: DataFrame, match: str = "name", local: int = depth.LOCAL
     """
     names = _names(models, match)
     # Models without a link stand on level 1, and one grouping settles them with the others.
-    told = depth.told(_links(models, match), names, local).where("name is not null")
+    told = depth.told(_links(models, match), names, local)
     return depth.settle(told.unionByName(depth.flat(names))).select("project_id", "name", "depth", "is_cyclic")
 
 
