@@ -128,3 +128,21 @@ def test_every_letter_before_every_mark():
     library = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
     for text, found in zip(texts, own.many(texts), strict=True):
         assert np.frombuffer(found, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_new_parts_go_to_the_tokenizer_once(monkeypatch):
+    own, seen = packing.Encoder(PATH), []
+    joint = own._side_by_side
+    monkeypatch.setattr(own, "_side_by_side", lambda parts: seen.extend(parts) or joint(parts))
+    texts = ["Red-blue, RED blue. Été!", "éTÉ blue-red?! 'tis it's 12\tred\x1cblue", "İ. red. été Σ"]
+    for _ in range(2):
+        for text, found in zip(texts, own.many(texts), strict=True):
+            assert np.frombuffer(found, "<u4").tolist() == whole_ids(text), text
+    assert len(seen) == len(set(seen)) and {"red", "blue", "été", "-", "'s", "1", "\x1c"} <= set(seen)
+
+
+@pytest.mark.parametrize("size", [1, 63, 64, 65, 200])
+def test_parts_side_by_side_keep_their_own_ids(size):
+    own = packing.encoder(PATH)
+    parts = [f"{chr(97 + i % 26)}é{'xyz' * (i % 7)}" if i % 3 else "!?"[: 1 + i % 2] for i in range(size)]
+    assert own._side_by_side(parts) == own._each(parts) == [own.whole(p) for p in parts]
