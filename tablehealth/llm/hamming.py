@@ -4,6 +4,9 @@ A code is cut into segments, and each segment files the code under its own value
 from a query by at most ``m * (r + 1) - 1`` bits, one of the ``m`` segments differs by at most ``r``. So
 after all values within ``r`` of the query's segments were looked up, every code within that distance has
 been verified. A query is finished once its k-th distance is that small; the others go on to ``r + 1``.
+
+What a query has found bounds its k-th distance from above. So at each radius it looks up no more segments than it takes
+to cover that bound (``s`` segments at radius ``r`` cover ``m * r + s - 1`` bits), and only codes within it are kept.
 """
 
 from __future__ import annotations
@@ -73,21 +76,27 @@ def _segments(code: str, words: int, value: str) -> Column:
 
 
 def _probes(queries: DataFrame, radius: int, words: int) -> DataFrame:
-    """``q``, ``segment``, ``value``: segment values that differ from the query's by ``radius`` bits.
+    """``q``, ``bound``, ``segment``, ``value``: segment values that differ from the query's by ``radius`` bits.
 
+    Of as many segments, in order, as cover ``bound`` bits: all, unless the query is finished with this radius.
     Few queries may have many probes, so they are dealt over a stated number of tasks first: Spark would join small ones.
     """
     tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    looked = F.col("bound") + 1 - SEGMENTS * words * radius
     return (
         queries.repartition(tasks, F.col("q"))
-        .select("q", _segments("q", words, "own"))
-        .select("q", "at.segment", "at.own", F.explode(_masks(radius)).alias("mask"))
-        .select("q", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
+        .select("q", "bound", _segments("q", words, "own"))
+        .where(F.col("at.segment") < looked)
+        .select("q", "bound", "at.segment", "at.own", F.explode(_masks(radius)).alias("mask"))
+        .select("q", "bound", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
     )
 
 
 def _first_meeting(radius: int, words: int) -> Column:
-    """True where no smaller radius, and no earlier segment at this one, finds the pair as well."""
+    """True where no smaller radius, and no earlier segment at this one, finds the pair as well.
+
+    Segments are looked up in order, so those that a query leaves out come after all that it looks up.
+    """
     differ = _differ(words)
     clear = F.lit(True)
     for s in range(SEGMENTS * words):
@@ -106,34 +115,40 @@ def top_codes(codes: DataFrame, queries: DataFrame, k: int, words: int = 1) -> D
     ``codes`` has a row per distinct ``code`` with its ``first_id`` and row count ``n``; ``queries`` has
     distinct ``q``.
     """
-    scratch = Scratch(codes.sparkSession, "topk")
+    scratch, segments = Scratch(codes.sparkSession, "topk"), SEGMENTS * words
     filed, total = stage(_filed(codes, words)), codes.count()
-    best_first = Window.partitionBy("q").orderBy("distance", "first_id")
-    pending, held, finished = queries.select("q"), None, []
+    best_first, query = Window.partitionBy("q").orderBy("distance", "first_id"), Window.partitionBy("q")
+    pending, held, finished = queries.select("q", F.lit(BITS * words).alias("bound")), None, []
     for radius in range(WIDTH + 1):
-        covered = SEGMENTS * words * (radius + 1) - 1
+        covered = segments * (radius + 1) - 1
         found = (
             _probes(pending, radius, words)
             .hint("merge")  # there are many more probes than Spark's estimate knows
             .join(filed, ["segment", "value"])
-            .where(_first_meeting(radius, words))
+            .where((_distance(words) <= F.col("bound")) & _first_meeting(radius, words))
             .select("q", "code", "first_id", "n", _distance(words))
         )
         if held is not None:
             found = found.unionByName(held.select(found.columns))
         best = found.withColumn("at", F.row_number().over(best_first)).where(F.col("at") <= k)
-        query = Window.partitionBy("q")
-        sure = F.sum(F.when(F.col("distance") <= covered, F.col("n")).otherwise(0)).over(query)
-        all_found = F.count("*").over(query) >= total
-        marked = best.drop("at").withColumn("done", (sure >= k) | all_found)
-        now, _ = scratch.write(marked, radius)
+        reach = F.sum("n").over(best_first.rowsBetween(Window.unboundedPreceding, 0))
+        marked = (
+            best.withColumn("reach", reach).drop("at")
+            .withColumn("bound", F.min(F.when(F.col("reach") >= k, F.col("distance"))).over(query))
+            .withColumn("all_found", F.count("*").over(query) >= total)
+            .withColumn("done", F.coalesce(F.col("bound") <= covered, F.lit(False)) | F.col("all_found"))
+        )
+        now, _ = scratch.write(marked.drop("reach", "all_found"), radius)
         if radius == WIDTH:
             finished.append(now)
             break
         finished.append(now.where("done"))
         held = now.where("not done")
+        state = now.groupBy("q").agg(F.min("bound").alias("best"), F.max("done").alias("done"))
         pending, left = scratch.write(
-            pending.join(now.where("done").select("q").distinct(), "q", "left_anti"), 100 + radius
+            pending.join(state, "q", "left").where("done is null or not done")
+            .select("q", F.coalesce("best", "bound").alias("bound")),
+            100 + radius,
         )
         if not left:
             break

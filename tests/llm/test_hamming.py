@@ -57,3 +57,43 @@ def test_codes_of_several_words(spark):
     rows += [(90, rows[0][1]), (91, [1.0] * 65), (92, []), (93, None)]
     queries = [*rows[:3], rows[-3], (99, [-1.0] * 130)]
     assert run(spark, rows, queries, 4) == brute(rows, queries, 4)
+
+
+def test_bounds_spare_probes(spark, monkeypatch):
+    from math import comb
+
+    rng = random.Random(11)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(64)]) for i in range(40)]
+    for i in range(40, 120):  # ten and more within 9 bits of each query, found at radii 1 and 2
+        v = list(rows[i % 4][1])
+        for at in rng.sample(range(64), rng.randrange(5, 10)):
+            v[at] = -v[at]
+        rows.append((i, v))
+    rows += [(200 + i, rows[50][1]) for i in range(12)]
+    made, probes = [], hamming._probes
+
+    def counted(queries, radius, words):
+        found = probes(queries, radius, words)
+        made.append((radius, queries.count(), found.count()))
+        return found
+
+    monkeypatch.setattr(hamming, "_probes", counted)
+    queries = rows[:4]
+    assert run(spark, rows, queries, 5) == brute(rows, queries, 5)
+    assert made[0] == (0, 4, 16)
+    assert made[-1][2] < made[-1][1] * 4 * comb(16, made[-1][0])  # the last radius does not look up all segments
+
+
+@pytest.mark.parametrize("k", [3, 12])
+def test_ties_and_copies_at_the_bound(spark, k):
+    rng = random.Random(k)
+    near = [rng.choice((-1.0, 1.0)) for _ in range(64)]
+    rows = []
+    for i in range(300):
+        v = list(near)
+        for at in rng.sample(range(64), rng.choice((5, 6, 6, 7, 9, 30))):
+            v[at] = -v[at]
+        rows.append((1000 - i // 2, v))  # ids come twice
+    rows += rows[:40:4]
+    queries = [(0, near), *rows[:3]]
+    assert run(spark, rows, queries, k) == brute(rows, queries, k)
