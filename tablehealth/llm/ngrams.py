@@ -3,8 +3,12 @@
 Level 1 holds the hashes of all training words in order, with their counts. A deeper level holds, parent after parent,
 the words that follow each n-gram of the level above: monotone pointers to where a parent's words begin, the words
 made monotone by adding the last value before them, and the smoothed probabilities in eight bits. A
-lookup searches the successor of ``word + base`` between two pointers. Levels are counted, sorted and written
-by Spark in shards of the shared folder, and tasks map them instead of loading them.
+lookup searches the successor of ``word + base`` between two pointers. Levels are counted and written by Spark in shards
+of the shared folder, one range of keys each, and tasks map them instead of loading them.
+
+An n-gram goes through one shuffle: tasks send each shard sorted, packed blocks of different keys with their counts, and the
+shard's task merges them and writes its file. Ranges follow from the counts of the level above. A word or n-gram whose
+followers lie in several shards gets its ``b`` from the driver, which sums up the shards' shares.
 
 Probabilities are interpolated: ``P(w | context) = a + b * P(w | shorter context)`` with the absolute discount in
 ``a``, and in ``b`` what is left of the context's mass. The shortest context is the smoothed unigram.
@@ -17,6 +21,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +33,9 @@ from pyspark.sql import types as T
 
 from tablehealth.llm.eliasfano import EliasFano, load, packed, save, unpacked
 from tablehealth.llm.lines import text_of
-from tablehealth.llm.tasks import Recent, ship, slices
+from tablehealth.llm.tasks import ship
 from tablehealth.llm.toxicity import fold
-from tablehealth.sources.scratch import shared_folder, stage
+from tablehealth.sources.scratch import shared_folder
 
 ORDER = 3
 MIN_COUNT = 3
@@ -40,16 +45,33 @@ FOLDS = 10
 END = b"\n"  # not a word, as words hold no white space
 CHUNK = 2_000_000
 SLICE = 800_000
+SLICE_BYTES = 4_000_000
+SHARD = 2_000_000  # tokens whose n-grams share a shard, about
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_BLANK = np.array([chr(c) in " \t\n\v\f\r" for c in range(256)])
+_MANY = 255
 
 
-def tokens_of(text: str) -> list[bytes]:
-    return [*text.encode().translate(_LOWER).split(), END]
+def _tokens(texts: list[str]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Each token as its place in a list of different words, that list, and how many tokens each text has."""
+    coded = [t.encode() for t in texts]
+    chars = np.frombuffer(END.join([*coded, b""]).translate(_LOWER), np.uint8)
+    ends = np.cumsum([len(t) + 1 for t in coded], dtype=np.int64) - 1
+    blank = _BLANK[chars]
+    begins = ~blank
+    begins[1:] &= blank[:-1]
+    begins[ends] = True
+    kept = ~blank
+    kept[ends] = True
+    sizes = np.diff(np.cumsum(begins)[ends], prepend=0)
+    starts = np.append(np.flatnonzero(begins[kept]), np.count_nonzero(kept)).astype(np.int64)
+    buffers = [None, pa.py_buffer(starts), pa.py_buffer(chars[kept])]
+    found = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, buffers).dictionary_encode()
+    return found.indices.to_numpy(), found.dictionary.to_pylist(), sizes
 
 
-def _hash(word: bytes) -> int:
-    """As an unsigned number that is ordered like Spark's signed one."""
-    return xxhash.xxh64_intdigest(word, 42) ^ (1 << 63)
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words))
 
 
 class Shard:
@@ -58,13 +80,19 @@ class Shard:
     def __init__(self, uri: str) -> None:
         numbers, arrays = load(uri)
         self.words = unpacked("words", numbers, arrays)
-        self.counts = arrays.get("counts")
+        self._counts, self._many_at, self._many = (arrays.get(x) for x in ("counts", "many_at", "many"))
         if "first" in numbers:
             self.first, self.parents = numbers["first"], numbers["parents"]
             self.starts = unpacked("starts", numbers, arrays)
             self.step_a, self.step_b = numbers["step_a"], numbers["step_b"]
             self.a, self.b = arrays["a"], arrays["b"]
 
+    def counts(self, at: np.ndarray) -> np.ndarray:
+        out = self._counts[at].astype(np.int64)
+        many = np.flatnonzero(out == _MANY)
+        out[many] = self._many[np.searchsorted(self._many_at, at[many])]
+        return out
+
     def children(self, parent: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place of each word among the parent's (-1: not there), ``a`` and ``b``."""
         at, a, b = np.full(len(parent), -1, np.int64), np.zeros(len(parent)), np.ones(len(parent))
@@ -85,51 +113,50 @@ class Shard:
 
 
 class Trie:
-    """All shards of all levels. ``meta`` is what the driver knows of them."""
+    """All shards of all levels, each mapped when it is first needed. ``meta`` is what the driver knows of them."""
 
     def __init__(self, meta: dict) -> None:
         self.total, self.words = meta["total"], meta["words"]
+        v = max(1, self.words)
         self._levels = [
             {
                 "first": np.array([s["first"] for s in level], np.uint64 if at == 0 else np.int64),
+                "begins": np.array([s["first"] // v for s in level], np.int64 if at else np.uint64),
+                "last": np.array([s["last"] for s in level], np.int64),
                 "offset": np.cumsum([0, *(s["n"] for s in level)]),
-                "shards": [Shard(s["uri"]) for s in level],
+                "uris": [s["uri"] for s in level],
+                "split": np.array([p for p, _ in split], np.int64),
+                "left": np.array([x for _, x in split], float),
             }
-            for at, level in enumerate(meta["levels"])
+            for at, (level, split) in enumerate(zip(meta["levels"], meta["split"], strict=True))
         ]
-        self._known = Recent(lambda w: self._look_up([w]).tobytes(), 250_000)
+        self._shard = lru_cache(maxsize=None)(Shard)
 
-    def _by_shard(self, route: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    def _by_shard(self, level: dict, route: np.ndarray) -> Iterator[tuple[int, Shard, np.ndarray]]:
         order = np.argsort(route, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(route[order])) + 1):
             if len(part) and route[part[0]] >= 0:
-                yield int(route[part[0]]), part
+                k = int(route[part[0]])
+                yield k, self._shard(level["uris"][k]), part
 
-    def _look_up(self, words: list[bytes]) -> np.ndarray:
+    def ids(self, words: list[bytes]) -> np.ndarray:
+        """Numbers of the words; -1 for those that training has not seen."""
         level, out = self._levels[0], np.full(len(words), -1, np.int64)
-        hashes = np.array([_hash(w) for w in words], np.uint64)
+        hashes = _hashes(words)
         route = np.searchsorted(level["first"], hashes, "right") - 1
-        for k, part in self._by_shard(route):
-            code = level["shards"][k].words
+        for k, shard, part in self._by_shard(level, route):
+            code = shard.words
             zero = np.zeros(len(part), np.int64)
             at = code.find(hashes[part], zero, zero + code.n)
             out[part] = np.where(at >= 0, at + level["offset"][k], -1)
         return out
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        """Numbers of the words; -1 for those that training has not seen."""
-        fresh = self._known.unknown(set(words))
-        data = self._look_up(fresh).tobytes()
-        for at, word in enumerate(fresh):
-            self._known.learn(word, data[8 * at : 8 * at + 8])
-        return np.frombuffer(b"".join(map(self._known.__getitem__, words)), np.int64)
-
     def counts(self, depth: int, index: np.ndarray) -> np.ndarray:
         """Counts of the n-grams at these places of a level; 0 for -1."""
         level, out = self._levels[depth - 1], np.zeros(len(index), np.int64)
         route = np.where(index >= 0, np.searchsorted(level["offset"], index, "right") - 1, -1)
-        for k, part in self._by_shard(route):
-            out[part] = level["shards"][k].counts[index[part] - level["offset"][k]]
+        for k, shard, part in self._by_shard(level, route):
+            out[part] = shard.counts(index[part] - level["offset"][k])
         return out
 
     def children(self, depth: int, parent: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,14 +167,16 @@ class Trie:
         at, a, b = np.full(len(keys), -1, np.int64), np.zeros(len(keys)), np.ones(len(keys))
         if len(level["first"]):
             route = np.searchsorted(level["first"], parent * v + np.maximum(word, 0), "right") - 1
-            last = np.array([s.first + s.parents for s in level["shards"]])
-            after = np.minimum(route + 1, len(last) - 1)
-            begins = np.array([s.first for s in level["shards"]])[after] == parent
-            ended = (route < 0) | (parent >= last[np.maximum(route, 0)])
+            after = np.minimum(route + 1, len(level["last"]) - 1)
+            begins = level["begins"][after] == parent
+            ended = (route < 0) | (parent > level["last"][np.maximum(route, 0)])
             route = np.where(begins & ended, after, route)  # its words begin in the next shard
-            for k, part in self._by_shard(route):
-                found, a[part], b[part] = level["shards"][k].children(parent[part], word[part])
+            for k, shard, part in self._by_shard(level, route):
+                found, a[part], b[part] = shard.children(parent[part], word[part])
                 at[part] = np.where(found >= 0, found + level["offset"][k], -1)
+        if len(level["split"]):
+            place = np.minimum(np.searchsorted(level["split"], parent), len(level["split"]) - 1)
+            b = np.where(level["split"][place] == parent, level["left"][place], b)
         return at[back], a[back], b[back]
 
     def unigram(self, ids: np.ndarray) -> np.ndarray:
@@ -178,23 +207,21 @@ def contexts(own: Trie, ids: np.ndarray, first: np.ndarray, depth: int) -> Itera
         state = at
 
 
-def _texts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[tuple[list[bytes], np.ndarray, pa.RecordBatch]]:
-    """All tokens of a few texts, how many each has, and the rows."""
-    for batch in slices(batches, rows):
-        each = [tokens_of(t) for t in batch["text"].to_pylist()]
-        yield [w for t in each for w in t], np.array([len(t) for t in each]), batch
+def _portions(batches: Iterator[pa.RecordBatch], name: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The same rows with about ``most`` bytes of this column at a time."""
+    for batch in batches:
+        sizes = pc.binary_length(batch[name]).to_numpy(zero_copy_only=False).astype(np.int64)
+        parts = np.cumsum(sizes) // most
+        for rows in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(parts)) + 1):
+            if len(rows):
+                yield batch.slice(int(rows[0]), len(rows))
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
     """Word numbers of several texts, how many each has, and the rows; about ``SLICE`` numbers at a time."""
-    for batch in batches:
-        sizes = pc.binary_length(batch["ids"]).to_numpy(zero_copy_only=False).astype(np.int64) // 4
-        parts = np.cumsum(sizes) // SLICE
-        for rows in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(parts)) + 1):
-            if len(rows):
-                part = batch.slice(int(rows[0]), len(rows))
-                data = b"".join(part["ids"].to_pylist())
-                yield np.frombuffer(data, "<i4").astype(np.int64), sizes[rows], part
+    for part in _portions(batches, "ids", 4 * SLICE):
+        sizes = pc.binary_length(part["ids"]).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+        yield np.frombuffer(b"".join(part["ids"].to_pylist()), "<i4").astype(np.int64), sizes, part
 
 
 def _first(sizes: np.ndarray) -> np.ndarray:
@@ -203,20 +230,63 @@ def _first(sizes: np.ndarray) -> np.ndarray:
     return first
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: Counter = Counter()
+BLOCK = "shard int, size int, keys binary, counts binary"
+
+
+def _pressed(values: np.ndarray) -> bytes:
+    """Eight-byte numbers byte by byte of all, so that the leading ones of small numbers take no room."""
+    planes = np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8).T
+    return pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def _opened(data: bytes, size: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 8 * size, "zstd", asbytes=True), np.uint8).reshape(8, size)
+    return np.ascontiguousarray(planes.T).view("<u8").reshape(-1)
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys in order, each with the sum of its counts."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts
+
+
+def _blocks(keys: np.ndarray, counts: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
+    """Different keys in order, with their counts, as a row for each shard that has some. ``bounds``: the shards' ends."""
+    rows = [
+        (shard, b - a, _pressed(np.diff(keys[a:b], prepend=keys.dtype.type(0))), _pressed(counts[a:b]))
+        for shard, (a, b) in enumerate(pairwise([0, *np.searchsorted(keys, bounds).tolist(), len(keys)]))
+        if a < b
+    ]
+    columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))]
+    return pa.RecordBatch.from_arrays(columns, names=["shard", "size", "keys", "counts"])
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """All keys of a shard's blocks in order, and their counts."""
+    rows = [r for b in batches for r in b.to_pylist()]
+    if not rows:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    keys = np.concatenate([np.cumsum(_opened(r["keys"], r["size"]), dtype=np.uint64) for r in rows])
+    counts = np.concatenate([_opened(r["counts"], r["size"]).astype(np.int64) for r in rows])
+    return _summed(keys, counts)
+
+
+def _word_blocks(batches: Iterator[pa.RecordBatch], bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def out() -> pa.RecordBatch:
-        hashes = np.array([_hash(w) ^ (1 << 63) for w in found], np.uint64).view(np.int64)
-        counts = np.fromiter(found.values(), np.int64, len(found))
-        return pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(counts)], names=["key", "n"])
+        return _blocks(*_summed(*(np.concatenate(x) for x in zip(*held, strict=True))), bounds)
 
-    for words, _, _ in _texts(batches):
-        found.update(words)
-        if len(found) > 300_000:
+    for part in _portions(batches, "text", SLICE_BYTES):
+        places, words, _ = _tokens(part["text"].to_pylist())
+        held.append((_hashes(words), np.bincount(places, minlength=len(words))))
+        if sum(len(keys) for keys, _ in held) >= CHUNK:
             yield out()
-            found.clear()
-    yield out()
+            held.clear()
+    if held:
+        yield out()
 
 
 def _code(values: np.ndarray, name: str, numbers: dict, arrays: dict) -> None:
@@ -225,8 +295,10 @@ def _code(values: np.ndarray, name: str, numbers: dict, arrays: dict) -> None:
     arrays |= more[1]
 
 
-def _least(values: np.ndarray) -> np.ndarray:
-    return values.astype(np.uint32) if not len(values) or values.max() < 1 << 32 else values
+def _small(counts: np.ndarray) -> dict[str, np.ndarray]:
+    """Counts in a byte each, and apart from them those that need more."""
+    many = np.flatnonzero(counts >= _MANY)
+    return {"counts": np.minimum(counts, _MANY).astype(np.uint8), "many_at": many, "many": counts[many]}
 
 
 def _quantised(x: np.ndarray) -> tuple[np.ndarray, float]:
@@ -236,42 +308,75 @@ def _quantised(x: np.ndarray) -> tuple[np.ndarray, float]:
     return np.minimum(np.ceil(bits / step - 1e-9), 255).astype(np.uint8), step
 
 
-def _written(folder: str, level: int, first: int, n: int, total: int, numbers: dict, arrays: dict) -> pa.RecordBatch:
+def _cuts(counts: np.ndarray, step: int) -> list[tuple[int, float, float]]:
+    """Cuts a shard's n-grams into parts of at most about ``step`` tokens: where each begins, and how many it has.
+
+    A part begins at an n-gram, or at that share of its followers.
+    """
+    ends = np.cumsum(counts)
+    parts = -(-int(ends[-1]) // step)
+    targets = ends[-1] * np.arange(parts) / parts
+    at = np.searchsorted(ends, targets, "right")
+    share = (targets - (ends[at] - counts[at])) / counts[at]
+    return [(i, x, float(ends[-1] / parts)) for i, x in zip(at.tolist(), share.tolist(), strict=True)]
+
+
+def _bounds(level: list[dict], v: int, most: int) -> np.ndarray:
+    """Keys at which the shards of the next level end, so that each has at most about ``most`` tokens."""
+    found, offset, held = [], 0, 0.0
+    for shard in level:
+        for at, share, tokens in shard["cuts"]:
+            if held and held + tokens > most:
+                found.append((offset + at) * v + int(share * v))
+                held = 0.0
+            held += tokens
+        offset += shard["n"]
+    return np.array(found, np.uint64)
+
+
+def _split(level: list[dict]) -> list[tuple[int, float]]:
+    """The parents whose words lie in several shards, each with what is left of its mass."""
+    kept, mass, shards = Counter(), {}, Counter()
+    for shard in level:
+        for parent, part, whole in shard["ends"]:
+            kept[parent] += part
+            mass[parent] = whole
+            shards[parent] += 1
+    return [(p, _left(kept[p] / mass[p])) for p in sorted(shards) if shards[p] > 1]
+
+
+def _left(kept):
+    return np.maximum(1 - kept, 2.0**-40)
+
+
+def _written(folder: str, level: int, numbers: dict, arrays: dict, known: dict) -> pa.RecordBatch:
     uri = f"{folder}/level-{level}-{uuid.uuid4().hex}"
     save(uri, numbers, arrays)
-    row = json.dumps({"uri": uri, "first": first, "n": n, "total": total})
-    return pa.RecordBatch.from_arrays([pa.array([row])], names=["shard"])
-
-
-def _gathered(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray] | None:
-    found = [b for b in batches if b.num_rows]
-    if not found:
-        return None
-    return {n: np.concatenate([b[n].to_numpy() for b in found]) for n in found[0].schema.names}
+    return pa.RecordBatch.from_arrays([pa.array([json.dumps({"uri": uri, **known})])], names=["shard"])
 
 
-def _shards(rows: DataFrame, write) -> list[dict]:
-    """Write the sorted rows of each range of keys as a shard; what the driver has to know of them."""
-    dealt = rows.repartitionByRange("key").sortWithinPartitions("key")
+def _shards(blocks: DataFrame, shards: int, write) -> list[dict]:
+    """Write the blocks of each range of keys as a shard; what the driver has to know of them."""
+    dealt = blocks.repartitionById(shards, F.col("shard"))
     found = [json.loads(r["shard"]) for r in dealt.mapInArrow(write, "shard string").collect()]
     return sorted(found, key=lambda s: s["first"])
 
 
-def number(docs: DataFrame, meta: dict) -> DataFrame:
+def number(docs: DataFrame, known: str) -> DataFrame:
     """``doc_id``, ``held_out`` and ``ids``: each token of each row as its word's number, four bytes each."""
-    known = json.dumps(meta)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = trie(known)
-        for tokens, sizes, batch in _texts(batches):
-            ids = own.ids(tokens).astype("<i4")
+        for batch in _portions(batches, "text", SLICE_BYTES):
+            places, words, sizes = _tokens(batch["text"].to_pylist())
+            ids = own.ids(words).astype("<i4")[places]
             ends = np.cumsum(sizes)
             data = [ids[a:b].tobytes() for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["held_out"], pa.array(data, pa.binary())], names=["doc_id", "held_out", "ids"]
             )
 
-    if meta["words"] >= 1 << 31:
+    if json.loads(known)["words"] >= 1 << 31:
         raise ValueError("more than two thousand million different words do not fit the numbers")
     fields = [
         T.StructField("doc_id", docs.schema["doc_id"].dataType),
@@ -296,37 +401,40 @@ def train(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT) -> tu
     folder = f"{shared_folder(spark)}/ngrams-{uuid.uuid4().hex}"
     texts = docs.where(~F.col("held_out")).select("text")
 
+    most, step = SHARD, max(1, SHARD // 4)
+
     def write_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (rows := _gathered(batches)) is not None:
-            values = rows["key"].view(np.uint64) ^ np.uint64(1 << 63)
-            numbers, arrays = {}, {"counts": _least(rows["n"])}
-            _code(values, "words", numbers, arrays)
-            yield _written(folder, 1, int(values[0]), len(values), int(rows["n"].sum()), numbers, arrays)
-
-    words = texts.mapInArrow(_count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    meta: dict = {"levels": [_shards(stage(words), write_words)]}
+        keys, n = _merged(batches)
+        if len(keys):
+            numbers, arrays = {}, _small(n)
+            _code(keys, "words", numbers, arrays)
+            total = {"first": int(keys[0]), "last": 0, "n": len(n), "total": int(n.sum()), "cuts": _cuts(n, step)}
+            yield _written(folder, 1, numbers, arrays, total)
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounds = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
+    words = texts.mapInArrow(lambda batches: _word_blocks(batches, bounds), BLOCK)
+    meta: dict = {"levels": [_shards(words, parts, write_words)], "split": [[]]}
     meta["words"] = sum(s["n"] for s in meta["levels"][0])
     meta["total"] = sum(s["total"] for s in meta["levels"][0])
     v = max(1, meta["words"])
-    numbered = number(docs, meta)
+    numbered = number(docs, _told(meta))
     learned = numbered.where(~F.col("held_out"))
     for level in range(2, order + 1):
-        known = json.dumps(meta)
+        known, ends = _told(meta), _bounds(meta["levels"][-1], v, most)
 
-        def count(batches: Iterator[pa.RecordBatch], known=known, level=level) -> Iterator[pa.RecordBatch]:
+        def count(batches: Iterator[pa.RecordBatch], known=known, ends=ends, level=level) -> Iterator[pa.RecordBatch]:
             own, held, size = trie(known), [], 0
 
             def out() -> pa.RecordBatch:
                 keys, counts = np.unique(np.concatenate(held), return_counts=True)
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(keys), pa.array(counts.astype(np.int32))], names=["key", "n"]
-                )
+                return _blocks(keys.astype(np.uint64), counts, ends)
 
             for ids, sizes, _ in _numbered(batches):
                 first, state = _first(sizes), ids
                 for _, at, _, _ in contexts(own, ids, first, level - 1):
                     state = at
-                often = own.counts(level - 1, state) >= min_count
+                often = own.counts(level - 1, state) >= min_count if min_count > 1 else state >= 0
                 good = ~first & often & np.r_[False, often[:-1]]
                 place = np.flatnonzero(good)
                 held.append(state[place - 1] * v + ids[place])
@@ -338,35 +446,41 @@ def train(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT) -> tu
                 yield out()
 
         def write(batches: Iterator[pa.RecordBatch], known=known, level=level) -> Iterator[pa.RecordBatch]:
-            if (rows := _gathered(batches)) is None:
+            keys, n = _merged(batches)
+            keys, n = keys[n >= min_count].astype(np.int64), n[n >= min_count]
+            if not len(keys):
                 return
-            parent, word = np.divmod(rows["key"], v)
-            n, first = rows["n"], int(parent[0])
-            starts = np.searchsorted(parent - first, np.arange(int(parent[-1]) - first + 2))
-            ends_group = np.r_[parent[1:] != parent[:-1], True]
-            before = np.cumsum(np.where(ends_group, word, 0)) - np.where(ends_group, word, 0)
-            mass = trie(known).counts(level - 1, parent).astype(float)
-            left = np.ones(len(starts) - 1)
-            left[parent - first] = np.maximum(1 - rows["kept"] / mass, 2.0**-40)
-            a, step_a = _quantised((n - DISCOUNT) / mass)
+            parent, word = np.divmod(keys, v)
+            groups = np.flatnonzero(np.r_[True, parent[1:] != parent[:-1]])
+            own, sizes = parent[groups], np.diff(groups, append=len(keys))
+            first, last = int(own[0]), int(own[-1])
+            starts = np.searchsorted(parent - first, np.arange(last - first + 2))
+            top = word[groups + sizes - 1]
+            before = np.repeat(np.cumsum(top) - top, sizes)
+            mass = trie(known).counts(level - 1, own).astype(float)
+            kept = np.add.reduceat(n, groups) - sizes * DISCOUNT
+            left = np.ones(last - first + 1)
+            left[own - first] = _left(kept / mass)
+            a, step_a = _quantised((n - DISCOUNT) / np.repeat(mass, sizes))
             b, step_b = _quantised(left)
-            numbers = {"first": first, "parents": len(starts) - 1, "step_a": step_a, "step_b": step_b}
-            arrays = {"a": a, "b": b} | ({"counts": _least(n)} if level < order else {})
+            numbers = {"first": first, "parents": len(left), "step_a": step_a, "step_b": step_b}
+            arrays = {"a": a, "b": b} | (_small(n) if level < order else {})
             _code((word + before).astype(np.uint64), "words", numbers, arrays)
             _code(starts.astype(np.uint64), "starts", numbers, arrays)
-            yield _written(folder, level, int(rows["key"][0]), len(n), int(n.sum()), numbers, arrays)
-
-        grams = stage(
-            learned.select("ids").mapInArrow(count, "key long, n int")
-            .groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-        )
-        parent = F.expr(f"key div {v}L")
-        kept = grams.groupBy(parent.alias("parent")).agg(
-            (F.sum("n") - F.count("*") * F.lit(DISCOUNT)).cast("double").alias("kept")
-        )
-        rows = grams.withColumn("parent", parent).join(kept, "parent").select("key", "n", "kept")
-        meta["levels"].append(_shards(rows, write))
-    return json.dumps(meta), numbered
+            edges = [(int(own[i]), float(kept[i]), float(mass[i])) for i in sorted({0, len(own) - 1})]
+            total = {"first": int(keys[0]), "last": last, "n": len(n), "ends": edges, "cuts": _cuts(n, step)}
+            yield _written(folder, level, numbers, arrays, total)
+
+        grams = learned.select("ids").mapInArrow(count, BLOCK)
+        meta["levels"].append(_shards(grams, len(ends) + 1, write))
+        meta["split"].append(_split(meta["levels"][-1]))
+    return _told(meta), numbered
+
+
+def _told(meta: dict) -> str:
+    """What the tasks need of it."""
+    levels = [[{k: s[k] for k in ("uri", "first", "last", "n")} for s in level] for level in meta["levels"]]
+    return json.dumps(meta | {"levels": levels})
 
 
 def score_tokens(own: Trie, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

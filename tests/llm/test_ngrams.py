@@ -1,5 +1,8 @@
+import json
 import math
+import os
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -9,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tablehealth.llm import ngrams
 from tablehealth.llm.eliasfano import EliasFano
+from tablehealth.sources.scratch import shared_folder
 
 
 @pytest.mark.parametrize("top", [0, 1, 63, 1000, 2**40, 2**64 - 1])
@@ -124,3 +128,49 @@ def test_a_passage_seen_once_is_known(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.score for r in QUERIES["op7_lm_scoring"](spark, str(tmp_path)).collect()}
     assert got[held[0]] > got[held[1]] + 20
+
+
+def test_followers_in_several_shards(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = {i: " ".join(rng.choice(["the", *(f"w{k}" for k in range(60))]) + " the" for _ in range(12)) for i in range(120)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(ngrams, "SHARD", 100)
+    held = F.col("doc_id") < 0
+    meta = json.loads(ngrams.train(docs.withColumn("held_out", held), 3, 1)[0])
+    assert all(len(level) > 5 for level in meta["levels"][1:])
+    assert all(meta["split"][1:])
+    check(ngrams.score(docs, 3, 1).collect(), texts, least=1)
+
+
+def test_counts_of_more_than_a_byte():
+    counts = np.array([1, 254, 255, 256, 3, 2**40])
+    shard = ngrams.Shard.__new__(ngrams.Shard)
+    kept = ngrams._small(counts)
+    shard._counts, shard._many_at, shard._many = kept["counts"], kept["many_at"], kept["many"]
+    assert kept["counts"].itemsize == 1
+    assert shard.counts(np.array([5, 0, 2, 1, 3, 2, 4])).tolist() == [2**40, 1, 255, 254, 256, 255, 3]
+
+
+def test_tokens_are_words_and_ends():
+    texts = ["", "A a\x0bb", " É x y \x1cZ\n\n", "\x00", "a" * 70_000, "b"]
+    places, words, sizes = ngrams._tokens(texts)
+    want = [[*(w for w in re.split("[ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) if w), "\n"] for t in texts]
+    assert sizes.tolist() == [len(t) for t in want]
+    assert [words[i].decode() for i in places] == [w for t in want for w in t]
+    assert len(set(words)) == len(words)
+    assert [len(x) for x in ngrams._tokens([])] == [0, 0, 0]
+
+
+def test_ngrams_are_written_once(spark):
+    """Only the trie and the numbered texts stay in the shared folder, no tables of n-grams beside them."""
+    rng = random.Random(9)
+    texts = [(i, " ".join(f"w{rng.randint(0, 4000)}" for _ in range(100))) for i in range(2000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+
+    def size():
+        folder = shared_folder(spark).removeprefix("file:")
+        return sum(os.path.getsize(os.path.join(d, n)) for d, _, names in os.walk(folder) for n in names)
+
+    before = size()
+    assert ngrams.score(docs, 3, 1).count() == 2000
+    assert (size() - before) / (2000 * 101) < 16  # bytes a token
