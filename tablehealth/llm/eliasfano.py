@@ -87,7 +87,7 @@ class EliasFano:
 
     def access(self, i: np.ndarray) -> np.ndarray:
         """Values at these places."""
-        word = np.searchsorted(self.ones, i, "right") - 1
+        word = np.searchsorted(self.ones, i.astype(self.ones.dtype), "right") - 1
         bit = _select_in_word(self.high[word], i - self.ones[word]) + word * 64
         return ((bit - i).astype(np.uint64) << _U(self.width)) | self._lows(i)
 
@@ -97,7 +97,7 @@ class EliasFano:
         out[part > self.top] = self.n
         some = np.flatnonzero((part > 0) & (part <= self.top))
         k = part[some] - 1
-        word = np.searchsorted(self.zeros, k, "right") - 1
+        word = np.searchsorted(self.zeros, k.astype(self.zeros.dtype), "right") - 1
         bit = _select_in_word(~self.high[word], k - self.zeros[word]) + word * 64
         out[some] = bit - k
         return out

@@ -47,6 +47,7 @@ CHUNK = 2_000_000
 SLICE = 800_000
 SLICE_BYTES = 4_000_000
 SHARD = 2_000_000  # tokens whose n-grams share a shard, about
+STEP = 1 << 12  # neighbours in a shard that share the step of their eight bits
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BLANK = np.array([chr(c) in " \t\n\v\f\r" for c in range(256)])
 _MANY = 255
@@ -63,7 +64,7 @@ def _tokens(texts: list[str]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     begins[ends] = True
     kept = ~blank
     kept[ends] = True
-    sizes = np.diff(np.cumsum(begins)[ends], prepend=0)
+    sizes = np.diff(np.searchsorted(np.flatnonzero(begins), ends, "right"), prepend=0)
     starts = np.append(np.flatnonzero(begins[kept]), np.count_nonzero(kept)).astype(np.int64)
     buffers = [None, pa.py_buffer(starts), pa.py_buffer(chars[kept])]
     found = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, buffers).dictionary_encode()
@@ -84,8 +85,7 @@ class Shard:
         if "first" in numbers:
             self.first, self.parents = numbers["first"], numbers["parents"]
             self.starts = unpacked("starts", numbers, arrays)
-            self.step_a, self.step_b = numbers["step_a"], numbers["step_b"]
-            self.a, self.b = arrays["a"], arrays["b"]
+            self.a, self.b = ((arrays[x], arrays[f"{x}.steps"]) for x in "ab")
 
     def counts(self, at: np.ndarray) -> np.ndarray:
         out = self._counts[at].astype(np.int64)
@@ -98,17 +98,19 @@ class Shard:
         at, a, b = np.full(len(parent), -1, np.int64), np.zeros(len(parent)), np.ones(len(parent))
         own = np.flatnonzero((parent >= self.first) & (parent < self.first + self.parents))
         local = parent[own] - self.first
-        b[own] = np.exp2(-self.step_b * self.b[local].astype(float))
-        own = own[word[own] >= 0]
-        local = parent[own] - self.first
+        run = np.diff(local, prepend=-1) != 0  # equal parents side by side are looked up once
+        each, local = np.cumsum(run) - 1, local[run]
+        b[own] = _restored(*self.b, local)[each]
         start = self.starts.access(local).astype(np.int64)
         end = self.starts.access(local + 1).astype(np.int64)
-        base = np.zeros(len(own), np.uint64)
+        base = np.zeros(len(local), np.uint64)
         inside = start > 0
         base[inside] = self.words.access(start[inside] - 1)
-        at[own] = self.words.find(word[own].astype(np.uint64) + base, start, end)
+        known = word[own] >= 0
+        own, each = own[known], each[known]
+        at[own] = self.words.find(word[own].astype(np.uint64) + base[each], start[each], end[each])
         hit = np.flatnonzero(at >= 0)
-        a[hit] = np.exp2(-self.step_a * self.a[at[hit]].astype(float))
+        a[hit] = _restored(*self.a, at[hit])
         return at, a, b
 
 
@@ -133,6 +135,8 @@ class Trie:
         self._shard = lru_cache(maxsize=None)(Shard)
 
     def _by_shard(self, level: dict, route: np.ndarray) -> Iterator[tuple[int, Shard, np.ndarray]]:
+        if len(level["uris"]) < 1 << 15:
+            route = route.astype(np.int16)  # sorted by its digits
         order = np.argsort(route, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(route[order])) + 1):
             if len(part) and route[part[0]] >= 0:
@@ -301,11 +305,16 @@ def _small(counts: np.ndarray) -> dict[str, np.ndarray]:
     return {"counts": np.minimum(counts, _MANY).astype(np.uint8), "many_at": many, "many": counts[many]}
 
 
-def _quantised(x: np.ndarray) -> tuple[np.ndarray, float]:
-    """Eight bits for each value in (0, 1], rounded down on a logarithmic scale, and its step."""
+def _quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Eight bits for each value in (0, 1], rounded down on a logarithmic scale, and the step of each ``STEP`` values."""
     bits = -np.log2(np.maximum(x, 2.0**-60))
-    step = max(float(bits.max()) if len(bits) else 0.0, 1e-6) / 255
-    return np.minimum(np.ceil(bits / step - 1e-9), 255).astype(np.uint8), step
+    steps = np.maximum(np.maximum.reduceat(bits, np.arange(0, len(bits), STEP)), 1e-6) / 255
+    each = np.repeat(steps, STEP)[: len(bits)]
+    return np.minimum(np.ceil(bits / each - 1e-9), 255).astype(np.uint8), steps
+
+
+def _restored(codes: np.ndarray, steps: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.exp2(-steps[at // STEP] * codes[at])
 
 
 def _cuts(counts: np.ndarray, step: int) -> list[tuple[int, float, float]]:
@@ -461,10 +470,9 @@ def train(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT) -> tu
             kept = np.add.reduceat(n, groups) - sizes * DISCOUNT
             left = np.ones(last - first + 1)
             left[own - first] = _left(kept / mass)
-            a, step_a = _quantised((n - DISCOUNT) / np.repeat(mass, sizes))
-            b, step_b = _quantised(left)
-            numbers = {"first": first, "parents": len(left), "step_a": step_a, "step_b": step_b}
-            arrays = {"a": a, "b": b} | (_small(n) if level < order else {})
+            numbers, arrays = {"first": first, "parents": len(left)}, _small(n) if level < order else {}
+            arrays["a"], arrays["a.steps"] = _quantised((n - DISCOUNT) / np.repeat(mass, sizes))
+            arrays["b"], arrays["b.steps"] = _quantised(left)
             _code((word + before).astype(np.uint64), "words", numbers, arrays)
             _code(starts.astype(np.uint64), "starts", numbers, arrays)
             edges = [(int(own[i]), float(kept[i]), float(mass[i])) for i in sorted({0, len(own) - 1})]

@@ -174,3 +174,15 @@ def test_ngrams_are_written_once(spark):
     before = size()
     assert ngrams.score(docs, 3, 1).count() == 2000
     assert (size() - before) / (2000 * 101) < 16  # bytes a token
+
+
+def test_a_rare_value_coarsens_its_neighbours_only():
+    x = np.full(3 * ngrams.STEP + 5, 0.3)
+    x[0] = 2.0**-40
+    x[-1] = 0.9
+    codes, steps = ngrams._quantised(x)
+    got = ngrams._restored(codes, steps, np.arange(len(x)))
+    assert codes.dtype == np.uint8 and len(steps) == 4
+    assert (got <= x * (1 + 1e-6)).all() and (got >= x * 2.0 ** (-40 / 255) * (1 - 1e-6)).all()
+    assert got[ngrams.STEP :] == pytest.approx(x[ngrams.STEP :], rel=0.01)
+    assert [len(a) for a in ngrams._quantised(np.zeros(0))] == [0, 0]
